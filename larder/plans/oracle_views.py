@@ -145,7 +145,10 @@ def with_views(body: str, *names: str) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{n} as (\n{VIEWS[n]}\n)" for n in order)
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    if re.match(r"(?is)^with\s", body):
+        return f"with {ctes},\n{body[4:].lstrip()}"
+    return f"with {ctes}\n{body}"
 
 
 def referenced(body: str) -> list[str]:

@@ -70,11 +70,11 @@ _RAW = " + ".join(f"{float(i)}*coalesce(cast({c} as double),0.0)"
 
 
 @register("placeholder_score", f"""
-select {S}, round(greatest(0.0, 10.0 + abs({_RAW}) % 490.0), 6) as raw_score from forecast_context""")
+select {S}, greatest(0.0, 10.0 + abs({_RAW}) % 490.0) as raw_score from forecast_context""")
 def placeholder_score(t):
     ctx = fc.forecast_context(t)
     score = ff.placeholder_score([ff.default_feature(c) for c in ff.DEFAULT_FEATURES])
-    return ctx.select(*fc.SERIES, F.round(score, 6).alias("raw_score"))
+    return ctx.select(*fc.SERIES, score.alias("raw_score"))
 
 
 @register("round_units", f"select {S}, {U} from scored_context")
