@@ -158,3 +158,265 @@ def referenced(body: str) -> list[str]:
 
 def oracle(body: str) -> str:
     return with_views(body, *referenced(body))
+
+
+view("sales_upload", """
+select source_row_number,
+       case when source_row_number%97=0 then 'not-a-date'
+            when source_row_number%89=0 then strftime(transaction_date, '%m/%d/%Y')
+            else strftime(transaction_date, '%Y-%m-%d') end as "Sale Date",
+       case when source_row_number%83=0 then null when source_row_number%113=0 then '  '
+            when source_row_number%79=0 then 'SKU-'||cast(product_id as varchar)
+            else cast(product_id as varchar) end as sku,
+       case when source_row_number%73=0 then '-'||cast(cast(units_sold as bigint) as varchar)
+            when source_row_number%71=0 then null when source_row_number%67=0 then 'abc'
+            else cast(cast(units_sold as bigint) as varchar) end as qty_sold,
+       cast(cast(round(selling_price*100) as bigint)//100 as varchar) || '.' ||
+         lpad(cast(cast(round(selling_price*100) as bigint)%100 as varchar), 2, '0') as unit_price,
+       case when source_row_number%61=0 then '1.5' else cast(discount_pct as varchar) end as discount,
+       case when source_row_number%59=0 then 'maybe' when is_promoted then 'yes' else 'no' end as promotion_flag,
+       cast(store_id as varchar) as store_code, (select warehouse_code from warehouses w
+                                                 where w.warehouse_id=s.warehouse_id) as warehouse_id,
+       cast(spoilage_risk as varchar) as spoilage_risk,
+       'note '||cast(source_row_number%7 as varchar) as receipt_note
+from sales_records s""", ["sales_records", "warehouses"])
+
+view("inventory_upload", """
+select i.source_row_number, strftime(i.snapshot_date, '%Y-%m-%d') as as_of_date,
+       cast(i.product_id as varchar) as item_id,
+       case when i.source_row_number%47=0 then 'WH-X' else w.warehouse_code end as location_id,
+       case when i.source_row_number%43=0 then '-'||cast(cast(i.current_inventory as bigint) as varchar)
+            else cast(cast(i.current_inventory as bigint) as varchar) end as on_hand,
+       cast(cast(i.reserved_inventory as bigint) as varchar) as reserved_inventory,
+       cast(cast(round(i.incoming_inventory) as bigint) as varchar) as incoming_inventory,
+       strftime(case when i.source_row_number%53=0 then i.snapshot_date - 3
+                     else i.snapshot_date + p.shelf_life_days end, '%Y-%m-%d') as expiration_date,
+       i.batch_id, cast(i.spoilage_risk as varchar) as spoilage_risk,
+       't'||cast(i.source_row_number%11 as varchar) as temperature_log
+from inventory_snapshots i left join products p on p.product_id=i.product_id
+     left join warehouses w on w.warehouse_id=i.warehouse_id""",
+     ["inventory_snapshots", "products", "warehouses"])
+
+view("products_upload", """
+select product_id+2 as source_row_number, cast(product_id as varchar) as sku,
+       case when product_id%41=0 then ' ' else product_name end as product_name, category,
+       case when product_id%37=0 then '999999' else cast(supplier_id as varchar) end as vendor_id,
+       cast(shelf_life_days as varchar) as shelf_life_days,
+       cast(cast(storage_temp as bigint) as varchar) as storage_temp,
+       'brand '||cast(product_id%13 as varchar) as brand_note
+from products""", ["products"])
+
+
+# --- upload onboarding -------------------------------------------------------
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+UPLOAD_COLUMNS = {
+    "sales_upload": ("sales", ["Sale Date", "sku", "qty_sold", "unit_price", "discount", "promotion_flag",
+                               "store_code", "warehouse_id", "spoilage_risk", "receipt_note"]),
+    "inventory_upload": ("inventory", ["as_of_date", "item_id", "location_id", "on_hand", "reserved_inventory",
+                                       "incoming_inventory", "expiration_date", "batch_id", "spoilage_risk",
+                                       "temperature_log"]),
+    "products_upload": ("products", ["sku", "product_name", "category", "vendor_id", "shelf_life_days",
+                                     "storage_temp", "brand_note"]),
+}
+
+view("upload_cells", "\nunion all\n".join(
+    f"select {_q(ds)} as dataset_id, {_q(dt)} as dataset_type, source_row_number, {i} as column_position, "
+    f"{_q(c)} as source_column, \"{c}\" as value from {ds}"
+    for ds, (dt, cols) in UPLOAD_COLUMNS.items() for i, c in enumerate(cols)),
+    list(UPLOAD_COLUMNS))
+
+
+def _parse_date_sql(x: str) -> str:
+    from larder.functions.parsing import DATE_FORMATS
+    return ("cast(coalesce(" + ", ".join(f"try_strptime(trim({x}), '{p}')" for _, p in DATE_FORMATS)
+            + ") as date)")
+
+
+def _normalize_sql(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[^a-zA-Z0-9]+', '_', 'g'), "
+            f"'_+', '_', 'g'), '^_+|_+$', '', 'g')")
+
+
+def _bool_tokens() -> str:
+    from larder.functions.parsing import BOOLEAN_TOKENS
+    return ", ".join(_q(b) for b in BOOLEAN_TOKENS)
+
+
+view("column_profile", f"""
+with c as (select *, {_parse_date_sql('value')} as pd from upload_cells),
+stats as (
+  select dataset_id, dataset_type, source_column, column_position, count(*) as n_rows, count(value) as n_nonnull,
+         count(*) filter (where value is not null and not lower(trim(value)) in ({_bool_tokens()})) as n_not_bool,
+         count(*) filter (where value is not null and try_cast(value as double) is null) as n_not_num,
+         count(pd) as n_date, min(pd) as date_min, max(pd) as date_max,
+         count(distinct value) as unique_count
+  from c group by all),
+first_seen as (select dataset_id, source_column, value, min(source_row_number) as first_row
+               from upload_cells where value is not null group by all),
+samples as (select dataset_id, source_column, list(value order by first_row, value) as sample_values
+            from (select *, row_number() over (partition by dataset_id, source_column order by first_row, value) as rk
+                  from first_seen) where rk <= 5 group by all)
+select s.dataset_id, s.dataset_type, s.source_column, s.column_position,
+       {_normalize_sql('s.source_column')} as normalized_column,
+       case when n_nonnull = 0 then 'unknown' when n_not_bool = 0 then 'boolean' when n_not_num = 0 then 'numeric'
+            when n_date / n_nonnull >= 0.9 then 'date'
+            when unique_count / greatest(1, n_nonnull) <= 0.5 then 'categorical' else 'text' end as detected_type,
+       coalesce(sample_values, []::varchar[]) as sample_values, n_rows - n_nonnull as missing_count,
+       cast(unique_count as bigint) as unique_count, date_min, date_max
+from stats s left join samples p on p.dataset_id = s.dataset_id and p.source_column = s.source_column""",
+     ["upload_cells"])
+
+
+def _targets_sql() -> str:
+    from larder.operators.mapping import target_rows
+    return "select * from (values " + ", ".join(
+        f"({_q(d)}, {_q(f)}, {'true' if r else 'false'})" for d, f, r in target_rows()
+    ) + ") v(dataset_type, target_field, is_required)"
+
+
+def _aliases_sql() -> str:
+    from larder.operators.mapping import alias_rows
+    return "select * from (values " + ", ".join(
+        f"({_q(a)}, {_q(t)})" for a, t in alias_rows()) + ") v(alias, alias_target)"
+
+
+view("mapping_targets", _targets_sql())
+view("mapping_aliases", _aliases_sql())
+
+view("mapping_suggestions", f"""
+select c.dataset_id, c.dataset_type, c.source_column,
+       case when e.target_field is not null then e.target_field when a.alias_target is not null then a.alias_target end
+         as suggested_target,
+       cast(case when e.target_field is not null then 1.0 when a.alias_target is not null then 0.9 else 0.0 end
+            as double) as confidence,
+       case when e.target_field is not null then 'exact' when a.alias_target is not null then 'alias' else 'ignored' end
+         as mapping_type
+from (select dataset_id, dataset_type, source_column, normalized_column from column_profile) c
+left join mapping_targets e on e.dataset_type = c.dataset_type and e.target_field = c.normalized_column
+left join (select al.alias, al.alias_target, t.dataset_type from mapping_aliases al
+           join mapping_targets t on t.target_field = al.alias_target) a
+  on a.dataset_type = c.dataset_type and a.alias = c.normalized_column""",
+     ["column_profile", "mapping_targets", "mapping_aliases"])
+
+
+def _unconfirmed_sql() -> str:
+    from larder.plans.uploads import UNCONFIRMED
+    return " or ".join(f"(dataset_id = {_q(d)} and source_column = {_q(c)})" for d, c in UNCONFIRMED)
+
+
+view("column_mappings", f"""
+select dataset_id, dataset_type, source_column, suggested_target as target_field, mapping_type,
+       mapping_type <> 'ignored' and not ({_unconfirmed_sql()}) as is_confirmed,
+       cast(case when mapping_type <> 'ignored' and not ({_unconfirmed_sql()}) then 1.0 else 0.0 end as double)
+         as confidence
+from mapping_suggestions""", ["mapping_suggestions"])
+
+view("mapped_cells", """
+select c.dataset_id, c.dataset_type, c.source_row_number, c.column_position, c.source_column,
+       case when m.is_confirmed then m.target_field else c.source_column end as "column", c.value
+from upload_cells c left join column_mappings m on m.dataset_id = c.dataset_id and m.source_column = c.source_column""",
+     ["upload_cells", "column_mappings"])
+
+view("upload_datasets", "select * from (values " + ", ".join(
+    f"({_q(ds)}, {_q(dt)}, 'uploaded')" for ds, (dt, _) in UPLOAD_COLUMNS.items())
+    + ") v(dataset_id, dataset_type, status)")
+
+view("missing_required", """
+select d.dataset_id, t.target_field, d.dataset_type from upload_datasets d
+join mapping_targets t on t.dataset_type = d.dataset_type and t.is_required
+where not exists (select 1 from column_mappings m where m.dataset_id = d.dataset_id and m.is_confirmed
+                  and m.target_field = t.target_field and m.mapping_type <> 'ignored')""",
+     ["upload_datasets", "mapping_targets", "column_mappings"])
+
+view("known_references", """
+select 'product_id' as "column", cast(product_id as varchar) as value from products
+union all select 'supplier_id', cast(supplier_id as varchar) from suppliers
+union all select 'warehouse_id', warehouse_code from warehouses
+union all select 'store_id', cast(store_id as varchar) from stores""",
+     ["products", "suppliers", "warehouses", "stores"])
+
+
+def _in(names) -> str:
+    return ", ".join(_q(n) for n in names)
+
+
+def _issues_sql() -> str:
+    from larder.operators.validate import (DATE_FIELDS, IDENTIFIER_FIELDS, NUMERIC_NON_NEGATIVE,
+                                           REFERENCE_FIELDS)
+    refs = " union all ".join(f"select {_q(t)} as dataset_type, {_q(f)} as \"column\""
+                              for t, fs in REFERENCE_FIELDS.items() for f in fs)
+    pdv = _parse_date_sql("value")
+    return f"""
+with m as (select *, try_cast(value as double) as num from mapped_cells),
+cell as (
+  select dataset_id, source_row_number, 'error' as severity, 'INVALID_NUMERIC' as code, "column" as issue_column,
+         value as issue_value from m
+  where "column" in ({_in(NUMERIC_NON_NEGATIVE)}) and value is not null and num is null
+  union all
+  select dataset_id, source_row_number, 'error', 'NEGATIVE_VALUE', "column", value from m
+  where "column" in ({_in(NUMERIC_NON_NEGATIVE)}) and num < 0
+  union all
+  select dataset_id, source_row_number, 'error', 'DISCOUNT_OUT_OF_RANGE', "column", value from m
+  where "column" = 'discount_pct' and num is not null and (num < 0 or num > 1)
+  union all
+  select dataset_id, source_row_number, 'error', 'INVALID_DATE', "column", value from m
+  where "column" in ({_in(DATE_FIELDS)}) and value is not null and {pdv} is null
+  union all
+  select dataset_id, source_row_number, 'error', 'EMPTY_IDENTIFIER', "column", null from m
+  where "column" in ({_in(IDENTIFIER_FIELDS)}) and trim(coalesce(value, '')) = ''
+  union all
+  select x.dataset_id, x.source_row_number, 'error', 'UNKNOWN_' || upper(x."column"), x."column", x.v
+  from (select m.*, trim(value) as v from m join ({refs}) r
+        on r.dataset_type = m.dataset_type and r."column" = m."column") x
+  where coalesce(x.v, '') <> ''
+    and not exists (select 1 from known_references k where k."column" = x."column" and k.value = x.v)
+  union all
+  select dataset_id, source_row_number, 'error', 'EXPIRATION_BEFORE_SNAPSHOT', 'expiration_date', null
+  from (select dataset_id, source_row_number,
+               max(case when "column" = 'expiration_date' then {pdv} end) as exp,
+               max(case when "column" = 'snapshot_date' then {pdv} end) as snap
+        from m where "column" in ('expiration_date', 'snapshot_date') group by all) r
+  where exp < snap),
+firsts as (
+  select dataset_id, severity, code, issue_column as "column", source_row_number as row_number, issue_value as value
+  from (select *, row_number() over (partition by dataset_id, code, issue_column order by source_row_number) as rk
+        from cell) where rk <= 5),
+missing as (
+  select c.dataset_id, case when t.is_required then 'error' else 'warning' end as severity,
+         'MISSING_VALUES' as code, c."column", cast(null as bigint) as row_number,
+         cast(c.n_missing as varchar) as value
+  from (select dataset_id, dataset_type, "column", count(*) filter (where value is null) as n_missing
+        from mapped_cells group by all) c
+  left join mapping_targets t on t.dataset_type = c.dataset_type and t.target_field = c."column" and t.is_required
+  where c.n_missing > 0),
+dups as (
+  select dataset_id, 'warning' as severity, 'DUPLICATE_ROWS' as code, cast(null as varchar) as "column",
+         cast(null as bigint) as row_number, cast(n_dup as varchar) as value
+  from (select dataset_id, count(*) - count(distinct cells) as n_dup
+        from (select dataset_id, source_row_number,
+                     list({{'p': column_position, 'c': "column", 'v': value}} order by column_position) as cells
+              from mapped_cells group by all) group by all) where n_dup > 0),
+maps as (
+  select dataset_id, 'error' as severity, 'MISSING_REQUIRED_MAPPING' as code, target_field as "column",
+         cast(null as bigint) as row_number, cast(null as varchar) as value from missing_required
+  union all
+  select dataset_id, 'error', 'DUPLICATE_TARGET_MAPPING', target_field, cast(null as bigint), cast(count(*) as varchar)
+  from column_mappings where is_confirmed and target_field is not null group by dataset_id, target_field
+  having count(*) > 1)
+select * from maps union all select * from dups union all select * from missing union all select * from firsts"""
+
+
+view("validation_issues", _issues_sql(),
+     ["mapped_cells", "known_references", "mapping_targets", "missing_required", "column_mappings"])
+
+
+view("hourly_arrays", """
+with per_hour as (select user_id, cast(ts as date) as dt, hour(ts) as hr, sum(value) as v from events group by all),
+slots as (select user_id, dt, unnest(range(24)) as h from (select distinct user_id, dt from per_hour))
+select s.user_id, s.dt, list(round(coalesce(p.v, 0.0), 6) order by s.h) as hours_sale,
+       list(case when p.v is null then 1 else 0 end order by s.h) as hours_stock_status
+from slots s left join per_hour p on p.user_id = s.user_id and p.dt = s.dt and p.hr = s.h
+group by s.user_id, s.dt""")

@@ -206,7 +206,87 @@ class Tables:
             slots = F.sequence(F.lit(0), F.lit(23))
             return per_day.select(
                 "user_id", "dt",
-                F.transform(slots, lambda h: F.coalesce(F.col("m")[h], F.lit(0.0))).alias("hours_sale"),
+                F.transform(slots, lambda h: F.round(F.coalesce(F.col("m")[h], F.lit(0.0)), 6)).alias("hours_sale"),
                 F.transform(slots, lambda h: F.when(F.col("m")[h].isNull(), 1).otherwise(0)
                             ).alias("hours_stock_status"))
         return self._memo("hourly_arrays", build)
+
+    # ------------------------------------------------------------------
+    # Raw uploads: all-string tables as a client would send them, with the
+    # original column names and injected faults picked by row number. They
+    # carry their file position as ``source_row_number``.
+    # ------------------------------------------------------------------
+    def sales_upload(self) -> DataFrame:
+        def build():
+            codes = self.warehouses().select("warehouse_id", "warehouse_code")
+            s = self.sales_records().join(codes, "warehouse_id", "left")
+            r = F.col("source_row_number")
+            d = F.col("transaction_date")
+            units = F.col("units_sold").cast("bigint").cast("string")
+            cents = F.round(F.col("selling_price") * 100).cast("bigint")
+            price = F.concat(F.floor(cents / 100).cast("string"), F.lit("."),
+                             F.lpad((cents % 100).cast("string"), 2, "0"))
+            return s.select(
+                r,
+                F.when(r % 97 == 0, F.lit("not-a-date"))
+                 .when(r % 89 == 0, F.date_format(d, "MM/dd/yyyy"))
+                 .otherwise(F.date_format(d, "yyyy-MM-dd")).alias("Sale Date"),
+                F.when(r % 83 == 0, F.lit(None).cast("string"))
+                 .when(r % 113 == 0, F.lit("  "))
+                 .when(r % 79 == 0, F.concat(F.lit("SKU-"), F.col("product_id").cast("string")))
+                 .otherwise(F.col("product_id").cast("string")).alias("sku"),
+                F.when(r % 73 == 0, F.concat(F.lit("-"), units))
+                 .when(r % 71 == 0, F.lit(None).cast("string"))
+                 .when(r % 67 == 0, F.lit("abc"))
+                 .otherwise(units).alias("qty_sold"),
+                price.alias("unit_price"),
+                F.when(r % 61 == 0, F.lit("1.5"))
+                 .otherwise(F.col("discount_pct").cast("string")).alias("discount"),
+                F.when(r % 59 == 0, F.lit("maybe"))
+                 .when(F.col("is_promoted"), F.lit("yes")).otherwise(F.lit("no")).alias("promotion_flag"),
+                F.col("store_id").cast("string").alias("store_code"),
+                F.col("warehouse_code").alias("warehouse_id"),
+                F.col("spoilage_risk").cast("string").alias("spoilage_risk"),
+                F.concat(F.lit("note "), (r % 7).cast("string")).alias("receipt_note"))
+        return self._memo("sales_upload", build)
+
+    def inventory_upload(self) -> DataFrame:
+        def build():
+            i = self.inventory_snapshots()
+            p = self.products().select("product_id", "shelf_life_days")
+            codes = self.warehouses().select("warehouse_id", "warehouse_code")
+            j = i.join(p, "product_id", "left").join(codes, "warehouse_id", "left")
+            r = F.col("source_row_number")
+            snap = F.col("snapshot_date")
+            expiry = F.when(r % 53 == 0, F.date_sub(snap, 3)).otherwise(
+                F.date_add(snap, F.col("shelf_life_days")))
+            return j.select(
+                r,
+                F.date_format(snap, "yyyy-MM-dd").alias("as_of_date"),
+                F.col("product_id").cast("string").alias("item_id"),
+                F.when(r % 47 == 0, F.lit("WH-X")).otherwise(F.col("warehouse_code")).alias("location_id"),
+                F.when(r % 43 == 0, F.concat(F.lit("-"), F.col("current_inventory").cast("bigint").cast("string")))
+                 .otherwise(F.col("current_inventory").cast("bigint").cast("string")).alias("on_hand"),
+                F.col("reserved_inventory").cast("bigint").cast("string").alias("reserved_inventory"),
+                F.round(F.col("incoming_inventory")).cast("bigint").cast("string").alias("incoming_inventory"),
+                F.date_format(expiry, "yyyy-MM-dd").alias("expiration_date"),
+                F.col("batch_id"),
+                F.col("spoilage_risk").cast("string").alias("spoilage_risk"),
+                F.concat(F.lit("t"), (r % 11).cast("string")).alias("temperature_log"))
+        return self._memo("inventory_upload", build)
+
+    def products_upload(self) -> DataFrame:
+        def build():
+            p = self.products()
+            k = F.col("product_id")
+            return p.select(
+                (k + 2).alias("source_row_number"),
+                k.cast("string").alias("sku"),
+                F.when(k % 41 == 0, F.lit(" ")).otherwise(F.col("product_name")).alias("product_name"),
+                F.col("category"),
+                F.when(k % 37 == 0, F.lit("999999"))
+                 .otherwise(F.col("supplier_id").cast("string")).alias("vendor_id"),
+                F.col("shelf_life_days").cast("string").alias("shelf_life_days"),
+                F.col("storage_temp").cast("bigint").cast("string").alias("storage_temp"),
+                F.concat(F.lit("brand "), (k % 13).cast("string")).alias("brand_note"))
+        return self._memo("products_upload", build)
