@@ -175,7 +175,8 @@ select source_row_number,
          lpad(cast(cast(round(selling_price*100) as bigint)%100 as varchar), 2, '0') as unit_price,
        case when source_row_number%61=0 then '1.5' else cast(discount_pct as varchar) end as discount,
        case when source_row_number%59=0 then 'maybe' when is_promoted then 'yes' else 'no' end as promotion_flag,
-       cast(store_id as varchar) as store_code, (select warehouse_code from warehouses w
+       case when source_row_number%101=0 then 'S-'||cast(source_row_number%3 as varchar)
+            else cast(store_id as varchar) end as store_code, (select warehouse_code from warehouses w
                                                  where w.warehouse_id=s.warehouse_id) as warehouse_id,
        cast(spoilage_risk as varchar) as spoilage_risk,
        'note '||cast(source_row_number%7 as varchar) as receipt_note

@@ -1,3 +1,304 @@
-"""Queries registered in this module."""
+"""Validation-rule, ingestion and catalogue queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import ingest as ig
+from larder.operators import validate as vd
+from larder.operators.mapping import target_rows
+from larder.plans import uploads as up
+from larder.plans.catalog import register
+from larder.plans.oracle_views import _parse_date_sql, _q
+from larder.sources.tables import Tables
+
+_ISSUES = "select * from validation_issues"
+
+
+def _rule(name: str, code_sql: str, code_filter):
+    @register(name, f"{_ISSUES} where {code_sql}")
+    def q(t: Tables):
+        return up.issues(t).where(code_filter)
+    q.__name__ = name
+    return q
+
+
+_rule("v01_missing_required_mapping", "code = 'MISSING_REQUIRED_MAPPING'", F.col("code") == "MISSING_REQUIRED_MAPPING")
+_rule("v02_duplicate_target", "code = 'DUPLICATE_TARGET_MAPPING'", F.col("code") == "DUPLICATE_TARGET_MAPPING")
+_rule("v03_duplicate_rows", "code = 'DUPLICATE_ROWS'", F.col("code") == "DUPLICATE_ROWS")
+_rule("v04_missing_values", "code = 'MISSING_VALUES'", F.col("code") == "MISSING_VALUES")
+_rule("v05_invalid_numeric", "code = 'INVALID_NUMERIC'", F.col("code") == "INVALID_NUMERIC")
+_rule("v06_negative_value", "code = 'NEGATIVE_VALUE'", F.col("code") == "NEGATIVE_VALUE")
+_rule("v07_discount_range", "code = 'DISCOUNT_OUT_OF_RANGE'", F.col("code") == "DISCOUNT_OUT_OF_RANGE")
+_rule("v08_invalid_date", "code = 'INVALID_DATE'", F.col("code") == "INVALID_DATE")
+_rule("v09_expiry_before_snapshot", "code = 'EXPIRATION_BEFORE_SNAPSHOT'",
+      F.col("code") == "EXPIRATION_BEFORE_SNAPSHOT")
+_rule("v10_empty_identifier", "code = 'EMPTY_IDENTIFIER'", F.col("code") == "EMPTY_IDENTIFIER")
+_rule("v11_unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", F.col("code").startswith("UNKNOWN_"))
+_rule("unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", F.col("code").startswith("UNKNOWN_"))
+_rule("rule_first_5", "row_number is not null", F.col("row_number").isNotNull())
+
+
+@register("v14_issue_summary", """
+select d.dataset_id, cast(count(*) filter (where i.severity = 'error') as bigint) as error_count,
+       cast(count(*) filter (where i.severity = 'warning') as bigint) as warning_count,
+       count(*) filter (where i.severity = 'error') = 0 as valid,
+       case when count(*) filter (where i.severity = 'error') = 0 then 'validated' else 'mapping_required' end as status
+from upload_datasets d left join validation_issues i on i.dataset_id = d.dataset_id
+group by d.dataset_id""")
+def v14_issue_summary(t: Tables):
+    return vd.issue_summary(up.issues(t), up.datasets(t))
+
+
+# ---------------------------------------------------------------------------
+# Post-outcome columns that must never be model inputs.
+LEAKAGE_COLUMNS = ["units_sold", "revenue", "profit", "profit_margin_pct", "units_wasted", "waste_pct",
+                   "waste_cost", "was_spoiled", "daily_demand", "future_demand", "future_sales"]
+# ---------------------------------------------------------------------------
+
+
+@register("v15_leakage_review", f"""
+select dataset_id, source_column, m.target_field,
+       replace(lower(trim(coalesce(m.target_field, source_column))), ' ', '_') as normalized
+from column_mappings m
+where replace(lower(trim(coalesce(m.target_field, source_column))), ' ', '_') in ({", ".join(_q(c) for c in LEAKAGE_COLUMNS)})
+   or (contains(replace(lower(trim(coalesce(m.target_field, source_column))), ' ', '_'), 'future')
+       and (contains(replace(lower(trim(coalesce(m.target_field, source_column))), ' ', '_'), 'demand')
+            or contains(replace(lower(trim(coalesce(m.target_field, source_column))), ' ', '_'), 'sales')))""")
+def v15_leakage_review(t: Tables):
+    """Post-outcome columns present in each dataset (by mapped name)."""
+    m = up.mappings(t)
+    norm = F.replace(F.lower(F.trim(F.coalesce("target_field", "source_column"))), F.lit(" "), F.lit("_"))
+    risky = norm.isin(LEAKAGE_COLUMNS) | (norm.contains("future") & (norm.contains("demand") | norm.contains("sales")))
+    return m.where(risky).select("dataset_id", "source_column", "target_field", norm.alias("normalized"))
+
+
+@register("v16_table_constraints", """
+select 'sales_records' as table_name, 'units_sold_non_negative' as rule, count(*) filter (where units_sold < 0) as violations from sales_records
+union all select 'sales_records', 'discount_between_0_1', count(*) filter (where discount_pct < 0 or discount_pct > 1) from sales_records
+union all select 'sales_records', 'row_number_from_2', count(*) filter (where source_row_number < 2) from sales_records
+union all select 'sales_records', 'unique_dataset_row', count(*) - count(distinct source_row_number) from sales_records
+union all select 'inventory_snapshots', 'inventory_non_negative',
+  count(*) filter (where current_inventory < 0 or reserved_inventory < 0 or incoming_inventory < 0) from inventory_snapshots
+union all select 'inventory_snapshots', 'unique_dataset_row', count(*) - count(distinct source_row_number) from inventory_snapshots
+union all select 'products', 'non_blank_name', count(*) filter (where trim(coalesce(product_name, '')) = '') from products
+union all select 'products', 'prices_non_negative', count(*) filter (where base_price < 0 or cost_price < 0) from products
+union all select 'suppliers', 'lead_time_non_negative', count(*) filter (where lead_time_days < 0) from suppliers
+union all select 'warehouses', 'type_in_enum',
+  count(*) filter (where warehouse_type not in ('ambient', 'chilled', 'frozen', 'mixed')) from warehouses
+union all select 'warehouses', 'unique_code', count(*) - count(distinct warehouse_code) from warehouses
+union all select 'forecast_points', 'bounds_ordered',
+  count(*) filter (where lower_bound > predicted_units_sold or predicted_units_sold > upper_bound or lower_bound < 0)
+  from forecast_points""")
+def v16_table_constraints(t: Tables):
+    """CHECK-style rules over the canonical tables: one aggregation per table."""
+    from larder.plans import forecast as fc
+
+    def agg(df, table, rules):
+        row = df.agg(*[expr.alias(name) for name, expr in rules])
+        stack = ", ".join(f"'{n}', `{n}`" for n, _ in rules)
+        return row.selectExpr(f"'{table}' as table_name", f"stack({len(rules)}, {stack}) as (rule, violations)")
+
+    cnt = lambda cond: F.count_if(cond)
+    s, i, p = t.sales_records(), t.inventory_snapshots(), t.products()
+    parts = [
+        agg(s, "sales_records", [
+            ("units_sold_non_negative", cnt(F.col("units_sold") < 0)),
+            ("discount_between_0_1", cnt((F.col("discount_pct") < 0) | (F.col("discount_pct") > 1))),
+            ("row_number_from_2", cnt(F.col("source_row_number") < 2)),
+            ("unique_dataset_row", F.count(F.lit(1)) - F.count_distinct("source_row_number"))]),
+        agg(i, "inventory_snapshots", [
+            ("inventory_non_negative", cnt((F.col("current_inventory") < 0) | (F.col("reserved_inventory") < 0)
+                                           | (F.col("incoming_inventory") < 0))),
+            ("unique_dataset_row", F.count(F.lit(1)) - F.count_distinct("source_row_number"))]),
+        agg(p, "products", [
+            ("non_blank_name", cnt(F.trim(F.coalesce("product_name", F.lit(""))) == "")),
+            ("prices_non_negative", cnt((F.col("base_price") < 0) | (F.col("cost_price") < 0)))]),
+        agg(t.suppliers(), "suppliers", [("lead_time_non_negative", cnt(F.col("lead_time_days") < 0))]),
+        agg(t.warehouses(), "warehouses", [
+            ("type_in_enum", cnt(~F.col("warehouse_type").isin("ambient", "chilled", "frozen", "mixed"))),
+            ("unique_code", F.count(F.lit(1)) - F.count_distinct("warehouse_code"))]),
+        agg(fc.forecast_points(t), "forecast_points", [
+            ("bounds_ordered", cnt((F.col("lower_bound") > F.col("predicted_units_sold"))
+                                   | (F.col("predicted_units_sold") > F.col("upper_bound"))
+                                   | (F.col("lower_bound") < 0)))]),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@register("v19_request_contract", """
+select request_id, count(*) as n_products, count(distinct product_id) as n_distinct,
+       max(horizon_days) as horizon_days,
+       count(*) >= 1 and count(*) = count(distinct product_id) and max(horizon_days) in (14, 30, 60, 90) as accepted
+from (select distinct request_id, product_id, horizon_days from forecast_requests) r group by request_id""")
+def v19_request_contract(t: Tables):
+    """Per request: at least one product, no repeats, horizon in {14, 30, 60, 90}."""
+    r = t.forecast_requests().select("request_id", "product_id", "horizon_days").distinct()
+    g = r.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_products"),
+                                    F.count_distinct("product_id").alias("n_distinct"),
+                                    F.max("horizon_days").alias("horizon_days"))
+    ok = ((F.col("n_products") >= 1) & (F.col("n_products") == F.col("n_distinct"))
+          & F.col("horizon_days").isin(14, 30, 60, 90))
+    return g.withColumn("accepted", ok)
+
+
+# --- ingestion ----------------------------------------------------------------
+
+def _pivot_sql(dataset_type: str) -> str:
+    fields = ig.fields_of(dataset_type)
+    canon = ", ".join(_q(c) for c in ig.CANONICAL_FIELDS)
+    cols = ",\n       ".join(f"max(case when \"column\" = {_q(f)} then value end) as {f}" for f in fields)
+    return f"""select dataset_id, source_row_number,
+       {cols},
+       coalesce(to_json(map_from_entries(list({{'k': "column", 'v': value}} order by column_position)
+                filter (where not "column" in ({canon})))), '{{}}') as extras
+from mapped_cells where dataset_type = {_q(dataset_type)} group by all"""
+
+
+def _num_rej(c):
+    return f"case when {c} is not null and try_cast({c} as double) is null then '{c} is not numeric.' end"
+
+
+_SALES_INGEST = f"""
+with r as ({_pivot_sql('sales')}),
+j as (select r.*, case when length(trim(r.product_id)) > 0 then trim(r.product_id) end as pid,
+             case when length(trim(r.warehouse_id)) > 0 then trim(r.warehouse_id) end as wval,
+             case when length(trim(r.store_id)) > 0 then trim(r.store_id) end as sval
+      from r),
+k as (select j.*, p.product_id as pkey, coalesce(wi.warehouse_id, wc.warehouse_id) as wkey, st.store_id as skey,
+             {_parse_date_sql('j.transaction_date')} as tdate
+      from j left join products p on cast(p.product_id as varchar) = j.pid
+      left join warehouses wi on cast(wi.warehouse_id as varchar) = j.wval
+      left join warehouses wc on wc.warehouse_code = j.wval
+      left join stores st on cast(st.store_id as varchar) = j.sval)
+select dataset_id, source_row_number, pkey as product_id, coalesce(cast(skey as varchar), sval) as store_id,
+       sval is not null and skey is null as store_created, wkey as warehouse_id, tdate as transaction_date,
+       try_cast(units_sold as double) as units_sold, try_cast(selling_price as double) as selling_price,
+       try_cast(discount_pct as double) as discount_pct,
+       case when lower(trim(is_promoted)) in ('true', '1', 'yes', 'y') then true
+            when lower(trim(is_promoted)) in ('false', '0', 'no', 'n') then false end as is_promoted,
+       try_cast(spoilage_risk as double) as spoilage_risk, extras,
+       coalesce(case when pid is null then 'product_id is required.' when pkey is null then 'Unknown product_id.' end,
+                case when wval is not null and wkey is null then 'Unknown warehouse_id.' end,
+                case when tdate is null then 'transaction_date is not a valid date.' end,
+                {_num_rej('units_sold')}, {_num_rej('selling_price')}, {_num_rej('discount_pct')},
+                {_num_rej('spoilage_risk')},
+                case when is_promoted is not null and not lower(trim(is_promoted)) in
+                     ('true', '1', 'yes', 'y', 'false', '0', 'no', 'n') then 'is_promoted: Boolean value is invalid.' end)
+         as reject_reason
+from k"""
+
+_INVENTORY_INGEST = f"""
+with r as ({_pivot_sql('inventory')}),
+j as (select r.*, case when length(trim(r.product_id)) > 0 then trim(r.product_id) end as pid,
+             case when length(trim(r.warehouse_id)) > 0 then trim(r.warehouse_id) end as wval from r),
+k as (select j.*, p.product_id as pkey, coalesce(wi.warehouse_id, wc.warehouse_id) as wkey,
+             {_parse_date_sql('j.snapshot_date')} as sdate, {_parse_date_sql('j.expiration_date')} as edate
+      from j left join products p on cast(p.product_id as varchar) = j.pid
+      left join warehouses wi on cast(wi.warehouse_id as varchar) = j.wval
+      left join warehouses wc on wc.warehouse_code = j.wval)
+select dataset_id, source_row_number, pkey as product_id, wkey as warehouse_id, sdate as snapshot_date,
+       try_cast(current_inventory as double) as current_inventory,
+       try_cast(reserved_inventory as double) as reserved_inventory,
+       try_cast(incoming_inventory as double) as incoming_inventory, edate as expiration_date, batch_id,
+       try_cast(spoilage_risk as double) as spoilage_risk, extras,
+       coalesce(case when pid is null then 'product_id is required.' when pkey is null then 'Unknown product_id.' end,
+                case when wval is not null and wkey is null then 'Unknown warehouse_id.' end,
+                case when wkey is null then 'warehouse_id is required.' end,
+                case when sdate is null then 'snapshot_date is not a valid date.' end,
+                case when expiration_date is not null and edate is null then 'expiration_date is not a valid date.' end,
+                {_num_rej('current_inventory')}, {_num_rej('reserved_inventory')},
+                {_num_rej('incoming_inventory')}, {_num_rej('spoilage_risk')}) as reject_reason
+from k"""
+
+_PRODUCTS_INGEST = f"""
+with r as ({_pivot_sql('products')}),
+j as (select r.*, case when length(trim(r.product_id)) > 0 then trim(r.product_id) end as pid,
+             case when length(trim(r.product_name)) > 0 then trim(r.product_name) end as pname,
+             case when length(trim(r.supplier_id)) > 0 then trim(r.supplier_id) end as supv from r)
+select dataset_id, source_row_number, pid as external_product_id, pname as product_name, category,
+       s.supplier_id, try_cast(shelf_life_days as double) as shelf_life_days,
+       try_cast(storage_temp as double) as storage_temp, extras,
+       coalesce(case when pid is null then 'product_id is required.' end,
+                case when supv is not null and s.supplier_id is null then 'Unknown supplier_id.' end,
+                case when pname is null then 'product_name is required.' end,
+                {_num_rej('shelf_life_days')}, {_num_rej('storage_temp')}) as reject_reason
+from j left join suppliers s on cast(s.supplier_id as varchar) = j.supv"""
+
+
+def _sales_rows(t):
+    return ig.ingest_sales(ig.pivot_rows(up.mapped_cells(t), "sales"), t.products(), t.warehouses(), t.stores())
+
+
+def _inventory_rows(t):
+    return ig.ingest_inventory(ig.pivot_rows(up.mapped_cells(t), "inventory"), t.products(), t.warehouses())
+
+
+def _products_rows(t):
+    return ig.ingest_products(ig.pivot_rows(up.mapped_cells(t), "products"), t.suppliers())
+
+
+@register("ingest_sales", _SALES_INGEST)
+def ingest_sales(t: Tables):
+    return _sales_rows(t)
+
+
+@register("ingest_inventory", _INVENTORY_INGEST)
+def ingest_inventory(t: Tables):
+    return _inventory_rows(t)
+
+
+@register("ingest_products", _PRODUCTS_INGEST)
+def ingest_products(t: Tables):
+    return _products_rows(t)
+
+
+def _sub(sql: str, cols: str) -> str:
+    return f"with x as ({sql}) select {cols} from x"
+
+
+@register("resolve_product_fk", _sub(_SALES_INGEST, "dataset_id, source_row_number, product_id"))
+def resolve_product_fk(t: Tables):
+    return _sales_rows(t).select("dataset_id", "source_row_number", "product_id")
+
+
+@register("resolve_warehouse_fk", _sub(_INVENTORY_INGEST, "dataset_id, source_row_number, warehouse_id, reject_reason"))
+def resolve_warehouse_fk(t: Tables):
+    """Inventory warehouse: key, else code; unknown ones rejected."""
+    return _inventory_rows(t).select("dataset_id", "source_row_number", "warehouse_id", "reject_reason")
+
+
+@register("resolve_supplier_fk", _sub(_PRODUCTS_INGEST, "dataset_id, source_row_number, supplier_id, reject_reason"))
+def resolve_supplier_fk(t: Tables):
+    return _products_rows(t).select("dataset_id", "source_row_number", "supplier_id", "reject_reason")
+
+
+@register("resolve_or_create_store", f"""with x as ({_SALES_INGEST})
+select store_id as external_store_id, min(warehouse_id) as warehouse_id, store_id as store_name, true as generated
+from x where store_created group by store_id""")
+def resolve_or_create_store(t: Tables):
+    """Unknown external store ids of sales rows become new store rows."""
+    return ig.new_stores(_sales_rows(t))
+
+
+@register("row_failures", f"""
+with x as ({_SALES_INGEST}
+  union all by name ({_INVENTORY_INGEST})
+  union all by name ({_PRODUCTS_INGEST})),
+c as (select dataset_id, count(*) filter (where reject_reason is null) as inserted_count,
+             count(*) filter (where reject_reason is not null) as failed_count from x group by all),
+f as (select dataset_id, list({{'row_number': source_row_number, 'code': 'ROW_CONVERSION_FAILED',
+                              'message': reject_reason}} order by source_row_number) as failures
+      from (select * from x where reject_reason is not null
+            qualify row_number() over (partition by dataset_id order by source_row_number) <= 20) group by all)
+select c.dataset_id, case when failed_count = 0 then 'ingested' else 'failed' end as status,
+       inserted_count, failed_count, coalesce(failures, []) as failures
+from c left join f on f.dataset_id = c.dataset_id""")
+def row_failures(t: Tables):
+    cols = ["dataset_id", "source_row_number", "reject_reason"]
+    allrows = _sales_rows(t).select(*cols).unionByName(_inventory_rows(t).select(*cols)) \
+                            .unionByName(_products_rows(t).select(*cols))
+    return ig.row_failures(allrows)

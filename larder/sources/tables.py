@@ -244,7 +244,8 @@ class Tables:
                  .otherwise(F.col("discount_pct").cast("string")).alias("discount"),
                 F.when(r % 59 == 0, F.lit("maybe"))
                  .when(F.col("is_promoted"), F.lit("yes")).otherwise(F.lit("no")).alias("promotion_flag"),
-                F.col("store_id").cast("string").alias("store_code"),
+                F.when(r % 101 == 0, F.concat(F.lit("S-"), (r % 3).cast("string")))
+                 .otherwise(F.col("store_id").cast("string")).alias("store_code"),
                 F.col("warehouse_code").alias("warehouse_id"),
                 F.col("spoilage_risk").cast("string").alias("spoilage_risk"),
                 F.concat(F.lit("note "), (r % 7).cast("string")).alias("receipt_note"))
