@@ -421,3 +421,25 @@ select s.user_id, s.dt, list(round(coalesce(p.v, 0.0), 6) order by s.h) as hours
        list(case when p.v is null then 1 else 0 end order by s.h) as hours_stock_status
 from slots s left join per_hour p on p.user_id = s.user_id and p.dt = s.dt and p.hr = s.h
 group by s.user_id, s.dt""")
+
+
+# --- training frame ------------------------------------------------------------
+view("training_frame", """
+select s.source_row_number as row_id, s.transaction_date, s.units_sold, cast(p.shelf_life_days as double) as shelf_life_days,
+       p.cost_price, p.spoilage_sensitivity, s.spoilage_risk, s.selling_price, s.discount_pct,
+       cast(s.is_promoted as double) as is_promoted, su.supplier_score, p.storage_temp, p.category,
+       coalesce(st.region, w.region) as region
+from sales_records s left join products p on p.product_id = s.product_id
+left join suppliers su on su.supplier_id = p.supplier_id
+left join stores st on st.store_id = s.store_id
+left join warehouses w on w.warehouse_id = s.warehouse_id""",
+     ["sales_records", "products", "suppliers", "stores", "warehouses"])
+
+view("split_random", """
+select *, case when cast(('0x' || substr(md5('42:' || cast(row_id as varchar)), 1, 8)) as bigint) / 4294967296.0 < 0.65
+               then 'train' else 'test' end as split from training_frame""", ["training_frame"])
+
+view("daily_series", """
+select product_id, warehouse_id, transaction_date as day, sum(units_sold) as units, avg(selling_price) as price,
+       max(cast(is_promoted as integer)) as promoted
+from sales_records group by all""", ["sales_records"])
