@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larder.operators import mapping as mp
 from larder.operators import profile as pf
 from larder.operators import validate as vd
+from larder.session import ensure_checkpoint_dir
 from larder.sources.tables import Tables
 
 # (dataset_id, dataset_type, builder name) of the uploaded files.
@@ -52,8 +53,14 @@ def suggestions(t: Tables) -> DataFrame:
 
 
 def mappings(t: Tables) -> DataFrame:
-    unconfirmed = t.spark.createDataFrame(UNCONFIRMED, "dataset_id string, source_column string")
-    return mp.confirm(suggestions(t), unconfirmed)
+    """Stored column mappings. Bounded by datasets x columns; materialised once
+    (checkpoint in the shared folder) so validation and ingestion read the
+    stored table instead of re-profiling every upload."""
+    def build():
+        unconfirmed = t.spark.createDataFrame(UNCONFIRMED, "dataset_id string, source_column string")
+        ensure_checkpoint_dir(t.spark)
+        return mp.confirm(suggestions(t), unconfirmed).checkpoint(eager=True)
+    return t._memo("column_mappings", build)
 
 
 def mapped_cells(t: Tables) -> DataFrame:
