@@ -13,8 +13,9 @@ Plan (per key shape):
    the request side is split by AQE's skew-join handling.
 
 No inequality join and no per-request candidate list is ever materialised.
-Optional keys (filter only when the request gives a value) are handled by
-routing each null pattern of the request to the matching key shape.
+Optional keys (filter only when the request gives a value) give one key
+shape per null pattern; the requests pass through one left join per shape
+and each row takes the record of its own pattern.
 """
 
 from __future__ import annotations
@@ -48,51 +49,53 @@ def _resolve_shape(req_days: DataFrame, facts: DataFrame, keys: list[str], fact_
 def latest_asof(requests: DataFrame, facts: DataFrame, *, keys: list[str], request_date: str,
                 fact_date: str, values: list[str], tiebreak: list[str] | None = None,
                 optional_keys: list[str] = (), strict: bool = False,
-                fact_keys: dict[str, str] | None = None, alias: str = "latest") -> DataFrame:
+                fact_keys: dict[str, str] | None = None, alias: str = "latest",
+                request_keys: DataFrame | None = None) -> DataFrame:
     """Attach struct column ``alias`` (fields ``values``) = latest matching fact or null.
 
     ``keys`` must match when given; ``optional_keys`` match only when the
     request's value is not null. ``fact_keys`` renames request key -> fact
     column when names differ. ``strict`` asks for facts strictly before the
     request date. Ties on the date are broken by ``tiebreak`` (highest wins).
+    ``request_keys`` (default: ``requests``) is a cheaper frame holding the
+    same key and date columns, used to collect the distinct (key, day) pairs.
+
+    The requests are scanned once: one left join per key shape, each against
+    a table unique on (key, day), so no row is ever multiplied.
     """
     fact_keys = fact_keys or {}
     all_keys = list(keys) + list(optional_keys)
-    renamed = facts.select(*[F.col(fact_keys.get(k, k)).alias(k) for k in all_keys],
-                           F.col(fact_date), *[F.col(v) for v in values if v not in all_keys and v != fact_date],
-                           *[F.col(t) for t in (tiebreak or []) if t not in values and t != fact_date
-                             and t not in all_keys])
+    extra = [v for v in values if v not in all_keys and v != fact_date]
+    extra += [t for t in (tiebreak or []) if t not in extra and t != fact_date and t not in all_keys]
+    renamed = facts.select(*[F.col(fact_keys.get(k, k)).alias(k) for k in all_keys], F.col(fact_date),
+                           *[F.col(c) for c in extra])
     tiebreak = [fact_date] + [t for t in (tiebreak or []) if t != fact_date]
-    day = F.col(request_date).cast("date")
-    if strict:
-        day = F.date_sub(day, 1)
-    reqs = requests.withColumn(_DAY, day)
-    parts = []
-    for pattern in cartesian([True, False], repeat=len(optional_keys)):
+
+    def day_of(c):
+        d = F.col(c).cast("date")
+        return F.date_sub(d, 1) if strict else d
+
+    source = request_keys if request_keys is not None else requests
+    out = requests.withColumn(_DAY, day_of(request_date))
+    choice = None
+    for n, pattern in enumerate(cartesian([True, False], repeat=len(optional_keys))):
         used = list(keys) + [k for k, given in zip(optional_keys, pattern) if given]
         cond = F.lit(True)
         for k in keys:
             cond = cond & F.col(k).isNotNull()
         for k, given in zip(optional_keys, pattern):
             cond = cond & (F.col(k).isNotNull() if given else F.col(k).isNull())
-        subset = reqs.where(cond & F.col(_DAY).isNotNull())
+        days = (source.where(cond).select(*used, day_of(request_date).alias(_DAY))
+                .where(F.col(_DAY).isNotNull()).distinct())
         shape_facts = renamed
         for k in used:
             shape_facts = shape_facts.where(F.col(k).isNotNull())
-        resolved = _resolve_shape(subset.select(*used, _DAY).distinct(), shape_facts, used,
-                                  fact_date, values, tiebreak)
-        parts.append(subset.join(resolved, used + [_DAY], "left"))
-    # Requests that cannot match (null required key or date) keep a null record.
-    never = F.lit(False)
-    for k in keys:
-        never = never | F.col(k).isNull()
-    never = never | F.col(_DAY).isNull()
-    rec_type = parts[0].schema[_REC].dataType
-    parts.append(reqs.where(never).withColumn(_REC, F.lit(None).cast(rec_type)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop(_DAY).withColumnRenamed(_REC, alias)
+        resolved = _resolve_shape(days, shape_facts, used, fact_date, values, tiebreak)
+        rec = f"{_REC}_{n}"
+        out = out.join(resolved.withColumnRenamed(_REC, rec), used + [_DAY], "left")
+        choice = (F.when(cond, F.col(rec)) if choice is None else choice.when(cond, F.col(rec)))
+    recs = [c for c in out.columns if c.startswith(_REC + "_")]
+    return out.withColumn(alias, choice).drop(_DAY, *recs)
 
 
 def flatten(df: DataFrame, struct_col: str, prefix: str) -> DataFrame:

@@ -29,14 +29,15 @@ def with_latest_sale(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     return latest_asof(req, t.sales_records(), keys=["product_id", "warehouse_id"],
                        optional_keys=["store_id"], request_date="forecast_start_date",
                        fact_date="transaction_date", values=SALE_VALUES,
-                       tiebreak=["source_row_number"], alias="sale")
+                       tiebreak=["source_row_number"], alias="sale", request_keys=req)
 
 
-def with_latest_inventory(t: Tables, requests: DataFrame) -> DataFrame:
+def with_latest_inventory(t: Tables, requests: DataFrame, request_keys: DataFrame | None = None) -> DataFrame:
     """latest_inventory_asof: newest snapshot on or before the start date."""
     return latest_asof(requests, t.inventory_snapshots(), keys=["product_id", "warehouse_id"],
                        request_date="forecast_start_date", fact_date="snapshot_date",
-                       values=INVENTORY_VALUES, tiebreak=["source_row_number"], alias="inv")
+                       values=INVENTORY_VALUES, tiebreak=["source_row_number"], alias="inv",
+                       request_keys=request_keys)
 
 
 def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
@@ -46,7 +47,8 @@ def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     promotion fall back to 0 / false only when there is no sale at all; a sale
     with a null discount keeps the null. Spoilage risk: sale, then inventory.
     """
-    ctx = with_latest_inventory(t, with_latest_sale(t, requests))
+    req = requests if requests is not None else t.forecast_requests()
+    ctx = with_latest_inventory(t, with_latest_sale(t, req), request_keys=req)
     prod = t.products().select("product_id", "category", "supplier_id", "shelf_life_days",
                                "cost_price", "spoilage_sensitivity", "storage_temp")
     sup = t.suppliers().select("supplier_id", "supplier_score")
