@@ -38,9 +38,14 @@ def na_to_null(c) -> Column:
 
 
 def parse_date(c) -> Column:
-    """Mixed-format text -> date; null when no format matches."""
+    """Mixed-format text -> date; null when no format matches.
+
+    Every accepted format starts with digit groups split by '-', '/' or '.',
+    so a cheap pattern test skips the format attempts for all other text.
+    """
     x = F.trim(_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(fmt)) for fmt, _ in DATE_FORMATS]).cast("date")
+    parsed = F.coalesce(*[F.try_to_timestamp(x, F.lit(fmt)) for fmt, _ in DATE_FORMATS]).cast("date")
+    return F.when(x.rlike(r"^[0-9]+[-/.][0-9]+[-/.][0-9]+"), parsed)
 
 
 def parse_boolean(c) -> Column:

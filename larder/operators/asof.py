@@ -25,6 +25,8 @@ from itertools import product as cartesian
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.aggregates import arg_max
+
 _DAY = "_asof_day"
 _KIND = "_asof_kind"
 _REC = "_asof_rec"
@@ -33,10 +35,9 @@ _REC = "_asof_rec"
 def _resolve_shape(req_days: DataFrame, facts: DataFrame, keys: list[str], fact_date: str,
                    values: list[str], tiebreak: list[str]) -> DataFrame:
     rec = F.struct(*[F.col(v) for v in values])
-    order = F.struct(*[F.col(t) for t in tiebreak])
     daily = (facts.where(F.col(fact_date).isNotNull())
              .groupBy(*keys, F.col(fact_date).cast("date").alias(_DAY))
-             .agg(F.max_by(rec, order).alias(_REC))
+             .agg(arg_max(rec, [F.col(t) for t in tiebreak]).alias(_REC))
              .withColumn(_KIND, F.lit(0)))
     asks = req_days.withColumn(_REC, F.lit(None).cast(daily.schema[_REC].dataType)).withColumn(_KIND, F.lit(1))
     both = daily.unionByName(asks)
@@ -109,4 +110,4 @@ def max_by_key(df: DataFrame, keys: list[str], order: list[str | Column], alias:
     """Newest row per key as a struct (``active_model``-style lookups), partial aggregation."""
     others = [c for c in df.columns if c not in keys]
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*cols)).alias(alias))
+    return df.groupBy(*keys).agg(arg_max(F.struct(*others), cols).alias(alias))

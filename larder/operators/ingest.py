@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.aggregates import arg_max
 from larder.functions.parsing import boolean_reject, parse_boolean, parse_date, required_text
 from larder.operators.mapping import TARGET_FIELDS, target_rows
 
@@ -181,7 +182,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     joins on the key, so a hot key never lands whole in one task.
     """
     other = [c for c in incoming.columns if c not in keys]
-    latest = incoming.groupBy(*keys).agg(F.max_by(F.struct(*other), F.col(order)).alias("_new"))
+    latest = incoming.groupBy(*keys).agg(arg_max(F.struct(*other), [F.col(order)]).alias("_new"))
     latest = latest.select(*keys, *[F.col(f"_new.{c}").alias(c) for c in other])
     if stamp:
         latest = latest.withColumn(stamp, F.lit(True))

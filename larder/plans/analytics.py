@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import forecast as ff
+from larder.functions.aggregates import arg_max, arg_min
 from larder.plans.forecast import SERIES
 
 U = "predicted_units_sold"
@@ -40,10 +41,8 @@ def forecast_summary(points: DataFrame) -> DataFrame:
     g = points.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_days"),
         F.sum(U).alias("total_units"),
-        F.max_by(F.struct(F.col("forecast_date"), F.col(U)),
-                 F.struct(F.col(U), -F.col("day_index"))).alias("peak"),
-        F.min_by(F.struct(F.col("forecast_date"), F.col(U)),
-                 F.struct(F.col(U), F.col("day_index"))).alias("low"),
+        arg_max(F.struct(F.col("forecast_date"), F.col(U)), [F.col(U), -F.col("day_index")]).alias("peak"),
+        arg_min(F.struct(F.col("forecast_date"), F.col(U)), [F.col(U), F.col("day_index")]).alias("low"),
         (first / F.first(w)).alias("first_mean"),
         (last / F.first(w)).alias("last_mean"))
     trend = (F.col("last_mean") - F.col("first_mean")) / F.nullif(F.col("first_mean"), F.lit(0.0)) * 100
@@ -87,7 +86,7 @@ def peak_window(points: DataFrame) -> DataFrame:
     """From 3 days before the peak to the peak, clipped at the series start."""
     g = points.groupBy(*SERIES).agg(
         F.min("forecast_date").alias("series_start"),
-        F.max_by("forecast_date", F.struct(F.col(U), -F.col("day_index"))).alias("peak_date"))
+        arg_max(F.col("forecast_date"), [F.col(U), -F.col("day_index")]).alias("peak_date"))
     return g.select(*SERIES, F.greatest("series_start", F.date_sub("peak_date", 3)).alias("window_start"),
                     "peak_date")
 

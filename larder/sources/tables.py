@@ -8,11 +8,14 @@ so DuckDB can recompute every query from the raw tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.aggregates import arg_max
 from larder.operators.rownum import global_row_number
-from larder.session import ensure_checkpoint_dir
+from larder.session import scratch_path
 
 # Numbered lineitem per (session, folder): numbering materialises a checkpoint,
 # so it is built once per session and shared by all queries.
@@ -44,12 +47,14 @@ class Tables:
 
     def _stored(self, name, build):
         """A canonical table as it would sit in storage: built once per session
-        and folder, materialised in the shared checkpoint folder (lineage cut,
-        survives executor loss), then read by every query."""
+        and folder, written as Parquet under the shared checkpoint folder
+        (lineage cut, survives executor loss, column pruning and filter
+        push-down on every later read), then read by every query."""
         key = (name, id(self.spark), self.sf_dir)
         if key not in _NUMBERED:
-            ensure_checkpoint_dir(self.spark)
-            _NUMBERED[key] = build().checkpoint(eager=True)
+            path = scratch_path(self.spark, f"tables/{name}-{uuid.uuid4().hex}")
+            build().write.mode("overwrite").parquet(path)
+            _NUMBERED[key] = self.spark.read.parquet(path)
         return _NUMBERED[key]
 
     # nation and region are fixed-size (25 / 5 rows) dimension tables, so
@@ -102,7 +107,7 @@ class Tables:
             li = self.raw("lineitem")
             per_pair = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("qty"))
             return per_pair.groupBy("l_partkey").agg(
-                F.max_by("l_suppkey", F.struct(F.col("qty"), -F.col("l_suppkey"))).alias("l_suppkey"))
+                arg_max(F.col("l_suppkey"), [F.col("qty"), -F.col("l_suppkey")]).alias("l_suppkey"))
         return self._memo("main_supplier", build)
 
     def products(self) -> DataFrame:
