@@ -37,3 +37,14 @@ def safe_stem(c) -> Column:
     x = F.regexp_replace(x, "^[._]+|[._]+$", "")
     x = F.substring(x, 1, 120)
     return F.when(x == "", F.lit("dataset")).otherwise(x)
+
+
+def sanitize_filename(c) -> Column:
+    """Upload file name -> safe '<stem>.csv', or null when rejected (no name,
+    NUL character, or not a .csv file). Directory parts are dropped."""
+    name = _col(c)
+    base = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    is_csv = F.lower(base).endswith(".csv") & (F.length(base) > 4)
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    ok = name.isNotNull() & (F.length(name) > 0) & ~name.contains("\u0000") & is_csv
+    return F.when(ok, F.concat(safe_stem(stem), F.lit(".csv")))
