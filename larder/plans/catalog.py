@@ -40,3 +40,4 @@ def load_all() -> None:
     from larder.plans import queries_quality  # noqa: F401
     from larder.plans import queries_ml  # noqa: F401
     from larder.plans import queries_catalog  # noqa: F401
+    from larder.plans import queries_scoring  # noqa: F401
