@@ -42,3 +42,4 @@ def load_all() -> None:
     from larder.plans import queries_catalog  # noqa: F401
     from larder.plans import queries_scoring  # noqa: F401
     from larder.plans import queries_models  # noqa: F401
+    from larder.plans import queries_io  # noqa: F401
