@@ -246,3 +246,37 @@ def concat_results(t: Tables):
                       F.coalesce("cmu", "mu").alias("predicted"))
     m = st.regression_metrics(base.unionByName(exp), keys=["model"])
     return m.select("model", "n", "r2", "mae")
+
+
+# ---------------------------------------------------------------------------
+# Warehouse field rules of the source application.
+WAREHOUSE_TYPES = ["ambient", "chilled", "frozen", "mixed"]
+CODE_MAX, NAME_MAX = 100, 255
+# ---------------------------------------------------------------------------
+
+
+@register("v17_warehouse_fields")
+def v17_warehouse_fields(t: Tables):
+    """Warehouse records from the nation table: stripped non-blank code / name
+    with length caps, known type, capacity >= 0 and an IANA time-zone name.
+    The zone list comes from the system tz database (broadcast, bounded)."""
+    import zoneinfo
+    zones = t.spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "timezone string") \
+                   .withColumn("_tz_ok", F.lit(True))
+    n = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    tz = (F.when(k % 5 == 0, "Europe/Paris").when(k % 5 == 1, "America/New_York").when(k % 5 == 2, "Asia/Tokyo")
+          .when(k % 5 == 3, "Not/A_Timezone").otherwise("UTC"))
+    wh = t.warehouses().join(n.select(F.col("n_nationkey").alias("warehouse_id"), "r_name", tz.alias("timezone"),
+                                      (k * 100 - 500).cast("double").alias("storage_capacity")), "warehouse_id")
+    j = wh.join(F.broadcast(zones), "timezone", "left")
+    code = F.trim("warehouse_code")
+    name = F.trim(F.concat("r_name", F.lit(" DC")))
+    reason = F.array_compact(F.array(
+        F.when((F.length(code) == 0) | (F.length(code) > CODE_MAX), F.lit("warehouse_code")),
+        F.when((F.length(name) == 0) | (F.length(name) > NAME_MAX), F.lit("warehouse_name")),
+        F.when(~F.col("warehouse_type").isin(WAREHOUSE_TYPES), F.lit("warehouse_type")),
+        F.when(F.col("storage_capacity") < 0, F.lit("storage_capacity")),
+        F.when(F.col("_tz_ok").isNull(), F.lit("timezone"))))
+    return j.select("warehouse_id", code.alias("warehouse_code"), name.alias("warehouse_name"), "warehouse_type",
+                    "storage_capacity", "timezone", reason.alias("invalid_fields"))
