@@ -16,27 +16,29 @@ _ISSUES = "select * from validation_issues"
 
 
 def _rule(name: str, code_sql: str, code_filter):
+    """``code_filter`` is a function returning the Column (built lazily: importing
+    this module must not need a running Spark session)."""
     @register(name, f"{_ISSUES} where {code_sql}")
     def q(t: Tables):
-        return up.issues(t).where(code_filter)
+        return up.issues(t).where(code_filter())
     q.__name__ = name
     return q
 
 
-_rule("v01_missing_required_mapping", "code = 'MISSING_REQUIRED_MAPPING'", F.col("code") == "MISSING_REQUIRED_MAPPING")
-_rule("v02_duplicate_target", "code = 'DUPLICATE_TARGET_MAPPING'", F.col("code") == "DUPLICATE_TARGET_MAPPING")
-_rule("v03_duplicate_rows", "code = 'DUPLICATE_ROWS'", F.col("code") == "DUPLICATE_ROWS")
-_rule("v04_missing_values", "code = 'MISSING_VALUES'", F.col("code") == "MISSING_VALUES")
-_rule("v05_invalid_numeric", "code = 'INVALID_NUMERIC'", F.col("code") == "INVALID_NUMERIC")
-_rule("v06_negative_value", "code = 'NEGATIVE_VALUE'", F.col("code") == "NEGATIVE_VALUE")
-_rule("v07_discount_range", "code = 'DISCOUNT_OUT_OF_RANGE'", F.col("code") == "DISCOUNT_OUT_OF_RANGE")
-_rule("v08_invalid_date", "code = 'INVALID_DATE'", F.col("code") == "INVALID_DATE")
+_rule("v01_missing_required_mapping", "code = 'MISSING_REQUIRED_MAPPING'", lambda: F.col("code") == "MISSING_REQUIRED_MAPPING")
+_rule("v02_duplicate_target", "code = 'DUPLICATE_TARGET_MAPPING'", lambda: F.col("code") == "DUPLICATE_TARGET_MAPPING")
+_rule("v03_duplicate_rows", "code = 'DUPLICATE_ROWS'", lambda: F.col("code") == "DUPLICATE_ROWS")
+_rule("v04_missing_values", "code = 'MISSING_VALUES'", lambda: F.col("code") == "MISSING_VALUES")
+_rule("v05_invalid_numeric", "code = 'INVALID_NUMERIC'", lambda: F.col("code") == "INVALID_NUMERIC")
+_rule("v06_negative_value", "code = 'NEGATIVE_VALUE'", lambda: F.col("code") == "NEGATIVE_VALUE")
+_rule("v07_discount_range", "code = 'DISCOUNT_OUT_OF_RANGE'", lambda: F.col("code") == "DISCOUNT_OUT_OF_RANGE")
+_rule("v08_invalid_date", "code = 'INVALID_DATE'", lambda: F.col("code") == "INVALID_DATE")
 _rule("v09_expiry_before_snapshot", "code = 'EXPIRATION_BEFORE_SNAPSHOT'",
-      F.col("code") == "EXPIRATION_BEFORE_SNAPSHOT")
-_rule("v10_empty_identifier", "code = 'EMPTY_IDENTIFIER'", F.col("code") == "EMPTY_IDENTIFIER")
-_rule("v11_unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", F.col("code").startswith("UNKNOWN_"))
-_rule("unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", F.col("code").startswith("UNKNOWN_"))
-_rule("rule_first_5", "row_number is not null", F.col("row_number").isNotNull())
+      lambda: F.col("code") == "EXPIRATION_BEFORE_SNAPSHOT")
+_rule("v10_empty_identifier", "code = 'EMPTY_IDENTIFIER'", lambda: F.col("code") == "EMPTY_IDENTIFIER")
+_rule("v11_unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", lambda: F.col("code").startswith("UNKNOWN_"))
+_rule("unknown_reference", "code like 'UNKNOWN\\_%' escape '\\'", lambda: F.col("code").startswith("UNKNOWN_"))
+_rule("rule_first_5", "row_number is not null", lambda: F.col("row_number").isNotNull())
 
 
 @register("v14_issue_summary", """
