@@ -143,12 +143,36 @@ def mapping_issues(mappings: DataFrame, missing: DataFrame) -> DataFrame:
     return miss.unionByName(dup)
 
 
-def validate(mapped: DataFrame, mappings: DataFrame, missing: DataFrame, known: DataFrame) -> DataFrame:
-    """All issues of all datasets as one DataFrame (``ISSUE_COLS``)."""
+def duplicate_counts_from_wide(frames: list[tuple[str, DataFrame]], row_col: str = "source_row_number") -> DataFrame:
+    """DUPLICATE_ROWS from the wide uploads: renaming columns cannot change which
+    rows repeat, so count - count(distinct row) on each upload (one aggregation,
+    no per-row reassembly of cells) gives the same exact count."""
+    parts = []
+    for ds, df in frames:
+        cols = [c for c in df.columns if c != row_col]
+        row = F.struct(*[F.col(f"`{c}`") for c in cols])
+        parts.append(df.agg((F.count(F.lit(1)) - F.count_distinct(row)).alias("n_dup"))
+                     .withColumn("dataset_id", F.lit(ds)))
+    per_ds = parts[0]
+    for p in parts[1:]:
+        per_ds = per_ds.unionByName(p)
+    return per_ds.where(F.col("n_dup") > 0).select(
+        "dataset_id", F.lit("warning").alias("severity"), F.lit("DUPLICATE_ROWS").alias("code"),
+        F.lit(None).cast("string").alias("column"), F.lit(None).cast("bigint").alias("row_number"),
+        F.col("n_dup").cast("string").alias("value"))
+
+
+def validate(mapped: DataFrame, mappings: DataFrame, missing: DataFrame, known: DataFrame,
+             duplicates: DataFrame | None = None) -> DataFrame:
+    """All issues of all datasets as one DataFrame (``ISSUE_COLS``).
+
+    ``duplicates`` may carry precomputed DUPLICATE_ROWS issues (see
+    ``duplicate_counts_from_wide``); otherwise they are derived from the cells."""
     row_issues = cell_issues(mapped).unionByName(reference_issues(mapped, known)) \
                                     .unionByName(expiry_issues(mapped))
+    dups = duplicates if duplicates is not None else duplicate_row_issues(mapped)
     return (mapping_issues(mappings, missing)
-            .unionByName(duplicate_row_issues(mapped))
+            .unionByName(dups)
             .unionByName(missing_value_issues(mapped))
             .unionByName(first_rows(row_issues)))
 

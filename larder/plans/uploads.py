@@ -83,4 +83,5 @@ def known_references(t: Tables) -> DataFrame:
 
 
 def issues(t: Tables) -> DataFrame:
-    return vd.validate(mapped_cells(t), mappings(t), missing_required(t), known_references(t))
+    dups = vd.duplicate_counts_from_wide([(ds, df) for ds, _, df in upload_frames(t)])
+    return vd.validate(mapped_cells(t), mappings(t), missing_required(t), known_references(t), dups)
