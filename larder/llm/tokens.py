@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
 from larder.llm.common import BoundedCache
 
 _CODERS: dict[str, "TokenCoder"] = {}
-_TAIL = re.compile(rb"^([a-z]+)([.,;:!?]+)$")
+_CLOSING = ".,;:!?&%$#*|()"
+# Letters below U+0250 other than the dotted capital I lower-case one to one and are composed (NFC).
+_PLAIN_END, _DOTTED_I = "\u0250", "\u0130"
+# The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def word_separable(spec: dict) -> bool:
@@ -44,20 +48,34 @@ class TokenCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = word_separable(json.load(f))
-        self.parts = BoundedCache(self._encode)
-        self.words = BoundedCache(self._word)
+            spec = json.load(f)
+        self.by_word = word_separable(spec)
+        self.marks = [t["content"][:1].encode() for t in spec.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.words = BoundedCache(self._word, 600_000)
 
     def _encode(self, raw: bytes) -> bytes:
         ids = self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _pieces(self, pieces: list[str]) -> bytes:
+        return np.array([t.id for p in pieces for t in self.model.tokenize(p)], dtype="<u4").tobytes()
+
     def _word(self, raw: bytes) -> bytes:
-        low = raw.lower() if raw.isascii() else raw
-        tail = _TAIL.match(low)
-        if tail:  # letters and closing marks are separate pieces of the split
-            return self.parts[tail[1]] + self.parts[tail[2]]
-        return self.parts[raw if b"<" in raw else low]
+        """Ids of one white-space word, through the library's own steps."""
+        text = raw.decode("utf-8", "replace")
+        if any(m in raw for m in self.marks):  # may hold an added token's string
+            return self._encode(raw)
+        if text.isalpha() and max(text) < _PLAIN_END and _DOTTED_I not in text:
+            low = text.lower()  # one piece of the split, composed already: only lower-casing is left
+            if low != text:
+                return self.words[low.encode()]
+            return self._pieces([raw.decode("latin-1").translate(_BYTE_CHARS)])
+        stem = text.rstrip(_CLOSING)
+        if stem != text and stem.isalpha():  # letters and closing marks are separate pieces
+            return self.words[stem.encode()] + self.words[text[len(stem):].encode()]
+        text = self.tokenizer.normalizer.normalize_str(text)
+        return self._pieces([p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
