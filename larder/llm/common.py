@@ -27,22 +27,29 @@ from larder.session import ensure_checkpoint_dir
 
 SHINGLE_WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 250_000
 # Odd multipliers that give each of the five word places its own weight.
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _PLACES = np.array(_PLACE, dtype=np.uint64)
 
 
 class BoundedCache(dict):
-    """Dictionary that computes missing values and starts anew beyond a size."""
+    """Dictionary that computes missing values and holds two generations at most.
+
+    A full dictionary becomes the old generation; values still in use move over
+    from it without being computed again.
+    """
 
     def __init__(self, compute: Callable, limit: int = _CACHE_LIMIT):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

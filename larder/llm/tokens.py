@@ -52,7 +52,7 @@ class TokenCoder:
         self.by_word = word_separable(spec)
         self.marks = [t["content"][:1].encode() for t in spec.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.words = BoundedCache(self._word, 600_000)
+        self.words = BoundedCache(self._word, 350_000)
 
     def _encode(self, raw: bytes) -> bytes:
         ids = self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
