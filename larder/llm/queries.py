@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import exact_dedup, ngram_join, packing, token_files, toxicity_kn
+from larder.llm import decontaminate, exact_dedup, ngram_join, packing, token_files, toxicity_kn
 from larder.llm.common import read_table
 
 
@@ -35,6 +35,44 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"""[x for x in regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> '']"""
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """Distinct word shingles (lists of words) of a table's texts: id, s."""
+    return f"""SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+                   ELSE [w[i:i + 4] for i in range(1, len(w) - 3)] END) AS s
+               FROM (SELECT {key} AS id, {_WORDS} AS w FROM {table})"""
+
+
+OP8_SQL = f"""
+WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchmark", "item_id")}),
+     n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+     c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_common FROM d JOIN b USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item_shingles, n_common, n_common / n AS containment
+FROM c JOIN n ON n.id = c.item_id WHERE 100 * n_common >= 80 * n
+"""
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}),
+     n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+     p AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS k FROM d x JOIN d y USING (s) WHERE x.id < y.id GROUP BY 1, 2),
+     l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b
+                        WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+     e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT a AS v, a AS m FROM e UNION SELECT e.b AS v, r.m FROM r JOIN e ON e.a = r.v WHERE r.m < e.b),
+     c AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(c.m, doc_id)) AS component_id
+FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN c ON c.v = doc_id
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kn.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -44,8 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op8_decontamination": OP8_SQL,
 }
