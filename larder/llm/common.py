@@ -97,6 +97,27 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text))
 
 
+def ngram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the 0- to ``order``-grams of letters that end at every letter.
+
+    A word is preceded by order - 1 pads and closed by an end letter. Returns
+    (hashes by order, positions of the letters and ends, the word of each).
+    """
+    text = "".join("\x02" * (order - 1) + w + "\x03" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    n = len(codes)
+    hashes = [np.zeros(n, dtype=np.uint64)]
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(order):
+        total = total.copy()
+        total[j:] += mix64(codes[:n - j] * _PLACES[j])
+        hashes.append(mix64(total + np.uint64(j + 1)))
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    word = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(len(word)) + (word + 1) * (order - 1)
+    return hashes, at, word
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name for scratch tables below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

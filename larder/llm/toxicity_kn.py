@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import _PLACES, drop_path, fold, map_batches, mix64, shared_dir, small_batches, stored
+from larder.llm.common import drop_path, fold, map_batches, ngram_hashes, shared_dir, small_batches, stored
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -42,7 +42,6 @@ TOP_BITS, LOW_BITS = 20, 18
 ALPHABET = 4096  # letters of the uniform model below the lowest order
 CALIBRATION_ROWS = 20_000
 _FLUSH_WORDS = 300_000
-_PAD, _END = "\x02", "\x03"
 FEATURES = ["mean_diff", "top1", "top3", "strong_share", "mild_share", "log_words"]
 
 
@@ -50,30 +49,10 @@ def split_words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def ngram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the 0- to ORDER-grams ending at every letter.
-
-    Returns (hashes by order, positions of predicted letters, word of each).
-    """
-    text = "".join(_PAD * (ORDER - 1) + w + _END for w in words)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-    n = len(codes)
-    hashes = [np.zeros(n, dtype=np.uint64)]
-    total = np.zeros(n, dtype=np.uint64)
-    for j in range(ORDER):
-        total = total.copy()
-        total[j:] += mix64(codes[:n - j] * _PLACES[j])
-        hashes.append(mix64(total + np.uint64(j + 1)))
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    word = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(word)) + (word + 1) * (ORDER - 1)
-    return hashes, at, word
-
-
 def _count_rows(counts: list[Counter]) -> pa.RecordBatch:
     """Distinct n-grams of the counted words: order, h, ctx, suf, mid, n_ord, n_tox."""
     words = list(counts[0].keys() | counts[1].keys())
-    hashes, at, word = ngram_hashes(words)
+    hashes, at, word = ngram_hashes(words, ORDER)
     by_class = [np.fromiter((c[w] for w in words), dtype=np.float64, count=len(words))[word] for c in counts]
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     for o in range(1, ORDER + 1):
@@ -141,7 +120,7 @@ def model_tables(grams: DataFrame) -> dict:
 
 def word_differences(words: list[str], tables: dict) -> np.ndarray:
     """Log-likelihood of each word under the toxic model minus under the ordinary one."""
-    hashes, at, word = ngram_hashes(words)
+    hashes, at, word = ngram_hashes(words, ORDER)
     shared = np.full(len(at), 1.0 / ALPHABET)
 
     def level(order: int, side: int, below: np.ndarray) -> np.ndarray:
