@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality_gam, token_files, toxicity_kn
+from larder.llm import (
+    decontaminate, exact_dedup, html_extract, language_id, ngram_join, packing, pii_crf, quality_gam, token_files, toxicity_kn,
+)
 from larder.llm.common import read_table
 
 
@@ -73,6 +75,14 @@ FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN c ON c.v = doc_id
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digest(pii_crf.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -87,9 +97,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii_crf": op6_pii_crf,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
