@@ -89,8 +89,10 @@ class BlockReader(HTMLParser):
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                tag, number, _, content, frame = next(e for e in reversed(self.open) if e[0] in BLOCK_TAGS or not e[0])
-                self.blocks.append(Block(text, self.links, number, content, frame, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                around = [e for e in self.open if e[0] in BLOCK_TAGS or not e[0]]
+                tag, _, _, content, frame = around[-1]
+                parent = around[max(len(around) - 2, 0)][1]
+                self.blocks.append(Block(text, self.links, parent, content, frame, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
             self.pieces, self.links = [], 0
 
     def _close(self, depth: int) -> None:
