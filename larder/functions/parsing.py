@@ -18,6 +18,9 @@ TRUE_TOKENS = ["true", "1", "yes", "y"]
 FALSE_TOKENS = ["false", "0", "no", "n"]
 BOOLEAN_TOKENS = TRUE_TOKENS + FALSE_TOKENS
 
+# A decimal number with an optional exponent; the same text in the SQL oracle.
+NUMBER_PATTERN = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
 # Ordered date formats tried for mixed-format date columns (first hit wins).
 # Spark pattern and the equivalent strptime pattern for the SQL oracle.
 DATE_FORMATS = [
@@ -67,12 +70,18 @@ def required_text(c) -> Column:
 
 
 def to_number(c) -> Column:
-    """Lenient numeric cast: null when the text is not a number."""
-    return F.expr(f"try_cast({_sql(c)} as double)") if isinstance(c, str) else c.try_cast("double")
+    """Number of a text, null when the whole text is not one.
+
+    The pattern comes first because a plain cast also takes type suffixes
+    ("12d", "5f"), hexadecimal floats and names such as "Infinity".
+    """
+    x = F.trim(_col(c).cast("string"))
+    return F.when(x.rlike(f"^{NUMBER_PATTERN}$"), x.try_cast("double"))
 
 
-def _sql(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def number_reject(c, field: str) -> Column:
+    """Reject reason for a non-null cell that is not a number."""
+    return F.when(_col(c).isNotNull() & to_number(c).isNull(), F.lit(f"{field} is not numeric."))
 
 
 def parse_array(c) -> Column:
@@ -81,7 +90,7 @@ def parse_array(c) -> Column:
     parts = F.split(F.trim(body), "[,\\s]+")
     kept = F.filter(parts, lambda p: p != "")
     return F.when(_col(c).isNull(), F.array().cast("array<double>")).otherwise(
-        F.transform(kept, lambda p: p.try_cast("double")))
+        F.transform(kept, to_number))
 
 
 def json_safe_double(c) -> Column:

@@ -1,9 +1,9 @@
 """Feature operators: calendar, cyclical time, stock-out arrays, daily-series
 lags / rolling statistics, promotion streaks, one-hot encoding, scaling.
 
-Daily-series features never gap-fill a calendar: lags are equi-joins on
-(series, day - k) and rolling sums are RANGE windows over day numbers, with
-missing days counting as zero units. A series' window partition holds at most
+Daily-series features never gap-fill a calendar: lags and rolling figures are
+RANGE windows over day numbers that share one sort, with missing days counting
+as zero units. A series' window partition holds at most
 one row per sale day.
 """
 
@@ -62,12 +62,11 @@ def daily_series(sales: DataFrame, keys: list[str], date: str = "transaction_dat
 
 def lag_features(daily: DataFrame, keys: list[str], lags=(7, 14, 30)) -> DataFrame:
     """units k calendar days earlier (0 when that day had no sale)."""
-    out = daily
-    base = daily.select(*keys, "day", "units")
+    out = daily.withColumn("_dn", F.datediff("day", F.lit("1970-01-01")).cast("long"))
     for k in lags:
-        shifted = base.select(*keys, F.date_add("day", k).alias("day"), F.col("units").alias(f"lag_{k}"))
-        out = out.join(shifted, keys + ["day"], "left").fillna(0.0, [f"lag_{k}"])
-    return out
+        that_day = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-k, -k)
+        out = out.withColumn(f"lag_{k}", F.coalesce(F.sum("units").over(that_day), F.lit(0.0)))
+    return out.drop("_dn")
 
 
 def rolling_features(daily: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,14 +81,17 @@ def rolling_features(daily: DataFrame, keys: list[str]) -> DataFrame:
 
     s7 = F.coalesce(F.sum("units").over(frame(7)), F.lit(0.0))
     s30 = F.coalesce(F.sum("units").over(frame(30)), F.lit(0.0))
-    q30 = F.coalesce(F.sum(F.col("units") * F.col("units")).over(frame(30)), F.lit(0.0))
-    var30 = (F.col("_q30") - F.col("_s30") * F.col("_s30") / 30.0) / 29.0
-    out = (x.withColumn("_s7", s7).withColumn("_s30", s30).withColumn("_q30", q30)
+    # Variance around the 30-day mean from the sale days' own variance and the zero days,
+    # without the difference of two large sums.
+    m30, v30 = F.count("units").over(frame(30)), F.coalesce(F.var_pop("units").over(frame(30)), F.lit(0.0))
+    mean, own = F.col("_s30") / 30.0, F.col("_s30") / F.greatest(F.col("_m30"), F.lit(1))
+    var30 = (F.col("_m30") * (F.col("_v30") + (own - mean) * (own - mean)) + (30 - F.col("_m30")) * mean * mean) / 29.0
+    out = (x.withColumn("_s7", s7).withColumn("_s30", s30).withColumn("_m30", m30).withColumn("_v30", v30)
            .withColumn("rolling_mean_7", F.round(F.col("_s7") / 7.0, 6))
            .withColumn("rolling_mean_30", F.round(F.col("_s30") / 30.0, 6))
            .withColumn("rolling_std_30", F.round(F.sqrt(F.greatest(F.lit(0.0), var30)), 6)))
     cv = F.col("rolling_std_30") / F.nullif(F.col("rolling_mean_30"), F.lit(0.0))
-    return out.withColumn("demand_variability", F.round(cv, 6)).drop("_dn", "_s7", "_s30", "_q30")
+    return out.withColumn("demand_variability", F.round(cv, 6)).drop("_dn", "_s7", "_s30", "_m30", "_v30")
 
 
 def price_change_pct(daily: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,27 +123,24 @@ def one_hot_vocabulary(df: DataFrame, groups: list[str]) -> DataFrame:
     """Training vocabulary: sorted distinct tokens per group; null -> __MISSING__."""
     parts = []
     for g in groups:
-        tok = F.when(F.col(g).isNull(), F.lit("__MISSING__")).otherwise(category_token(F.col(g)))
-        parts.append(df.select(F.lit(g).alias("group"), tok.alias("level")).distinct())
+        parts.append(df.select(F.lit(g).alias("group"), group_token(g).alias("level")).distinct())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("feature", F.concat_ws("_", "group", "level"))
 
 
-def one_hot_long(df: DataFrame, id_col: str, groups: list[str], vocab_rows: list[tuple[str, str]]) -> DataFrame:
-    """(id, feature, value) for every vocabulary level of every row: 1.0 when
-    the row's token equals the level, else 0.0 (unknown -> all zeros).
+def group_token(group: str) -> Column:
+    """Token of a category column, null as its own level."""
+    return F.when(F.col(group).isNull(), F.lit("__MISSING__")).otherwise(category_token(F.col(group)))
 
-    The vocabulary is a bounded list of levels (collected once); each row
-    expands it with a generator, no join.
-    """
-    entries = []
-    for g, level in vocab_rows:
-        tok = F.when(F.col(g).isNull(), F.lit("__MISSING__")).otherwise(category_token(F.col(g)))
-        entries.append(F.struct(F.lit(f"{g}_{level}").alias("feature"),
-                                F.when(tok == level, 1.0).otherwise(0.0).alias("value")))
-    return df.select(id_col, F.inline(F.array(*entries)))
+
+def one_hot_long(df: DataFrame, id_col: str, groups: list[str], vocabulary: DataFrame) -> DataFrame:
+    """Sparse one-hot rows (id, feature, value = 1.0): one per row and group whose token is in
+    ``vocabulary`` (group, level, feature); unknown tokens have no row, which means all zeros."""
+    entries = F.array(*[F.struct(F.lit(g).alias("group"), group_token(g).alias("level")) for g in groups])
+    return df.select(id_col, F.inline(entries)).join(vocabulary, ["group", "level"]).select(
+        id_col, "feature", F.lit(1.0).alias("value"))
 
 
 def min_max_scale(x: Column, lo: Column, hi: Column) -> Column:
@@ -151,3 +150,22 @@ def min_max_scale(x: Column, lo: Column, hi: Column) -> Column:
 
 def min_max_inverse(z: Column, lo: Column, hi: Column) -> Column:
     return z * (hi - lo) + lo
+
+
+def interaction_features() -> list[Column]:
+    """Products of discount, calendar and weather columns with stock-out measures, and the weekend flag."""
+    def product(a: str, b: str, name: str) -> Column:
+        return F.round(F.col(a) * F.col(b), 9).alias(name)
+
+    return [product("discount", "stockout_ratio", "discount_stockout_ratio"),
+            product("discount", "stock_hour6_22_cnt", "discount_stock_hour6_22_cnt"),
+            product("discount", "business_stockout", "discount_business_stockout"),
+            product("holiday_flag", "stockout_ratio", "holiday_stockout_ratio"),
+            product("activity_flag", "stockout_ratio", "activity_stockout_ratio"),
+            product("precpt", "avg_humidity", "bad_weather"), (F.col("day_of_week") >= 5).cast("int").alias("is_weekend")]
+
+
+def drop_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """The frame without the named columns, and the names that it did not have."""
+    absent = [n for n in names if n not in df.columns]
+    return df.drop(*[n for n in names if n in df.columns]), absent

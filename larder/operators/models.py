@@ -18,11 +18,11 @@ from pyspark.ml.regression import (GBTRegressor, LinearRegression, LinearRegress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.names import category_token
 from larder.operators import features as fe
 from larder.operators import stats as st
 
 TARGET = "units_sold"
+MAX_LEVELS = 1000  # category levels that a model may encode
 DEFAULT_FEATURE_COUNTS = (4, 6, 8, 10, 12, 14)
 RESULT_SCHEMA = ("experiment_id string, model_name string, feature_count int, selected_features string, "
                  "training_samples long, validation_samples long, training_seconds double, r2_score double, "
@@ -31,15 +31,16 @@ RESULT_SCHEMA = ("experiment_id string, model_name string, feature_count int, se
 
 def encode(df: DataFrame, train: DataFrame, groups=("category", "region")) -> tuple[DataFrame, list[str]]:
     """Add 0/1 columns for the training vocabulary of each group (unknown -> zeros)."""
-    vocab = fe.one_hot_vocabulary(train, list(groups)).orderBy("group", "level").collect()  # bounded
-    cols = []
-    out = df
-    for r in vocab:
-        name = f"{r['group']}_{r['level']}"
-        tok = F.when(F.col(r["group"]).isNull(), F.lit("__MISSING__")).otherwise(category_token(F.col(r["group"])))
-        out = out.withColumn(name, F.when(tok == r["level"], 1.0).otherwise(0.0))
-        cols.append(name)
-    return out, cols
+    vocab = fe.one_hot_vocabulary(train, list(groups)).orderBy("group", "level").limit(MAX_LEVELS + 1).collect()
+    if len(vocab) > MAX_LEVELS:  # a dense model column per level: beyond this the input must be hashed or grouped first
+        raise ValueError(f"more than {MAX_LEVELS} category levels")
+    names = [f"{r['group']}_{r['level']}" for r in vocab]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"encoded columns repeat: {repeated}")
+    hits = [F.when(fe.group_token(r["group"]) == r["level"], 1.0).otherwise(0.0).alias(n) for r, n in zip(vocab, names)
+            if n not in df.columns]  # columns that are encoded already pass through
+    return df.select("*", *hits), names
 
 
 def fit_minmax(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -49,16 +50,20 @@ def fit_minmax(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, floa
 
 
 def apply_minmax(df: DataFrame, ranges: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
-    out = df
-    for c, (lo, hi) in ranges.items():
-        out = out.withColumn(c + suffix, fe.min_max_scale(F.col(c).cast("double"), F.lit(lo), F.lit(hi)))
-    return out
+    scaled = {c + suffix: fe.min_max_scale(F.col(c).cast("double"), F.lit(lo), F.lit(hi)) for c, (lo, hi) in ranges.items()}
+    return df.withColumns(scaled)
 
 
-def select_features(train: DataFrame, candidates: list[str], k: int) -> list[str]:
-    scores = st.mutual_info(train, candidates, TARGET, 10)
-    top = st.select_k_best(scores, k).orderBy("position").collect()  # k rows
-    return [r["column"] for r in top]
+def feature_scores(train: DataFrame, candidates: list[str]) -> list[tuple[float, int, str]]:
+    """(score, position, feature) of every candidate, best first; independent of how many are taken."""
+    rows = st.mutual_info(train, candidates, TARGET, 10).collect()  # one row per candidate
+    return sorted(((r["score"], r["position"], r["column"]) for r in rows), key=lambda x: (-x[0], x[1]))
+
+
+def select_features(train: DataFrame, candidates: list[str], k: int, scores: list | None = None) -> list[str]:
+    """The k best candidates in column order."""
+    top = (scores or feature_scores(train, candidates))[:k]
+    return [c for _, _, c in sorted(top, key=lambda x: x[1])]
 
 
 def ridge(alpha: float, n: int, y_std: float) -> LinearRegression:
@@ -80,14 +85,17 @@ def gbt(max_iter: int = 1000, step: float = 0.03, max_depth: int = 8, seed: int
 
 
 class Prepared:
-    """Encoded splits, candidate list and scaler ranges fitted on train only."""
+    """Encoded splits, candidate list and scaler ranges fitted on train only.
+
+    ``store`` writes the encoded frame once; every fit reads it."""
 
-    def __init__(self, frame: DataFrame, split_col: str = "split", exclude=("spoilage_risk",)):
+    def __init__(self, frame: DataFrame, split_col: str = "split", exclude=("spoilage_risk",), store=lambda df: df):
         base = [c for c in ("shelf_life_days", "cost_price", "spoilage_sensitivity", "spoilage_risk",
                             "selling_price", "discount_pct", "is_promoted", "supplier_score", "storage_temp")
                 if c not in exclude]
         train_raw = frame.where(F.col(split_col) == "train")
         enc, onehot = encode(frame, train_raw)
+        enc = store(enc)
         self.frame = enc
         self.candidates = base + onehot
         self.train = enc.where(F.col(split_col) == "train")
@@ -130,6 +138,7 @@ def feature_sweep(spark: SparkSession, prep: Prepared, counts=DEFAULT_FEATURE_CO
     rows = []
     seen = set()
     n_train, n_val = prep.train.count(), prep.validation.count()
+    scores = feature_scores(prep.train, prep.candidates)
     for k in counts:
         if k in seen or k < 1 or k > len(prep.candidates):
             continue
@@ -137,22 +146,26 @@ def feature_sweep(spark: SparkSession, prep: Prepared, counts=DEFAULT_FEATURE_CO
         exp_id = f"{estimator}_k{k}"
         feats: list[str] = []
         try:
-            feats = select_features(prep.train, prep.candidates, k)
+            feats = select_features(prep.train, prep.candidates, k, scores)
             _, secs, pred = fit_and_score(prep, feats, estimator, prep.validation)
             m = st.regression_metrics(pred).first()
             rows.append((exp_id, estimator, k, ",".join(feats), n_train, n_val, round(secs, 6), m["r2"], m["mae"],
                          m["mse"], m["rmse"], m["mape"], m["smape"], "success", ""))
         except Exception as exc:  # noqa: BLE001 - recorded as a failed experiment row
             rows.append((exp_id, estimator, k, ",".join(feats), n_train, n_val, 0.0, None, None, None, None, None,
-                         None, "failed", f"{type(exc).__name__}: {exc}"[:500]))
+                         None, "failed", f"{type(exc).__name__}: {exc}"))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def ranking() -> list:
+    """Order of experiments: rounded R2 down, rounded MAE, RMSE, seconds, id."""
+    return [F.bround("r2_score", 4).desc(), F.bround("mae", 4), F.col("rmse"), F.col("training_seconds"), F.col("experiment_id")]
+
+
 def rank_experiments(results: DataFrame, model_name: str) -> DataFrame:
     """Successful rows of one model: round(R2,4) desc, round(MAE,4), RMSE, seconds, id."""
     ok = results.where((F.col("model_name") == model_name) & (F.col("status") == "success"))
-    return ok.orderBy(F.bround("r2_score", 4).desc(), F.bround("mae", 4), "rmse", "training_seconds",
-                      "experiment_id")
+    return ok.orderBy(*ranking())
 
 
 def best_metric_by_k(results: DataFrame, metric: str = "r2_score") -> DataFrame:

@@ -13,18 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.names import normalize_name
-from larder.functions.parsing import BOOLEAN_TOKENS, parse_date
+from larder.functions.parsing import BOOLEAN_TOKENS, parse_date, to_number
 
 CELL_KEY = ["dataset_id", "source_column"]
 
 
 def to_cells(df: DataFrame, dataset_id: str, dataset_type: str,
-             row_col: str = "source_row_number") -> DataFrame:
-    """Wide string upload -> long cells (nulls kept: they are missing values)."""
+             row_col: str = "source_row_number", names: list[str] | None = None,
+             defaults: dict[str, str | None] | None = None) -> DataFrame:
+    """Wide string upload -> long cells (nulls kept: they are missing values).
+
+    ``names`` adds the mapped name of every column as ``column``; ``defaults``
+    adds one cell per constant target. One generator pass, no shuffle.
+    """
     cols = [c for c in df.columns if c != row_col]
-    entries = F.array(*[F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("source_column"),
-                                 F.col(f"`{c}`").cast("string").alias("value"))
-                        for i, c in enumerate(cols)])
+    cells = [(i, c, F.col(f"`{c}`").cast("string")) for i, c in enumerate(cols)]
+    cells += [(len(cols) + i, f"(default) {t}", F.lit(v).cast("string")) for i, (t, v) in enumerate((defaults or {}).items())]
+    mapped = [*names, *(defaults or {})] if names else None
+    entries = F.array(*[F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("source_column"), v.alias("value"),
+                                 *([F.lit(mapped[k]).alias("column")] if mapped else []))
+                        for k, (i, c, v) in enumerate(cells)])
     return df.select(F.lit(dataset_id).alias("dataset_id"), F.lit(dataset_type).alias("dataset_type"),
                      F.col(row_col).alias("source_row_number"), F.inline(entries))
 
@@ -34,7 +42,7 @@ def column_stats(cells: DataFrame) -> DataFrame:
     v = F.col("value")
     nonnull = v.isNotNull()
     is_bool = F.lower(F.trim(v)).isin(BOOLEAN_TOKENS)
-    is_num = v.try_cast("double").isNotNull()
+    is_num = to_number(v).isNotNull()
     pdate = parse_date(v)
     per_col = cells.groupBy("dataset_id", "dataset_type", "source_column", "column_position").agg(
         F.count(F.lit(1)).alias("n_rows"),

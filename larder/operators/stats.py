@@ -1,10 +1,10 @@
 """Column statistics, correlations, information scores and metrics.
 
 Numeric frames are unpivoted to ``(column, value)`` so that one aggregation
-serves every column. Exact quantiles never buffer a column's values in one
-aggregation state: values are first counted (partial aggregation), then a
-cumulative count over the distinct values of each column locates the ranks
-(a sorted, spillable window stream).
+serves every column. Exact quantiles and ranks never put a column into one
+task: values are first counted (partial aggregation), then the running count
+over the distinct values of each column (range-partitioned prefix sums, see
+``prefix``) locates the ranks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.prefix import running_total
+
 
 def long_numeric(df: DataFrame, cols: list[str], id_col: str | None = None) -> DataFrame:
     """Wide numeric frame -> (id?, column, position, value double)."""
@@ -28,8 +30,7 @@ def value_counts_by(long: DataFrame, keys: list[str]) -> DataFrame:
 def exact_quantiles(long: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles (the common default) per key, exact."""
     vc = value_counts_by(long, keys)
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = vc.withColumn("cum", F.sum("c").over(w))
+    cum = running_total(vc, keys, "value", "c", "cum")
     n = cum.groupBy(*keys).agg(F.sum("c").alias("n"))
     j = cum.join(n, keys)
     aggs = []
@@ -68,15 +69,16 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
-    """Equal-width bins between each column's min and max (last bin closed)."""
+    """Equal-width bins between each column's min and max (last bin closed); empty bins have n = 0."""
     long = long_numeric(df, cols).where(F.col("value").isNotNull())
     rng = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     j = long.join(F.broadcast(rng), "column")  # one row per column: bounded by the column count
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width * bins))).cast("int")
-    g = j.groupBy("column", b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("column", "bin",
+    g = j.groupBy("column", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rng.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(g, ["column", "bin"], "left").fillna(0, ["n"]).select("column", "bin",
                     F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins, 6).alias("bin_start"),
                     "n")
 
@@ -99,9 +101,9 @@ def box_stats(df: DataFrame, cols: list[str]) -> DataFrame:
                     "whisker_low", "whisker_high", "n_outliers")
 
 
-def corr_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise Pearson matrix (upper triangle), pairwise-complete rows, one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+def corr_pearson(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Pairwise Pearson matrix (upper triangle or the given pairs), pairwise-complete rows, one aggregation."""
+    pairs = pairs or [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     out = row.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, corr)")
@@ -112,17 +114,34 @@ def average_ranks(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
     """Per column average rank (ties share the mean rank), joined back to rows."""
     long = long_numeric(df, cols, id_col)
     vc = value_counts_by(long, ["column"])
-    w = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = vc.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))) \
-              .withColumn("rank", F.col("before") + (F.col("c") + 1) / 2.0).select("column", "value", "rank")
+    ranks = running_total(vc, ["column"], "value", "c", "upto") \
+        .select("column", "value", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
     return long.join(ranks, ["column", "value"])
 
 
 def corr_spearman(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
-    """Spearman = Pearson on average ranks (columns without nulls)."""
-    ranked = average_ranks(df, cols, id_col)
-    wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in cols])
-    return corr_pearson(wide, cols)
+    """Spearman = Pearson on average ranks, pairwise complete.
+
+    Ranks depend on which rows are complete, and that only on the columns with
+    nulls in a pair, so pairs are grouped by those columns: one ranking per
+    group over the rows where they are present (columns without nulls share one).
+    """
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()  # one row
+    groups: dict[tuple, list[tuple[str, str]]] = {}
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            groups.setdefault(tuple(c for c in (a, b) if nulls[c]), []).append((a, b))
+    out = None
+    for present, pairs in groups.items():
+        rows = df
+        for c in present:
+            rows = rows.where(F.col(c).isNotNull())
+        used = [c for c in cols if any(c in p for p in pairs)]
+        ranked = average_ranks(rows, used, id_col)
+        wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in used])
+        part = corr_pearson(wide, used, pairs)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mutual_info(df: DataFrame, cols: list[str], target: str, bins: int = 10) -> DataFrame:
@@ -172,10 +191,10 @@ def regression_metrics(pred: DataFrame, actual: str = "actual", predicted: str =
     sm_ok = sm_den > 1e-8
     g = pred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(err)).alias("sae"), F.sum(err * err).alias("sse"),
-        F.sum(a).alias("sa"), F.sum(a * a).alias("saa"),
+        F.var_pop(a).alias("va"),
         F.sum(F.when(mape_ok, F.abs(err) / F.abs(a))).alias("sape"), F.count_if(mape_ok).alias("n_ape"),
         F.sum(F.when(sm_ok, 2 * F.abs(err) / sm_den)).alias("ssape"), F.count_if(sm_ok).alias("n_sape"))
-    sst = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
+    sst = F.col("va") * F.col("n")
     r = lambda c: F.round(c, 6)
     return g.select(*keys, "n",
                     r(1 - F.col("sse") / F.nullif(sst, F.lit(0.0))).alias("r2"),

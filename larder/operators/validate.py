@@ -8,9 +8,9 @@
 * count rules (missing values, duplicate rows, mapping problems) are
   aggregations.
 
-Only the first 5 rows per (dataset, code, column) are listed: ``row_number()
-<= 5`` is planned as a WindowGroupLimit, cut map-side before the shuffle.
-Counts are taken from the listed issues before any display cap.
+``validate`` returns every issue. ``listed`` is the display form: the first 5
+rows per (dataset, code, column), planned as a WindowGroupLimit that cuts
+map-side before the shuffle. Counts are taken over all issues.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.parsing import parse_date
+from larder.functions.parsing import parse_date, to_number
 from larder.operators.mapping import targets_df
 
 # ---------------------------------------------------------------------------
@@ -50,7 +50,7 @@ def cell_issues(mapped: DataFrame) -> DataFrame:
     """All single-cell rules in one pass over the mapped cells."""
     v = F.col("value")
     col = F.col("column")
-    num = v.try_cast("double")
+    num = to_number(v)
     numeric_col = col.isin(NUMERIC_NON_NEGATIVE)
     rules = F.array(
         _issue(numeric_col & v.isNotNull() & num.isNull(), "error", "INVALID_NUMERIC"),
@@ -70,7 +70,7 @@ def reference_issues(mapped: DataFrame, known: DataFrame) -> DataFrame:
     spark = mapped.sparkSession
     fields = spark.createDataFrame([(t, f) for t, fs in REFERENCE_FIELDS.items() for f in fs],
                                    "dataset_type string, column string")
-    ids = (mapped.join(F.broadcast(fields), ["dataset_type", "column"])
+    ids = (mapped.join(fields, ["dataset_type", "column"])
            .withColumn("value", F.trim(F.col("value")))
            .where(F.coalesce(F.col("value"), F.lit("")) != ""))
     unknown = ids.join(known.select("column", "value"), ["column", "value"], "left_anti")
@@ -79,6 +79,14 @@ def reference_issues(mapped: DataFrame, known: DataFrame) -> DataFrame:
                           F.col("column").alias("issue_column"), F.col("value").alias("issue_value"))
 
 
+def expiry_issues_wide(frame: DataFrame, dataset_id: str) -> DataFrame:
+    """EXPIRATION_BEFORE_SNAPSHOT on a mapped wide frame: both dates parse and expiry < snapshot."""
+    bad = frame.where(parse_date("expiration_date") < parse_date("snapshot_date"))
+    return bad.select(F.lit(dataset_id).alias("dataset_id"), "source_row_number", F.lit("error").alias("severity"),
+                      F.lit("EXPIRATION_BEFORE_SNAPSHOT").alias("code"), F.lit("expiration_date").alias("issue_column"),
+                      F.lit(None).cast("string").alias("issue_value"))
+
+
 def expiry_issues(mapped: DataFrame) -> DataFrame:
     """EXPIRATION_BEFORE_SNAPSHOT: both dates parse and expiry < snapshot."""
     two = mapped.where(F.col("column").isin("expiration_date", "snapshot_date"))
@@ -92,19 +100,17 @@ def expiry_issues(mapped: DataFrame) -> DataFrame:
                       F.lit(None).cast("string").alias("issue_value"))
 
 
-def first_rows(issues: DataFrame, k: int = ISSUE_LIMIT_PER_RULE) -> DataFrame:
-    """Keep the first k rows per (dataset, code, column)."""
-    w = Window.partitionBy("dataset_id", "code", "issue_column").orderBy("source_row_number")
-    top = issues.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
-    return top.select("dataset_id", "severity", "code", F.col("issue_column").alias("column"),
-                      F.col("source_row_number").alias("row_number"), F.col("issue_value").alias("value"))
+def listed(issues: DataFrame, k: int = ISSUE_LIMIT_PER_RULE) -> DataFrame:
+    """Display form: the first k rows per (dataset, code, column) and every issue without a row."""
+    w = Window.partitionBy("dataset_id", "code", "column").orderBy("row_number")
+    top = issues.where("row_number is not null").withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    return issues.where("row_number is null").unionByName(top.drop("_rk"))
 
 
 def missing_value_issues(mapped: DataFrame) -> DataFrame:
     """MISSING_VALUES per column: error when the column is a required target."""
     spark = mapped.sparkSession
-    req = F.broadcast(targets_df(spark).where("is_required")
-                      .select("dataset_type", F.col("target_field").alias("column"), "is_required"))
+    req = targets_df(spark).where("is_required").select("dataset_type", F.col("target_field").alias("column"), "is_required")
     counts = (mapped.groupBy("dataset_id", "dataset_type", "column")
               .agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
               .where(F.col("n_missing") > 0))
@@ -163,28 +169,38 @@ def duplicate_counts_from_wide(frames: list[tuple[str, DataFrame]], row_col: str
 
 
 def validate(mapped: DataFrame, mappings: DataFrame, missing: DataFrame, known: DataFrame,
-             duplicates: DataFrame | None = None) -> DataFrame:
-    """All issues of all datasets as one DataFrame (``ISSUE_COLS``).
+             duplicates: DataFrame | None = None, expiry: DataFrame | None = None) -> DataFrame:
+    """All issues of all datasets as one DataFrame (``ISSUE_COLS``), uncut.
 
-    ``duplicates`` may carry precomputed DUPLICATE_ROWS issues (see
-    ``duplicate_counts_from_wide``); otherwise they are derived from the cells."""
+    ``duplicates`` and ``expiry`` may carry issues found on the wide frames
+    (``duplicate_counts_from_wide``, ``expiry_issues_wide``); otherwise they are
+    derived from the cells."""
     row_issues = cell_issues(mapped).unionByName(reference_issues(mapped, known)) \
-                                    .unionByName(expiry_issues(mapped))
+                                    .unionByName(expiry if expiry is not None else expiry_issues(mapped)).select(
+        "dataset_id", "severity", "code", F.col("issue_column").alias("column"),
+        F.col("source_row_number").alias("row_number"), F.col("issue_value").alias("value"))
     dups = duplicates if duplicates is not None else duplicate_row_issues(mapped)
     return (mapping_issues(mappings, missing)
             .unionByName(dups)
             .unionByName(missing_value_issues(mapped))
-            .unionByName(first_rows(row_issues)))
+            .unionByName(row_issues))
 
 
 def issue_summary(issues: DataFrame, datasets: DataFrame) -> DataFrame:
-    """v14: error / warning counts, valid flag and next dataset status."""
-    counts = issues.groupBy("dataset_id").agg(
-        F.count_if(F.col("severity") == "error").alias("error_count"),
-        F.count_if(F.col("severity") == "warning").alias("warning_count"))
-    j = datasets.select("dataset_id").join(counts, "dataset_id", "left").fillna(0, ["error_count", "warning_count"])
+    """v14: counts of all errors and warnings, how many issues the display lists,
+    valid flag and next dataset status. Two partial aggregations."""
+    per_rule = issues.groupBy("dataset_id", "severity", "code", "column", F.col("row_number").isNull().alias("_whole")).agg(
+        F.count(F.lit(1)).alias("n"))
+    shown = F.when(F.col("_whole"), F.col("n")).otherwise(F.least(F.col("n"), F.lit(ISSUE_LIMIT_PER_RULE)))
+    counts = per_rule.groupBy("dataset_id").agg(
+        F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("error_count"),
+        F.sum(F.when(F.col("severity") == "warning", F.col("n")).otherwise(0)).alias("warning_count"),
+        F.sum(shown).alias("listed_count"))
+    j = datasets.select("dataset_id").join(counts, "dataset_id", "left").fillna(
+        0, ["error_count", "warning_count", "listed_count"])
     valid = F.col("error_count") == 0
     return j.select("dataset_id", F.col("error_count").cast("bigint").alias("error_count"),
                     F.col("warning_count").cast("bigint").alias("warning_count"),
+                    F.col("listed_count").cast("bigint").alias("listed_count"),
                     valid.alias("valid"),
                     F.when(valid, "validated").otherwise("mapping_required").alias("status"))

@@ -17,6 +17,7 @@ from larder.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -28,7 +29,7 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            _BODIES[name] = sql
         return fn
     return deco
 
@@ -43,3 +44,6 @@ def load_all() -> None:
     from larder.plans import queries_scoring  # noqa: F401
     from larder.plans import queries_models  # noqa: F401
     from larder.plans import queries_io  # noqa: F401
+    for name, body in _BODIES.items():  # views are known only when all modules are
+        if name not in ORACLES:
+            ORACLES[name] = oracle(body)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import forecast as ff
+from larder.functions.parsing import to_number
 from larder.operators.asof import latest_asof
 from larder.sources.tables import Tables
 
@@ -47,7 +48,12 @@ def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     promotion fall back to 0 / false only when there is no sale at all; a sale
     with a null discount keeps the null. Spoilage risk: sale, then inventory.
     """
-    req = requests if requests is not None else t.forecast_requests()
+    if requests is None:  # the context of all stored requests is itself stored: every query reads it
+        return t._stored("forecast_context", lambda: _context(t, t.forecast_requests()))
+    return _context(t, requests)
+
+
+def _context(t: Tables, req: DataFrame) -> DataFrame:
     ctx = with_latest_inventory(t, with_latest_sale(t, req), request_keys=req)
     prod = t.products().select("product_id", "category", "supplier_id", "shelf_life_days",
                                "cost_price", "spoilage_sensitivity", "storage_temp")
@@ -88,16 +94,40 @@ def horizon_rows(df: DataFrame, start: str = "forecast_start_date", horizon: str
     return df.select("*", F.posexplode(days).alias("day_index", "forecast_date"))
 
 
-def forecast_points(t: Tables, requests: DataFrame | None = None) -> DataFrame:
-    """All forecast points with the context carried along (for analytics)."""
+def forecast_points(t: Tables, requests: DataFrame | None = None, by_series: bool = False) -> DataFrame:
+    """All forecast points with the context carried along (for analytics).
+
+    ``by_series`` deals the narrow scored context by series before the horizon
+    rows are generated: the generator keeps the partitioning, so windows and
+    aggregations by series need no exchange of the many rows after it.
+    """
     scored = score_context(forecast_context(t, requests))
-    rows = horizon_rows(scored)
+    rows = horizon_rows(scored.repartition(*SERIES) if by_series else scored)
     return rows.withColumn("lower_bound", ff.lower_bound("predicted_units_sold")) \
                .withColumn("upper_bound", ff.upper_bound("predicted_units_sold"))
 
 
-def forecast_run(t: Tables, requests: DataFrame | None = None) -> DataFrame:
-    """The forecast_results table for every request (mock scorer, flagged)."""
-    pts = forecast_points(t, requests)
+def apply_overrides(ctx: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Context after scenario overrides (request_id, overrides map): a key that is present wins,
+    else the sale / inventory / default fallbacks of the context stand."""
+    def given(k: str):
+        return F.element_at("overrides", F.lit(k))
+
+    def number(k: str):
+        return F.when(given(k).isNotNull(), to_number(given(k))).otherwise(F.col(k)).alias(k)
+
+    changed = {k: number(k) for k in ("selling_price", "discount_pct", "spoilage_risk")}
+    changed["is_promoted"] = F.when(given("is_promoted").isNotNull(), F.lower(given("is_promoted")) == "true").otherwise(
+        F.col("is_promoted")).alias("is_promoted")
+    return ctx.join(overrides, "request_id").select(*[changed.get(c, F.col(c)) for c in ctx.columns])
+
+
+def forecast_run(t: Tables, jobs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The forecast_results table: contexts of completed jobs under their overrides, scored
+    by the mock scorer (flagged), one row per day of the horizon."""
+    done = jobs.where("status = 'completed'").select("request_id")
+    scored = score_context(apply_overrides(forecast_context(t).join(done, "request_id", "left_semi"), overrides))
+    pts = horizon_rows(scored).withColumn("lower_bound", ff.lower_bound("predicted_units_sold")) \
+                              .withColumn("upper_bound", ff.upper_bound("predicted_units_sold"))
     return pts.select(*SERIES, "store_id", "forecast_date", "predicted_units_sold",
                       "lower_bound", "upper_bound", F.lit(True).alias("is_mock"))

@@ -170,14 +170,16 @@ select source_row_number,
             else cast(product_id as varchar) end as sku,
        case when source_row_number%73=0 then '-'||cast(cast(units_sold as bigint) as varchar)
             when source_row_number%71=0 then null when source_row_number%67=0 then 'abc'
+            when source_row_number%127=0 then cast(cast(units_sold as bigint) as varchar)||'d'
             else cast(cast(units_sold as bigint) as varchar) end as qty_sold,
        cast(cast(round(selling_price*100) as bigint)//100 as varchar) || '.' ||
          lpad(cast(cast(round(selling_price*100) as bigint)%100 as varchar), 2, '0') as unit_price,
        case when source_row_number%61=0 then '1.5' else cast(discount_pct as varchar) end as discount,
        case when source_row_number%59=0 then 'maybe' when is_promoted then 'yes' else 'no' end as promotion_flag,
        case when source_row_number%101=0 then 'S-'||cast(source_row_number%3 as varchar)
-            else cast(store_id as varchar) end as store_code, (select warehouse_code from warehouses w
-                                                 where w.warehouse_id=s.warehouse_id) as warehouse_id,
+            else cast(store_id as varchar) end as store_code,
+       case when source_row_number%107=0 then null else (select warehouse_code from warehouses w
+                                                 where w.warehouse_id=s.warehouse_id) end as warehouse_id,
        cast(spoilage_risk as varchar) as spoilage_risk,
        'note '||cast(source_row_number%7 as varchar) as receipt_note
 from sales_records s""", ["sales_records", "warehouses"])
@@ -185,7 +187,8 @@ from sales_records s""", ["sales_records", "warehouses"])
 view("inventory_upload", """
 select i.source_row_number, strftime(i.snapshot_date, '%Y-%m-%d') as as_of_date,
        cast(i.product_id as varchar) as item_id,
-       case when i.source_row_number%47=0 then 'WH-X' else w.warehouse_code end as location_id,
+       case when i.source_row_number%47=0 then 'WH-X' when i.source_row_number%109=0 then ' '
+            else w.warehouse_code end as location_id,
        case when i.source_row_number%43=0 then '-'||cast(cast(i.current_inventory as bigint) as varchar)
             else cast(cast(i.current_inventory as bigint) as varchar) end as on_hand,
        cast(cast(i.reserved_inventory as bigint) as varchar) as reserved_inventory,
@@ -200,14 +203,47 @@ from inventory_snapshots i left join products p on p.product_id=i.product_id
 
 view("products_upload", """
 select product_id+2 as source_row_number, cast(product_id as varchar) as sku,
-       case when product_id%41=0 then ' ' else product_name end as product_name, category,
+       case when product_id%41=0 then ' ' else product_name end as product_name,
+       case when product_id%29=0 then 'EXPERIMENTAL' else category end as category,
        case when product_id%37=0 then '999999' else cast(supplier_id as varchar) end as vendor_id,
        cast(shelf_life_days as varchar) as shelf_life_days,
        cast(cast(storage_temp as bigint) as varchar) as storage_temp,
+       case when product_id%31=0 then '-1' else cast(product_id%900+100 as varchar) end as base_price,
+       case when product_id%23=0 then '5f' else cast(product_id%700+50 as varchar) end as cost_price,
        'brand '||cast(product_id%13 as varchar) as brand_note
 from products""", ["products"])
 
 
+view("suppliers_upload", """
+select supplier_id+1 as source_row_number,
+       case when supplier_id%19=0 then '  ' else cast(supplier_id as varchar) end as supplier_code,
+       case when supplier_id%23=0 then null else supplier_name end as supplier_name,
+       case when supplier_id%17=0 then '12d' else cast(supplier_id%100 as varchar) end as supplier_score,
+       case when supplier_id%13=0 then '-3' else cast(lead_time_days as varchar) end as lead_time_days,
+       cast(supplier_id%40 as varchar) as minimum_order_quantity, supplier_country,
+       'desk '||cast(supplier_id%5 as varchar) as contact_note
+from suppliers""", ["suppliers"])
+
+view("warehouse_upload", """
+select cast(n_nationkey+2 as bigint) as source_row_number,
+       case when n_nationkey%11=3 then ' ' else n_name end as warehouse_code,
+       case when n_nationkey%13=5 then null else n_name||' DC' end as warehouse_name,
+       case when n_nationkey%9=4 then 'tropical' when n_nationkey%4=0 then 'ambient' when n_nationkey%4=1 then 'chilled'
+            when n_nationkey%4=2 then 'frozen' else 'mixed' end as warehouse_type,
+       n_name as country, r_name as region,
+       case when n_nationkey%8=6 then 'n.k.' else cast(n_nationkey*100-500 as varchar) end as storage_capacity,
+       case when n_nationkey%6=1 then null else 'Europe/Paris' end as timezone,
+       'dock '||cast(n_nationkey%3 as varchar) as dock_note
+from nation join region on r_regionkey=n_regionkey""")
+
+view("orders_upload", """
+select cast(o_orderkey+1 as bigint) as source_row_number,
+       strftime(date_trunc('month', cast(o_orderdate as date)), '%Y-%m-%d') as "Sale Date",
+       strftime(date_trunc('year', cast(o_orderdate as date)), '%Y-%m-%d') as "date", o_orderpriority as sku,
+       cast(cast(floor(o_totalprice/100000) as bigint) as varchar) as qty_sold
+from orders""")
+
+
 # --- upload onboarding -------------------------------------------------------
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -220,7 +256,12 @@ UPLOAD_COLUMNS = {
                                        "incoming_inventory", "expiration_date", "batch_id", "spoilage_risk",
                                        "temperature_log"]),
     "products_upload": ("products", ["sku", "product_name", "category", "vendor_id", "shelf_life_days",
-                                     "storage_temp", "brand_note"]),
+                                     "storage_temp", "base_price", "cost_price", "brand_note"]),
+    "suppliers_upload": ("suppliers", ["supplier_code", "supplier_name", "supplier_score", "lead_time_days",
+                                       "minimum_order_quantity", "supplier_country", "contact_note"]),
+    "warehouse_upload": ("warehouse", ["warehouse_code", "warehouse_name", "warehouse_type", "country", "region",
+                                       "storage_capacity", "timezone", "dock_note"]),
+    "orders_upload": ("sales", ["Sale Date", "date", "sku", "qty_sold"]),
 }
 
 view("upload_cells", "\nunion all\n".join(
@@ -236,6 +277,11 @@ def _parse_date_sql(x: str) -> str:
             + ") as date)")
 
 
+def _num_sql(x: str) -> str:
+    from larder.functions.parsing import NUMBER_PATTERN
+    return f"case when regexp_full_match(trim({x}), '{NUMBER_PATTERN}') then try_cast(trim({x}) as double) end"
+
+
 def _normalize_sql(x: str) -> str:
     return (f"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[^a-zA-Z0-9]+', '_', 'g'), "
             f"'_+', '_', 'g'), '^_+|_+$', '', 'g')")
@@ -251,7 +297,7 @@ with c as (select *, {_parse_date_sql('value')} as pd from upload_cells),
 stats as (
   select dataset_id, dataset_type, source_column, column_position, count(*) as n_rows, count(value) as n_nonnull,
          count(*) filter (where value is not null and not lower(trim(value)) in ({_bool_tokens()})) as n_not_bool,
-         count(*) filter (where value is not null and try_cast(value as double) is null) as n_not_num,
+         count(*) filter (where value is not null and ({_num_sql('value')}) is null) as n_not_num,
          count(pd) as n_date, min(pd) as date_min, max(pd) as date_max,
          count(distinct value) as unique_count
   from c group by all),
@@ -272,9 +318,9 @@ from stats s left join samples p on p.dataset_id = s.dataset_id and p.source_col
 
 
 def _targets_sql() -> str:
-    from larder.operators.mapping import target_rows
+    from larder.operators.mapping import TARGET_FIELDS
     return "select * from (values " + ", ".join(
-        f"({_q(d)}, {_q(f)}, {'true' if r else 'false'})" for d, f, r in target_rows()
+        f"({_q(d)}, {_q(f)}, {'true' if r else 'false'})" for d, f, r in TARGET_FIELDS
     ) + ") v(dataset_type, target_field, is_required)"
 
 
@@ -308,18 +354,33 @@ def _unconfirmed_sql() -> str:
     return " or ".join(f"(dataset_id = {_q(d)} and source_column = {_q(c)})" for d, c in UNCONFIRMED)
 
 
+def _defaults_sql() -> str:
+    from larder.plans.uploads import DEFAULT_MAPPINGS
+    return ", ".join(f"({_q(ds)}, {_q(dt)}, {_q('(default) ' + f)}, {_q(f)}, {_q(v)}, {len(UPLOAD_COLUMNS[ds][1]) + i})"
+                     for i, (ds, dt, f, v) in enumerate(DEFAULT_MAPPINGS))
+
+
+view("default_mappings", f"""
+select * from (values {_defaults_sql()}) v(dataset_id, dataset_type, source_column, target_field, default_value, position)""")
+
 view("column_mappings", f"""
 select dataset_id, dataset_type, source_column, suggested_target as target_field, mapping_type,
        mapping_type <> 'ignored' and not ({_unconfirmed_sql()}) as is_confirmed,
        cast(case when mapping_type <> 'ignored' and not ({_unconfirmed_sql()}) then 1.0 else 0.0 end as double)
-         as confidence
-from mapping_suggestions""", ["mapping_suggestions"])
+         as confidence, cast(null as varchar) as default_value
+from mapping_suggestions
+union all select dataset_id, dataset_type, source_column, target_field, 'default', true, 1.0, default_value
+from default_mappings""", ["mapping_suggestions", "default_mappings"])
 
 view("mapped_cells", """
 select c.dataset_id, c.dataset_type, c.source_row_number, c.column_position, c.source_column,
        case when m.is_confirmed then m.target_field else c.source_column end as "column", c.value
-from upload_cells c left join column_mappings m on m.dataset_id = c.dataset_id and m.source_column = c.source_column""",
-     ["upload_cells", "column_mappings"])
+from upload_cells c left join column_mappings m on m.dataset_id = c.dataset_id and m.source_column = c.source_column
+union all
+select d.dataset_id, d.dataset_type, r.source_row_number, d.position, d.source_column, d.target_field, d.default_value
+from default_mappings d join (select distinct dataset_id, source_row_number from upload_cells) r
+  on r.dataset_id = d.dataset_id""",
+     ["upload_cells", "column_mappings", "default_mappings"])
 
 view("upload_datasets", "select * from (values " + ", ".join(
     f"({_q(ds)}, {_q(dt)}, 'uploaded')" for ds, (dt, _) in UPLOAD_COLUMNS.items())
@@ -351,7 +412,7 @@ def _issues_sql() -> str:
                               for t, fs in REFERENCE_FIELDS.items() for f in fs)
     pdv = _parse_date_sql("value")
     return f"""
-with m as (select *, try_cast(value as double) as num from mapped_cells),
+with m as (select *, {_num_sql("value")} as num from mapped_cells),
 cell as (
   select dataset_id, source_row_number, 'error' as severity, 'INVALID_NUMERIC' as code, "column" as issue_column,
          value as issue_value from m
@@ -381,10 +442,9 @@ cell as (
                max(case when "column" = 'snapshot_date' then {pdv} end) as snap
         from m where "column" in ('expiration_date', 'snapshot_date') group by all) r
   where exp < snap),
-firsts as (
+cells as (
   select dataset_id, severity, code, issue_column as "column", source_row_number as row_number, issue_value as value
-  from (select *, row_number() over (partition by dataset_id, code, issue_column order by source_row_number) as rk
-        from cell) where rk <= 5),
+  from cell),
 missing as (
   select c.dataset_id, case when t.is_required then 'error' else 'warning' end as severity,
          'MISSING_VALUES' as code, c."column", cast(null as bigint) as row_number,
@@ -399,7 +459,7 @@ dups as (
   from (select dataset_id, count(*) - count(distinct cells) as n_dup
         from (select dataset_id, source_row_number,
                      list({{'p': column_position, 'c': "column", 'v': value}} order by column_position) as cells
-              from mapped_cells group by all) group by all) where n_dup > 0),
+              from mapped_cells group by dataset_id, source_row_number) x group by dataset_id) where n_dup > 0),
 maps as (
   select dataset_id, 'error' as severity, 'MISSING_REQUIRED_MAPPING' as code, target_field as "column",
          cast(null as bigint) as row_number, cast(null as varchar) as value from missing_required
@@ -407,12 +467,18 @@ maps as (
   select dataset_id, 'error', 'DUPLICATE_TARGET_MAPPING', target_field, cast(null as bigint), cast(count(*) as varchar)
   from column_mappings where is_confirmed and target_field is not null group by dataset_id, target_field
   having count(*) > 1)
-select * from maps union all select * from dups union all select * from missing union all select * from firsts"""
+select * from maps union all select * from dups union all select * from missing union all select * from cells"""
 
 
 view("validation_issues", _issues_sql(),
      ["mapped_cells", "known_references", "mapping_targets", "missing_required", "column_mappings"])
 
+view("listed_issues", """
+select * from validation_issues where row_number is null
+union all
+select * from validation_issues where row_number is not null
+qualify row_number() over (partition by dataset_id, code, "column" order by row_number) <= 5""", ["validation_issues"])
+
 
 view("hourly_arrays", """
 with per_hour as (select user_id, cast(ts as date) as dt, hour(ts) as hr, sum(value) as v from events group by all),

@@ -23,37 +23,35 @@ from larder.sources.tables import Tables
 ORG = "AMERICA"
 # Owner organisation of each dataset (catalogue metadata).
 DATASET_ORG = {"sales": "AMERICA", "inventory": "AMERICA", "sales_upload": "AMERICA",
-               "inventory_upload": "EUROPE", "products_upload": "AMERICA"}
+               "inventory_upload": "EUROPE", "products_upload": "AMERICA", "suppliers_upload": "AMERICA",
+               "warehouse_upload": "EUROPE", "orders_upload": "AMERICA"}
 
 
 def lifecycle(t: Tables):
-    """uploaded -> validated | mapping_required -> ingested | failed (validated only)."""
-    summary = vd.issue_summary(up.issues(t), up.datasets(t))
-    cols = ["dataset_id", "source_row_number", "reject_reason"]
-    ingested = qq._sales_rows(t).select(*cols).unionByName(qq._inventory_rows(t).select(*cols)) \
-                                 .unionByName(qq._products_rows(t).select(*cols))
-    fails = ig.row_failures(ingested).select("dataset_id", F.col("status").alias("ingest_status"),
-                                             "inserted_count", "failed_count")
-    j = summary.join(fails, "dataset_id", "left")
-    after = F.when(F.col("status") == "validated", F.col("ingest_status")).otherwise(F.col("status"))
-    return j.select("dataset_id", F.lit("uploaded").alias("initial_status"),
-                    F.col("status").alias("after_validation"), after.alias("after_ingestion"))
+    """uploaded -> validated | mapping_required -> ingested | failed (validated only); stored with the catalogue."""
+    def build():
+        summary = vd.issue_summary(up.issues(t), up.datasets(t))
+        fails = ig.row_failures(qq.ingested_rows(t)).select("dataset_id", F.col("status").alias("ingest_status"))
+        j = summary.join(fails, "dataset_id", "left")
+        after = F.when(F.col("status") == "validated", F.col("ingest_status")).otherwise(F.col("status"))
+        return j.select("dataset_id", F.lit("uploaded").alias("initial_status"),
+                        F.col("status").alias("after_validation"), after.alias("after_ingestion"))
+    return t._stored("dataset_lifecycle", build)
 
 
 def catalogue(t: Tables):
-    """dataset_id, dataset_type, status, row_count, organization_id."""
-    org = F.create_map(*[x for k, v in DATASET_ORG.items() for x in (F.lit(k), F.lit(v))])
-    canon = (t.sales_records().agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit("sales").alias("dataset_id"), F.lit("sales").alias("dataset_type"),
-                     F.lit("ingested").alias("status"), "row_count")
-             .unionByName(t.inventory_snapshots().agg(F.count(F.lit(1)).alias("row_count"))
-                          .select(F.lit("inventory").alias("dataset_id"), F.lit("inventory").alias("dataset_type"),
-                                  F.lit("ingested").alias("status"), "row_count")))
-    rows = up.cells(t).groupBy("dataset_id", "dataset_type").agg(
-        F.count_distinct("source_row_number").alias("row_count"))
-    ups = rows.join(lifecycle(t).select("dataset_id", F.col("after_ingestion").alias("status")), "dataset_id")
-    return canon.unionByName(ups.select("dataset_id", "dataset_type", "status", "row_count")) \
-                .withColumn("organization_id", org[F.col("dataset_id")])
+    """dataset_id, dataset_type, status, row_count, organization_id; stored, one row per dataset."""
+    def build():
+        org = F.create_map(*[x for k, v in DATASET_ORG.items() for x in (F.lit(k), F.lit(v))])
+        canon = [(ds, ds, df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("status", F.lit("ingested")))
+                 for ds, df in (("sales", t.sales_records()), ("inventory", t.inventory_snapshots()))]
+        status = lifecycle(t).select("dataset_id", F.col("after_ingestion").alias("status"))
+        rows = up._union([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(ds).alias("dataset_id"), F.lit(dt).alias("dataset_type"), "row_count")
+                          for ds, dt, df in up.upload_frames(t)])
+        cols = ["dataset_id", "dataset_type", "status", "row_count"]
+        parts = [df.select(F.lit(ds).alias("dataset_id"), F.lit(dt).alias("dataset_type"), "status", "row_count") for ds, dt, df in canon]
+        return up._union([*parts, rows.join(status, "dataset_id").select(*cols)]).withColumn("organization_id", org[F.col("dataset_id")])
+    return t._stored("dataset_catalogue", build)
 
 
 _ORG_SQL = "case dataset_id " + " ".join(f"when '{k}' then '{v}'" for k, v in DATASET_ORG.items()) + " end"
@@ -64,16 +62,15 @@ with s as (select d.dataset_id, count(*) filter (where i.severity = 'error') = 0
 f as (select dataset_id, case when count(*) filter (where reject_reason is not null) = 0 then 'ingested' else 'failed' end
              as ingest_status
       from (select dataset_id, reject_reason from sales_ingest union all select dataset_id, reject_reason from inventory_ingest
-            union all select dataset_id, reject_reason from products_ingest) x group by all)
+            union all select dataset_id, reject_reason from products_ingest
+            union all select dataset_id, reject_reason from suppliers_ingest
+            union all select dataset_id, reject_reason from warehouses_ingest) x group by all)
 select s.dataset_id, 'uploaded' as initial_status,
        case when valid then 'validated' else 'mapping_required' end as after_validation,
        case when valid then f.ingest_status else 'mapping_required' end as after_ingestion
 from s left join f on f.dataset_id = s.dataset_id""",
-     ["upload_datasets", "validation_issues", "sales_ingest", "inventory_ingest", "products_ingest"])
-
-view("sales_ingest", qq._SALES_INGEST.strip(), ["mapped_cells", "products", "warehouses", "stores"])
-view("inventory_ingest", qq._INVENTORY_INGEST.strip(), ["mapped_cells", "products", "warehouses"])
-view("products_ingest", qq._PRODUCTS_INGEST.strip(), ["mapped_cells", "suppliers"])
+     ["upload_datasets", "validation_issues", "sales_ingest", "inventory_ingest", "products_ingest", "suppliers_ingest",
+      "warehouses_ingest"])
 
 view("dataset_catalogue", f"""
 select *, {_ORG_SQL} as organization_id from (
@@ -210,7 +207,7 @@ with new as (select external_product_id, product_name, category, supplier_id fro
              where reject_reason is null
              qualify row_number() over (partition by external_product_id order by source_row_number desc) = 1),
 old as (select cast(product_id as varchar) as external_product_id, product_name, category, supplier_id from products)
-select *, false as updated_at from old where external_product_id not in (select external_product_id from new)
+select *, false as replaced from old where external_product_id not in (select external_product_id from new)
 union all select *, true from new""")
 def upsert_master(t: Tables):
     """Products: catalogue rows replaced by the last good upload row of the same external id."""
@@ -226,7 +223,7 @@ with new as (select dataset_id, source_row_number, product_id, transaction_date,
              where reject_reason is null),
 old as (select 'sales_upload' as dataset_id, source_row_number, product_id, transaction_date, units_sold
         from sales_records)
-select *, false as updated_at from old o
+select *, false as replaced from old o
 where not exists (select 1 from new n where n.dataset_id = o.dataset_id and n.source_row_number = o.source_row_number)
 union all select *, true from new""")
 def upsert_source_rows(t: Tables):
@@ -249,7 +246,7 @@ def delete_dataset(t: Tables):
         t.inventory_snapshots().select("dataset_id", "source_row_number"))
     gone = catalogue(t).where((F.col("dataset_id") == "inventory") & (F.col("organization_id") == ORG)) \
                        .select("dataset_id")
-    return rows.join(F.broadcast(gone), "dataset_id", "left_anti")  # catalogue: one row per dataset
+    return rows.join(gone, "dataset_id", "left_anti")
 
 
 @register("product_search", """

@@ -55,8 +55,21 @@ def confirmed_mappings(t: Tables):
 
 @register("replace_mappings", "select * from column_mappings")
 def replace_mappings(t: Tables):
-    """Stored mappings for every dataset: overwritten per dataset as a whole."""
-    return up.mappings(t)
+    """Stored mappings replaced dataset by dataset: an older set (with a stale column) is landed
+    first, then each dataset's partition is overwritten as a whole; other partitions stay."""
+    import uuid
+    from larder.session import scratch_path
+    path = scratch_path(t.spark, f"mappings/{uuid.uuid4().hex}")
+    fresh = up.mappings(t)
+    stale = fresh.limit(0).unionByName(t.spark.createDataFrame(
+        [(ds, dt, "old_column", None, "ignored", False, 0.0, None) for ds, dt, _ in up.UPLOADS], fresh.schema))
+
+    def replace(rows):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path))
+
+    replace(stale)
+    replace(fresh)
+    return t.spark.read.schema(fresh.schema).parquet(path).select(*fresh.columns)
 
 
 @register("missing_required", "select dataset_id, target_field from missing_required")
@@ -168,34 +181,32 @@ def json_safe(t: Tables):
                     ps.json_safe_double(raw).alias("total_price"))
 
 
-@register("preview", """
+PREVIEW_ROWS = 20
+
+
+@register("preview", f"""
 select m.dataset_id, m.source_row_number, m."column", m.value from mapped_cells m
 join (select dataset_id, source_row_number from (select distinct dataset_id, source_row_number from upload_cells)
-      qualify row_number() over (partition by dataset_id order by source_row_number) <= 20) f
+      qualify row_number() over (partition by dataset_id order by source_row_number) <= {PREVIEW_ROWS}) f
   on f.dataset_id = m.dataset_id and f.source_row_number = m.source_row_number""")
 def preview(t: Tables):
-    """First min(limit, 20) rows of each upload, in file order (limit = the feature)."""
-    from pyspark.sql import Window
-    cells = up.mapped_cells(t)
-    rows = cells.select("dataset_id", "source_row_number").distinct()
-    w = Window.partitionBy("dataset_id").orderBy("source_row_number")
-    first = rows.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= 20).drop("_rk")
-    return cells.join(first, ["dataset_id", "source_row_number"], "left_semi").select(
-        "dataset_id", "source_row_number", "column", "value")
+    """First rows of each upload in file order (the limit is the feature), cut on the wide frame."""
+    from larder.operators import mapping as mp
+    parts = []
+    for ds, dt, df in up.upload_frames(t):
+        names, defaults = mp.column_names([c for c in df.columns if c != "source_row_number"], up.mapping_rows(t, ds))
+        parts.append(pf.to_cells(df.orderBy("source_row_number").limit(PREVIEW_ROWS), ds, dt, names=names, defaults=defaults))
+    return up._union(parts).select("dataset_id", "source_row_number", "column", "value")
 
 
 @register("extras_json", """
 select dataset_id, source_row_number,
        to_json(map_from_entries(list({'k': "column", 'v': value} order by column_position))) as extras
-from mapped_cells where not "column" in (select target_field from mapping_targets)
-group by all""")
+from mapped_cells where not "column" in (select target_field from mapping_targets) and dataset_id <> 'orders_upload'
+group by dataset_id, source_row_number""")
 def extras_json(t: Tables):
-    """Non-canonical columns of each row packed into one JSON object."""
-    from larder.operators.mapping import targets_df
-    m = up.mapped_cells(t)
-    canon = F.broadcast(targets_df(t.spark).select(F.col("target_field").alias("column")).distinct())
-    extra = m.join(canon, "column", "left_anti")
-    return extra.groupBy("dataset_id", "source_row_number").agg(
-        F.to_json(F.map_from_entries(F.transform(
-            F.array_sort(F.collect_list(F.struct("column_position", "column", "value"))),
-            lambda s: F.struct(s["column"], s["value"])))).alias("extras"))
+    """Non-canonical columns of each row packed into one JSON object (a select on the wide frame);
+    orders_upload has contradicting mappings and is refused before this step."""
+    from larder.operators import ingest as ig
+    return up._union([ig.conform(up.mapped_frame(t, ds), ds, dt).select("dataset_id", "source_row_number", "extras")
+                      for ds, dt, _ in up.UPLOADS if ds != "orders_upload"])

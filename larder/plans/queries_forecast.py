@@ -92,18 +92,12 @@ def forecast_bounds(t):
     return s.select(*fc.SERIES, U, ff.lower_bound(U).alias("lower_bound"), ff.upper_bound(U).alias("upper_bound"))
 
 
-@register("forecast_run", f"""
-select {S}, store_id, forecast_date, {U}, lower_bound, upper_bound, true as is_mock from forecast_points""")
-def forecast_run(t):
-    return fc.forecast_run(t)
-
-
 @register("weekly_totals", f"""
 select {S}, cast(floor(day_index/7) as integer) as week_index, min(forecast_date) as week_start,
        max(forecast_date) as week_end, cast(sum({U}) as bigint) as units
 from forecast_points group by all""")
 def weekly_totals(t):
-    return an.weekly_totals(fc.forecast_points(t))
+    return an.weekly_totals(fc.forecast_points(t, by_series=True))
 
 
 @register("forecast_summary", f"""
@@ -119,7 +113,7 @@ select {S}, count(*) as n_days, cast(sum({U}) as bigint) as total_units,
                    / max(greatest(1, floor(horizon_days/4))), 0.0) * 100 + 0.5) as bigint) as trend_pct
 from forecast_points group by all""")
 def forecast_summary(t):
-    return an.forecast_summary(fc.forecast_points(t))
+    return an.forecast_summary(fc.forecast_points(t, by_series=True))
 
 
 _PROJ = f"""proj as (
@@ -142,7 +136,7 @@ _IMPACT_COLS = """current_inventory + incoming_inventory - demand as remaining,
 with {_PROJ}
 select {S}, forecast_date, projected_inventory from proj""")
 def projected_inventory(t):
-    return an.projected_inventory(fc.forecast_points(t)).select(*fc.SERIES, "forecast_date", "projected_inventory")
+    return an.projected_inventory(fc.forecast_points(t, by_series=True)).select(*fc.SERIES, "forecast_date", "projected_inventory")
 
 
 @register("inventory_impact", f"""
@@ -152,14 +146,14 @@ select *, greatest(0.0, shortage + floor(demand*0.15 + 0.5)) as reorder,
             else 'Sufficient stock' end as stock_state
 from x""")
 def inventory_impact(t):
-    return an.inventory_impact(fc.forecast_points(t))
+    return an.inventory_impact(fc.forecast_points(t, by_series=True))
 
 
 @register("stockout_date", f"""
 with {_PROJ}, {_IMPACT}
 select {S}, stockout_date from impact""")
 def stockout_date(t):
-    return an.stockout_date(fc.forecast_points(t))
+    return an.stockout_date(fc.forecast_points(t, by_series=True))
 
 
 @register("stock_state", f"""
@@ -167,7 +161,7 @@ with {_PROJ}, {_IMPACT}, x as (select *, {_IMPACT_COLS} from impact)
 select {S}, case when shortage > 0 then 'Stockout expected' when remaining < demand*0.15 then 'Low stock risk'
             else 'Sufficient stock' end as stock_state from x""")
 def stock_state(t):
-    return an.inventory_impact(fc.forecast_points(t)).select(*fc.SERIES, "stock_state")
+    return an.inventory_impact(fc.forecast_points(t, by_series=True)).select(*fc.SERIES, "stock_state")
 
 
 @register("peak_window", f"""
@@ -175,7 +169,7 @@ select {S}, greatest(min(forecast_date), cast(first(forecast_date order by {U} d
        first(forecast_date order by {U} desc, day_index) as peak_date
 from forecast_points group by all""")
 def peak_window(t):
-    return an.peak_window(fc.forecast_points(t))
+    return an.peak_window(fc.forecast_points(t, by_series=True))
 
 
 @register("demand_status", f"""
@@ -186,7 +180,7 @@ select {S}, forecast_date, {U},
             else 'Normal' end as demand_status
 from forecast_points window w as (partition by {S})""")
 def demand_status(t):
-    return an.demand_status(fc.forecast_points(t))
+    return an.demand_status(fc.forecast_points(t, by_series=True))
 
 
 _EXPORT = f"""
@@ -228,7 +222,7 @@ EXPORT_SCHEMA = ("request_id bigint, product_id bigint, warehouse_id int, date s
 def write_forecast_csv(t):
     """Write the daily export as header CSV to the shared scratch folder, read it back."""
     out = scratch_path(t.spark, f"forecast_csv/{uuid.uuid4().hex}")
-    an.forecast_export(fc.forecast_points(t)).write.mode("overwrite").option("header", True).csv(out)
+    an.forecast_export(fc.forecast_points(t, by_series=True)).write.mode("overwrite").option("header", True).csv(out)
     return t.spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(out)
 
 
@@ -240,7 +234,7 @@ with r as (select {S}, forecast_date, {U},
 select {S}, forecast_date, {U}, row_in_series from r
 where ceil(row_in_series/10) = least(2, greatest(1, ceil(n_rows/10)))""")
 def table_page(t):
-    return an.table_page(fc.forecast_points(t), sort_key=U, ascending=False, page=2)
+    return an.table_page(fc.forecast_points(t, by_series=True), sort_key=U, ascending=False, page=2)
 
 
 @register("forecast_search", f"""

@@ -13,6 +13,9 @@ from larder.plans.oracle_views import UPLOAD_COLUMNS
 from larder.session import scratch_path
 from larder.sources import csv as cs
 from larder.sources.tables import Tables
+from larder.operators import ingest as ig
+from larder.plans.experiments import EXPERIMENTS_SQL, experiment_results, loss_table
+from larder.streaming.ingest import good, rejects
 from larder.streaming.ingest import stream_ingest as run_stream
 
 SALES_COLS = UPLOAD_COLUMNS["sales_upload"][1]
@@ -32,33 +35,51 @@ def scan_csv(t: Tables):
     return df.select(*[F.col(f"`{c}`") for c in SALES_COLS])
 
 
+@register("csv_surplus_fields", f"""
+select source_row_number as k, sku, case when source_row_number % 53 = 0 then '{cs.SURPLUS_FIELDS}' end as reject_reason
+from sales_upload where sku is null or trim(sku) <> ''""")
+def csv_surplus_fields(t: Tables):
+    """Lines with one field too many keep their row and carry a reason."""
+    r = F.col("source_row_number")
+    lines = t.sales_upload().where("sku is null or trim(sku) <> ''").select(F.concat(
+        r.cast("string"), F.lit(","), F.coalesce("sku", F.lit("")), F.when(r % 53 == 0, F.lit(",surplus")).otherwise(F.lit(""))))
+    path = scratch_path(t.spark, f"lines/{uuid.uuid4().hex}")
+    lines.write.mode("overwrite").text(path)
+    back = cs.read_checked_csv(t.spark, path, ["k", "sku"])
+    return back.select(F.col("k").cast("bigint").alias("k"), "sku", "reject_reason")
+
+
 @register("source_row_number", """
-select count(*) as n_rows, cast(2 as bigint) as first_row_number, true as dense_per_file from sales_upload""")
+select row_number() over (partition by file_key order by source_row_number) + 1 as row_in_file, file_key, source_row_number as content
+from (select source_row_number, source_row_number % 3 as file_key from sales_upload)""")
 def source_row_number(t: Tables):
-    """File-position numbers: every file numbered 2..n+1 without gaps."""
-    df = cs.scan_csv(t.spark, land_sales_upload(t))
-    per_file = df.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.min("source_row_number").alias("lo"),
-        F.max("source_row_number").alias("hi"), F.count_distinct("source_row_number").alias("d"))
-    dense = (F.col("lo") == 2) & (F.col("hi") == F.col("n") + 1) & (F.col("d") == F.col("n"))
-    return per_file.agg(F.sum("n").alias("n_rows"), F.min("lo").alias("first_row_number"),
-                        F.bool_and(dense).alias("dense_per_file"))
+    """File-position numbers: rows land sorted in one folder per key, and every row's number
+    must be its place in the file (folders are read as one file each)."""
+    path = scratch_path(t.spark, f"landing/{uuid.uuid4().hex}")
+    rows = t.sales_upload().select((F.col("source_row_number") % 3).alias("file_key"), F.col("source_row_number").alias("content"))
+    (rows.repartition(3, "file_key").sortWithinPartitions("file_key", "content")
+     .write.mode("overwrite").option("header", True).partitionBy("file_key").csv(path))
+    df = cs.with_file_position(t.spark.read.option("header", True).csv(path).select("*", "_metadata"))
+    return df.select(F.col("source_row_number").alias("row_in_file"), F.col("file_key").cast("bigint").alias("file_key"),
+                     F.col("content").cast("bigint").alias("content"))
 
 
-@register("landing_audit")
+@register("landing_audit", f"""
+select * from (values (null, true), ('{cs.NOT_CSV}', false)) v(reject_reason, accepted)""")
 def landing_audit(t: Tables):
-    """Accept / reject the files of a landing folder (CSV parts plus a text file)."""
+    """Accept / reject the files of a landing folder (CSV parts and a text file): the outcomes seen."""
     path = land_sales_upload(t)
     t.spark.createDataFrame([("not a csv",)], "v string").write.mode("overwrite").text(f"{path}/notes")
-    return cs.landing_audit(t.spark, path)
+    return cs.landing_audit(t.spark, path).select("reject_reason", "accepted").distinct()
 
 
-@register("write_csv")
+@register("write_csv", "select * from training_frame")
 def write_csv(t: Tables):
-    """Training frame written as header CSV and read back (all strings)."""
+    """Training frame written as header CSV and read back under its types."""
     path = scratch_path(t.spark, f"csv/{uuid.uuid4().hex}")
-    cs.write_csv(tr.training_frame(t), path)
-    return cs.read_raw_csv(t.spark, path)
+    frame = tr.training_frame(t)
+    cs.write_csv(frame, path)
+    return t.spark.read.schema(frame.schema).option("header", True).csv(path)
 
 
 @register("write_split_files", "select split, count(*) as n from split_random group by split")
@@ -70,32 +91,69 @@ def write_split_files(t: Tables):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("save_experiments")
+@register("save_experiments", f"""{EXPERIMENTS_SQL}
+select experiment_id, model_name, feature_count, n, r2_score, mae, rmse, status from results""")
 def save_experiments(t: Tables):
-    """Experiment result table written as CSV and read back."""
-    from larder.plans.queries_models import _sweep
+    """Experiment result table and loss table written as CSV; the results read back."""
     path = scratch_path(t.spark, f"experiments/{uuid.uuid4().hex}")
-    cs.write_csv(_sweep(t), path)
-    return cs.read_raw_csv(t.spark, path)
+    results = experiment_results(t)
+    cs.write_csv(results, f"{path}/results")
+    cs.write_csv(loss_table(t), f"{path}/loss")
+    back = t.spark.read.schema(results.schema).option("header", True).csv(f"{path}/results")
+    return back.select("experiment_id", "model_name", "feature_count", "n", "r2_score", "mae", "rmse", "status")
+
+
+@register("save_experiment_loss", f"""{EXPERIMENTS_SQL}
+select experiment_id, feature_count as evaluation_number, rmse as objective_value, 0.0::double as elapsed_seconds from results""")
+def save_experiment_loss(t: Tables):
+    """The loss table (experiment, evaluation, objective, seconds) written and read back."""
+    path = scratch_path(t.spark, f"experiments/{uuid.uuid4().hex}")
+    loss = loss_table(t)
+    cs.write_csv(loss, path)
+    return t.spark.read.schema(loss.schema).option("header", True).csv(path)
+
+
+_STREAM_COLS = ["product_id", "store_id", "store_created", "warehouse_id", "transaction_date", "units_sold", "selling_price",
+                "discount_pct", "is_promoted", "spoilage_risk", "extras"]
 
 
 def _stream(t: Tables, landing: str, target: str) -> None:
-    mappings = up.mappings(t).where(F.col("dataset_id") == "sales_upload")
     run_stream(t.spark, landing, target, scratch_path(t.spark, f"stream-ckpt/{uuid.uuid4().hex}"), SALES_COLS,
-               mappings, t.products(), t.warehouses(), t.stores())
+               up.mapping_rows(t, "sales_upload"), t.products(), t.warehouses(), t.stores(),
+               up.DATASET_WAREHOUSE.get("sales_upload"))
 
 
-@register("stream_ingest")
+def _streamed(t: Tables):
+    """The ingested table of a run over the landed sales upload, stored once."""
+    def build():
+        target = scratch_path(t.spark, f"stream-target/{uuid.uuid4().hex}")
+        _stream(t, land_sales_upload(t), target)
+        return t.spark.read.parquet(target)
+    return t._stored("streamed_sales", build)
+
+
+@register("stream_ingest", f"select {', '.join(_STREAM_COLS)} from sales_ingest where reject_reason is null")
 def stream_ingest(t: Tables):
-    """Landing folder -> file stream (available-now trigger) -> good sales rows,
-    one partition per landed file."""
-    landing = land_sales_upload(t)
-    target = scratch_path(t.spark, f"stream-target/{uuid.uuid4().hex}")
-    _stream(t, landing, target)
-    return t.spark.read.parquet(target)
+    """Landing folder -> file stream (available-now trigger) -> good sales rows: the same as the batch ingestion's."""
+    return good(_streamed(t)).select(*_STREAM_COLS)
+
+
+@register("stream_rejects", "select reject_reason, count(*) as n from sales_ingest where reject_reason is not null group by reject_reason")
+def stream_rejects(t: Tables):
+    """Rejected rows of the stream stay in its table, by reason."""
+    return rejects(_streamed(t)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_new_stores", """
+select store_id as external_store_id, min(warehouse_id) as warehouse_id, store_id as store_name, true as generated
+from sales_ingest where store_created and reject_reason is null group by store_id""")
+def stream_new_stores(t: Tables):
+    """Stores that accepted stream rows name for the first time become store rows."""
+    return ig.new_stores(good(_streamed(t)))
 
 
-@register("stream_dedupe")
+@register("stream_dedupe", """
+select count(*) as rows_first_run, count(*) as rows_after_replay, count(*) as distinct_keys from sales_ingest""")
 def stream_dedupe(t: Tables):
     """Exactly-once effect: the same files replayed under a fresh checkpoint
     rewrite their own partitions, so the table keeps one row per key."""
@@ -105,5 +163,5 @@ def stream_dedupe(t: Tables):
     first = t.spark.read.parquet(target).count()
     _stream(t, landing, target)  # replay everything
     df = t.spark.read.parquet(target)
-    return df.agg(F.lit(first).alias("rows_first_run"), F.count(F.lit(1)).alias("rows_after_replay"),
+    return df.agg(F.lit(first).cast("bigint").alias("rows_first_run"), F.count(F.lit(1)).alias("rows_after_replay"),
                   F.count_distinct("dataset_id", "source_row_number").alias("distinct_keys"))

@@ -9,7 +9,8 @@ from larder.operators import features as fe
 from larder.operators import stats as st
 from larder.plans import training as tr
 from larder.plans.catalog import register
-from larder.plans.oracle_views import _q
+from larder.functions.parsing import to_number
+from larder.plans.oracle_views import _num_sql, _q
 from larder.sources.tables import Tables
 
 NUM = tr.NUMERIC
@@ -22,6 +23,10 @@ def _long_sql(cols, src="training_frame", id_col=None, target=None):
         for i, c in enumerate(cols))
 
 
+def _long_text_sql(cols):
+    return "\nunion all\n".join(f"select {_q(c)} as \"column\", {i} as position, cast({c} as varchar) as value from f" for i, c in enumerate(cols))
+
+
 def _quantile_sql(src: str, probs: dict[str, float]) -> str:
     sel = []
     for k, p in probs.items():
@@ -76,7 +81,9 @@ r as (select "column", min(value) as lo, max(value) as hi from l where value is
 b as (select l."column", r.lo, r.hi, cast(case when r.hi - r.lo = 0 then 0
              else least(29, floor((l.value - r.lo) / (r.hi - r.lo) * 30)) end as integer) as bin
       from l join r on r."column" = l."column" where l.value is not null)
-select "column", bin, round(lo + bin * (hi - lo) / 30, 6) as bin_start, count(*) as n from b group by all""")
+select r."column", k.bin, round(r.lo + k.bin * (r.hi - r.lo) / 30, 6) as bin_start, count(b.bin) as n
+from r join (select cast(unnest(range(30)) as integer) as bin) k on true
+left join b on b."column" = r."column" and b.bin = k.bin group by r."column", k.bin, r.lo, r.hi""")
 def histogram(t: Tables):
     return st.histogram(tr.training_frame(t), NUM, 30)
 
@@ -107,21 +114,16 @@ def corr_pearson(t: Tables):
     return st.corr_pearson(tr.training_frame(t), NUM)
 
 
-_RANKED = f"""ranked as (
-  select l.row_id, l."column", r.rank from ({_long_sql(tr.NO_NULL, id_col='row_id')}) l
-  join (select "column", value, coalesce(sum(c) over (partition by "column" order by value
-               rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0 as rank
-        from (select "column", value, count(*) as c from ({_long_sql(tr.NO_NULL)}) x group by all) vc) r
-    on r."column" = l."column" and r.value = l.value),
-wide as (select row_id, {", ".join(f"max(case when \"column\" = {_q(c)} then rank end) as {c}" for c in tr.NO_NULL)}
-         from ranked group by row_id)"""
+def _spearman_sql(a: str, b: str) -> str:
+    return f"""select {_q(a)} as col_a, {_q(b)} as col_b, round(corr(ra, rb), 6) as corr from (
+  select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as ra,
+         rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as rb
+  from (select cast({a} as double) as x, cast({b} as double) as y from training_frame where {a} is not null and {b} is not null))"""
 
 
-@register("corr_spearman", f"with {_RANKED}\n" + "\nunion all\n".join(
-    f"select {_q(a)} as col_a, {_q(b)} as col_b, round(corr({a}, {b}), 6) as corr from wide"
-    for a, b in _pairs(tr.NO_NULL)))
+@register("corr_spearman", "\nunion all\n".join(_spearman_sql(a, b) for a, b in _pairs(NUM)))
 def corr_spearman(t: Tables):
-    return st.corr_spearman(tr.training_frame(t), tr.NO_NULL, "row_id")
+    return st.corr_spearman(tr.training_frame(t), NUM, "row_id")
 
 
 _MI = f"""
@@ -172,13 +174,23 @@ _CHRONO = """(select row_id, transaction_date, position,
 
 @register("split_chronological", f"select row_id, position, split from {_CHRONO}")
 def split_chronological(t: Tables):
-    return tr.split_chronological(tr.training_frame(t)).select("row_id", "position", "split")
+    return tr.chronological_positions(tr.training_frame(t)).select("row_id", "position", "split")
+
+
+@register("split_chronological_sizes", f"select split, count(*) as n, min(transaction_date) as first_day, max(transaction_date) as last_day from {_CHRONO} group by split")
+def split_chronological_sizes(t: Tables):
+    """The same split from per-date counts alone: whole dates are marked, only the boundary dates are ranked."""
+    s = tr.split_chronological(tr.training_frame(t))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("transaction_date").alias("first_day"),
+                                  F.max("transaction_date").alias("last_day"))
+
+
 
 
 @register("chronological_head", f"""
 select row_id, position, split from {_CHRONO} qualify row_number() over (partition by split order by position) <= 5""")
 def chronological_head(t: Tables):
-    s = tr.split_chronological(tr.training_frame(t))
+    s = tr.chronological_positions(tr.training_frame(t))
     w = Window.partitionBy("split").orderBy("position")
     return s.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= 5).select("row_id", "position", "split")
 
@@ -256,27 +268,19 @@ def one_hot_fit(t: Tables):
 toks as (select row_id, {_TOKEN.format(c='category')} as category, {_TOKEN.format(c='region')} as region
          from training_frame)
 select row_id, v."group" || '_' || v.level as feature,
-       case when (v."group" = 'category' and toks.category = v.level) or (v."group" = 'region' and toks.region = v.level)
-            then 1.0 else 0.0 end::double as value
-from toks join vocab v on true""")
+       1.0::double as value
+from toks join vocab v on (v."group" = 'category' and toks.category = v.level) or (v."group" = 'region' and toks.region = v.level)""")
 def one_hot_apply(t: Tables):
-    """Saved training vocabulary applied to every row; unknown levels -> all zeros."""
-    frame = tr.training_frame(t)
-    vocab = one_hot_fit(t).orderBy("group", "level").collect()  # bounded: one row per level
-    return fe.one_hot_long(frame, "row_id", ["category", "region"], [(r["group"], r["level"]) for r in vocab])
+    """Saved training vocabulary applied to every row, sparse: unknown levels have no row (all zeros)."""
+    return fe.one_hot_long(tr.training_frame(t), "row_id", ["category", "region"], one_hot_fit(t))
 
 
 @register("one_hot_all", """
-with levels as (select distinct category as level from training_frame where category is not null)
-select f.row_id, 'category_' || l.level as feature, cast(coalesce(f.category = l.level, false) as integer) as value
-from training_frame f join levels l on true""")
+select row_id, 'category_' || category as feature, 1 as value from training_frame where category is not null""")
 def one_hot_all(t: Tables):
-    """Dummies for every level of the whole frame (raw level names, 0/1, nulls all zero)."""
-    frame = tr.training_frame(t)
-    levels = [r[0] for r in frame.select("category").where(F.col("category").isNotNull()).distinct().collect()]
-    entries = [F.struct(F.lit(f"category_{lv}").alias("feature"),
-                        F.coalesce(F.col("category") == lv, F.lit(False)).cast("int").alias("value")) for lv in levels]
-    return frame.select("row_id", F.inline(F.array(*entries)))
+    """Dummies of every level of the whole frame (raw level names), sparse: the one hit per row, nulls none."""
+    return tr.training_frame(t).where(F.col("category").isNotNull()).select(
+        "row_id", F.concat(F.lit("category_"), "category").alias("feature"), F.lit(1).alias("value"))
 
 
 def _cyc_sql(expr, name, period):
@@ -320,21 +324,29 @@ def stockout_features(t: Tables):
 
 @register("interaction_features", """
 with s as (select user_id, dt, list_sum(hours_stock_status) / 24.0 as ratio,
-                  list_sum(hours_stock_status[9:18]) as business, list_sum(hours_sale) as sales,
-                  cast(isodow(dt) >= 6 as integer) as is_weekend from hourly_arrays)
-select user_id, dt, round(sales * ratio, 6) as sales_x_stockout_ratio,
-       round(sales * business, 6) as sales_x_business_stockout, round(is_weekend * ratio, 9) as weekend_x_stockout_ratio,
-       is_weekend from s""")
+                  list_sum(hours_stock_status[7:22]) as cnt, list_sum(hours_stock_status[9:18]) as business,
+                  (user_id % 10) / 10.0 as discount, cast(day(dt) = 1 as integer) as holiday, cast(user_id % 3 = 0 as integer) as activity,
+                  month(dt) / 4.0 as precpt, 40.0 + day(dt) as humidity, cast(isodow(dt) >= 6 as integer) as is_weekend
+           from hourly_arrays)
+select user_id, dt, round(discount * ratio, 9) as discount_stockout_ratio, round(discount * cnt, 9) as discount_stock_hour6_22_cnt,
+       round(discount * business, 9) as discount_business_stockout, round(holiday * ratio, 9) as holiday_stockout_ratio,
+       round(activity * ratio, 9) as activity_stockout_ratio, round(precpt * humidity, 9) as bad_weather, is_weekend from s""")
 def interaction_features(t: Tables):
-    """Products of activity with stock-out measures on the hourly frame."""
+    """Six products of discount, calendar and weather columns with stock-out measures; the discount,
+    holiday, activity and weather columns, which the tables lack, are derived from user and day."""
     h = t.hourly_arrays()
-    ratio = F.aggregate("hours_stock_status", F.lit(0), lambda a, x: a + x) / 24.0
-    business = F.aggregate(F.slice("hours_stock_status", 9, 10), F.lit(0), lambda a, x: a + x)
-    sales = F.aggregate("hours_sale", F.lit(0.0), lambda a, x: a + x)
-    weekend = (F.weekday("dt") >= 5).cast("int")
-    return h.select("user_id", "dt", F.round(sales * ratio, 6).alias("sales_x_stockout_ratio"),
-                    F.round(sales * business, 6).alias("sales_x_business_stockout"),
-                    F.round(weekend * ratio, 9).alias("weekend_x_stockout_ratio"), weekend.alias("is_weekend"))
+
+    def total(arr):
+        return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
+
+    frame = h.select(
+        "user_id", "dt", (total("hours_stock_status") / 24.0).alias("stockout_ratio"),
+        total(F.slice("hours_stock_status", 7, 16)).alias("stock_hour6_22_cnt"),
+        total(F.slice("hours_stock_status", 9, 10)).alias("business_stockout"),
+        ((F.col("user_id") % 10) / 10.0).alias("discount"), (F.dayofmonth("dt") == 1).cast("int").alias("holiday_flag"),
+        (F.col("user_id") % 3 == 0).cast("int").alias("activity_flag"), (F.month("dt") / 4.0).alias("precpt"),
+        (F.dayofmonth("dt") + 40.0).alias("avg_humidity"), F.weekday("dt").alias("day_of_week"))
+    return frame.select("user_id", "dt", *fe.interaction_features())
 
 
 @register("log1p_transform", """
@@ -367,12 +379,13 @@ def lag_features(t: Tables):
 _ROLL = """r as (
   select product_id, warehouse_id, day, units,
          coalesce(sum(units) over w7, 0.0) as s7, coalesce(sum(units) over w30, 0.0) as s30,
-         coalesce(sum(units * units) over w30, 0.0) as q30
+         count(units) over w30 as m30, coalesce(var_pop(units) over w30, 0.0) as v30
   from (select *, datediff('day', date '1970-01-01', day) as dn from daily_series) x
   window w7 as (partition by product_id, warehouse_id order by dn range between 7 preceding and 1 preceding),
          w30 as (partition by product_id, warehouse_id order by dn range between 30 preceding and 1 preceding)),
 f as (select *, round(s7 / 7.0, 6) as rolling_mean_7, round(s30 / 30.0, 6) as rolling_mean_30,
-             round(sqrt(greatest(0.0, (q30 - s30 * s30 / 30.0) / 29.0)), 6) as rolling_std_30 from r)"""
+             round(sqrt(greatest(0.0, (m30 * (v30 + power(s30 / greatest(m30, 1) - s30 / 30.0, 2)) + (30 - m30) * power(s30 / 30.0, 2)) / 29.0)), 6)
+               as rolling_std_30 from r)"""
 
 
 @register("rolling_features", f"""with {_ROLL}
@@ -416,12 +429,12 @@ def promotion_duration(t: Tables):
 with s as (select * from split_random),
 m as (select avg(units_sold) as mu from s where split = 'train'),
 p as (select s.units_sold as a, m.mu as p from s join m on true where s.split = 'test'),
-g as (select count(*) as n, sum(abs(p - a)) as sae, sum((p - a) * (p - a)) as sse, sum(a) as sa, sum(a * a) as saa,
+g as (select count(*) as n, sum(abs(p - a)) as sae, sum((p - a) * (p - a)) as sse, var_pop(a) as va,
              sum(case when abs(a) > 1e-8 then abs(p - a) / abs(a) end) as sape,
              count(*) filter (where abs(a) > 1e-8) as n_ape,
              sum(case when abs(a) + abs(p) > 1e-8 then 2 * abs(p - a) / (abs(a) + abs(p)) end) as ssape,
              count(*) filter (where abs(a) + abs(p) > 1e-8) as n_sape from p)
-select n, round(1 - sse / nullif(saa - sa * sa / n, 0.0), 6) as r2, round(sae / n, 6) as mae, round(sse / n, 6) as mse,
+select n, round(1 - sse / nullif(va * n, 0.0), 6) as r2, round(sae / n, 6) as mae, round(sse / n, 6) as mse,
        round(sqrt(sse / n), 6) as rmse, round(case when n_ape > 0 then sape / n_ape * 100 end, 6) as mape,
        round(case when n_sape > 0 then ssape / n_sape * 100 else 0.0 end, 6) as smape from g""")
 def regression_metrics(t: Tables):
@@ -434,20 +447,43 @@ def regression_metrics(t: Tables):
 
 
 @register("training_audit", f"""
-with l as ({_long_sql(NUM)})
-select "column", count(*) filter (where value is null) as n_missing,
-       count(*) filter (where isinf(value)) as n_infinite, count(distinct value) <= 1 as is_constant,
-       min(value) as min, max(value) as max, round(avg(value), 6) as mean
-from l group by all""")
+with f as ({tr.AUDIT_FRAME_SQL}),
+l as ({_long_text_sql(tr.AUDIT_COLUMNS)}),
+n as (select "column", position, value, {_num_sql("value")} as number, lower(trim(value)) in ('inf', '-inf') as infinite from l),
+per as (select "column", position, count(*) as n_rows, count(*) filter (where value is null) as n_missing,
+               count(*) filter (where infinite) as n_infinite,
+               count(*) filter (where value is not null and number is null and not infinite) as n_invalid,
+               count(distinct number) <= 1 as is_constant, min(number) as min, max(number) as max, round(avg(number), 6) as mean
+        from n group by "column", position),
+d as (select count(*) - count(distinct ({", ".join(tr.AUDIT_COLUMNS)})) as duplicate_rows from f)
+select "column", position = 0 as is_target, n_rows, n_missing, n_infinite, n_invalid, is_constant, min, max, mean, duplicate_rows,
+       [e for e in [case when n_invalid > 0 then cast(n_invalid as varchar) || ' values are not numeric' end,
+                    case when n_missing > 0 then 'missing values' end,
+                    case when n_infinite > 0 then cast(n_infinite as varchar) || ' infinite values' end,
+                    case when n_rows < 9 then 'at least 9 rows are required for three usable subsets' end] if e is not null] as errors
+from per, d""")
 def training_audit(t: Tables):
-    """Per column: missing, infinite, constant flag, min / max / mean (one aggregation)."""
-    long = st.long_numeric(tr.training_frame(t), NUM)
+    """Target and inputs of a training file as text: missing, infinite, bad casts, constants, range,
+    duplicate rows and the errors that would stop a training run (one aggregation)."""
+    f = tr.audit_frame(t)
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(c).alias("value"))
+                        for i, c in enumerate(tr.AUDIT_COLUMNS)])
     v = F.col("value")
-    return long.groupBy("column").agg(
-        F.count_if(v.isNull()).alias("n_missing"),
-        F.count_if(v.isin(float("inf"), float("-inf"))).alias("n_infinite"),
-        (F.count_distinct(v) <= 1).alias("is_constant"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"))
+    infinite = F.coalesce(F.lower(F.trim(v)).isin("inf", "-inf"), F.lit(False))
+    per = f.select(F.inline(entries)).withColumn("number", to_number(v)).groupBy("column", "position").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isNull()).alias("n_missing"), F.count_if(infinite).alias("n_infinite"),
+        F.count_if(v.isNotNull() & F.col("number").isNull() & ~infinite).alias("n_invalid"),
+        (F.count_distinct("number") <= 1).alias("is_constant"), F.min("number").alias("min"), F.max("number").alias("max"),
+        F.round(F.avg("number"), 6).alias("mean"))
+    d = f.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*tr.AUDIT_COLUMNS))).alias("duplicate_rows")).withColumn("_k", F.lit(1))
+    errors = F.array_compact(F.array(
+        F.when(F.col("n_invalid") > 0, F.concat(F.col("n_invalid").cast("string"), F.lit(" values are not numeric"))),
+        F.when(F.col("n_missing") > 0, F.lit("missing values")),
+        F.when(F.col("n_infinite") > 0, F.concat(F.col("n_infinite").cast("string"), F.lit(" infinite values"))),
+        F.when(F.col("n_rows") < 9, F.lit("at least 9 rows are required for three usable subsets"))))
+    return per.withColumn("_k", F.lit(1)).join(F.broadcast(d), "_k").select(  # one-row side
+        "column", (F.col("position") == 0).alias("is_target"), "n_rows", "n_missing", "n_infinite", "n_invalid", "is_constant",
+        "min", "max", "mean", "duplicate_rows", errors.alias("errors"))
 
 
 @register("view_report", f"""
@@ -486,10 +522,15 @@ select row_id, transaction_date, units_sold, shelf_life_days, cost_price, spoila
        selling_price, discount_pct, is_promoted, supplier_score, storage_temp from training_frame""")
 def drop_columns(t: Tables):
     """Drop the columns present (category, region); absent names (revenue) are reported, not fatal."""
-    f = tr.training_frame(t)
-    wanted = ["category", "region", "revenue"]
-    present = [c for c in wanted if c in f.columns]
-    return f.drop(*present)
+    kept, _ = fe.drop_columns(tr.training_frame(t), ["category", "region", "revenue"])
+    return kept
+
+
+@register("drop_columns_absent", "select 'revenue' as absent_column, count(*) as n_rows from training_frame")
+def drop_columns_absent(t: Tables):
+    """The names that ``drop_columns`` was asked for and did not find, beside the rows it kept."""
+    kept, absent = fe.drop_columns(tr.training_frame(t), ["category", "region", "revenue"])
+    return kept.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(a) for a in absent])).alias("absent_column"), "n_rows")
 
 
 @register("candidate_projection", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.operators import models as md
@@ -13,19 +14,21 @@ from larder.operators.serving import serving_features
 from larder.plans import forecast as fc
 from larder.plans import training as tr
 from larder.plans.catalog import register
+from larder.plans.experiments import EXPERIMENTS_SQL, experiment_results
 from larder.session import scratch_path
 from larder.sources.tables import Tables
 
 
 def _prepared(t: Tables) -> md.Prepared:
     def build():
-        frame = tr.split_chronological(tr.training_frame(t))
-        return md.Prepared(frame)
+        frame = t._stored("training_split", lambda: tr.split_chronological(tr.training_frame(t)))
+        return md.Prepared(frame, store=lambda enc: t._stored("training_encoded", lambda: enc))
     return t._memo("prepared", build)
 
 
 def _sweep(t: Tables):
-    return t._memo("sweep", lambda: md.feature_sweep(t.spark, _prepared(t)))
+    """The sweep's results table, stored: one fit per feature count and application."""
+    return t._stored("sweep_results", lambda: md.feature_sweep(t.spark, _prepared(t)))
 
 
 @register("ridge_fit")
@@ -49,24 +52,54 @@ def random_forest_fit(t: Tables):
     return pred
 
 
+_CHRONO = """s as (select *, case when pos < floor(n * 0.70) then 'train'
+        when pos < least(floor(n * 0.70) + greatest(1, floor(n * 0.15)), n - 1) then 'validation' else 'test' end as split
+  from (select *, row_number() over (order by transaction_date, row_id) - 1 as pos, count(*) over () as n from training_frame))"""
+
+
+@register("ridge_fit_two", f"""
+with {_CHRONO},
+g as (select min(selling_price) as alo, max(selling_price) as ahi, min(shelf_life_days) as blo, max(shelf_life_days) as bhi,
+             min(units_sold) as ylo, max(units_sold) as yhi from s where split = 'train'),
+x as (select s.row_id, s.split, (selling_price - alo) / (ahi - alo) as a, (shelf_life_days - blo) / (bhi - blo) as b,
+             (units_sold - ylo) / (yhi - ylo) as y, units_sold from s, g),
+m as (select avg(a) as ma, avg(b) as mb, avg(y) as my, count(*) as n, var_pop(a) * count(*) + 1 as saa, var_pop(b) * count(*) + 1 as sbb,
+             covar_pop(a, b) * count(*) as sab, covar_pop(a, y) * count(*) as say, covar_pop(b, y) * count(*) as sby from x where split = 'train'),
+w as (select *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) as wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) as wb from m)
+select x.row_id, cast(x.units_sold as double) as actual,
+       round(greatest(0.0, (my + wa * (a - ma) + wb * (b - mb)) * (yhi - ylo) + ylo), 4) as predicted
+from x, w, g where x.split = 'test'""")
+def ridge_fit_two(t: Tables):
+    """Ridge(alpha=1) on two scaled inputs; the closed form is the oracle."""
+    p = _prepared(t)
+    _, _, pred = md.fit_and_score(p, ["selling_price", "shelf_life_days"], "ridge", p.test)
+    return pred.select("row_id", "actual", F.round("predicted", 4).alias("predicted"))
+
+
 @register("feature_sweep")
 def feature_sweep(t: Tables):
     return _sweep(t)
 
 
-@register("rank_experiments")
+@register("rank_experiments", f"""{EXPERIMENTS_SQL}
+select experiment_id, r2_score, mae, rmse, row_number() over (order by round(r2_score, 4) desc, round(mae, 4), rmse, training_seconds, experiment_id) as place
+from results""")
 def rank_experiments(t: Tables):
-    return md.rank_experiments(_sweep(t), "ridge")
+    ranked = md.rank_experiments(experiment_results(t), "group_mean")
+    w = Window.orderBy(*md.ranking())  # one row per experiment
+    return ranked.select("experiment_id", "r2_score", "mae", "rmse", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@register("best_metric_by_k")
+@register("best_metric_by_k", f"""{EXPERIMENTS_SQL}
+select model_name, feature_count, max(r2_score) as best_r2_score from results group by model_name, feature_count""")
 def best_metric_by_k(t: Tables):
-    return md.best_metric_by_k(_sweep(t), "r2_score")
+    return md.best_metric_by_k(experiment_results(t), "r2_score")
 
 
-@register("fastest_by_k")
+@register("fastest_by_k", f"""{EXPERIMENTS_SQL}
+select model_name, feature_count, min(training_seconds) as fastest_seconds from results group by model_name, feature_count""")
 def fastest_by_k(t: Tables):
-    return md.fastest_by_k(_sweep(t))
+    return md.fastest_by_k(experiment_results(t))
 
 
 @register("winner_refit")
@@ -94,7 +127,8 @@ def loss_history(t: Tables):
     return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
 
 
-@register("save_load_model")
+@register("save_load_model", f"""with {_CHRONO}
+select count(*) as n, true as all_finite, true as all_non_negative from s where split = 'test'""")
 def save_load_model(t: Tables):
     """Persist model + schema, reload and score the test split without fitting:
     every prediction must be finite and >= 0."""

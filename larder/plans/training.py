@@ -9,7 +9,7 @@ single-partition sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.rownum import global_row_number
@@ -19,8 +19,6 @@ TARGET = "units_sold"
 NUMERIC = ["units_sold", "shelf_life_days", "cost_price", "spoilage_sensitivity", "spoilage_risk", "selling_price",
            "discount_pct", "is_promoted", "supplier_score", "storage_temp"]
 FEATURES = [c for c in NUMERIC if c != TARGET]
-NO_NULL = ["units_sold", "shelf_life_days", "cost_price", "selling_price", "discount_pct", "supplier_score",
-           "storage_temp"]
 SEED = 42
 
 
@@ -56,13 +54,72 @@ def split_three_way(df: DataFrame, key: str = "row_id", train: float = 0.70, val
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "validation").otherwise("test"))
 
 
-def split_chronological(df: DataFrame, date: str = "transaction_date", key: str = "row_id") -> DataFrame:
-    """Stable sort by date (ties by key); first int(0.70 n) rows train, the next
-    max(1, int(0.15 n)) validation (capped at n - 1), the rest test."""
-    numbered = global_row_number(df, [date, key], name="position", start=0)
+def _cuts(n):
+    """Row counts at which validation and test start, from the total."""
+    first = F.floor(n * 0.70)
+    return first, F.least(first + F.greatest(F.lit(1), F.floor(n * 0.15)), n - 1)
+
+
+def _split_of(position, n):
+    first, second = _cuts(n)
+    return F.when(position < first, "train").when(position < second, "validation").otherwise("test")
+
+
+def chronological_positions(df: DataFrame, date: str = "transaction_date", key: str = "row_id") -> DataFrame:
+    """(key, date, position, split): positions in date order (ties by key) of the two narrow columns."""
+    numbered = global_row_number(df.select(key, date), [date, key], name="position", start=0)
     n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
     j = numbered.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")  # one-row side
-    cut1 = F.floor(F.col("_n") * 0.70)
-    cut2 = F.least(cut1 + F.greatest(F.lit(1), F.floor(F.col("_n") * 0.15)), F.col("_n") - 1)
-    return j.withColumn("split", F.when(F.col("position") < cut1, "train")
-                        .when(F.col("position") < cut2, "validation").otherwise("test")).drop("_k", "_n")
+    return j.withColumn("split", _split_of(F.col("position"), F.col("_n"))).drop("_k", "_n")
+
+
+def split_chronological(df: DataFrame, date: str = "transaction_date", key: str = "row_id") -> DataFrame:
+    """Stable sort by date (ties by key); first int(0.70 n) rows train, the next
+    max(1, int(0.15 n)) validation (capped at n - 1), the rest test.
+
+    No wide row is sorted: counts per date (a calendar's worth of rows) tell for
+    each date whether it lies in one split; only rows of a date that a cut
+    crosses are ranked, on their key.
+    """
+    counts = df.groupBy(date).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per calendar day
+    total = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(total))
+    begin, end, n = F.col("_end") - F.col("_c"), F.col("_end") - 1, F.col("_n")
+    days = days.select(F.col(date).alias("_day"), begin.alias("_begin"), "_n", _split_of(begin, n).alias("_first"),
+                       _split_of(end, n).alias("_last"))
+    marked = df.join(days, F.col(date).eqNullSafe(F.col("_day")))
+    whole = marked.where("_first = _last").select(*df.columns, F.col("_first").alias("split"))
+    crossed = marked.where("_first <> _last")
+    ranks = global_row_number(crossed.select(key, date), [date, key], name="_rank", start=0)
+    before = crossed.groupBy(date).agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_skip", F.coalesce(F.sum("_c").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # two days at most
+    placed = ranks.join(before.select(F.col(date).alias("_d"), "_skip"), F.col(date).eqNullSafe(F.col("_d"))).select(
+        key, (F.col("_rank") - F.col("_skip")).alias("_place"))
+    ranked = crossed.join(placed, key).select(*df.columns, _split_of(F.col("_begin") + F.col("_place"), F.col("_n")).alias("split"))
+    return whole.unionByName(ranked)
+
+
+# Columns of the audited training file, target first; all text, with faults by row number.
+AUDIT_COLUMNS = ["units_sold", "selling_price", "discount_pct", "spoilage_risk", "constant_input"]
+AUDIT_FRAME_SQL = """
+select case when row_id % 211 = 0 then '12d' when row_id % 223 = 0 then null else cast(cast(units_sold as bigint) as varchar) end as units_sold,
+       case when row_id % 227 = 0 then 'inf' when row_id % 229 = 0 then 'n.k.' else cast(cast(round(selling_price) as bigint) as varchar) end as selling_price,
+       cast(cast(round(discount_pct * 100) as bigint) as varchar) as discount_pct,
+       cast(cast(round(spoilage_risk * 100) as bigint) as varchar) as spoilage_risk, '1' as constant_input
+from training_frame"""
+
+
+def audit_frame(t: Tables) -> DataFrame:
+    """A training file as it would arrive: text columns with bad casts, infinities and gaps."""
+    f, r = training_frame(t), F.col("row_id")
+
+    def whole(c):
+        return F.round(c).cast("bigint").cast("string")
+
+    return f.select(
+        F.when(r % 211 == 0, F.lit("12d")).when(r % 223 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("units_sold").cast("bigint").cast("string")).alias("units_sold"),
+        F.when(r % 227 == 0, F.lit("inf")).when(r % 229 == 0, F.lit("n.k.")).otherwise(whole(F.col("selling_price"))).alias("selling_price"),
+        whole(F.col("discount_pct") * 100).alias("discount_pct"), whole(F.col("spoilage_risk") * 100).alias("spoilage_risk"),
+        F.lit("1").alias("constant_input"))

@@ -7,6 +7,7 @@ builder here is only for tests, benchmarks and the command line.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,15 +27,19 @@ SESSION_DEFAULTS = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "larder", extra: dict | None = None) -> SparkSession:
-    """Local or cluster session with the package defaults applied."""
+    """Local or cluster session with the package defaults applied.
+
+    Partition counts and memory follow the cluster unless given."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SESSION_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("LARDER_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if os.environ.get("LARDER_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = os.environ["LARDER_DRIVER_MEMORY"]
     if extra:
         conf.update(extra)
     for key, value in conf.items():
@@ -48,12 +53,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is. Only
-    when it is unset (local tests) a private folder is created.
+    On a cluster the setting must point at shared storage and is used as is.
+    Only a local session (tests) without it gets a private folder.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="larder-ckpt-"))
     return configured or sc.getCheckpointDir()
 

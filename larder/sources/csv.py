@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from larder.functions.parsing import na_to_null
 
@@ -24,6 +25,33 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+# ---------------------------------------------------------------------------
+# Reasons for refused files and rows.
+NO_COLUMNS = "The CSV contains no columns."
+NO_ROWS = "The CSV contains no data rows."
+SURPLUS_FIELDS = "The row has more fields than the header."
+# ---------------------------------------------------------------------------
+
+
+def read_checked_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Header CSV (or, with ``columns``, one without a header) as all-string columns and ``reject_reason``.
+
+    A parser that pads short rows also cuts surplus fields without a sign; here
+    one more column catches the first surplus field, so such rows carry a
+    reason. Empty files are refused with an error.
+    """
+    reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", columns is None)
+    names = columns or reader.option("inferSchema", False).csv(path).columns
+    if not names:
+        raise ValueError(NO_COLUMNS)
+    schema = StructType([StructField(c, StringType()) for c in [*names, "_surplus"]])
+    df = reader.schema(schema).csv(path)
+    if df.limit(1).count() == 0:
+        raise ValueError(NO_ROWS)
+    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names],
+                     F.when(F.col("_surplus").isNotNull(), F.lit(SURPLUS_FIELDS)).alias("reject_reason"))
+
+
 def with_file_position(df: DataFrame, start: int = 2) -> DataFrame:
     """Add ``source_file`` and ``source_row_number`` = position in the file + start
     (header is line 1, so data rows start at 2)."""
@@ -35,8 +63,7 @@ def with_file_position(df: DataFrame, start: int = 2) -> DataFrame:
                                                        F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # One row per input split: bounded by input size / split size.
-    j = tagged.join(F.broadcast(offsets), ["source_file", "_blk"])
+    j = tagged.join(offsets, ["source_file", "_blk"])  # one row per input split; AQE picks the join
     rn = F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(start)
     return j.withColumn("source_row_number", rn.cast("bigint")).drop("_blk", "_rid", "_pos", "_first", "_off")
 
@@ -57,8 +84,13 @@ def write_split_files(df: DataFrame, path: str, split_col: str = "split") -> Non
 
 
 # ---------------------------------------------------------------------------
-# Upload size limit (MB) of the source application.
+# Upload size limit (MB) and reject texts of the source application.
 MAX_UPLOAD_MB = 100
+NO_NAME = "A filename is required."
+BAD_NAME = "The filename contains invalid characters."
+NOT_CSV = "Only .csv files are accepted."
+EMPTY_FILE = "The uploaded CSV is empty."
+TOO_LARGE = "CSV exceeds the configured {} MB limit."
 # ---------------------------------------------------------------------------
 
 
@@ -68,10 +100,10 @@ def landing_audit(spark: SparkSession, folder: str, max_mb: int = MAX_UPLOAD_MB)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
              .select("path", "length"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    reason = (F.when(name == "", F.lit("A filename is required."))
-              .when(name.contains("\u0000"), F.lit("The filename contains invalid characters."))
-              .when(~F.lower(name).endswith(".csv"), F.lit("Only .csv files are accepted."))
-              .when(F.col("length") == 0, F.lit("The uploaded CSV is empty."))
-              .when(F.col("length") > max_mb * 1024 * 1024, F.lit(f"CSV exceeds the configured {max_mb} MB limit.")))
+    reason = (F.when(name == "", F.lit(NO_NAME))
+              .when(name.contains("\u0000"), F.lit(BAD_NAME))
+              .when(~F.lower(name).endswith(".csv"), F.lit(NOT_CSV))
+              .when(F.col("length") == 0, F.lit(EMPTY_FILE))
+              .when(F.col("length") > max_mb * 1024 * 1024, F.lit(TOO_LARGE.format(max_mb))))
     return files.select("path", name.alias("file_name"), "length", reason.alias("reject_reason"),
                         reason.isNull().alias("accepted"))

@@ -17,9 +17,9 @@ from larder.functions.aggregates import arg_max
 from larder.operators.rownum import global_row_number
 from larder.session import scratch_path
 
-# Numbered lineitem per (session, folder): numbering materialises a checkpoint,
-# so it is built once per session and shared by all queries.
-_NUMBERED: dict = {}
+# Stored tables per (application, folder, name): written once, read by every
+# query of the application; entries of ended applications are dropped.
+_STORED: dict = {}
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
@@ -50,23 +50,26 @@ class Tables:
         and folder, written as Parquet under the shared checkpoint folder
         (lineage cut, survives executor loss, column pruning and filter
         push-down on every later read), then read by every query."""
-        key = (name, id(self.spark), self.sf_dir)
-        if key not in _NUMBERED:
+        app = self.spark.sparkContext.applicationId
+        for old in [k for k in _STORED if k[0] != app]:
+            del _STORED[old]
+        key = (app, self.sf_dir, name)
+        if key not in _STORED:
             path = scratch_path(self.spark, f"tables/{name}-{uuid.uuid4().hex}")
-            build().write.mode("overwrite").parquet(path)
-            _NUMBERED[key] = self.spark.read.parquet(path)
-        return _NUMBERED[key]
+            df = build()
+            df.write.mode("overwrite").parquet(path)
+            _STORED[key] = self.spark.read.schema(df.schema).parquet(path)
+        return _STORED[key]
 
-    # nation and region are fixed-size (25 / 5 rows) dimension tables, so
-    # everything derived only from them is broadcast without a size probe.
+    # No broadcast hints here: AQE sees the sizes of the dimension tables.
     def nation_region(self) -> DataFrame:
         return self._memo("nation_region", lambda: self.raw("nation").join(
-            F.broadcast(self.raw("region")), F.col("n_regionkey") == F.col("r_regionkey")))
+            self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")))
 
     def suppliers(self) -> DataFrame:
         def build():
             s = self.raw("supplier")
-            n = F.broadcast(self.raw("nation").select("n_nationkey", "n_name"))
+            n = self.raw("nation").select("n_nationkey", "n_name")
             return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
                 F.col("s_suppkey").alias("supplier_id"),
                 F.col("s_name").alias("supplier_name"),
@@ -80,21 +83,21 @@ class Tables:
             k = F.col("n_nationkey") % 4
             wtype = (F.when(k == 0, "ambient").when(k == 1, "chilled")
                      .when(k == 2, "frozen").otherwise("mixed"))
-            return F.broadcast(self.nation_region().select(
+            return self.nation_region().select(
                 F.col("n_nationkey").alias("warehouse_id"),
                 F.col("n_name").alias("warehouse_code"),
                 wtype.alias("warehouse_type"),
-                F.col("r_name").alias("region")))
+                F.col("r_name").alias("region"))
         return self._memo("warehouses", build)
 
     def stores(self) -> DataFrame:
         def build():
-            return F.broadcast(self.nation_region().select(
+            return self.nation_region().select(
                 (F.col("n_nationkey") + 100).alias("store_id"),
                 F.col("n_nationkey").alias("warehouse_id"),
                 F.col("n_name").alias("store_name"),
                 F.when(F.col("n_nationkey") % 3 == 0, F.lit(None).cast("string"))
-                 .otherwise(F.col("r_name")).alias("region")))
+                 .otherwise(F.col("r_name")).alias("region"))
         return self._memo("stores", build)
 
     def main_supplier(self) -> DataFrame:
@@ -130,11 +133,9 @@ class Tables:
         """lineitem with its file position (header = row 1, so data starts at 2)."""
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                  "l_extendedprice", "l_quantity"]
-        key = (id(self.spark), self.sf_dir)
-        if key not in _NUMBERED:
-            _NUMBERED[key] = global_row_number(self.raw("lineitem"), order,
-                                               name="source_row_number", start=2)
-        return _NUMBERED[key]
+        used = [*order, "l_discount", "l_tax", "l_returnflag"]
+        return self._stored("li_numbered", lambda: global_row_number(
+            self.raw("lineitem").select(*used), order, name="source_row_number", start=2))
 
     def sales_records(self) -> DataFrame:
         def build():
@@ -212,6 +213,18 @@ class Tables:
                 horizon.alias("horizon_days")).distinct()
         return build()
 
+    def request_lines(self) -> DataFrame:
+        """The requests' product lines as sent, repeats included, with the dataset a request names."""
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey")
+        o = self.raw("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+        pr = F.col("o_orderpriority")
+        horizon = (F.when(pr == "1-URGENT", 14).when(pr == "2-HIGH", 30)
+                   .when(pr == "3-MEDIUM", 60).when(pr == "4-NOT SPECIFIED", 90).otherwise(14))
+        dataset = F.when(F.col("o_orderstatus") == "P", "sales_upload")
+        return li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(
+            F.col("o_orderkey").alias("request_id"), F.col("l_partkey").alias("product_id"),
+            horizon.alias("horizon_days"), dataset.alias("dataset_id"))
+
     def hourly_arrays(self) -> DataFrame:
         """Per (user, day): 24-slot sales and stock-out arrays from ``events``.
 
@@ -260,6 +273,7 @@ class Tables:
                 F.when(r % 73 == 0, F.concat(F.lit("-"), units))
                  .when(r % 71 == 0, F.lit(None).cast("string"))
                  .when(r % 67 == 0, F.lit("abc"))
+                 .when(r % 127 == 0, F.concat(units, F.lit("d")))
                  .otherwise(units).alias("qty_sold"),
                 price.alias("unit_price"),
                 F.when(r % 61 == 0, F.lit("1.5"))
@@ -268,7 +282,7 @@ class Tables:
                  .when(F.col("is_promoted"), F.lit("yes")).otherwise(F.lit("no")).alias("promotion_flag"),
                 F.when(r % 101 == 0, F.concat(F.lit("S-"), (r % 3).cast("string")))
                  .otherwise(F.col("store_id").cast("string")).alias("store_code"),
-                F.col("warehouse_code").alias("warehouse_id"),
+                F.when(r % 107 == 0, F.lit(None).cast("string")).otherwise(F.col("warehouse_code")).alias("warehouse_id"),
                 F.col("spoilage_risk").cast("string").alias("spoilage_risk"),
                 F.concat(F.lit("note "), (r % 7).cast("string")).alias("receipt_note"))
         return self._memo("sales_upload", build)
@@ -287,7 +301,8 @@ class Tables:
                 r,
                 F.date_format(snap, "yyyy-MM-dd").alias("as_of_date"),
                 F.col("product_id").cast("string").alias("item_id"),
-                F.when(r % 47 == 0, F.lit("WH-X")).otherwise(F.col("warehouse_code")).alias("location_id"),
+                F.when(r % 47 == 0, F.lit("WH-X")).when(r % 109 == 0, F.lit(" "))
+                 .otherwise(F.col("warehouse_code")).alias("location_id"),
                 F.when(r % 43 == 0, F.concat(F.lit("-"), F.col("current_inventory").cast("bigint").cast("string")))
                  .otherwise(F.col("current_inventory").cast("bigint").cast("string")).alias("on_hand"),
                 F.col("reserved_inventory").cast("bigint").cast("string").alias("reserved_inventory"),
@@ -306,10 +321,56 @@ class Tables:
                 (k + 2).alias("source_row_number"),
                 k.cast("string").alias("sku"),
                 F.when(k % 41 == 0, F.lit(" ")).otherwise(F.col("product_name")).alias("product_name"),
-                F.col("category"),
+                F.when(k % 29 == 0, F.lit("EXPERIMENTAL")).otherwise(F.col("category")).alias("category"),
                 F.when(k % 37 == 0, F.lit("999999"))
                  .otherwise(F.col("supplier_id").cast("string")).alias("vendor_id"),
                 F.col("shelf_life_days").cast("string").alias("shelf_life_days"),
                 F.col("storage_temp").cast("bigint").cast("string").alias("storage_temp"),
+                F.when(k % 31 == 0, F.lit("-1")).otherwise((k % 900 + 100).cast("string")).alias("base_price"),
+                F.when(k % 23 == 0, F.lit("5f")).otherwise((k % 700 + 50).cast("string")).alias("cost_price"),
                 F.concat(F.lit("brand "), (k % 13).cast("string")).alias("brand_note"))
         return self._memo("products_upload", build)
+
+    def suppliers_upload(self) -> DataFrame:
+        def build():
+            s = self.suppliers()
+            k = F.col("supplier_id")
+            return s.select(
+                (k + 1).alias("source_row_number"),
+                F.when(k % 19 == 0, F.lit("  ")).otherwise(k.cast("string")).alias("supplier_code"),
+                F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("supplier_name")).alias("supplier_name"),
+                F.when(k % 17 == 0, F.lit("12d")).otherwise((k % 100).cast("string")).alias("supplier_score"),
+                F.when(k % 13 == 0, F.lit("-3")).otherwise(F.col("lead_time_days").cast("string")).alias("lead_time_days"),
+                (k % 40).cast("string").alias("minimum_order_quantity"),
+                F.col("supplier_country"),
+                F.concat(F.lit("desk "), (k % 5).cast("string")).alias("contact_note"))
+        return self._memo("suppliers_upload", build)
+
+    def warehouse_upload(self) -> DataFrame:
+        def build():
+            k = F.col("n_nationkey")
+            kind = (F.when(k % 9 == 4, "tropical").when(k % 4 == 0, "ambient").when(k % 4 == 1, "chilled")
+                    .when(k % 4 == 2, "frozen").otherwise("mixed"))
+            return self.nation_region().select(
+                (k + 2).cast("bigint").alias("source_row_number"),
+                F.when(k % 11 == 3, F.lit(" ")).otherwise(F.col("n_name")).alias("warehouse_code"),
+                F.when(k % 13 == 5, F.lit(None).cast("string")).otherwise(F.concat("n_name", F.lit(" DC"))).alias("warehouse_name"),
+                kind.alias("warehouse_type"),
+                F.col("n_name").alias("country"),
+                F.col("r_name").alias("region"),
+                F.when(k % 8 == 6, F.lit("n.k.")).otherwise((k * 100 - 500).cast("string")).alias("storage_capacity"),
+                F.when(k % 6 == 1, F.lit(None).cast("string")).otherwise(F.lit("Europe/Paris")).alias("timezone"),
+                F.concat(F.lit("dock "), (k % 3).cast("string")).alias("dock_note"))
+        return self._memo("warehouse_upload", build)
+
+    def orders_upload(self) -> DataFrame:
+        """Sales by order with two date columns that both mean the transaction date, and repeated rows."""
+        def build():
+            d = F.col("o_orderdate").cast("date")
+            return self.raw("orders").select(
+                (F.col("o_orderkey") + 1).alias("source_row_number"),
+                F.date_format(F.trunc(d, "month"), "yyyy-MM-dd").alias("Sale Date"),
+                F.date_format(F.trunc(d, "year"), "yyyy-MM-dd").alias("date"),
+                F.col("o_orderpriority").alias("sku"),
+                F.floor(F.col("o_totalprice") / 100000).cast("string").alias("qty_sold"))
+        return self._memo("orders_upload", build)

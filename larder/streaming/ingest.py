@@ -2,12 +2,13 @@
 
 The batch loop of the web backend becomes a file stream with
 ``trigger(availableNow=True)``: each micro-batch numbers its rows by file
-position, maps columns with the stored mappings, runs the sales ingestion
-(look-ups are joins) and writes the good rows into a table partitioned by
-``dataset_id`` (one dataset per landed file) with dynamic partition
-overwrite. Replaying a file rewrites exactly its own partition, so the
-result is the same however often a batch is retried (key: dataset_id,
-source_row_number); the checkpoint skips files already done.
+position, renames columns with the stored mappings (a select on the wide rows),
+runs the sales ingestion (look-ups are joins) and writes every row, good or
+rejected, with its ``reject_reason`` into one table partitioned by
+``dataset_id`` (the landed file's whole path) with dynamic partition overwrite.
+A file that is replayed replaces exactly its own partition, also when none of
+its rows is good any more, so the result is the same however often a batch is
+retried; the checkpoint skips files already done.
 """
 
 from __future__ import annotations
@@ -18,46 +19,56 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from larder.functions.parsing import na_to_null
 from larder.operators import ingest as ig
+from larder.operators.mapping import map_columns
 from larder.sources.csv import with_file_position
 
 
-def _process(batch: DataFrame, header: list[str], mappings: DataFrame, products: DataFrame,
-             warehouses: DataFrame, stores: DataFrame, target: str) -> None:
+def _process(batch: DataFrame, header: list[str], mappings: list, products: DataFrame, warehouses: DataFrame,
+             stores: DataFrame, target: str, default_warehouse: str | None) -> None:
     batch = batch.persist()  # numbered twice (positions, split sizes): read the batch once
     try:
         raw = batch.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in header], "_metadata")
-        numbered = with_file_position(raw)
-        ds = F.regexp_replace(F.regexp_extract("source_file", r"([^/]*)$", 1), r"\.csv$", "")
-        entries = F.array(*[F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("source_column"),
-                                     F.col(f"`{c}`").alias("value")) for i, c in enumerate(header)])
-        cells = numbered.select(ds.alias("dataset_id"), F.lit("sales").alias("dataset_type"),
-                                "source_row_number", F.inline(entries))
-        # Stored mapping of this upload layout; one row per column (broadcast).
-        m = F.broadcast(mappings.select("source_column", "target_field", "is_confirmed"))
-        name = F.when(F.col("is_confirmed"), F.col("target_field")).otherwise(F.col("source_column"))
-        mapped = cells.join(m, "source_column", "left").select(
-            "dataset_id", "dataset_type", "source_row_number", "column_position", "source_column",
-            name.alias("column"), "value")
-        rows = ig.pivot_rows(mapped, "sales")
-        good = (ig.ingest_sales(rows, products, warehouses, stores).where(F.col("reject_reason").isNull())
-                .dropDuplicates(["dataset_id", "source_row_number"]))
-        (good.drop("reject_reason").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        numbered = with_file_position(raw).drop("_metadata")
+        files = numbered.select("source_file", "source_row_number", *header)
+        rows = ig.conform(map_columns(files.withColumnRenamed("source_file", "_file"), mappings), "", "sales")
+        # The file's path is carried as an extra column and becomes the dataset's key.
+        path = F.get_json_object("extras", "$._file")
+        keyed = rows.withColumn("dataset_id", F.concat(F.regexp_extract(path, r"([^/]*?)(\.csv)?$", 1), F.lit("-"),
+                                                       F.substring(F.sha2(path, 256), 1, 16)))
+        keyed = keyed.withColumn("extras", F.to_json(F.map_filter(
+            F.from_json("extras", "map<string,string>"), lambda k, _: k != "_file")))
+        done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse)
+        (done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("dataset_id").parquet(target))
     finally:
         batch.unpersist()
 
 
 def stream_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, header: list[str],
-                  mappings: DataFrame, products: DataFrame, warehouses: DataFrame, stores: DataFrame,
-                  max_files_per_trigger: int = 4) -> None:
-    """Run the landing-folder stream to completion (all files available now)."""
+                  mappings: list, products: DataFrame, warehouses: DataFrame, stores: DataFrame,
+                  default_warehouse: str | None = None, max_files_per_trigger: int | None = None) -> None:
+    """Run the landing-folder stream to completion (all files available now).
+
+    ``mappings``: the stored mapping rows of this upload layout. The table at
+    ``target`` holds every row; ``good`` and ``rejects`` are its two filters.
+    """
     schema = StructType([StructField(c, StringType()) for c in header])
-    src = (spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", max_files_per_trigger)
-           .csv(landing).select("*", "_metadata"))
+    reader = spark.readStream.schema(schema).option("header", True)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.csv(landing).select("*", "_metadata")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        _process(batch, header, mappings, products, warehouses, stores, target)
+        _process(batch, header, mappings, products, warehouses, stores, target, default_warehouse)
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def good(table: DataFrame) -> DataFrame:
+    return table.where("reject_reason is null").drop("reject_reason")
+
+
+def rejects(table: DataFrame) -> DataFrame:
+    return table.where("reject_reason is not null")
