@@ -14,7 +14,6 @@ Scratch tables
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,9 +27,15 @@ from larder.session import ensure_checkpoint_dir
 SHINGLE_WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CACHE_LIMIT = 250_000
-# Odd multipliers that give each of the five word places its own weight.
-_PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-_PLACES = np.array(_PLACE, dtype=np.uint64)
+# Odd multipliers that give each of five places its own weight.
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
+                   dtype=np.uint64)
+# Word hashes are polynomials in _BASE over a 64-bit value per byte (from a fixed seed), modulo 2^64.
+_BASE = 0x2545F4914F6CDD1D
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240521)).integers(1, 2 ** 64, 256, dtype=np.uint64)
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_PIECE_BYTES = 1 << 20  # bytes hashed at once; a longer word makes a longer piece
 
 
 class BoundedCache(dict):
@@ -55,13 +60,6 @@ class BoundedCache(dict):
         return value
 
 
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-_WORD_HASHES = BoundedCache(_word_hash)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text (null: none), lower-cased over A-Z, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
@@ -76,25 +74,116 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of every shingle of a text, in text order, repeats included."""
-    words = words_of(text)
-    n = len(words)
-    if n == 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORD_HASHES.__getitem__, words), dtype=np.uint64, count=n)
-    width = min(n, SHINGLE_WORDS)
-    out = np.zeros(n - width + 1, dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as far as needed."""
+
+    up = _powers(_BASE, _PIECE_BYTES + 1)
+    down = _powers(pow(_BASE, -1, 1 << 64), _PIECE_BYTES + 1)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n <= len(cls.up):
+            return cls.up[:n], cls.down
+        return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+def _piece_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every white-space word of some bytes."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    white = _WHITE[data].view(np.int8)
+    turns = np.diff(white, prepend=1, append=1)
+    starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), starts
+    up, down = _Powers.to(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up, out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end at white space."""
+    at = 0
+    while len(raw) - at > _PIECE_BYTES:
+        end = at + _PIECE_BYTES
+        cut = max(raw.rfind(w, at, end) for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut < at:
+            found = [k for k in (raw.find(w, end) for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0]
+            cut = min(found, default=len(raw) - 1)
+        yield raw[at:cut + 1]
+        at = cut + 1
+    yield raw[at:]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the texts' offsets."""
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    parts: list[np.ndarray] = []
+    group: list[bytes] = []
+    first = size = 0
+
+    def flush(upto: int) -> None:
+        nonlocal group, first, size
+        if group:
+            begins = np.cumsum([0] + [len(r) + 1 for r in group[:-1]])
+            h, starts = _piece_hashes(b" ".join(group))
+            lengths[first:upto] = np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=len(group))
+            parts.append(h)
+        group, first, size = [], upto, 0
+
+    for i, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass").translate(_LOWER) if text else b""
+        if size + len(raw) >= _PIECE_BYTES:
+            flush(i)
+        if len(raw) >= _PIECE_BYTES:
+            own = [_piece_hashes(p)[0] for p in _pieces(raw)]
+            parts += own
+            lengths[i] = sum(map(len, own))
+            first = i + 1
+        else:
+            group.append(raw)
+            size += len(raw) + 1
+    flush(len(texts))
+    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return (np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)), offsets
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every text, ascending, and the texts' offsets."""
+    h, offsets = word_hashes(texts)
+    width = SHINGLE_WORDS
+    flat = np.zeros(max(len(h) - width + 1, 0), dtype=np.uint64)
     for j in range(width):
-        out += mix64(h[j:n - width + 1 + j] * _PLACES[j])
-    if n < SHINGLE_WORDS:  # a short sequence never equals the start of a longer one
-        out += np.uint64(n)
-    return mix64(out)
+        flat += h[j:len(flat) + j] * _PLACES[j]
+    flat = mix64(flat)
+    sets, sizes = [], np.zeros(len(texts) + 1, dtype=np.int64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        n = b - a
+        if n >= width:
+            s = np.sort(flat[a:b - width + 1])
+            keep = np.empty(len(s), dtype=bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            s = s[keep]
+        elif n:  # a short sequence never equals the start of a longer one
+            s = mix64((h[a:b] * _PLACES[:n]).sum(keepdims=True) + np.uint64(n))
+        else:
+            continue
+        sets.append(s)
+        sizes[i + 1] = len(s)
+    return (np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)), np.cumsum(sizes)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text))
+    return shingle_sets([text])[0]
 
 
 def ngram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

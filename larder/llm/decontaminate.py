@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import SHINGLE_WORDS, map_batches, mix64, shared_dir, shingle_hashes, shingle_set, small_batches, stored, words_of
+from larder.llm.common import SHINGLE_WORDS, map_batches, mix64, shared_dir, shingle_set, shingle_sets, small_batches, stored, words_of
 
 PERCENT = 80
 BLOCK_SHINGLES = 500_000
@@ -98,16 +98,14 @@ def search_block(docs: DataFrame, index: ItemIndex) -> DataFrame:
         if not len(index.all_hashes):
             return None
         texts = batch.column(1).to_pylist()
-        hashes = [shingle_hashes(t) for t in texts]
-        flat = np.concatenate(hashes)
+        flat, offsets = shingle_sets(texts)
         spot = np.searchsorted(index.all_hashes, flat)
         spot[spot == len(index.all_hashes)] = 0
-        hit = index.all_hashes[spot] == flat
-        ends = np.cumsum([len(h) for h in hashes])
+        hits = np.flatnonzero(index.all_hashes[spot] == flat)
+        owner = np.searchsorted(offsets, hits, side="right") - 1
         out = []
-        for row in np.unique(np.searchsorted(ends, np.flatnonzero(hit), side="right")).tolist():
-            own = hit[ends[row] - len(hashes[row]):ends[row]]
-            rows = index.candidates(np.unique(hashes[row][own]), len(np.unique(hashes[row])))
+        for row in np.unique(owner).tolist():
+            rows = index.candidates(flat[hits[owner == row]], int(offsets[row + 1] - offsets[row]))
             if rows:
                 words = set(word_shingles(texts[row]))
                 for k in rows:

@@ -3,26 +3,31 @@
 Two documents link when 100 * |A & B| >= 80 * |A | B| over distinct 5-word
 shingles. The join is a prefix-filter join with set-relation skipping:
 
-1. One scan gives each document's set size and a 128-bit set signature, and
-   counts the shingles of its hash-ordered prefix. Documents with equal sets
-   are one class from here on; its answers hold for every member.
-2. Shingles frequent in prefixes move to the end of the global order (the order
-   only decides how fast, any fixed order is exact). A second scan sends every
-   class's prefix, n - ceil(0.8 n) + 1 shingles, into index lists by shingle.
+1. One scan gives each document's set size, a 128-bit set signature and a parity
+   bitmap. Documents with equal sets are one class from here on; its answers
+   hold for every member.
+2. A second scan counts all shingles. The frequent ones move to the end of the
+   global order, by count (the order only decides how fast, any fixed order is
+   exact), so that the variants of a text that many documents share meet in no
+   list unless they are similar. A third scan sends every class's prefix, n - ceil(0.8 n) + 1 shingles, into index lists by shingle.
    Lists of one shingle longer than ``SPLIT`` are dealt to several tasks.
 3. A list is cut into blocks by set size and position; entries whose block can
    meet no other block of the list are skipped, and lists of one set vanish.
 4. Answers are derived along similar sets: every entry is first compared with
-   its list's leader only (linear in the list). Sets found similar share a
-   label; pairs inside a label are already connected and never compared.
+   its list's leader only, then across labels with a few other leaders (linear
+   in the list). Sets found similar share a label; pairs inside a label are
+   already connected and never compared.
    Where a list still holds several labels, every remaining pair across labels
    that passes the size and position bounds is compared, so no link between
    different components is lost.
 5. Components come from the links by min-label rounds; a document's component
    is the smallest id among the members of its classes.
 
-Candidates are verified on the full 64-bit shingle sets, which are gathered
-once for the sets that occur in a surviving list.
+Candidates first meet a parity bitmap (about two bits a shingle): the bits in
+which two bitmaps differ never outnumber the shingles in which the sets differ,
+so a pair whose bitmaps differ too much is out, exactly. Pairs that remain are
+verified on the full 64-bit shingle sets, gathered by another scan for the sets
+that occur in such a pair.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing
 and is its own component; one to four words are one shingle; rows that repeat
@@ -39,15 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import drop_path, map_batches, mix64, shared_dir, shingle_set, small_batches, stored
+from larder.llm.common import drop_path, map_batches, mix64, shared_dir, shingle_sets, small_batches, stored
 from larder.llm.graph import components
 
 PERCENT = 80
-HEAVY = 32          # prefix occurrences from which a shingle goes to the end of the order
+HEAVY = 16          # documents from which a shingle goes to the end of the order
 MAX_HEAVY = 1 << 20  # most frequent such shingles that are told to the tasks (order only, results do not depend on it)
 SPLIT = 8192        # entries of one shingle's list per task
 PLACES = 1 << 20    # places of the bitmap of sets worth gathering
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+LEADERS = 4         # leaders a list tries per round
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -56,10 +62,33 @@ def prefix_length(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two order-free 64-bit sums over a set."""
-    with np.errstate(over="ignore"):
-        return int(mix64(s).sum().view(np.int64)), int(mix64(s ^ _SALT).sum().view(np.int64))
+def signatures(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit sums over each of several sets."""
+    sums = []
+    for salt in (np.uint64(0), _SALT):
+        total = np.zeros(len(flat) + 1, dtype=np.uint64)
+        np.cumsum(mix64(flat ^ salt), out=total[1:])
+        sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+    return sums[0], sums[1]
+
+
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles at each of 2^k places, about two places a shingle."""
+    places = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    at = (mix64(s + _SALT) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, nx: int, y: bytes, ny: int) -> bool:
+    """False only if the bitmaps prove that two sets miss the bound."""
+    p, q = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(p) > len(q):  # parities of places that share their lower bits add up
+        p = p[:len(p) // 2] ^ p[len(p) // 2:]
+    while len(q) > len(p):
+        q = q[:len(q) // 2] ^ q[len(q) // 2:]
+    apart = int(np.bitwise_count(p ^ q).sum())
+    most = (nx + ny - apart) // 2  # shingles that both can share
+    return (100 + PERCENT) * most >= PERCENT * (nx + ny)
 
 
 def _slices(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -73,44 +102,50 @@ def _by_slice(slices: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[cuts[k]:cuts[k + 1]]
 
 
-def _scan(docs: DataFrame, n_slices: int) -> DataFrame:
-    """Rows (id, n, s1, s2) per document and (slice, tokens) of prefix shingles per batch."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """(id, n, s1, s2, bitmap) per document."""
     id_type = docs.schema["id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, s1, s2, prefixes, seen = [], [], [], [], set()
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text)
-            sig = signature(s)
-            n.append(len(s)), s1.append(sig[0]), s2.append(sig[1])
-            if len(s) and sig not in seen:
-                seen.add(sig)
-                prefixes.append(s[:prefix_length(len(s))])
-        tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
-        blobs = [(k, np.sort(tokens[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-                 for k, at in _by_slice(_slices(tokens & np.uint64(0xFFFFFFFF), n_slices), n_slices)]
-        rows, m = len(n), len(blobs)
-        return pa.RecordBatch.from_arrays([
-            pa.concat_arrays([batch.column(0), pa.nulls(m, arrow_id)]),
-            pa.array(n + [None] * m, pa.int32()), pa.array(s1 + [None] * m, pa.int64()), pa.array(s2 + [None] * m, pa.int64()),
-            pa.array([None] * rows + [k for k, _ in blobs], pa.int32()),
-            pa.array([None] * rows + [b for _, b in blobs], pa.binary())], names=["id", "n", "s1", "s2", "slice", "tokens"])
-
-    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, slice int, tokens binary")
-
-
-def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (lower 32 bits of the hash, ascending) frequent in prefixes, with counts."""
+        flat, offsets = shingle_sets(batch.column(1).to_pylist())
+        s1, s2 = signatures(flat, offsets)
+        bitmaps = [parity_bitmap(flat[a:b]) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(s1), pa.array(s2),
+                                           pa.array(bitmaps, pa.binary())], names=["id", "n", "s1", "s2", "bitmap"])
+
+    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, bitmap binary")
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (upper 32 bits of the hash, ascending) that many documents hold, with counts.
+
+    Tasks send the shingles of a batch packed by slice, that is by their top
+    bits: three bytes each, one byte place after the other.
+    """
+    spark = docs.sparkSession
+    bits = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # of a slice's number
+
+    def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        flat, _ = shingle_sets(batch.column(1).to_pylist())
+        if not len(flat):
+            return None
+        tokens = np.sort((flat >> np.uint64(32)).astype(np.uint32))
+        cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
+        places = (tokens & np.uint32((1 << (32 - bits)) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)
+        slices = np.flatnonzero(np.diff(cuts))
+        blobs = [places[cuts[k]:cuts[k + 1], 1:].T.tobytes() for k in slices]
+        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "tokens"])
+
     def count(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("tokens").to_pylist()])
-        token, n = np.unique(tokens, return_counts=True)
+        parts = [np.frombuffer(b, dtype=np.uint8).reshape(3, -1) for b in table.column("tokens").to_pylist()]
+        high, mid, low = (np.concatenate([p[i] for p in parts]).astype(np.uint32) for i in range(3))
+        token, n = np.unique(high << np.uint32(16) | mid << np.uint32(8) | low, return_counts=True)
         keep = n >= HEAVY
-        return pa.table({"token": token[keep].astype(np.int64), "n": n[keep].astype(np.int64)})
+        base = np.uint32(table.column("slice")[0].as_py() << (32 - bits))
+        return pa.table({"token": (token[keep] | base).astype(np.int64), "n": n[keep].astype(np.int64)})
 
-    found = (scanned.filter("slice is not null").select("slice", "tokens").groupBy("slice")
-             .applyInArrow(count, "token bigint, n bigint").orderBy(F.col("n").desc(), "token").limit(MAX_HEAVY).toPandas())
-    found = found.sort_values("token")
+    found = (map_batches(docs, send, "slice int, tokens binary").groupBy("slice").applyInArrow(count, "token bigint, n bigint")
+             .orderBy(F.col("n").desc(), "token").limit(MAX_HEAVY).toPandas().sort_values("token"))
     return found["token"].to_numpy().astype(np.uint32), found["n"].to_numpy()
 
 
@@ -123,32 +158,27 @@ def _index_rows(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n_slices:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         token, count = shared.value
+        flat, offsets = shingle_sets(batch.column(1).to_pylist())
+        s1, s2 = signatures(flat, offsets)
+        upper = (flat >> np.uint64(32)).astype(np.uint32)
+        spot = np.searchsorted(token, upper)
+        spot[spot == len(token)] = 0
+        weight = np.where(token[spot] == upper, count[spot], 0) if len(token) else np.zeros(len(flat), dtype=np.int64)
         parts, seen = [], set()
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text)
-            n = len(s)
-            if not n:
-                continue
-            sig = signature(s)
-            if sig in seen:
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if a == b or s2[i] in seen:
                 continue
-            seen.add(sig)
+            seen.add(s2[i])
+            n, own = b - a, weight[a:b]
             p = prefix_length(n)
-            low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            spot = np.searchsorted(token, low)
-            spot[spot == len(token)] = 0
-            frequent = token[spot] == low if len(token) else np.zeros(n, dtype=bool)
-            split = np.ones(p, dtype=np.uint64)
-            if frequent.any():
-                weight = np.where(frequent, count[spot], 0)
-                order = np.lexsort((s, weight))[:p]
-                split = (np.maximum(weight[order], 1) // SPLIT + 1).astype(np.uint64)
-                chosen = s[order]
+            if own[:p].any():
+                order = np.argsort(own, kind="stable")[:p]  # by frequency, then by hash
+                chosen, split = flat[a:b][order], own[order] // SPLIT + 1
             else:
-                chosen = s[:p]
+                chosen, split = flat[a:a + p], np.ones(p, dtype=np.int64)
             rows = np.empty(p, dtype=_ROW)
-            rows["token"], rows["s1"], rows["n"], rows["pos"] = chosen, sig[0], n, np.arange(p)
-            parts.append((rows, np.uint64(sig[1] & 0xFFFFFFFF) % split))
+            rows["token"], rows["s1"], rows["n"], rows["pos"] = chosen, s1[i], n, np.arange(p)
+            parts.append((rows, np.uint64(int(s2[i]) & 0xFFFFFFFF) % split.astype(np.uint64)))
         if not parts:
             return None
         rows = np.concatenate([r for r, _ in parts])
@@ -178,7 +208,7 @@ def list_entries(rows: dict[str, np.ndarray], always: np.ndarray) -> dict[str, n
 
     Lists are ordered by (token, size, set), so a list's sizes form blocks and
     an entry survives only if the neighbouring size is within the bound.
-    ``always``: tokens (32 bits) whose lists are dealt to several tasks; their
+    ``always``: tokens (upper 32 bits) whose lists are dealt to several tasks; their
     entries stay.
     """
     order = np.lexsort((rows["s1"], rows["n"], rows["token"]))
@@ -191,15 +221,17 @@ def list_entries(rows: dict[str, np.ndarray], always: np.ndarray) -> dict[str, n
     meets[1:] |= fits
     meets[:-1] |= fits
     if len(always):
-        meets |= np.isin((token & np.uint64(0xFFFFFFFF)).astype(np.uint32), always)
+        meets |= np.isin((token >> np.uint64(32)).astype(np.uint32), always)
     token, s1, n, pos = token[meets], s1[meets], n[meets], pos[meets]
-    # A leader heads each block: a run of one list whose neighbouring sizes fit.
+    # Each block, a run of one list whose neighbouring sizes fit, is led by its smallest set
+    # signature: the lists that a group of similar sets shares then agree on few leaders.
     head = np.ones(len(token), dtype=bool)
     head[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
     block = np.cumsum(head) - 1
-    middle = (np.flatnonzero(head) + np.append(np.flatnonzero(head)[1:], len(token)) - 1) // 2 if len(token) else np.empty(0, int)
+    by_sig = np.lexsort((s1, block))  # block by block, smallest signature first
+    leads = by_sig[np.flatnonzero(head)] if len(token) else by_sig
     return {"token": token.view(np.int64), "s1": s1, "n": n.astype(np.int32), "pos": pos.astype(np.int32),
-            "leader": s1[middle][block] if len(token) else s1, "leader_n": (n[middle][block] if len(token) else n).astype(np.int32)}
+            "leader": s1[leads][block], "leader_n": n[leads][block].astype(np.int32)}
 
 
 def _entries(index: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -212,58 +244,67 @@ def _entries(index: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
         run, "token bigint, s1 bigint, n int, pos int, leader bigint, leader_n int")
 
 
-def _gather(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(s1, s2, n, shingles) of the sets that occur in entries (and some more, by the bitmap)."""
+def _gather(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(s1, s2, n, shingles) of the sets that occur in pairs (and a few more, by the bitmap of places)."""
     spark = docs.sparkSession
-    places = (entries.select((F.col("s1").bitwiseAND(F.lit(PLACES - 1))).cast("int").alias("p"))
-              .union(entries.select((F.col("leader").bitwiseAND(F.lit(PLACES - 1))).cast("int")))
-              .distinct().toPandas()["p"].to_numpy())
-    bitmap = np.zeros(PLACES, dtype=bool)
-    bitmap[places] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    places = (pairs.select(F.explode(F.array("a", "b")).alias("s1"))
+              .select(F.col("s1").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy())
+    wanted = np.zeros(PLACES, dtype=bool)
+    wanted[places] = True
+    shared = spark.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        bits = shared.value
-        out, seen = [], set()
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text)
-            if not len(s):
-                continue
-            sig = signature(s)
-            place = sig[0] & (PLACES - 1)
-            if sig not in seen and bits[place >> 3] >> (7 - (place & 7)) & 1:
-                seen.add(sig)
-                out.append((sig[0], sig[1], len(s), s.tobytes()))
-        if not out:
+        flat, offsets = shingle_sets(batch.column(1).to_pylist())
+        s1, s2 = signatures(flat, offsets)
+        place = s1 & (PLACES - 1)
+        hit = np.flatnonzero((shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool) & (np.diff(offsets) > 0))
+        _, first = np.unique(s2[hit], return_index=True)
+        hit = hit[first]
+        if not len(hit):
             return None
-        s1, s2, n, blob = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()),
-                                           pa.array(blob, pa.binary())], names=["s1", "s2", "n", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(s1[hit]), pa.array(s2[hit]), pa.array(np.diff(offsets)[hit].astype(np.int32)),
+                                           pa.array([flat[offsets[i]:offsets[i + 1]].tobytes() for i in hit], pa.binary())],
+                                          names=["s1", "s2", "n", "shingles"])
 
     found = map_batches(docs, run, "s1 bigint, s2 bigint, n int, shingles binary")
     return found.dropDuplicates(["s1", "s2", "n"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set signatures whose sets reach the bound, with the overlap."""
-    left = sets.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+def _paired(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of both their sets: a, b, na, x, nb, y."""
+    left = table.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
+    right = table.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "na", "x", "nb", "y")
+
 
+def _kept(paired: DataFrame, test) -> DataFrame:
+    """Pairs (a, b) that pass ``test(x, na, y, nb)``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, last = [], (None, None)
-        a, b, x, y = batch.columns
-        for i in range(batch.num_rows):
-            p = np.frombuffer(x[i].as_buffer(), dtype=np.uint64)
-            q = np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= PERCENT * (len(p) + len(q) - common):
-                keep.append(i)
+        na, x, nb, y = (c.to_pylist() for c in batch.columns[2:])
+        keep = [i for i in range(batch.num_rows) if test(x[i], na[i], y[i], nb[i])]
         return batch.select([0, 1]).take(pa.array(keep, pa.int64())) if keep else None
 
-    return map_batches(joined, run, "a bigint, b bigint")
+    return map_batches(paired, run, "a bigint, b bigint")
+
+
+def _similar(x: bytes, nx: int, y: bytes, ny: int) -> bool:
+    both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (nx + ny - common)
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose sets reach the bound."""
+    spark = docs.sparkSession
+    near = stored(_kept(_paired(pairs, classes, "bitmap"), may_be_similar), shared_dir(spark, "near")).distinct()
+    if near.limit(1).count() == 0:
+        return near
+    sets_path = shared_dir(spark, "sets")
+    sets = stored(_gather(docs, near), sets_path)
+    links = stored(_kept(_paired(near, sets, "shingles"), _similar).distinct(), shared_dir(spark, "links"))
+    drop_path(spark, sets_path)
+    return links
 
 
 def _fitting(pairs: DataFrame) -> DataFrame:
@@ -271,16 +312,15 @@ def _fitting(pairs: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_sets(docs: DataFrame, classes: DataFrame, scanned: DataFrame, n_slices: int) -> DataFrame:
+def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFrame:
     """(s1, label): connected sets; sets without a partner do not occur."""
     spark = docs.sparkSession
-    heavy = _frequent(scanned)
+    heavy = _frequent(docs)
     entries_path = shared_dir(spark, "entries")
     entries = stored(_entries(_index_rows(docs, heavy, n_slices), heavy), entries_path)
-    sets = stored(_gather(docs, entries), shared_dir(spark, "sets"))
     star = entries.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb"))
     tested = stored(_fitting(star), shared_dir(spark, "pairs"))
-    links = stored(_verified(tested, sets), shared_dir(spark, "links"))
+    links = _verified(docs, classes, tested)
     labels = components(links)
     thin = entries.select("token", "s1", "n", "pos")
     for round_no in range(STAR_ROUNDS + 1):
@@ -292,19 +332,21 @@ def similar_sets(docs: DataFrame, classes: DataFrame, scanned: DataFrame, n_slic
         total = per_label.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
         if not total[0]:
             break
+        thin = named.select("token", "s1", "n", "pos")  # labels only merge: lists of one label stay so
         last = round_no == STAR_ROUNDS or total[1] <= 8 * total[0]
         if last:  # all pairs across labels that the bounds allow
             other = named.select("token", F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
             found = named.select("token", F.col("s1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")).join(other, "token").filter(
                 f"la < lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and "
                 f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)")
-        else:  # another leader for every list, compared across labels only
-            leader = named.groupBy("token").agg(F.min_by(F.struct("s1", "n", "label"), F.xxhash64("s1", F.lit(round_no))).alias("h"))
+        else:  # other leaders for every list, compared across labels only
+            picks = [F.min_by(F.struct("s1", "n", "label"), F.xxhash64("s1", F.lit(LEADERS * round_no + i))) for i in range(LEADERS)]
+            leader = named.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("h")).select("token", F.explode("h").alias("h"))
             found = named.join(leader, "token").filter(F.col("label") != F.col("h.label")).select(
                 F.col("s1").alias("a"), F.col("n").alias("na"), F.col("h.s1").alias("b"), F.col("h.n").alias("nb"))
         fresh = stored(_fitting(found).join(tested, ["a", "b"], "left_anti"), shared_dir(spark, "pairs"))
         tested = tested.union(fresh)
-        links = links.union(stored(_verified(fresh, sets), shared_dir(spark, "links")))
+        links = links.union(_verified(docs, classes, fresh))
         labels = components(links)
         if last:
             break
@@ -317,12 +359,12 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     n_slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = stored(_scan(docs, n_slices), shared_dir(spark, "scan"))
-    sigs = scanned.filter("slice is null").select("id", "n", "s1", "s2")
-    classes = stored(sigs.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), shared_dir(spark, "classes"))
-    labels = similar_sets(docs, classes, scanned, n_slices)
+    sigs = stored(_scan(docs), shared_dir(spark, "scan"))
+    classes = stored(sigs.filter("n > 0").groupBy("n", "s1", "s2").agg(
+        F.min("id").alias("rep"), F.first("bitmap").alias("bitmap")), shared_dir(spark, "classes"))
+    labels = similar_sets(docs, classes, n_slices)
     labelled = classes.join(labels, "s1", "left")  # no label: a class without a partner
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min("rep").alias("smallest"))
     named = labelled.join(smallest, "label", "left").select("n", "s1", "s2", F.coalesce("smallest", "rep").alias("component_id"))
-    return sigs.join(named, ["n", "s1", "s2"], "left").select(
+    return sigs.drop("bitmap").join(named, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
