@@ -188,16 +188,49 @@ def test_classifiers_on_odd_tables(spark):
         assert fn(docs, labels.limit(0)).count() == 5
 
 
-def test_kneser_ney_counts_and_probabilities(spark):
-    rows = spark.createDataFrame([("aba abc", 0), ("abc", 1), (None, 1)], "text string, toxic int")
-    grams = toxicity_kn.count_ngrams(rows)
-    assert grams.filter("o = 5").agg(F.sum("n_ord"), F.sum("n_tox")).first()[:] == (8, 4)  # three letters and an end per word
+def brute_difference(word, texts):
+    """Log-likelihood difference of a word by Kneser-Ney over plain strings."""
+    order, grams = toxicity_kn.ORDER, {o: set() for o in range(1, toxicity_kn.ORDER + 1)}
+    top = ({}, {})
+
+    def ngrams(w, o):
+        padded = "\x02" * (order - 1) + w + "\x03"
+        return [padded[i - o + 1:i + 1] for i in range(order - 1, len(padded))]
+
+    for text, toxic in texts:
+        for w in text.lower().split():
+            for o in grams:
+                grams[o].update(ngrams(w, o))
+            for g in ngrams(w, order):
+                top[toxic][g] = top[toxic].get(g, 0) + 1
+
+    def shared(g):
+        if not g:
+            return 1.0 / toxicity_kn.ALPHABET
+        num = sum(x[1:] == g for x in grams[len(g) + 1])
+        tot = sum(x[1:-1] == g[:-1] for x in grams[len(g) + 1])
+        typ = sum(x[:-1] == g[:-1] for x in grams[len(g)])
+        below = shared(g[1:])
+        return (max(num - toxicity_kn.DISCOUNT, 0) + toxicity_kn.DISCOUNT * typ * below) / tot if tot else below
+
+    def highest(g, counts):
+        same = [n for x, n in counts.items() if x[:-1] == g[:-1]]
+        below = shared(g[1:])
+        if not same:
+            return below
+        return (max(counts.get(g, 0) - toxicity_kn.DISCOUNT, 0) + toxicity_kn.DISCOUNT * len(same) * below) / sum(same)
+
+    return sum(np.log(highest(g, top[1])) - np.log(highest(g, top[0])) for g in ngrams(word, order))
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    texts = [("aba abc bcd abc", 0), ("abc abd dab xyxyz", 1), ("the theta", 0), (None, 1)]
+    grams = toxicity_kn.count_ngrams(spark.createDataFrame(texts, "text string, toxic int").repartition(3))
+    assert grams.filter("o = 5").agg(F.sum("n_ord"), F.sum("n_tox")).first()[:] == (26, 18)  # letters and one end per word
     tables = toxicity_kn.model_tables(grams)
-    hashes, at, _ = toxicity_kn.ngram_hashes(["abc"], toxicity_kn.ORDER)
-    place = int(hashes[1][at[2]] & np.uint64((1 << toxicity_kn.LOW_BITS) - 1))
-    assert tables[1, "num", 0][place] == 1  # c follows one letter only
-    diff = dict(zip(["aba", "abc"], toxicity_kn.word_differences(["aba", "abc"], tables)))
-    assert diff["aba"] < 0 < diff["abc"]
+    words = ["abc", "xyxyz", "theta", "unseen", "dab", "a"]
+    for word, got in zip(words, toxicity_kn.word_differences(words, tables)):
+        assert abs(got - brute_difference(word, [t for t in texts if t[0]])) < 1e-4
 
 
 def test_toxic_stems_with_new_endings(spark):
