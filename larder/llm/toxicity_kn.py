@@ -50,21 +50,27 @@ def split_words(text: str | None) -> list[str]:
 
 
 def _count_rows(counts: list[Counter]) -> pa.RecordBatch:
-    """Distinct n-grams of the counted words: order, h, ctx, suf, mid, n_ord, n_tox."""
+    """Distinct n-grams of the counted words: h, packed, n_ord, n_tox.
+
+    ``packed`` holds the order and the places of the context, of the n-gram
+    without its first letter, and of that one's context.
+    """
     words = list(counts[0].keys() | counts[1].keys())
     hashes, at, word = ngram_hashes(words, ORDER)
     by_class = [np.fromiter((c[w] for w in words), dtype=np.float64, count=len(words))[word] for c in counts]
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+    low = np.uint64((1 << LOW_BITS) - 1)
     for o in range(1, ORDER + 1):
         h, first, inverse = np.unique(hashes[o][at], return_index=True, return_inverse=True)
         spot = at[first]
-        parts = [np.full(len(h), o, dtype=np.int32), h, hashes[o - 1][spot - 1], hashes[o - 1][spot],
-                 hashes[max(o - 2, 0)][spot - 1]]
+        ctx = hashes[o - 1][spot - 1] & (np.uint64((1 << TOP_BITS) - 1) if o == ORDER else low)
+        suf, mid = hashes[o - 1][spot] & low, hashes[max(o - 2, 0)][spot - 1] & low
+        packed = (np.uint64(o) << np.uint64(TOP_BITS + 2 * LOW_BITS)) | (ctx << np.uint64(2 * LOW_BITS)) | (suf << np.uint64(LOW_BITS)) | mid
+        parts = [h.view(np.int64), packed.view(np.int64)]
         parts += [np.bincount(inverse, weights=w, minlength=len(h)).astype(np.int64) for w in by_class]
         for col, part in zip(cols, parts):
-            col.append(part.view(np.int64) if part.dtype == np.uint64 else part)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols],
-                                      names=["o", "h", "ctx", "suf", "mid", "n_ord", "n_tox"])
+            col.append(part)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "packed", "n_ord", "n_tox"])
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -81,16 +87,16 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
         if counts[0] or counts[1]:
             yield _count_rows(counts)
 
-    found = rows.select("text", "toxic").mapInArrow(
-        run, "o int, h bigint, ctx bigint, suf bigint, mid bigint, n_ord bigint, n_tox bigint")
-    return found.groupBy("o", "h").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.first("mid").alias("mid"),
-                                       F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox"))
+    found = rows.select("text", "toxic").mapInArrow(run, "h bigint, packed bigint, n_ord bigint, n_tox bigint")
+    return found.groupBy("h").agg(F.first("packed").alias("packed"), F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")).select(
+        F.shiftright("packed", TOP_BITS + 2 * LOW_BITS).cast("int").alias("o"), "h", "packed", "n_ord", "n_tox")
 
 
 def model_tables(grams: DataFrame) -> dict:
     """Kneser-Ney tables over hashed places (their number bounds what is collected)."""
-    def place(col: str, bits: int):
-        return F.col(col).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    def place(name: str, bits: int):
+        source = F.col("h") if name == "h" else F.shiftright("packed", {"ctx": 2 * LOW_BITS, "suf": LOW_BITS, "mid": 0}[name])
+        return source.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def entry(kind: str, order, spot, a, b):
         return F.struct(F.lit(kind).alias("kind"), order.cast("int").alias("o"), spot.alias("place"),
@@ -103,18 +109,29 @@ def model_tables(grams: DataFrame) -> dict:
     below = F.array(entry("num", o - 1, place("suf", LOW_BITS), one, one), entry("tot", o - 1, place("mid", LOW_BITS), one, one))
     types = F.array(entry("typ", o, place("ctx", LOW_BITS), one, one))
     none = F.slice(types, 1, 0)
-    rows = (grams.select(F.inline(F.concat(F.when(o == ORDER, top).otherwise(none), F.when(o > 1, below).otherwise(none),
-                                           F.when(o < ORDER, types).otherwise(none))))
-            .groupBy("kind", "o", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas())
+    entries = (grams.select(F.inline(F.concat(F.when(o == ORDER, top).otherwise(none), F.when(o > 1, below).otherwise(none),
+                                              F.when(o < ORDER, types).otherwise(none))))
+               .groupBy("kind", "o", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+    def dense(table: pa.Table) -> pa.Table:
+        """One kind and order as float arrays over all places."""
+        kind, order = table.column("kind")[0].as_py(), table.column("o")[0].as_py()
+        blobs = []
+        for col in ("a", "b"):
+            out = np.zeros(1 << (TOP_BITS if order == ORDER else LOW_BITS), dtype=np.float32)
+            out[table.column("place").to_numpy()] = table.column(col).to_numpy()
+            blobs.append(out.tobytes() if col == "a" or order == ORDER else b"")
+        return pa.table({"kind": [kind], "o": pa.array([order], pa.int32()), "a": pa.array(blobs[:1], pa.binary()),
+                         "b": pa.array(blobs[1:], pa.binary())})
+
     tables = {}
-    for order in range(1, ORDER + 1):
-        size = 1 << (TOP_BITS if order == ORDER else LOW_BITS)
+    for row in entries.groupBy("kind", "o").applyInArrow(dense, "kind string, o int, a binary, b binary").collect():
+        for side, blob in enumerate((row["a"], row["b"])[:2 if row["o"] == ORDER else 1]):
+            tables[row["o"], row["kind"], side] = np.frombuffer(bytes(blob), dtype=np.float32)
+    for order in range(1, ORDER + 1):  # orders that no row has
         for kind in ("num", "tot", "typ"):
-            part = rows[(rows["o"] == order) & (rows["kind"] == kind)]
-            for side, col in enumerate(("a", "b") if order == ORDER else ("a",)):
-                table = np.zeros(size, dtype=np.float32)
-                table[part["place"].to_numpy()] = part[col].to_numpy()
-                tables[order, kind, side] = table
+            for side in range(2 if order == ORDER else 1):
+                tables.setdefault((order, kind, side), np.zeros(1 << (TOP_BITS if order == ORDER else LOW_BITS), dtype=np.float32))
     return tables
 
 
@@ -209,8 +226,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().dropDuplicates(["id"])
              .filter(fold("id", folds) != held_out))
     share = known.agg(F.avg("toxic")).first()[0]
+    # A merge join whatever the sizes: both sides grow with the corpus.
     train = thin.filter((fold("id", folds) != held_out) & (fold("id", folds) != calibration)).join(
-        known.filter(fold("id", folds) != calibration), "id")
+        known.filter(fold("id", folds) != calibration).hint("merge"), "id")
     scratch = shared_dir(spark, "ngrams")
     grams = stored(count_ngrams(train), scratch)
     tables = model_tables(grams)
