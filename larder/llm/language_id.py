@@ -75,28 +75,33 @@ def _place(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count_rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """(lang, o, place, n); order 0 counts letters by script."""
+    """(lang, o, sums): one array over all places per language and order; order 0 counts letters by script."""
     for lang, counter in counts.items():
         words = list(counter)
         weight = np.fromiter(counter.values(), dtype=np.float64, count=len(words))
         hashes, at, word = ngram_hashes(words, ORDER)
-        orders, places, sums = [], [], []
-        for o in range(2, ORDER + 1):
-            n = np.bincount(_place(hashes[o][at]), weights=weight[word], minlength=1 << BITS)
-            places.append(np.flatnonzero(n))
-            sums.append(n[places[-1]])
-            orders.append(np.full(len(places[-1]), o))
-        letters = weight * np.fromiter(map(len, words), dtype=np.float64, count=len(words))
-        n = np.bincount(script_of(words), weights=letters, minlength=len(SCRIPT_NAMES))
-        places.append(np.flatnonzero(n)), sums.append(n[places[-1]]), orders.append(np.zeros(len(places[-1]), dtype=np.int64))
-        place, total, order = np.concatenate(places), np.concatenate(sums), np.concatenate(orders)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(order.astype(np.int32)),
-                                          pa.array(place.astype(np.int32)), pa.array(total.astype(np.int64))],
-                                         names=["lang", "o", "place", "n"])
+        sums = [np.bincount(script_of(words), weights=weight * np.fromiter(map(len, words), dtype=np.float64, count=len(words)),
+                            minlength=1 << BITS)]
+        sums += [np.bincount(_place(hashes[o][at]), weights=weight[word], minlength=1 << BITS) for o in range(2, ORDER + 1)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang] * ORDER, pa.string()), pa.array([0, *range(2, ORDER + 1)], pa.int32()),
+            pa.array([n.astype(np.int64).tobytes() for n in sums], pa.binary())], names=["lang", "o", "sums"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the arrays of each language and order in a partition; holds one array per key."""
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for lang, o, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own = np.frombuffer(blob, dtype=np.int64)
+            total[lang, o] = total[lang, o] + own if (lang, o) in total else own
+    for (lang, o), n in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([o], pa.int32()), pa.array([n.tobytes()], pa.binary())],
+                                         names=["lang", "o", "sums"])
 
 
 def count_by_language(rows: DataFrame) -> DataFrame:
-    """(lang, o, place, n) sums over all rows; ``rows``: text, lang."""
+    """(lang, o, sums) over all rows, the sums of all places as bytes; ``rows``: text, lang."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
@@ -109,26 +114,30 @@ def count_by_language(rows: DataFrame) -> DataFrame:
                 counts = {}
         yield from _count_rows(counts)
 
-    found = rows.select("text", "lang").mapInArrow(run, "lang string, o int, place int, n bigint")
-    return found.groupBy("lang", "o", "place").agg(F.sum("n").alias("n"))
+    schema = "lang string, o int, sums binary"
+    found = rows.select("text", "lang").mapInArrow(run, schema)
+    # A tree of sums: the tasks' arrays meet in as many parts as there are partitions, then per key.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = found.withColumn("slot", F.spark_partition_id() % 16).repartition(parts, "lang", "o", "slot").drop("slot").mapInArrow(_add_up, schema)
+    return first.repartition(parts, "lang", "o").mapInArrow(_add_up, schema)
 
 
 class LanguageModel:
     """Log-likelihood tables by order, place and language, and each language's scripts."""
 
-    def __init__(self, counts):
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(self, counts: list):
+        """``counts``: rows (lang, o, sums) with the sums of all places as int64 bytes."""
+        self.langs = sorted({r["lang"] for r in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        n_langs = len(self.langs)
-        self.tables = []
-        for o in range(2, ORDER + 1):
-            part = counts[counts["o"] == o]
-            table = np.full((1 << BITS, n_langs), SMOOTH)
-            table[part["place"].to_numpy(), part["lang"].map(at).to_numpy(dtype=int)] += part["n"].to_numpy()
-            self.tables.append(np.log(table / table.sum(axis=0)).astype(np.float32))
-        part = counts[counts["o"] == 0]
-        letters = np.zeros((len(SCRIPT_NAMES), n_langs))
-        letters[part["place"].to_numpy(), part["lang"].map(at).to_numpy(dtype=int)] = part["n"].to_numpy()
+        tables = {o: np.full((1 << BITS, len(at)), SMOOTH) for o in range(2, ORDER + 1)}
+        letters = np.zeros((len(SCRIPT_NAMES), len(at)))
+        for r in counts:
+            sums = np.frombuffer(bytes(r["sums"]), dtype=np.int64)
+            if r["o"]:
+                tables[r["o"]][:, at[r["lang"]]] += sums
+            else:
+                letters[:, at[r["lang"]]] = sums[:len(SCRIPT_NAMES)]
+        self.tables = [np.log(t / t.sum(axis=0)).astype(np.float32) for t in tables.values()]
         self.written = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -217,8 +226,8 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """Model from the given rows with a language; None if there are none."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    counts = count_by_language(rows).toPandas()
-    return LanguageModel(counts) if len(counts) else None
+    counts = count_by_language(rows).collect()  # a fixed number of places per language and order
+    return LanguageModel(counts) if counts else None
 
 
 def label_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text",
