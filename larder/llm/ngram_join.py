@@ -52,8 +52,8 @@ HEAVY = 16          # documents from which a shingle goes to the end of the orde
 MAX_HEAVY = 1 << 20  # most frequent such shingles that are told to the tasks (order only, results do not depend on it)
 SPLIT = 8192        # entries of one shingle's list per task
 PLACES = 1 << 20    # places of the bitmap of sets worth gathering
-STAR_ROUNDS = 2
-LEADERS = 4         # leaders a list tries per round
+STAR_ROUNDS = 1
+LEADERS = 2         # further leaders of a list per round
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -297,19 +297,22 @@ def _similar(x: bytes, nx: int, y: bytes, ny: int) -> bool:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose sets reach the bound."""
     spark = docs.sparkSession
-    near = stored(_kept(_paired(pairs, classes, "bitmap"), may_be_similar), shared_dir(spark, "near")).distinct()
+    near = stored(_kept(_paired(pairs, classes, "bitmap"), may_be_similar), shared_dir(spark, "near"))
     if near.limit(1).count() == 0:
         return near
     sets_path = shared_dir(spark, "sets")
     sets = stored(_gather(docs, near), sets_path)
-    links = stored(_kept(_paired(near, sets, "shingles"), _similar).distinct(), shared_dir(spark, "links"))
+    links = stored(_kept(_paired(near, sets, "shingles"), _similar), shared_dir(spark, "links"))
     drop_path(spark, sets_path)
     return links
 
 
-def _fitting(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+FITS = f"a <> b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+
+
+def _one_each(candidates: DataFrame) -> DataFrame:
+    """Of the candidates (a, na, b, nb) of fitting size, one leader b for every a: as many pairs as sets."""
+    return candidates.filter(FITS).groupBy("a").agg(F.min("b").alias("b"))
 
 
 def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFrame:
@@ -319,34 +322,32 @@ def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFram
     entries_path = shared_dir(spark, "entries")
     entries = stored(_entries(_index_rows(docs, heavy, n_slices), heavy), entries_path)
     star = entries.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb"))
-    tested = stored(_fitting(star), shared_dir(spark, "pairs"))
-    links = _verified(docs, classes, tested)
+    links = _verified(docs, classes, stored(_one_each(star), shared_dir(spark, "pairs")))
     labels = components(links)
     thin = entries.select("token", "s1", "n", "pos")
     for round_no in range(STAR_ROUNDS + 1):
         named = thin.join(labels.withColumnRenamed("v", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
-        mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-        named = stored(named.join(mixed, "token", "left_semi"), shared_dir(spark, "mixed"))
-        per_label = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        total = per_label.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        if not total[0]:
+        # Lists that hold several labels; labels only merge, so the others are done.
+        lists = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        lists = stored(lists, shared_dir(spark, "lists"))
+        named = stored(named.join(lists.select("token"), "token"), shared_dir(spark, "mixed"))
+        entries_left, across = lists.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+        if not entries_left:
             break
-        thin = named.select("token", "s1", "n", "pos")  # labels only merge: lists of one label stay so
-        last = round_no == STAR_ROUNDS or total[1] <= 8 * total[0]
+        thin = named.select("token", "s1", "n", "pos")
+        last = round_no == STAR_ROUNDS or across <= 8 * entries_left
         if last:  # all pairs across labels that the bounds allow
-            other = named.select("token", F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-            found = named.select("token", F.col("s1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")).join(other, "token").filter(
-                f"la < lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and "
-                f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)")
+            left = named.select("token", F.col("s1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+            right = named.select("token", F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+            found = left.join(right, "token").filter(
+                f"la < lb and {FITS} and {100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)").select("a", "b").distinct()
         else:  # other leaders for every list, compared across labels only
             picks = [F.min_by(F.struct("s1", "n", "label"), F.xxhash64("s1", F.lit(LEADERS * round_no + i))) for i in range(LEADERS)]
             leader = named.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("h")).select("token", F.explode("h").alias("h"))
-            found = named.join(leader, "token").filter(F.col("label") != F.col("h.label")).select(
-                F.col("s1").alias("a"), F.col("n").alias("na"), F.col("h.s1").alias("b"), F.col("h.n").alias("nb"))
-        fresh = stored(_fitting(found).join(tested, ["a", "b"], "left_anti"), shared_dir(spark, "pairs"))
-        tested = tested.union(fresh)
-        links = links.union(_verified(docs, classes, fresh))
+            found = _one_each(named.join(leader, "token").filter(F.col("label") != F.col("h.label")).select(
+                F.col("s1").alias("a"), F.col("n").alias("na"), F.col("h.s1").alias("b"), F.col("h.n").alias("nb")))
+        links = links.union(_verified(docs, classes, stored(found, shared_dir(spark, "pairs"))))
         labels = components(links)
         if last:
             break
