@@ -54,6 +54,8 @@ SPLIT = 8192        # entries of one shingle's list per task
 PLACES = 1 << 20    # places of the bitmap of sets worth gathering
 STAR_ROUNDS = 1
 LEADERS = 2         # further leaders of a list per round
+FOLD = 512          # places of the folded parity bitmaps that pairs of a list are compared by
+WORDS = [f"f{i}" for i in range(FOLD // 64)]
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -73,12 +75,20 @@ def signatures(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles at each of 2^k places, about two places a shingle."""
-    places = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Parity of the number of shingles at each of 2^k places, two places a shingle or more."""
+    places = max(FOLD, 1 << int(2 * len(s) - 1).bit_length())
     at = (mix64(s + _SALT) & np.uint64(places - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
 
 
+def folded(bitmap: bytes) -> list[int]:
+    """A parity bitmap folded to FOLD places, as signed 64-bit integers."""
+    bits = np.frombuffer(bitmap, dtype=np.uint8)
+    while len(bits) > FOLD // 8:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return np.frombuffer(bits.tobytes(), dtype="<i8").tolist()
+
+
 def may_be_similar(x: bytes, nx: int, y: bytes, ny: int) -> bool:
     """False only if the bitmaps prove that two sets miss the bound."""
     p, q = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
@@ -103,17 +113,19 @@ def _by_slice(slices: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, bitmap) per document."""
+    """(id, n, s1, s2, bitmap and its folded words) per document."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, offsets = shingle_sets(batch.column(1).to_pylist())
         s1, s2 = signatures(flat, offsets)
         bitmaps = [parity_bitmap(flat[a:b]) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        words = np.array([folded(b) if b else [0] * len(WORDS) for b in bitmaps], dtype=np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(s1), pa.array(s2),
-                                           pa.array(bitmaps, pa.binary())], names=["id", "n", "s1", "s2", "bitmap"])
+                                           pa.array(bitmaps, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in words.T)],
+                                          names=["id", "n", "s1", "s2", "bitmap", *WORDS])
 
-    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, bitmap binary")
+    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, bitmap binary, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -337,11 +349,14 @@ def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFram
             break
         thin = named.select("token", "s1", "n", "pos")
         last = round_no == STAR_ROUNDS or across <= 8 * entries_left
-        if last:  # all pairs across labels that the bounds allow
-            left = named.select("token", F.col("s1").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-            right = named.select("token", F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+        if last:  # all pairs across labels that size, position and folded bitmaps allow
+            named = stored(named.join(classes.select("s1", *WORDS), "s1"), shared_dir(spark, "mixed"))
+            left, right = (named.select("token", F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"),
+                                        F.col("label").alias(f"l{x}"), *[F.col(w).alias(f"{x}{w}") for w in WORDS]) for x in "ab")
+            apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in WORDS)
             found = left.join(right, "token").filter(
-                f"la < lb and {FITS} and {100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)").select("a", "b").distinct()
+                f"la < lb and {FITS} and {100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb) and "
+                f"{100 + PERCENT} * ((na + nb - ({apart})) div 2) >= {PERCENT} * (na + nb)").select("a", "b").distinct()
         else:  # other leaders for every list, compared across labels only
             picks = [F.min_by(F.struct("s1", "n", "label"), F.xxhash64("s1", F.lit(LEADERS * round_no + i))) for i in range(LEADERS)]
             leader = named.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("h")).select("token", F.explode("h").alias("h"))
@@ -362,10 +377,10 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(_scan(docs), shared_dir(spark, "scan"))
     classes = stored(sigs.filter("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("id").alias("rep"), F.first("bitmap").alias("bitmap")), shared_dir(spark, "classes"))
+        F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), *[F.first(w).alias(w) for w in WORDS]), shared_dir(spark, "classes"))
     labels = similar_sets(docs, classes, n_slices)
     labelled = classes.join(labels, "s1", "left")  # no label: a class without a partner
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min("rep").alias("smallest"))
     named = labelled.join(smallest, "label", "left").select("n", "s1", "s2", F.coalesce("smallest", "rep").alias("component_id"))
-    return sigs.drop("bitmap").join(named, ["n", "s1", "s2"], "left").select(
+    return sigs.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

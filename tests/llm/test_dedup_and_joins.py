@@ -131,6 +131,21 @@ def test_ngram_join_with_split_and_mixed_lists(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_parity_bitmaps_never_reject_similar_sets():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 130, 300, 1100, 5000):
+        base = rng.integers(0, 2 ** 63, n).astype(np.uint64)
+        for change in (0, n // 30, n // 10, n // 4):
+            other = np.concatenate([base[change:], rng.integers(0, 2 ** 63, change + n // 20).astype(np.uint64)])
+            common, union = n - change, len(set(base.tolist()) | set(other.tolist()))
+            x, y = ngram_join.parity_bitmap(base), ngram_join.parity_bitmap(other)
+            apart = sum(((a ^ b) & (2 ** 64 - 1)).bit_count() for a, b in zip(ngram_join.folded(x), ngram_join.folded(y)))
+            assert apart <= union - common
+            if 100 * common >= 80 * union:
+                assert ngram_join.may_be_similar(x, len(base), y, len(other))
+
+
 def test_ngram_join_of_empty_and_unlinked_tables(spark):
     assert ngram_join.ngram_jaccard(table(spark, [(1, "x")]).limit(0)).count() == 0
     assert sorted(map(tuple, ngram_join.ngram_jaccard(table(spark, [(1, "one two"), (2, "three four five six seven eight")])).collect())) == [
