@@ -6,8 +6,11 @@ comments, scripts, styles, form controls and the head never make blocks.
 
 Each block gets a log-odds score for content from its containers (article and
 main against nav, aside, footer, form, ..., also by role, id and class words)
-and its own text (length, share of link text, closing marks). Its size is the
-capacity of an edge to the content or the boilerplate terminal. Blocks next to
+and its own text (length, share of link text, closing marks). A container adds
+a finite cost of the size of a long text's score, the inner one counts most,
+and a frame that holds more than half of the page's text loses its cost by the
+part above. The score's size is the capacity of an edge to the content or the
+boilerplate terminal. Blocks next to
 each other, and blocks that follow each other under one parent, are joined by
 smoothness edges. The minimum cut then separates content from boilerplate: a
 doubtful block goes with its neighbours, a clear one stays what it is.
@@ -59,6 +62,11 @@ FRAME_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article post entry content story main body text".split())
 
 NEXT_EDGE, NEXT_EDGE_APART, SIBLING_EDGE = 0.6, 0.2, 0.5
+# Log-odds of containers; a block's own text gives about -5 to 3 and its smoothness edges at most 1.4.
+CONTENT_TAG, CONTENT_WORD, FRAME_TAG, FRAME_WORD = 3.0, 2.0, -4.0, -3.5
+BOTH_WORDS = -1.0     # a content and a frame word on one element ("post no-sidebar")
+FRAMED_CONTENT = 1.0  # an article or main element with a frame word
+OUTER = 0.25          # what a container leaves of the log-odds around it
 _CUT_OFF = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
 _NAME = re.compile(r"[a-z]+")
 
@@ -66,10 +74,11 @@ _NAME = re.compile(r"[a-z]+")
 class Block:
     """A stretch of text with what its containers and markup say about it."""
 
-    __slots__ = ("text", "links", "parent", "content", "frame", "heading")
+    __slots__ = ("text", "links", "parent", "container", "around", "heading")
 
-    def __init__(self, text: str, links: int, parent: int, content: bool, frame: int, heading: bool):
-        self.text, self.links, self.parent, self.content, self.frame, self.heading = text, links, parent, content, frame, heading
+    def __init__(self, text: str, links: int, parent: int, container: int, heading: bool):
+        self.text, self.links, self.parent, self.container, self.heading = text, links, parent, container, heading
+        self.around = 0.0  # log-odds from its containers, known when the page has been read
 
 
 class BlockReader(HTMLParser):
@@ -77,8 +86,10 @@ class BlockReader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # Open elements: tag, number, silent, inside content, frames around it.
+        # Open elements: tag, number, silent, inside content, the innermost container.
         self.open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        # Containers that say something: the one around it, log-odds.
+        self.containers: list[tuple[int, float]] = [(0, 0.0)]
         self.number = 0
         self.blocks: list[Block] = []
         self.pieces: list[str] = []
@@ -90,9 +101,9 @@ class BlockReader(HTMLParser):
             text = " ".join("".join(self.pieces).split())
             if text:
                 around = [e for e in self.open if e[0] in BLOCK_TAGS or not e[0]]
-                tag, _, _, content, frame = around[-1]
+                tag, _, _, _, container = around[-1]
                 parent = around[max(len(around) - 2, 0)][1]
-                self.blocks.append(Block(text, self.links, parent, content, frame, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                self.blocks.append(Block(text, self.links, parent, container, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
             self.pieces, self.links = [], 0
 
     def _close(self, depth: int) -> None:
@@ -127,28 +138,36 @@ class BlockReader(HTMLParser):
                 self.pieces.append(" ")
             return
         self.number += 1
-        _, _, silent, content, frame = self.open[-1]
+        _, _, silent, content, container = self.open[-1]
         if tag == "body":  # an unclosed head ends here
             silent = False
-        words, hidden = set(), False
+        words, hidden, odds = set(), False, 0.0
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
                 words.update(_NAME.findall(value))
             elif name == "role" and value.strip() in FRAME_ROLES:
-                frame += 1
+                odds = FRAME_TAG
             elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
-        if tag in CONTENT_TAGS and not words & FRAME_WORDS:
-            content, frame = True, 0 if not content else frame
-        elif tag in FRAME_TAGS or words & FRAME_WORDS and tag not in ("html", "body"):
+        framed = bool(words & FRAME_WORDS) and tag not in ("html", "body")
+        if tag in CONTENT_TAGS:
+            odds += FRAMED_CONTENT if framed else CONTENT_TAG
+            content = True
+        elif tag in FRAME_TAGS:
             # An article's own header mostly holds its title.
-            frame += 0 if tag == "header" and content and not words & FRAME_WORDS else 1
+            odds += 0.0 if tag == "header" and content and not framed else FRAME_TAG
         elif words & CONTENT_WORDS and tag in ("div", "section"):
-            content = content or frame == 0
+            odds += BOTH_WORDS if framed else CONTENT_WORD
+            content = content or not framed
+        elif framed:
+            odds += FRAME_WORD
+        if odds:
+            self.containers.append((container, max(odds, FRAME_TAG)))
+            container = len(self.containers) - 1
         if tag == "a":
             self.in_link += 1
-        self.open.append((tag, self.number, silent or hidden or tag in SILENT_TAGS, content, frame))
+        self.open.append((tag, self.number, silent or hidden or tag in SILENT_TAGS, content, container))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS or tag not in ("script", "style"):
@@ -178,9 +197,27 @@ def read_blocks(html: str | None) -> list[Block]:
     reader.feed(_CUT_OFF.sub("", html[-2000:]) if len(html) <= 2000 else html[:-2000] + _CUT_OFF.sub("", html[-2000:]))
     reader.close()
     reader.flush()
+    set_containers(reader.blocks, reader.containers)
     return reader.blocks
 
 
+def set_containers(blocks: list[Block], containers: list[tuple[int, float]]) -> None:
+    """Give every block the log-odds of its containers."""
+    held = [0] * len(containers)  # text outside links
+    for b in blocks:
+        held[b.container] += max(len(b.text) - b.links, 0)
+    for i in range(len(containers) - 1, 0, -1):
+        held[containers[i][0]] += held[i]
+    odds = [0.0] * len(containers)
+    for i, (outer, own) in enumerate(containers):
+        if i:
+            # Boilerplate seldom holds most of a page: a form or a div named "no-sidebar" around all of it says nothing.
+            weight = min(1.0, 2.0 - 2.0 * held[i] / max(held[0], 1)) if own < 0 else 1.0
+            odds[i] = weight * own + (1.0 - weight * (1.0 - OUTER)) * odds[outer]
+    for b in blocks:
+        b.around = odds[b.container]
+
+
 def log_odds(block: Block) -> float:
     """The classifier: log-odds of content from containers and text."""
     n_words = block.text.count(" ") + 1
@@ -189,9 +226,7 @@ def log_odds(block: Block) -> float:
         score += 0.7
     if block.heading:
         score += 0.8
-    if block.frame:
-        return min(score, 1.0) - 6.0
-    return max(score, -2.0) + 5.0 if block.content else score
+    return (max(score, -2.0) if block.around > 0 else score) + block.around
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:

@@ -44,6 +44,28 @@ def test_page_text():
     assert html_extract.main_text(plain).endswith("words.\nShort.")
 
 
+LONG = " ".join(["A long sentence of the text says something, with a comma and more words."] * 4)
+
+
+def test_frame_words_and_tags_are_finite_costs():
+    page = "<body><nav><a href=/>Home</a></nav>{}<footer>Copyright me.</footer></body>"
+    body = f"<h2>Title</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+    want = f"Title\n{LONG}\nShort one.\n{LONG}"
+    for around in ("<article class='post no-sidebar'>{}</article>", "<main id='comments-open'>{}</main>", "<div class='legal-news'>{}</div>",
+                   "<form action=x><div>{}</div></form>", "<div class='entry with-sidebar'>{}</div>", "<div>{}</div>"):
+        assert html_extract.main_text(page.format(around.format(body))) == want, around
+    assert html_extract.main_text(page.format(f"<article><h2>Title</h2><p>{LONG}</p></article><div class=ad>Buy now!</div>")) == f"Title\n{LONG}"
+
+
+def test_neighbours_win_a_framed_block():
+    page = f"<body><div><p>{LONG}</p><p class='notice'>{LONG}</p><p>{LONG}</p><p class='notice'>Log in.</p></div></body>"
+    assert html_extract.main_text(page) == "\n".join([LONG] * 3)
+    blocks = html_extract.read_blocks(page)
+    assert html_extract.log_odds(blocks[1]) < 0  # the cut decides it, not its own score
+    alone = f"<body><p class='notice'>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p></article></body>"
+    assert html_extract.main_text(alone) == "\n".join([LONG] * 2)
+
+
 def test_pages_query_equals_page_structure(spark):
     import html
 
