@@ -8,11 +8,15 @@ counts pooled over both classes, so a rare expression falls back on the same
 shared model on either side and the two log-likelihoods stay comparable.
 
 Learning counts n-grams of all learnable labelled rows: tasks count words,
-expand each distinct word once, and Spark sums the distinct n-grams. What
-leaves Spark are tables of at most 2^20 (top order) and 2^18 (lower orders)
-hashed places, so the broadcast model has a fixed largest size at any input.
-
-Scoring sums the letters' log-likelihood difference per word; a document is
+expand each distinct word once, and Spark sums the distinct n-grams. The tables
+are stored as Parquet, keyed by the full 64-bit hash of an n-gram or context,
+and grow with the corpus.
+
+Scoring joins the distinct n-grams of the corpus's distinct words to those
+tables, order by order, and stores each word's log-likelihood difference. The
+words met most often (``COMMON_WORDS``, ``COMMON_LETTERS`` at most) are
+broadcast; the others reach their documents by a shuffle join with the stored
+word table, so no word goes without its own difference. A document is
 described by the length-normalised difference, its largest word differences
 and its length, and a logistic regression over a held-back fold of the
 learnable rows (a bounded sample, ``CALIBRATION_ROWS``) turns that into a score.
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +43,11 @@ from larder.llm.common import drop_path, fold, map_batches, ngram_hashes, shared
 
 ORDER = 5
 DISCOUNT = 0.75
-TOP_BITS, LOW_BITS = 20, 18
 ALPHABET = 4096  # letters of the uniform model below the lowest order
 CALIBRATION_ROWS = 20_000
+COMMON_WORDS, COMMON_LETTERS = 200_000, 4_000_000  # what the broadcast part of the word table holds at most
 _FLUSH_WORDS = 300_000
+_CHUNK_LETTERS = 1_000_000
 FEATURES = ["mean_diff", "top1", "top3", "strong_share", "mild_share", "log_words"]
 
 
@@ -49,143 +55,227 @@ def split_words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def _count_rows(counts: list[Counter]) -> pa.RecordBatch:
-    """Distinct n-grams of the counted words: h, packed, n_ord, n_tox.
+def count_words(df: DataFrame, toxic: bool = False) -> DataFrame:
+    """word, n, n_ord, n_tox summed over tasks' rows; ``df``: text (and its class, if ``toxic``; else n_ord and n_tox are 0)."""
+
+    def rows(counts: list[Counter]) -> pa.RecordBatch:
+        words = list(counts[0].keys() | counts[1].keys())
+        by_class = [np.fromiter((c[w] for w in words), dtype=np.int64, count=len(words)) for c in counts]
+        by_class = by_class if toxic else [np.zeros(len(words), dtype=np.int64)] * 2
+        n = np.zeros(len(words), dtype=np.int64) if toxic else np.fromiter((counts[0][w] for w in words), dtype=np.int64, count=len(words))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), *map(pa.array, by_class)], names=["word", "n", "n_ord", "n_tox"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter(), Counter()]
+        for batch in batches:
+            classes = batch.column(1).to_pylist() if toxic else [0] * batch.num_rows
+            for text, c in zip(batch.column(0).to_pylist(), classes):
+                counts[1 if c else 0].update(split_words(text))
+            if len(counts[0]) + len(counts[1]) > _FLUSH_WORDS:
+                yield rows(counts)
+                counts = [Counter(), Counter()]
+        if counts[0] or counts[1]:
+            yield rows(counts)
+
+    return df.select("text", *(["toxic"] if toxic else [])).mapInArrow(run, "word string, n bigint, n_ord bigint, n_tox bigint")
+
 
-    ``packed`` holds the order and the places of the context, of the n-gram
+def dealt_words(words: DataFrame) -> DataFrame:
+    """Distinct words with their counts and a chunk number; a chunk has about ``_CHUNK_LETTERS`` letters or one long word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, letters = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = np.empty(batch.num_rows, dtype=np.int64)
+            for i, word in enumerate(batch.column(0).to_pylist()):
+                if letters > _CHUNK_LETTERS:
+                    chunk, letters = chunk + 1, 0
+                letters += len(word) + ORDER
+                numbers[i] = chunk
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=["word", "n", "n_ord", "n_tox", "chunk"])
+
+    sums = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_ord", "n_tox")))
+    return sums.mapInArrow(run, "word string, n bigint, n_ord bigint, n_tox bigint, chunk bigint")
+
+
+def _expanded(words: list[str], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct n-grams of counted words: o, h, ctx, suf, mid, n_ord, n_tox.
+
+    ``ctx``, ``suf`` and ``mid`` are the hashes of the context, of the n-gram
     without its first letter, and of that one's context.
     """
-    words = list(counts[0].keys() | counts[1].keys())
     hashes, at, word = ngram_hashes(words, ORDER)
-    by_class = [np.fromiter((c[w] for w in words), dtype=np.float64, count=len(words))[word] for c in counts]
-    cols: list[list[np.ndarray]] = [[] for _ in range(4)]
-    low = np.uint64((1 << LOW_BITS) - 1)
+    by_class = [c.astype(np.float64)[word] for c in counts]
+    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     for o in range(1, ORDER + 1):
         h, first, inverse = np.unique(hashes[o][at], return_index=True, return_inverse=True)
         spot = at[first]
-        ctx = hashes[o - 1][spot - 1] & (np.uint64((1 << TOP_BITS) - 1) if o == ORDER else low)
-        suf, mid = hashes[o - 1][spot] & low, hashes[max(o - 2, 0)][spot - 1] & low
-        packed = (np.uint64(o) << np.uint64(TOP_BITS + 2 * LOW_BITS)) | (ctx << np.uint64(2 * LOW_BITS)) | (suf << np.uint64(LOW_BITS)) | mid
-        parts = [h.view(np.int64), packed.view(np.int64)]
+        parts = [np.full(len(h), o, dtype=np.int32)]
+        parts += [x.view(np.int64) for x in (h, hashes[o - 1][spot - 1], hashes[o - 1][spot], hashes[max(o - 2, 0)][spot - 1])]
         parts += [np.bincount(inverse, weights=w, minlength=len(h)).astype(np.int64) for w in by_class]
         for col, part in zip(cols, parts):
             col.append(part)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "packed", "n_ord", "n_tox"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["o", "h", "ctx", "suf", "mid", "n_ord", "n_tox"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of (word, ...) put together to about ``_CHUNK_LETTERS`` letters."""
+    held, letters = [], 0
+    for batch in batches:
+        held.append(batch)
+        letters += batch.column(0).nbytes
+        if letters > _CHUNK_LETTERS:
+            yield pa.Table.from_batches(held)
+            held, letters = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def expand_words(words: DataFrame) -> DataFrame:
+    """Distinct n-grams of distinct words (word, n_ord, n_tox) with their counts by class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches):
+            yield _expanded(t.column(0).to_pylist(), [t.column(1).to_numpy(), t.column(2).to_numpy()])
+
+    found = words.select("word", "n_ord", "n_tox").mapInArrow(
+        run, "o int, h bigint, ctx bigint, suf bigint, mid bigint, n_ord bigint, n_tox bigint")
+    return found.groupBy("o", "h").agg(*(F.first(c).alias(c) for c in ("ctx", "suf", "mid")),
+                                       F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox"))
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
     """Distinct n-grams with their counts by class; ``rows``: text, toxic."""
+    return expand_words(count_words(rows, True).groupBy("word").agg(F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[1 if toxic else 0].update(split_words(text))
-            if len(counts[0]) + len(counts[1]) > _FLUSH_WORDS:
-                yield _count_rows(counts)
-                counts = [Counter(), Counter()]
-        if counts[0] or counts[1]:
-            yield _count_rows(counts)
-
-    found = rows.select("text", "toxic").mapInArrow(run, "h bigint, packed bigint, n_ord bigint, n_tox bigint")
-    return found.groupBy("h").agg(F.first("packed").alias("packed"), F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")).select(
-        F.shiftright("packed", TOP_BITS + 2 * LOW_BITS).cast("int").alias("o"), "h", "packed", "n_ord", "n_tox")
-
-
-def model_tables(grams: DataFrame) -> dict:
-    """Kneser-Ney tables over hashed places (their number bounds what is collected)."""
-    def place(name: str, bits: int):
-        source = F.col("h") if name == "h" else F.shiftright("packed", {"ctx": 2 * LOW_BITS, "suf": LOW_BITS, "mid": 0}[name])
-        return source.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-
-    def entry(kind: str, order, spot, a, b):
-        return F.struct(F.lit(kind).alias("kind"), order.cast("int").alias("o"), spot.alias("place"),
-                        a.cast("double").alias("a"), b.cast("double").alias("b"))
-
-    one, o = F.lit(1.0), F.col("o")
-    top = F.array(entry("num", o, place("h", TOP_BITS), F.col("n_ord"), F.col("n_tox")),
-                  entry("tot", o, place("ctx", TOP_BITS), F.col("n_ord"), F.col("n_tox")),
-                  entry("typ", o, place("ctx", TOP_BITS), (F.col("n_ord") > 0).cast("int"), (F.col("n_tox") > 0).cast("int")))
-    below = F.array(entry("num", o - 1, place("suf", LOW_BITS), one, one), entry("tot", o - 1, place("mid", LOW_BITS), one, one))
-    types = F.array(entry("typ", o, place("ctx", LOW_BITS), one, one))
-    none = F.slice(types, 1, 0)
-    entries = (grams.select(F.inline(F.concat(F.when(o == ORDER, top).otherwise(none), F.when(o > 1, below).otherwise(none),
-                                              F.when(o < ORDER, types).otherwise(none))))
-               .groupBy("kind", "o", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-
-    def dense(table: pa.Table) -> pa.Table:
-        """One kind and order as float arrays over all places."""
-        kind, order = table.column("kind")[0].as_py(), table.column("o")[0].as_py()
-        blobs = []
-        for col in ("a", "b"):
-            out = np.zeros(1 << (TOP_BITS if order == ORDER else LOW_BITS), dtype=np.float32)
-            out[table.column("place").to_numpy()] = table.column(col).to_numpy()
-            blobs.append(out.tobytes() if col == "a" or order == ORDER else b"")
-        return pa.table({"kind": [kind], "o": pa.array([order], pa.int32()), "a": pa.array(blobs[:1], pa.binary()),
-                         "b": pa.array(blobs[1:], pa.binary())})
-
-    tables = {}
-    for row in entries.groupBy("kind", "o").applyInArrow(dense, "kind string, o int, a binary, b binary").collect():
-        for side, blob in enumerate((row["a"], row["b"])[:2 if row["o"] == ORDER else 1]):
-            tables[row["o"], row["kind"], side] = np.frombuffer(bytes(blob), dtype=np.float32)
-    for order in range(1, ORDER + 1):  # orders that no row has
-        for kind in ("num", "tot", "typ"):
-            for side in range(2 if order == ORDER else 1):
-                tables.setdefault((order, kind, side), np.zeros(1 << (TOP_BITS if order == ORDER else LOW_BITS), dtype=np.float32))
-    return tables
-
-
-def word_differences(words: list[str], tables: dict) -> np.ndarray:
+
+def model_tables(grams: DataFrame, scratch: str | None = None) -> dict[str, DataFrame]:
+    """Kneser-Ney tables by full hash, stored: ``num`` (o, key, num_a, num_b) of n-grams, ``tot`` (o, key, tot_*, typ_*) of contexts.
+
+    Side a is the ordinary class and b the toxic one at the top order; below it
+    both are the same. N-grams without a count in either class are left out.
+    """
+    spark, one, o = grams.sparkSession, F.lit(1), F.col("o")
+    scratch = scratch or shared_dir(spark, "kneser-ney")
+    grams = grams.filter("n_ord + n_tox > 0")
+
+    def entry(order, key, **values):
+        return F.struct(order.cast("int").alias("o"), F.col(key).alias("key"), *(F.lit(v).cast("bigint").alias(k) for k, v in values.items()))
+
+    def table(name: str, top, below, *lowest) -> DataFrame:
+        none = F.slice(F.array(top), 1, 0)
+        rows = grams.select(F.inline(F.concat(F.when(o == ORDER, F.array(top)).otherwise(none), F.when(o > 1, F.array(below)).otherwise(none),
+                                              *(F.when(o < ORDER, F.array(x)).otherwise(none) for x in lowest))))
+        sums = rows.groupBy("o", "key").agg(*(F.sum(c).cast("double").alias(c) for c in rows.columns[2:]))
+        return stored(sums, f"{scratch}/{name}")
+
+    return {"num": table("numbers", entry(o, "h", num_a=F.col("n_ord"), num_b=F.col("n_tox")), entry(o - 1, "suf", num_a=one, num_b=one)),
+            "tot": table("contexts", entry(o, "ctx", tot_a=F.col("n_ord"), tot_b=F.col("n_tox"), typ_a=F.col("n_ord") > 0, typ_b=F.col("n_tox") > 0),
+                         entry(o - 1, "mid", tot_a=one, tot_b=one, typ_a=0, typ_b=0),
+                         entry(o, "ctx", tot_a=0, tot_b=0, typ_a=one, typ_b=one))}
+
+
+def gram_differences(grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """h, diff: log-likelihood of the last letter of every top-order n-gram, toxic minus ordinary; ``grams``: o, h, ctx, suf."""
+    below = None
+    for o in range(1, ORDER + 1):
+        level = grams.filter(F.col("o") == o).select("h", "ctx", "suf")
+        num = tables["num"].filter(F.col("o") == o).select(F.col("key").alias("h"), "num_a", "num_b")
+        tot = tables["tot"].filter(F.col("o") == o).select(F.col("key").alias("ctx"), "tot_a", "tot_b", "typ_a", "typ_b")
+        level = level.join(num, "h", "left").join(F.broadcast(tot) if o == 1 else tot, "ctx", "left")  # one empty context
+        level = level.join(below, "suf", "left") if o > 1 else level.withColumn("low", F.lit(1.0 / ALPHABET))
+
+        def p(side: str):
+            tot, num = F.col(f"tot_{side}"), F.coalesce(F.col(f"num_{side}"), F.lit(0.0))
+            own = F.greatest(num - DISCOUNT, F.lit(0.0)) / tot + DISCOUNT * F.col(f"typ_{side}") / tot * F.col("low")
+            return F.when(tot > 0, F.least(F.greatest(own, F.lit(1e-12)), F.lit(1.0))).otherwise(F.col("low"))
+
+        below = level.select(F.col("h").alias("suf"), p("a").alias("low"))
+    return level.select("h", (F.log(p("b")) - F.log(p("a"))).alias("diff"))
+
+
+def word_table(words: DataFrame, grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """word, n, diff, stored; ``words``: dealt words, stored; ``grams``: their n-grams, stored."""
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches):
+            hashes, at, word = ngram_hashes(t.column(0).to_pylist(), ORDER)
+            chunks, own = t.column(1).to_numpy()[word], hashes[ORDER][at].view(np.int64)
+            for chunk in np.unique(chunks):
+                h = np.unique(own[chunks == chunk])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], names=["chunk", "h"])
+
+    def add_up(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        hashes, at, word = ngram_hashes(chunk.column("word").to_pylist(), ORDER)
+        keys, diffs = known.column("h").to_numpy(), known.column("diff").to_numpy()
+        order = np.argsort(keys)
+        found = diffs[order[np.searchsorted(keys, hashes[ORDER][at].view(np.int64), sorter=order)]]
+        sums = np.bincount(word, weights=found, minlength=chunk.num_rows)
+        return pa.table({"word": chunk.column("word"), "n": chunk.column("n"), "diff": pa.array(sums)})
+
+    asked = words.select("word", "chunk").mapInArrow(letters, "chunk bigint, h bigint").distinct()
+    answers = asked.join(gram_differences(grams, tables), "h").select("chunk", "h", "diff")
+    scored = words.select("chunk", "word", "n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        add_up, "word string, n bigint, diff double")
+    return stored(scored, shared_dir(words.sparkSession, "word-table"))
+
+
+def word_differences(words: list[str], tables: dict[str, DataFrame]) -> np.ndarray:
     """Log-likelihood of each word under the toxic model minus under the ordinary one."""
-    hashes, at, word = ngram_hashes(words, ORDER)
-    shared = np.full(len(at), 1.0 / ALPHABET)
-
-    def level(order: int, side: int, below: np.ndarray) -> np.ndarray:
-        mask = np.uint64((1 << (TOP_BITS if order == ORDER else LOW_BITS)) - 1)
-        num = tables[order, "num", side][(hashes[order][at] & mask).astype(np.int64)].astype(np.float64)
-        ctx = (hashes[order - 1][at - 1] & mask).astype(np.int64)
-        tot = tables[order, "tot", side][ctx].astype(np.float64)
-        typ = np.minimum(tables[order, "typ", side][ctx], tot)
-        seen = np.maximum(tot, 1.0)
-        p = np.maximum(np.minimum(num, seen) - DISCOUNT, 0.0) / seen + DISCOUNT * typ / seen * below
-        return np.where(tot > 0, np.clip(p, 1e-12, 1.0), below)
-
-    for order in range(1, ORDER):
-        shared = level(order, 0, shared)
-    diff = np.log(level(ORDER, 1, shared)) - np.log(level(ORDER, 0, shared))
-    return np.bincount(word, weights=diff, minlength=len(words))
-
-
-def describe(diffs: np.ndarray) -> list[float]:
-    """FEATURES of a document from its words' differences."""
-    n = len(diffs)
-    if n == 0:
-        return [0.0] * len(FEATURES)
-    top = np.sort(diffs[np.argpartition(diffs, -3)[-3:]] if n > 3 else diffs)[::-1]
-    return [float(diffs.mean()), float(top[0]), float(top.mean()), float((diffs > 3.0).mean()),
-            float((diffs > 1.5).mean()), float(np.log1p(n))]
-
-
-def document_features(df: DataFrame, tables: dict) -> DataFrame:
-    """FEATURES of every row (with its id), from its whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(tables)
-    known: dict[str, float] = {}
+    spark = tables["num"].sparkSession
+    asked = stored(dealt_words(spark.createDataFrame([(w, 1, 0, 0) for w in words], "word string, n bigint, n_ord bigint, n_tox bigint")),
+                   shared_dir(spark, "words"))
+    known = {r["word"]: r["diff"] for r in word_table(asked, expand_words(asked), tables).collect()}
+    return np.array([known[w] for w in words])
+
+
+def common_words(words: DataFrame, most: int, letters: int) -> tuple[dict[str, float], bool]:
+    """The differences of the words met most often, as many as the limits allow, and whether these are all words."""
+    step = F.floor(F.log2("n"))
+    least, n, size, whole = 64, 0, 0, True
+    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("size")).orderBy(F.desc("step")).collect():
+        n, size = n + r["n"], size + r["size"]
+        if n > most or size > letters:
+            whole = False
+            break
+        least = r["step"]
+    found = words.filter(step >= least).select("word", "diff").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist())), whole
+
+
+def document_features(df: DataFrame, words: DataFrame, most: int | None = None, letters: int | None = None) -> DataFrame:
+    """FEATURES of every row (with its id), from its whole text; ``words``: the stored word table (word, n, diff)."""
+    spark = df.sparkSession
+    common, whole = common_words(words, COMMON_WORDS if most is None else most, COMMON_LETTERS if letters is None else letters)
+    shared = spark.sparkContext.broadcast(common)
     id_type = df.schema[0].dataType.simpleString()
+    parts = ["n", "total", "tops", "strong", "mild"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [split_words(t) for t in batch.column(1).to_pylist()]
-        new = {w for words in texts for w in words if w not in known}
-        if len(known) + len(new) > 600_000:
-            known.clear()
-            new = {w for words in texts for w in words}
-        if new:
-            new = list(new)
-            known.update(zip(new, word_differences(new, shared.value).tolist()))
-        rows = [describe(np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))) for words in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in zip(*rows))],
-                                          names=["id", *FEATURES])
-
-    return map_batches(df, run, f"id {id_type}, " + ", ".join(f"{f} double" for f in FEATURES))
+        known, out, rare = shared.value, [], []
+        for text in batch.column(1).to_pylist():
+            own = split_words(text)
+            found = [known.get(w) for w in own]
+            rare.append([w for w, d in zip(own, found) if d is None] if not whole else [])
+            diffs = np.array([d for d in found if d is not None], dtype=np.float64)
+            tops = np.sort(diffs[np.argpartition(diffs, -3)[-3:]] if len(diffs) > 3 else diffs)[::-1]
+            out.append((len(diffs), float(diffs.sum()), tops.tolist(), int((diffs > 3.0).sum()), int((diffs > 1.5).sum())))
+        types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types)), pa.array(rare, pa.list_(pa.string()))],
+                                          names=["id", *parts, "rare"])
+
+    seen = map_batches(df, run, f"id {id_type}, n bigint, total double, tops array<double>, strong bigint, mild bigint, rare array<string>")
+    if not whole:
+        seen = stored(seen.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "seen"))
+        more = (seen.filter(F.size("rare") > 0).select("_row", F.explode("rare").alias("word")).join(words.select("word", "diff"), "word")
+                .groupBy("_row").agg(F.count("*").alias("n"), F.sum("diff").alias("total"), F.slice(F.sort_array(F.collect_list("diff"), False), 1, 3).alias("tops"),
+                                     F.sum((F.col("diff") > 3.0).cast("bigint")).alias("strong"), F.sum((F.col("diff") > 1.5).cast("bigint")).alias("mild"))
+                .select("_row", *(F.col(c).alias(f"r_{c}") for c in parts)))
+        seen = seen.join(more, "_row", "left").select("id", *(
+            F.slice(F.sort_array(F.concat("tops", F.coalesce("r_tops", F.slice("tops", 1, 0))), False), 1, 3).alias(c) if c == "tops"
+            else (F.col(c) + F.coalesce(F.col(f"r_{c}"), F.lit(0))).alias(c) for c in parts))
+    n = F.greatest(F.col("n"), F.lit(1))
+    top3 = F.aggregate("tops", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("tops"), F.lit(1))
+    return seen.select("id", (F.col("total") / n).alias("mean_diff"), F.coalesce(F.try_element_at("tops", F.lit(1)), F.lit(0.0)).alias("top1"),
+                       top3.alias("top3"), (F.col("strong") / n).alias("strong_share"), (F.col("mild") / n).alias("mild_share"),
+                       F.log1p(F.col("n").cast("double")).alias("log_words"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,11 +319,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # A merge join whatever the sizes: both sides grow with the corpus.
     train = thin.filter((fold("id", folds) != held_out) & (fold("id", folds) != calibration)).join(
         known.filter(fold("id", folds) != calibration).hint("merge"), "id")
-    scratch = shared_dir(spark, "ngrams")
-    grams = stored(count_ngrams(train), scratch)
-    tables = model_tables(grams)
+    # The learnable rows are among all rows, so the n-grams of all words hold those of the model.
+    scratch = shared_dir(spark, "kneser-ney")
+    dealt = stored(dealt_words(count_words(thin).unionByName(count_words(train, True))), f"{scratch}/words")
+    grams = stored(expand_words(dealt), f"{scratch}/ngrams")
+    words = word_table(dealt, grams, model_tables(grams, scratch))
     drop_path(spark, scratch)
-    out = stored(document_features(thin, tables), shared_dir(spark, "toxicity"))
+    out = stored(document_features(thin, words), shared_dir(spark, "toxicity"))
     sample = (out.join(known.filter(fold("id", folds) == calibration), "id")
               .orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select(*FEATURES, "toxic").toPandas())
     y = sample["toxic"].to_numpy(dtype=float)

@@ -255,6 +255,41 @@ def test_kneser_ney_equals_brute_force(spark):
         assert abs(got - brute_difference(word, [t for t in texts if t[0]])) < 1e-4
 
 
+def test_unseen_ngrams_borrow_no_counts(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789äöüßéèñ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(40))
+    rows = [(" ".join(word() for _ in range(250)), i % 2) for i in range(40)]  # 0.4 million 5-grams
+    grams = toxicity_kn.count_ngrams(spark.createDataFrame(rows, "text string, toxic int").repartition(4)).cache()
+    tables = toxicity_kn.model_tables(grams)
+    seen = {o: set() for o in range(1, 6)}
+    for text, _ in rows:
+        for w in text.split():
+            padded = "\x02" * 4 + w + "\x03"
+            for o in seen:
+                seen[o].update(padded[i - o + 1:i + 1] for i in range(4, len(padded)))
+    n_keys = {r.o: r["count"] for r in tables["num"].groupBy("o").count().collect()}
+    assert n_keys == {o: len({g[-o:] for g in seen[min(o + 1, 5)]}) for o in seen}
+    assert n_keys[5] == len(seen[5]) > 300_000
+
+
+def test_common_words_and_joined_words_give_the_same_features(spark):
+    docs = spark.createDataFrame([(1, "aba abc bcd abc xyz"), (1, "abc"), (None, "xyz xyz xyz abd"), (4, None), (5, "abd abc dab abc abc q")], "id bigint, text string")
+    tables = toxicity_kn.model_tables(toxicity_kn.count_ngrams(spark.createDataFrame([("aba abc bcd abc", 0), ("xyz abd", 1)], "text string, toxic int")))
+    dealt = toxicity_kn.dealt_words(toxicity_kn.count_words(docs)).cache()
+    words = toxicity_kn.word_table(dealt, toxicity_kn.expand_words(dealt), tables)
+    diff = {r.word: r.diff for r in words.collect()}
+    want = []
+    for r in docs.collect():
+        d = sorted((diff[w] for w in (r.text or "").split()), reverse=True)
+        n = max(len(d), 1)
+        want.append((str(r.id), *(round(float(x), 9) for x in (sum(d) / n, d[0] if d else 0, sum(d[:3]) / max(len(d[:3]), 1), sum(x > 3 for x in d) / n,
+                                                               sum(x > 1.5 for x in d) / n, np.log1p(len(d))))))
+    for most in (0, 1, 3, 100):
+        got = toxicity_kn.document_features(docs, words, most).collect()
+        assert sorted((str(r.id), *(round(x, 9) for x in r[1:])) for r in got) == sorted(want)
+
+
 def test_toxic_stems_with_new_endings(spark):
     rng = random.Random(1)
     parts = ["ver", "lich", "ung", "ge", "zu", "ein", "heit", "keit", "be", "er"]
