@@ -12,9 +12,10 @@ Learning counts n-grams of all learnable rows: tasks count words by language,
 expand distinct words once and Spark sums by hashed place, so the model has at
 most 2^``BITS`` places per language and order whatever the input.
 
-A text whose best single language beats every other one by more than any span
-could gain after its switches is labelled without the word-by-word recursion;
-that test is exact, so the result is the Viterbi path either way.
+A text of which no span gains more over the best single language than half a
+switch costs is labelled without the word-by-word recursion: k switches make at
+most k + 1 spans, and k + 1 such gains never exceed k switches, so the result
+is worth as much as the Viterbi path.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 no span; without learnable rows every text is ``und``; ties go to the language
@@ -163,7 +164,7 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         return np.zeros(n, dtype=np.int64)
     gain = np.cumsum(scores - scores[:, top:top + 1], axis=0)
     before = np.minimum.accumulate(np.vstack([np.zeros(m), gain[:-1]]), axis=0)
-    if (gain - before).max() <= switch:  # no span gains more than one switch costs
+    if (gain - before).max() <= switch / 2:  # two spans that cover a text have two gains and one switch
         return np.full(n, top, dtype=np.int64)
     best = scores[0].copy()
     back = np.empty((n, m), dtype=np.int16)
