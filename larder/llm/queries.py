@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.llm import (
-    decontaminate, exact_dedup, html_extract, language_id, ngram_join, packing, pii_crf, quality_gam, token_files, toxicity_kn,
+    decontaminate, exact_dedup, html_extract, language_id, ngram_join, packing, pii_crf, quality_gam, resample, simhash, token_files,
+    toxicity_kn, zone_clusters,
 )
 from larder.llm.common import read_table
 
@@ -95,6 +97,72 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kn.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", simhash.hex_print(F.col("fingerprint")))
+
+
+def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = zone_clusters.cluster_report(read_table(spark, sf_dir, "embeddings"))
+    return report.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+# Checksums in SQL: CRC-32 (reflected polynomial 0xEDB88320) over the bytes of every distinct feature, by a table made from the rule.
+OP11_SQL = r"""
+WITH RECURSIVE step AS (
+       SELECT i, 0 AS k, i AS c FROM (SELECT cast(unnest(range(256)) AS bigint) AS i)
+       UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+     crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+     d AS MATERIALIZED (
+       SELECT side, doc_id, row_number() OVER () AS r, [x FOR x IN regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
+       FROM (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+     f AS MATERIALIZED (
+       SELECT side, doc_id, r, len(w) AS n_words, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))],
+                [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS feature FROM d),
+     b AS MATERIALIZED (
+       SELECT feature, xor(list_reduce(list_prepend(4294967295, [cast(('0x' || h[2 * j + 1:2 * j + 2]) AS bigint) FOR j IN range(len(h) // 2)]),
+                lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+       FROM (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM f), crc),
+     n AS MATERIALIZED (SELECT side, r, bucket, count(*) AS k FROM f JOIN b USING (feature) GROUP BY 1, 2, 3),
+     sums AS (SELECT bucket, coalesce(sum(k) FILTER (side = 's'), 0) AS s, coalesce(sum(k) FILTER (side = 't'), 0) AS t FROM n GROUP BY 1),
+     gains AS (SELECT bucket, cast(floor(1000 * ln(cast((t + 1) * (ss + 10000) AS double) / cast((s + 1) * (tt + 10000) AS double))) AS bigint) AS gain
+               FROM sums, (SELECT sum(s) AS ss, sum(t) AS tt FROM sums)),
+     weights AS (SELECT r, sum(k) AS n_features, sum(k * gain) AS weight FROM n JOIN gains USING (bucket) WHERE side = 's' GROUP BY 1),
+     scored AS (
+       SELECT doc_id, len(w) AS n_words, cast(coalesce(n_features, 0) AS bigint) AS n_features, cast(coalesce(weight, 0) AS bigint) AS weight,
+              cast(coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(('0x' || sha256('42:' || coalesce(cast(doc_id AS varchar), ''))[1:8]) AS bigint)
+                + 0.5::double) / 4294967296))) AS bigint) AS bigint) AS score
+       FROM d LEFT JOIN weights USING (r) WHERE side = 's'),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+                       count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def _op13_sql(rounds: int) -> str:
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, [cast(floor(256 * cast(x AS double)) AS bigint) FOR x IN embedding] AS v FROM embeddings
+       WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x) OR abs(x) > 524288]) = 0),
+     x AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM v),
+     c0 AS MATERIALIZED (SELECT cluster, unnest(range(64)) AS i, unnest(v) AS c FROM (
+       SELECT row_number() OVER (ORDER BY sha256('2:' || cast(vec_id AS varchar))) - 1 AS cluster, v FROM v QUALIFY cluster < 40))"""]
+    for j in range(rounds + 1):
+        parts.append(f"""a{j} AS MATERIALIZED (SELECT vec_id, cluster, cast(sum((x - c) * (x - c)) AS bigint) AS distance FROM x JOIN c{j} USING (i)
+       GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if j < rounds:  # floored division of whole numbers
+            parts.append(f"""c{j + 1} AS MATERIALIZED (SELECT cluster, i, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{j} LEFT JOIN (
+       SELECT cluster, i, cast(sum(x) AS bigint) AS s, count(*) AS n FROM x JOIN a{j} USING (vec_id) GROUP BY 1, 2) USING (cluster, i))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cast(cluster AS integer) AS cluster, distance, cast(sum(distance) OVER (PARTITION BY cluster) AS bigint) AS cluster_inertia,
+       cast(sum(distance) OVER () AS bigint) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN (SELECT cluster, sha256(string_agg(cast(c AS varchar), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY 1) USING (cluster)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -106,9 +174,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_simhash": op12_simhash,
+    "op13_zone_clusters": op13_zone_clusters,
 }
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_zone_clusters": _op13_sql(5),
 }
