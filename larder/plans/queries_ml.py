@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.operators import features as fe
+from larder.operators import kendall
 from larder.operators import stats as st
 from larder.plans import training as tr
 from larder.plans.catalog import register
@@ -126,6 +127,32 @@ def corr_spearman(t: Tables):
     return st.corr_spearman(tr.training_frame(t), NUM, "row_id")
 
 
+def _kendall_points(cols):
+    return "\nunion all\n".join(
+        f"select {k} as pair, x, y, count(*) as c from (select cast({a} as double) as x, cast({b} as double) as y from training_frame) "
+        f"where x is not null and y is not null group by all" for k, (a, b) in enumerate(_pairs(cols)))
+
+
+@register("corr_kendall", f"""
+with p as ({_kendall_points(NUM)}),
+names(pair, col_a, col_b) as (values {", ".join(f"({k}, {_q(a)}, {_q(b)})" for k, (a, b) in enumerate(_pairs(NUM)))}),
+o as (select pair, c, row_number() over (partition by pair order by x, y) as pos, row_number() over (partition by pair order by y, x) - 1 as r from p),
+bits as (select unnest(range(cast(ceil(log2(max(r) + 1)) as bigint))) as b from o),
+lost as (select pair, sum(cast(c * above as hugeint)) as n from (
+   select pair, c, (r >> b) & 1 as bit, coalesce(sum(c) filter ((r >> b) & 1 = 1) over (
+            partition by pair, b, r >> (b + 1) order by pos rows between unbounded preceding and current row), 0) as above from o, bits)
+   where bit = 0 group by pair),
+e as (select pair, sum(t) * (sum(t) - 1) as n, sum(t * (t - 1)) as s from (select pair, c as t from p) group by pair),
+tx as (select pair, sum(t * (t - 1)) as n from (select pair, sum(c) as t from p group by pair, x) group by pair),
+ty as (select pair, sum(t * (t - 1)) as n from (select pair, sum(c) as t from p group by pair, y) group by pair)
+select col_a, col_b, round(cast(e.n - tx.n - ty.n + e.s - 4 * coalesce(lost.n, 0) as double)
+       / nullif(sqrt(cast(e.n - tx.n as double) * cast(e.n - ty.n as double)), 0), 6) as corr
+from names left join e using (pair) left join tx using (pair) left join ty using (pair) left join lost using (pair)""")
+def corr_kendall(t: Tables):
+    """tau-b of all pairs of columns, nulls pairwise."""
+    return kendall.corr_kendall(tr.training_frame(t), NUM)
+
+
 _MI = f"""
 with l as (select * from ({_long_sql(tr.FEATURES, target='units_sold')}) x where _t is not null and value is not null),
 r as (select "column", min(value) as lo, max(value) as hi, min(_t) as tlo, max(_t) as thi from l group by all),
