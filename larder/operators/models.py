@@ -1,24 +1,22 @@
-"""Model fitting, scoring and experiment bookkeeping on Spark ML.
+"""Model preparation, linear fits and experiment bookkeeping.
 
 Data preparation is distributed (one-hot by generator columns, min-max
 scaling as expressions fitted on the training split, feature scores by
-aggregation); every fit is a Spark ML job. Only bounded metadata reaches the
-driver: the one-hot vocabulary, per-feature min / max, selected feature
-names and metric rows.
+aggregation); linear fits share one table of sums (``gram``), tree models are in
+``trees``. Only bounded metadata reaches the driver: the one-hot vocabulary,
+per-feature min / max, sums of products, selected feature names and metric rows.
 """
 
 from __future__ import annotations
 
-import json
 import time
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (GBTRegressor, LinearRegression, LinearRegressionModel,
-                                   RandomForestRegressor)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import features as fe
+from larder.operators import gram
+from larder.operators import scorers as sc
 from larder.operators import stats as st
 
 TARGET = "units_sold"
@@ -49,11 +47,6 @@ def fit_minmax(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, floa
     return {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for i, c in enumerate(cols)}
 
 
-def apply_minmax(df: DataFrame, ranges: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
-    scaled = {c + suffix: fe.min_max_scale(F.col(c).cast("double"), F.lit(lo), F.lit(hi)) for c, (lo, hi) in ranges.items()}
-    return df.withColumns(scaled)
-
-
 def feature_scores(train: DataFrame, candidates: list[str]) -> list[tuple[float, int, str]]:
     """(score, position, feature) of every candidate, best first; independent of how many are taken."""
     rows = st.mutual_info(train, candidates, TARGET, 10).collect()  # one row per candidate
@@ -66,24 +59,6 @@ def select_features(train: DataFrame, candidates: list[str], k: int, scores: lis
     return [c for _, _, c in sorted(top, key=lambda x: x[1])]
 
 
-def ridge(alpha: float, n: int, y_std: float) -> LinearRegression:
-    """Ridge(alpha) as Spark's normal-equation solver: the penalty is scaled by
-    n and the population std of the (scaled) target to match the closed form."""
-    reg = alpha / n * y_std if n and y_std else 0.0
-    return LinearRegression(featuresCol="features", labelCol="y", solver="normal", standardization=False,
-                            regParam=reg, elasticNetParam=0.0, fitIntercept=True)
-
-
-def random_forest(num_trees: int = 500, max_depth: int = 20, seed: int = 42) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=num_trees, maxDepth=max_depth,
-                                 featureSubsetStrategy="sqrt", bootstrap=True, seed=seed)
-
-
-def gbt(max_iter: int = 1000, step: float = 0.03, max_depth: int = 8, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=max_iter, stepSize=step, maxDepth=max_depth,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-
-
 class Prepared:
     """Encoded splits, candidate list and scaler ranges fitted on train only.
 
@@ -102,58 +77,69 @@ class Prepared:
         self.validation = enc.where(F.col(split_col) == "validation")
         self.test = enc.where(F.col(split_col) == "test")
         self.ranges = fit_minmax(self.train, self.candidates + [TARGET])
+        self._moments = None
 
-    def matrix(self, df: DataFrame, feats: list[str]) -> DataFrame:
-        scaled = apply_minmax(df.select("row_id", TARGET, *feats),
-                              {c: self.ranges[c] for c in feats + [TARGET]}, "__s")
-        return VectorAssembler(inputCols=[f + "__s" for f in feats], outputCol="features",
-                               handleInvalid="keep").transform(scaled).withColumnRenamed(TARGET + "__s", "y")
+    def values(self, feats: list[str]) -> dict[str, Column]:
+        """Inputs scaled by the training ranges; a missing one counts as the training minimum."""
+        return {f: F.coalesce(v, F.lit(0.0)) for f, v in sc.scaled(self.frame, self.ranges, feats).items()}
 
-    def inverse(self, pred: DataFrame) -> DataFrame:
+    def moments(self) -> gram.Moments:
+        """Sums of products of all scaled candidates and the scaled target over the training rows; one job, kept."""
+        if self._moments is None:
+            target = sc.scaled(self.frame, self.ranges, [TARGET])[TARGET]
+            self._moments = gram.moments(self.train, self.values(self.candidates), target)
+        return self._moments
+
+    def predicted(self, fit: gram.LinearFit) -> Column:
+        """A linear fit's prediction: inverse-scaled and clipped at 0."""
         lo, hi = self.ranges[TARGET]
-        raw = fe.min_max_inverse(F.col("prediction"), F.lit(lo), F.lit(hi))
-        return pred.withColumn("predicted", F.greatest(F.lit(0.0), raw))
-
-
-def fit_and_score(prep: Prepared, feats: list[str], estimator: str, eval_df: DataFrame, **params):
-    train = prep.matrix(prep.train, feats)
-    if estimator == "ridge":
-        stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
-        est = ridge(params.get("alpha", 1.0), stats["n"], stats["sd"] or 0.0)
-    elif estimator == "random_forest":
-        est = random_forest(**params)
-    else:
-        est = gbt(**params)
-    t0 = time.perf_counter()
-    model = est.fit(train)
-    seconds = time.perf_counter() - t0
-    pred = prep.inverse(model.transform(prep.matrix(eval_df, feats)))
-    return model, seconds, pred.select("row_id", F.col(TARGET).cast("double").alias("actual"), "predicted")
+        return F.greatest(F.lit(0.0), fe.min_max_inverse(fit.expression(self.values(fit.features)), F.lit(lo), F.lit(hi)))
+
+
+def scored(prep: Prepared, fit: gram.LinearFit, rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", F.col(TARGET).cast("double").alias("actual"), prep.predicted(fit).alias("predicted"))
 
 
-def feature_sweep(spark: SparkSession, prep: Prepared, counts=DEFAULT_FEATURE_COUNTS,
-                  estimator: str = "ridge") -> DataFrame:
+def feature_sweep(spark: SparkSession, prep: Prepared, counts=DEFAULT_FEATURE_COUNTS, alpha: float = 1.0) -> DataFrame:
     """Select -> scale -> fit -> validate for each feature count; failures are
-    recorded as rows and the loop goes on. Impossible or repeated k skipped."""
-    rows = []
-    seen = set()
+    recorded as rows and the loop goes on. Impossible or repeated k skipped.
+
+    All fits share one table of sums and all validations one pass over the
+    validation rows. ``training_seconds`` is measured: a fit's own time plus its
+    share of the time that the sums took.
+    """
     n_train, n_val = prep.train.count(), prep.validation.count()
     scores = feature_scores(prep.train, prep.candidates)
-    for k in counts:
-        if k in seen or k < 1 or k > len(prep.candidates):
-            continue
-        seen.add(k)
-        exp_id = f"{estimator}_k{k}"
-        feats: list[str] = []
+    wanted = [k for k in dict.fromkeys(counts) if 1 <= k <= len(prep.candidates)]
+    t0 = time.perf_counter()
+    moments, failure = None, ""
+    try:
+        moments = prep.moments()
+    except Exception as exc:  # noqa: BLE001 - recorded in every experiment's row
+        failure = f"{type(exc).__name__}: {exc}"
+    shared = (time.perf_counter() - t0) / max(len(wanted), 1)
+    fits, seconds, errors = {}, {}, {}
+    for k in wanted:
+        t0 = time.perf_counter()
         try:
-            feats = select_features(prep.train, prep.candidates, k, scores)
-            _, secs, pred = fit_and_score(prep, feats, estimator, prep.validation)
-            m = st.regression_metrics(pred).first()
-            rows.append((exp_id, estimator, k, ",".join(feats), n_train, n_val, round(secs, 6), m["r2"], m["mae"],
-                         m["mse"], m["rmse"], m["mape"], m["smape"], "success", ""))
+            if moments is None:
+                raise RuntimeError(failure)
+            fits[k] = gram.ridge(moments, select_features(prep.train, prep.candidates, k, scores), alpha)
         except Exception as exc:  # noqa: BLE001 - recorded as a failed experiment row
-            rows.append((exp_id, estimator, k, ",".join(feats), n_train, n_val, 0.0, None, None, None, None, None,
-                         None, "failed", f"{type(exc).__name__}: {exc}"))
+            errors[k] = f"{type(exc).__name__}: {exc}"
+        seconds[k] = round(shared + time.perf_counter() - t0, 6)
+    metrics = {}
+    if fits:
+        each = F.array(*[F.struct(F.lit(k).alias("k"), prep.predicted(fit).alias("predicted")) for k, fit in fits.items()])
+        pred = prep.validation.select(F.col(TARGET).cast("double").alias("actual"), F.inline(each))
+        metrics = {r["k"]: r for r in st.regression_metrics(pred, keys=["k"]).collect()}  # one row a feature count
+    rows = []
+    for k in wanted:
+        feats = ",".join(fits[k].features) if k in fits else ""
+        m = metrics.get(k)
+        measures = [m[c] for c in ("r2", "mae", "mse", "rmse", "mape", "smape")] if m else [None] * 6
+        rows.append((f"ridge_k{k}", "ridge", k, feats, n_train, n_val, seconds[k], *measures,
+                     "failed" if k in errors else "success", errors.get(k, "")))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
@@ -181,32 +167,8 @@ def fastest_by_k(results: DataFrame) -> DataFrame:
              .orderBy("model_name", "feature_count")
 
 
-def save_model(model: LinearRegressionModel, prep: Prepared, feats: list[str], path: str) -> None:
-    """Model + schema (selected features, scaler ranges, target) under ``path``."""
-    model.write().overwrite().save(f"{path}/model")
-    schema = {"feature_order": feats, "feature_count": len(feats), "target": TARGET,
-              "ranges": {c: list(prep.ranges[c]) for c in feats + [TARGET]}}
-    spark = prep.train.sparkSession
-    spark.createDataFrame([(json.dumps(schema),)], "schema string").coalesce(1).write.mode("overwrite") \
-         .text(f"{path}/schema")
-
-
-def load_model(spark: SparkSession, path: str):
-    model = LinearRegressionModel.load(f"{path}/model")
-    schema = json.loads(spark.read.text(f"{path}/schema").first()[0])
-    return model, schema
-
-
-def score_with(model, schema: dict, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch scoring without fitting: scale with the saved ranges, predict,
-    inverse-scale the target, clip at 0, flag non-finite results."""
-    feats = schema["feature_order"]
-    ranges = {c: tuple(v) for c, v in schema["ranges"].items()}
-    scaled = apply_minmax(df.select(*keys, *feats), {c: ranges[c] for c in feats}, "__s")
-    vec = VectorAssembler(inputCols=[f + "__s" for f in feats], outputCol="features",
-                          handleInvalid="keep").transform(scaled)
-    lo, hi = ranges[schema["target"]]
-    pred = model.transform(vec)
-    raw = fe.min_max_inverse(F.col("prediction"), F.lit(lo), F.lit(hi))
-    out = pred.select(*keys, F.greatest(F.lit(0.0), raw).alias("predicted"))
-    return out.withColumn("finite", ~F.isnan("predicted") & ~F.col("predicted").isin(float("inf")))
+def save_model(spark: SparkSession, fit: gram.LinearFit, prep: Prepared, path: str, version: str = "1") -> None:
+    """Weights, inputs in order and training ranges under ``path``."""
+    ranges = {c: list(prep.ranges[c]) for c in [*fit.features, TARGET]}
+    sc.save_scorer(spark, path, "linear", "ridge", version, fit.features,
+                   {"weights": fit.weights, "intercept": fit.intercept, "ranges": ranges, "target": TARGET})

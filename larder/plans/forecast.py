@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larder.functions import forecast as ff
 from larder.functions.parsing import to_number
 from larder.operators.asof import latest_asof
+from larder.operators.scorers import ExpressionScorer, Scorer
 from larder.sources.tables import Tables
 
 SERIES = ["request_id", "product_id", "warehouse_id"]
@@ -78,11 +79,14 @@ def _context(t: Tables, req: DataFrame) -> DataFrame:
         F.col("inv.incoming_inventory").alias("incoming_inventory"))
 
 
-def score_context(ctx: DataFrame) -> DataFrame:
-    """default_features + placeholder_score + round_units, once per series."""
-    feats = [ff.default_feature(c) for c in ff.DEFAULT_FEATURES]
-    raw_score = ff.placeholder_score(feats)
-    return ctx.withColumn("predicted_units_sold", ff.round_units(raw_score))
+#: Stand-in scorer over the context's own columns, missing ones as 0; flagged as a mock.
+PLACEHOLDER = ExpressionScorer("placeholder", "1", list(ff.DEFAULT_FEATURES),
+                               lambda _: ff.placeholder_score([ff.default_feature(c) for c in ff.DEFAULT_FEATURES]), is_mock=True)
+
+
+def score_context(ctx: DataFrame, scorer: Scorer = PLACEHOLDER) -> DataFrame:
+    """A scorer's prediction as whole units, once per series."""
+    return scorer.transform(ctx, "_raw").withColumn("predicted_units_sold", ff.round_units(F.col("_raw"))).drop("_raw")
 
 
 def horizon_rows(df: DataFrame, start: str = "forecast_start_date", horizon: str = "horizon_days") -> DataFrame:
@@ -122,12 +126,12 @@ def apply_overrides(ctx: DataFrame, overrides: DataFrame) -> DataFrame:
     return ctx.join(overrides, "request_id").select(*[changed.get(c, F.col(c)) for c in ctx.columns])
 
 
-def forecast_run(t: Tables, jobs: DataFrame, overrides: DataFrame) -> DataFrame:
+def forecast_run(t: Tables, jobs: DataFrame, overrides: DataFrame, scorer: Scorer = PLACEHOLDER) -> DataFrame:
     """The forecast_results table: contexts of completed jobs under their overrides, scored
-    by the mock scorer (flagged), one row per day of the horizon."""
+    by the given scorer (mocks are flagged), one row per day of the horizon."""
     done = jobs.where("status = 'completed'").select("request_id")
-    scored = score_context(apply_overrides(forecast_context(t).join(done, "request_id", "left_semi"), overrides))
+    scored = score_context(apply_overrides(forecast_context(t).join(done, "request_id", "left_semi"), overrides), scorer)
     pts = horizon_rows(scored).withColumn("lower_bound", ff.lower_bound("predicted_units_sold")) \
                               .withColumn("upper_bound", ff.upper_bound("predicted_units_sold"))
     return pts.select(*SERIES, "store_id", "forecast_date", "predicted_units_sold",
-                      "lower_bound", "upper_bound", F.lit(True).alias("is_mock"))
+                      "lower_bound", "upper_bound", F.lit(scorer.is_mock).alias("is_mock"))

@@ -146,8 +146,9 @@ def with_views(body: str, *names: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} as (\n{VIEWS[n]}\n)" for n in order)
     body = body.strip()
-    if re.match(r"(?is)^with\s", body):
-        return f"with {ctes},\n{body[4:].lstrip()}"
+    head = re.match(r"(?is)^with\s+(recursive\s+)?", body)
+    if head:
+        return f"with {head.group(1) or ''}{ctes},\n{body[head.end():]}"
     return f"with {ctes}\n{body}"
 
 

@@ -14,7 +14,8 @@ from larder.session import scratch_path
 from larder.sources import csv as cs
 from larder.sources.tables import Tables
 from larder.operators import ingest as ig
-from larder.plans.experiments import EXPERIMENTS_SQL, experiment_results, loss_table
+from larder.plans import linear_oracle as lo
+from larder.plans.queries_models import loss_table, sweep
 from larder.streaming.ingest import good, rejects
 from larder.streaming.ingest import stream_ingest as run_stream
 
@@ -91,26 +92,28 @@ def write_split_files(t: Tables):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("save_experiments", f"""{EXPERIMENTS_SQL}
-select experiment_id, model_name, feature_count, n, r2_score, mae, rmse, status from results""")
+@register("save_experiments", lo.SWEEP + """
+select experiment_id, model_name, feature_count, selected_features, training_samples, validation_samples, r2_score, mae, rmse, status, true as timed from results""")
 def save_experiments(t: Tables):
-    """Experiment result table and loss table written as CSV; the results read back."""
+    """The sweep's result table written as CSV and read back; its measured seconds are only checked to be there."""
     path = scratch_path(t.spark, f"experiments/{uuid.uuid4().hex}")
-    results = experiment_results(t)
-    cs.write_csv(results, f"{path}/results")
-    cs.write_csv(loss_table(t), f"{path}/loss")
-    back = t.spark.read.schema(results.schema).option("header", True).csv(f"{path}/results")
-    return back.select("experiment_id", "model_name", "feature_count", "n", "r2_score", "mae", "rmse", "status")
+    results = sweep(t)
+    cs.write_csv(results, path)
+    back = t.spark.read.schema(results.schema).option("header", True).csv(path)
+    return back.select("experiment_id", "model_name", "feature_count", "selected_features", "training_samples", "validation_samples",
+                       "r2_score", "mae", "rmse", "status", (F.col("training_seconds") > 0).alias("timed"))
 
 
-@register("save_experiment_loss", f"""{EXPERIMENTS_SQL}
-select experiment_id, feature_count as evaluation_number, rmse as objective_value, 0.0::double as elapsed_seconds from results""")
+@register("save_experiment_loss", f"""
+select 'ridge_all' as experiment_id, iteration + 1 as evaluation_number, loss as objective_value, true as timed from ({lo.DESCENT})""")
 def save_experiment_loss(t: Tables):
-    """The loss table (experiment, evaluation, objective, seconds) written and read back."""
+    """The loss table (experiment, evaluation, objective, measured seconds) written and read back."""
     path = scratch_path(t.spark, f"experiments/{uuid.uuid4().hex}")
     loss = loss_table(t)
     cs.write_csv(loss, path)
-    return t.spark.read.schema(loss.schema).option("header", True).csv(path)
+    back = t.spark.read.schema(loss.schema).option("header", True).csv(path)
+    return back.select("experiment_id", "evaluation_number", F.round("objective_value", 9).alias("objective_value"),
+                       (F.col("elapsed_seconds") >= 0).alias("timed"))
 
 
 _STREAM_COLS = ["product_id", "store_id", "store_created", "warehouse_id", "transaction_date", "units_sold", "selling_price",

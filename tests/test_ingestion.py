@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from larder.functions.parsing import to_number
 from larder.operators import ingest as ig
 from larder.operators import mapping as mp
-from larder.operators import models as md
 from larder.operators.prefix import running_total
 from larder.plans.training import split_chronological
 
@@ -81,13 +80,3 @@ def test_chronological_split_ranks_only_inside_boundary_dates(spark):
     got = split_chronological(df).collect()
     order = sorted(got, key=lambda r: (r["transaction_date"], r["row_id"]))
     assert [r["split"] for r in order] == ["train"] * 700 + ["validation"] * 150 + ["test"] * 150
-
-
-def test_small_trees_beat_the_train_mean(spark):
-    from pyspark.ml.feature import VectorAssembler
-    df = spark.range(0, 400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
-    m = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.withColumn("y", F.col("a") * 2 + F.col("b")))
-    spread = m.agg(F.stddev_pop("y")).first()[0]
-    for est in (md.random_forest(num_trees=20, max_depth=6), md.gbt(max_iter=15, max_depth=3, step=0.3)):
-        pred = est.fit(m).transform(m)
-        assert pred.agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0] < 0.5 * spread

@@ -58,15 +58,3 @@ def test_regression_metrics_skip_rules(spark):
     m = st.regression_metrics(df).first()
     assert m["mae"] == round(2 / 3, 6) and m["mape"] == round((0.5 + 0.25) / 2 * 100, 6)
     assert m["smape"] == round((2 * 1 / 3 + 2 * 1 / 9) / 2 * 100, 6)
-
-
-def test_tree_models_wire_up(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from larder.operators import models as md
-    df = spark.range(0, 200).select((F.col("id") % 17).cast("double").alias("a"),
-                                    (F.col("id") % 5).cast("double").alias("b"))
-    df = df.withColumn("y", F.col("a") * 2 + F.col("b"))
-    m = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
-    rf = md.random_forest(num_trees=5, max_depth=3).fit(m)
-    gb = md.gbt(max_iter=3, max_depth=2).fit(m)
-    assert rf.getNumTrees == 5 and gb.getNumTrees == 3
