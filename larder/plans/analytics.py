@@ -1,17 +1,18 @@
-"""Forecast analytics over a forecast-points table.
+"""Forecast analytics over scored series and over their daily points.
 
-A series is one (request, product, warehouse). Every window here is
+A series is one (request, product, warehouse). Totals, summaries and stock
+figures work on one row a series that holds its days as an array. Every window here is
 partitioned by series, and a series holds at most the horizon (<= 90 days),
 so no window partition can grow with the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import forecast as ff
-from larder.functions.aggregates import arg_max, arg_min
+from larder.functions.aggregates import arg_max
 from larder.plans.forecast import SERIES
 
 U = "predicted_units_sold"
@@ -21,37 +22,46 @@ def _series_window(order: str = "day_index"):
     return Window.partitionBy(*SERIES).orderBy(order)
 
 
-def weekly_totals(points: DataFrame) -> DataFrame:
-    """Consecutive 7-day buckets from the series start; the last may be short."""
-    return (points.groupBy(*SERIES, F.floor(F.col("day_index") / 7).cast("int").alias("week_index"))
-            .agg(F.min("forecast_date").alias("week_start"),
-                 F.max("forecast_date").alias("week_end"),
-                 F.sum(U).alias("units")))
+def daily_units(scored: DataFrame) -> DataFrame:
+    """One row a series with the predicted units of its days in order (the horizon bounds the array)."""
+    return scored.withColumn("units", F.array_repeat(F.col(U), F.col("horizon_days")))
 
 
-def forecast_summary(points: DataFrame) -> DataFrame:
-    """total, rounded mean, peak / lowest day (first on ties), trend %.
+def _total(units) -> Column:
+    return F.aggregate(units, F.lit(0).cast("bigint"), lambda run, u: run + u)
+
+
+def weekly_totals(series: DataFrame) -> DataFrame:
+    """Consecutive 7-day buckets from the series start; the last may be short. Weeks are cut inside the row: no shuffle."""
+    start, days = F.col("forecast_start_date"), F.size("units")
+
+    def week(w):
+        return F.struct(w.alias("week_index"), F.date_add(start, w * 7).alias("week_start"),
+                        F.date_add(start, F.least(w * 7 + 6, days - 1)).alias("week_end"), _total(F.slice("units", w * 7 + 1, 7)).alias("units"))
+
+    weeks = F.transform(F.sequence(F.lit(0), F.floor((days - 1) / 7).cast("int")), week)
+    return series.where(days > 0).select(*SERIES, F.inline(weeks))
+
+
+def forecast_summary(series: DataFrame) -> DataFrame:
+    """total, rounded mean, peak / lowest day (first on ties), trend %; all inside the series' row.
 
     Trend compares the mean of the last and the first max(1, floor(n/4)) days;
     a zero first-window mean gives null instead of a division by zero.
     """
-    w = F.greatest(F.lit(1), F.floor(F.col("horizon_days") / 4)).cast("int")
-    first = F.sum(F.when(F.col("day_index") < w, F.col(U)).otherwise(0))
-    last = F.sum(F.when(F.col("day_index") >= F.col("horizon_days") - w, F.col(U)).otherwise(0))
-    g = points.groupBy(*SERIES).agg(
-        F.count(F.lit(1)).alias("n_days"),
-        F.sum(U).alias("total_units"),
-        arg_max(F.struct(F.col("forecast_date"), F.col(U)), [F.col(U), -F.col("day_index")]).alias("peak"),
-        arg_min(F.struct(F.col("forecast_date"), F.col(U)), [F.col(U), F.col("day_index")]).alias("low"),
-        (first / F.first(w)).alias("first_mean"),
-        (last / F.first(w)).alias("last_mean"))
-    trend = (F.col("last_mean") - F.col("first_mean")) / F.nullif(F.col("first_mean"), F.lit(0.0)) * 100
-    return g.select(
-        *SERIES, "n_days", "total_units",
-        ff.half_up(F.col("total_units") / F.col("n_days")).cast("bigint").alias("average_units"),
-        F.col("peak.forecast_date").alias("peak_date"), F.col(f"peak.{U}").alias("peak_units"),
-        F.col("low.forecast_date").alias("lowest_date"), F.col(f"low.{U}").alias("lowest_units"),
-        ff.half_up(trend).cast("bigint").alias("trend_pct"))
+    n = F.size("units")
+    w = F.greatest(F.lit(1), F.floor(n / 4)).cast("int")
+    first, last = _total(F.slice("units", F.lit(1), w)) / w, _total(F.slice("units", n - w + 1, w)) / w
+    peak, low = F.array_max("units"), F.array_min("units")
+
+    def day_of(value):
+        return F.date_add("forecast_start_date", (F.array_position("units", value) - 1).cast("int"))
+
+    return series.where(n > 0).select(
+        *SERIES, n.cast("bigint").alias("n_days"), _total(F.col("units")).alias("total_units"),
+        ff.half_up(_total(F.col("units")) / n).cast("bigint").alias("average_units"),
+        day_of(peak).alias("peak_date"), peak.alias("peak_units"), day_of(low).alias("lowest_date"), low.alias("lowest_units"),
+        ff.half_up((last - first) / F.nullif(first, F.lit(0.0)) * 100).cast("bigint").alias("trend_pct"))
 
 
 def projected_inventory(points: DataFrame) -> DataFrame:
@@ -61,25 +71,30 @@ def projected_inventory(points: DataFrame) -> DataFrame:
     return points.withColumn("projected_inventory", ff.half_up(start - run).cast("bigint"))
 
 
-def inventory_impact(points: DataFrame) -> DataFrame:
+def inventory_impact(series: DataFrame) -> DataFrame:
     """demand, remaining, first stock-out date, shortage and reorder size per series.
 
-    Stock comes from the latest inventory snapshot (0 when there is none).
+    Stock comes from the latest inventory snapshot (0 when there is none). The running
+    stock is a fold over the row's own days: no explode, sort, window or aggregation.
     """
-    proj = projected_inventory(points)
+    stock = F.coalesce(F.col("current_inventory"), F.lit(0.0))
     incoming = F.coalesce(F.col("incoming_inventory"), F.lit(0.0))
-    g = proj.groupBy(*SERIES).agg(
-        F.first(F.coalesce(F.col("current_inventory"), F.lit(0.0))).alias("current_inventory"),
-        F.first(incoming).alias("incoming_inventory"),
-        F.sum(U).alias("demand"),
-        F.min(F.when(F.col("projected_inventory") + incoming < 0, F.col("forecast_date"))).alias("stockout_date"))
+
+    def step(state, u):
+        run = state["run"] + u
+        short = ff.half_up(stock - run).cast("bigint") + incoming < 0
+        return F.struct(run.alias("run"), (state["day"] + 1).alias("day"), F.coalesce(state["out"], F.when(short, state["day"])).alias("out"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("day"), F.lit(None).cast("int").alias("out"))
+    g = series.withColumn("_path", F.aggregate("units", begin, step)).select(
+        *SERIES, stock.alias("current_inventory"), incoming.alias("incoming_inventory"), F.col("_path.run").alias("demand"),
+        F.date_add("forecast_start_date", F.col("_path.out")).alias("stockout_date"))
     remaining = F.col("current_inventory") + F.col("incoming_inventory") - F.col("demand")
     shortage = F.greatest(F.lit(0.0), -F.col("remaining"))
-    out = (g.withColumn("remaining", remaining)
-           .withColumn("shortage", shortage)
-           .withColumn("reorder", F.greatest(F.lit(0.0), F.col("shortage") + ff.half_up(F.col("demand") * 0.15)))
-           .withColumn("stock_state", ff.stock_state("shortage", "remaining", "demand")))
-    return out
+    return (g.withColumn("remaining", remaining)
+            .withColumn("shortage", shortage)
+            .withColumn("reorder", F.greatest(F.lit(0.0), F.col("shortage") + ff.half_up(F.col("demand") * 0.15)))
+            .withColumn("stock_state", ff.stock_state("shortage", "remaining", "demand")))
 
 
 def peak_window(points: DataFrame) -> DataFrame:
@@ -101,8 +116,8 @@ def demand_status(points: DataFrame) -> DataFrame:
                     ff.demand_status(U, "series_mean", "series_peak").alias("demand_status")))
 
 
-def stockout_date(points: DataFrame) -> DataFrame:
-    return inventory_impact(points).select(*SERIES, "stockout_date")
+def stockout_date(series: DataFrame) -> DataFrame:
+    return inventory_impact(series).select(*SERIES, "stockout_date")
 
 
 def forecast_export(points: DataFrame) -> DataFrame:

@@ -98,6 +98,12 @@ def horizon_rows(df: DataFrame, start: str = "forecast_start_date", horizon: str
     return df.select("*", F.posexplode(days).alias("day_index", "forecast_date"))
 
 
+def scored_series(t: Tables, requests: DataFrame | None = None, scorer: Scorer = PLACEHOLDER) -> DataFrame:
+    """One row a series: scored context with the predicted units of its days as an array."""
+    from larder.plans.analytics import daily_units
+    return daily_units(score_context(forecast_context(t, requests), scorer))
+
+
 def forecast_points(t: Tables, requests: DataFrame | None = None, by_series: bool = False) -> DataFrame:
     """All forecast points with the context carried along (for analytics).
 

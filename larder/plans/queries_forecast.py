@@ -97,7 +97,7 @@ select {S}, cast(floor(day_index/7) as integer) as week_index, min(forecast_date
        max(forecast_date) as week_end, cast(sum({U}) as bigint) as units
 from forecast_points group by all""")
 def weekly_totals(t):
-    return an.weekly_totals(fc.forecast_points(t, by_series=True))
+    return an.weekly_totals(fc.scored_series(t))
 
 
 @register("forecast_summary", f"""
@@ -113,7 +113,7 @@ select {S}, count(*) as n_days, cast(sum({U}) as bigint) as total_units,
                    / max(greatest(1, floor(horizon_days/4))), 0.0) * 100 + 0.5) as bigint) as trend_pct
 from forecast_points group by all""")
 def forecast_summary(t):
-    return an.forecast_summary(fc.forecast_points(t, by_series=True))
+    return an.forecast_summary(fc.scored_series(t))
 
 
 _PROJ = f"""proj as (
@@ -146,14 +146,14 @@ select *, greatest(0.0, shortage + floor(demand*0.15 + 0.5)) as reorder,
             else 'Sufficient stock' end as stock_state
 from x""")
 def inventory_impact(t):
-    return an.inventory_impact(fc.forecast_points(t, by_series=True))
+    return an.inventory_impact(fc.scored_series(t))
 
 
 @register("stockout_date", f"""
 with {_PROJ}, {_IMPACT}
 select {S}, stockout_date from impact""")
 def stockout_date(t):
-    return an.stockout_date(fc.forecast_points(t, by_series=True))
+    return an.stockout_date(fc.scored_series(t))
 
 
 @register("stock_state", f"""
@@ -161,7 +161,7 @@ with {_PROJ}, {_IMPACT}, x as (select *, {_IMPACT_COLS} from impact)
 select {S}, case when shortage > 0 then 'Stockout expected' when remaining < demand*0.15 then 'Low stock risk'
             else 'Sufficient stock' end as stock_state from x""")
 def stock_state(t):
-    return an.inventory_impact(fc.forecast_points(t, by_series=True)).select(*fc.SERIES, "stock_state")
+    return an.inventory_impact(fc.scored_series(t)).select(*fc.SERIES, "stock_state")
 
 
 @register("peak_window", f"""
