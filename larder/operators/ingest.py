@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.aggregates import arg_max
 from larder.functions.parsing import boolean_reject, number_reject, parse_boolean, parse_date, required_text, to_number
 from larder.operators.mapping import TARGET_FIELDS, fields_of
 
@@ -213,21 +212,3 @@ def row_failures(ingested: DataFrame) -> DataFrame:
                       F.when(F.col("failed_count") == 0, "ingested").otherwise("failed").alias("status"),
                       "inserted_count", "failed_count",
                       F.coalesce("failures", F.array().cast(sample.schema["failures"].dataType)).alias("failures"))
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str,
-           stamp: str | None = "replaced") -> DataFrame:
-    """Insert-or-update by natural key without a table format.
-
-    The last incoming row per key (by ``order``) wins; existing rows with a
-    key in ``incoming`` are replaced (``stamp``: true for the new rows). Both steps are partial aggregations or
-    joins on the key, so a hot key never lands whole in one task.
-    """
-    other = [c for c in incoming.columns if c not in keys]
-    latest = incoming.groupBy(*keys).agg(arg_max(F.struct(*other), [F.col(order)]).alias("_new"))
-    latest = latest.select(*keys, *[F.col(f"_new.{c}").alias(c) for c in other])
-    if stamp:
-        latest = latest.withColumn(stamp, F.lit(True))
-        existing = existing.withColumn(stamp, F.lit(False))
-    kept = existing.join(latest.select(*keys), keys, "left_anti")
-    return kept.unionByName(latest)

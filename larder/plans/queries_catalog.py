@@ -8,19 +8,25 @@ and ingestion.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.operators import ingest as ig
 from larder.operators import validate as vd
 from larder.operators.asof import max_by_key
+from larder.operators.keyed_store import KeyedTable, delete_everywhere
 from larder.plans import forecast as fc
 from larder.plans import queries_quality as qq
 from larder.plans import uploads as up
 from larder.plans.catalog import register
 from larder.plans.oracle_views import view
+from larder.session import scratch_path
 from larder.sources.tables import Tables
 
 ORG = "AMERICA"
+MASTER_PARTS = 16     # parts of the stored product table
+RANGE_ROWS = 100_000  # source rows a part
 # Owner organisation of each dataset (catalogue metadata).
 DATASET_ORG = {"sales": "AMERICA", "inventory": "AMERICA", "sales_upload": "AMERICA",
                "inventory_upload": "EUROPE", "products_upload": "AMERICA", "suppliers_upload": "AMERICA",
@@ -215,7 +221,11 @@ def upsert_master(t: Tables):
         "external_product_id", "product_name", "category", "supplier_id", "source_row_number")
     old = t.products().select(F.col("product_id").cast("string").alias("external_product_id"), "product_name",
                               "category", "supplier_id", F.lit(0).cast("bigint").alias("source_row_number"))
-    return ig.upsert(old, new, ["external_product_id"], "source_row_number").drop("source_row_number")
+    table = KeyedTable(t.spark, scratch_path(t.spark, f"keyed/products-{uuid.uuid4().hex}"))
+    part = F.pmod(F.xxhash64("external_product_id"), F.lit(MASTER_PARTS))
+    table.replace(old.drop("source_row_number").withColumn("replaced", F.lit(False)), part)
+    table.merge(new, ["external_product_id"], "source_row_number", part, "replaced")
+    return table.read()
 
 
 @register("upsert_source_rows", """
@@ -232,7 +242,37 @@ def upsert_source_rows(t: Tables):
         "dataset_id", "source_row_number", "product_id", "transaction_date", "units_sold")
     old = t.sales_records().select(F.lit("sales_upload").alias("dataset_id"), "source_row_number", "product_id",
                                    "transaction_date", "units_sold")
-    return ig.upsert(old, new, ["dataset_id", "source_row_number"], "source_row_number")
+    table = KeyedTable(t.spark, scratch_path(t.spark, f"keyed/sales-{uuid.uuid4().hex}"))
+    part = F.concat_ws(":", "dataset_id", F.floor(F.col("source_row_number") / RANGE_ROWS))
+    table.replace(old.withColumn("replaced", F.lit(False)), part)
+    table.merge(new.withColumn("_order", F.col("source_row_number")), ["dataset_id", "source_row_number"], "_order", part, "replaced")
+    return table.read()
+
+
+# What a dataset owns beside its rows; each is stored with one part an organisation and dataset.
+_CHILDREN_SQL = """children as (
+  select 'source_rows' as child, dataset_id from sales_records union all select 'source_rows', dataset_id from inventory_snapshots
+  union all select 'source_rows', dataset_id from (select distinct dataset_id, source_row_number from upload_cells)
+  union all select 'columns', dataset_id from column_profile
+  union all select 'mappings', dataset_id from column_mappings
+  union all select 'issues', dataset_id from validation_issues
+  union all select 'catalogue', dataset_id from dataset_catalogue)"""
+
+
+def dataset_tables(t: Tables) -> dict[str, KeyedTable]:
+    """Stored child tables of all datasets, the catalogue last; parts are named organisation/dataset."""
+    org = F.create_map(*[x for k, v in DATASET_ORG.items() for x in (F.lit(k), F.lit(v))])
+    part = F.concat_ws("/", org[F.col("dataset_id")], "dataset_id")
+    rows = up._union([t.sales_records().select("dataset_id", "source_row_number"), t.inventory_snapshots().select("dataset_id", "source_row_number"),
+                      *[df.select(F.lit(ds).alias("dataset_id"), "source_row_number") for ds, _, df in up.upload_frames(t)]])
+    contents = {"source_rows": rows, "columns": up.column_profile(t).select("dataset_id", "source_column"),
+                "mappings": up.mappings(t).select("dataset_id", "source_column", "target_field"),
+                "issues": up.issues(t).select("dataset_id", "code", "row_number"), "catalogue": catalogue(t).select("dataset_id", "organization_id")}
+    path, out = scratch_path(t.spark, f"keyed/datasets-{uuid.uuid4().hex}"), {}
+    for name, df in contents.items():
+        out[name] = KeyedTable(t.spark, f"{path}/{name}")
+        out[name].replace(df, part)
+    return out
 
 
 @register("delete_dataset", """
@@ -241,12 +281,22 @@ select dataset_id, source_row_number from (
   select dataset_id, source_row_number from inventory_snapshots) x
 where dataset_id not in (select dataset_id from dataset_catalogue where dataset_id = 'inventory' and organization_id = 'AMERICA')""")
 def delete_dataset(t: Tables):
-    """Rows left after deleting dataset 'inventory' of organisation AMERICA."""
-    rows = t.sales_records().select("dataset_id", "source_row_number").unionByName(
-        t.inventory_snapshots().select("dataset_id", "source_row_number"))
-    gone = catalogue(t).where((F.col("dataset_id") == "inventory") & (F.col("organization_id") == ORG)) \
-                       .select("dataset_id")
-    return rows.join(gone, "dataset_id", "left_anti")
+    """Rows left after dataset 'inventory' of organisation AMERICA was deleted from the stored tables."""
+    tables = dataset_tables(t)
+    delete_everywhere(tables, [f"{ORG}/inventory"])
+    return tables["source_rows"].read().where(F.col("dataset_id").isin("sales", "inventory"))
+
+
+@register("delete_dataset_children", f"""with {_CHILDREN_SQL}
+select child, dataset_id, count(*) as n from children where not (dataset_id = 'inventory_upload') group by child, dataset_id""")
+def delete_dataset_children(t: Tables):
+    """What every child table holds after EUROPE deleted 'inventory_upload' and AMERICA tried to: its rows, columns,
+    mappings, issues and catalogue entry are gone, those of other datasets are whole."""
+    tables = dataset_tables(t)
+    delete_everywhere(tables, [f"{ORG}/inventory_upload"])  # not this organisation's: nothing happens
+    delete_everywhere(tables, ["EUROPE/inventory_upload"])
+    left = [table.read().select(F.lit(name).alias("child"), "dataset_id") for name, table in tables.items()]
+    return up._union(left).groupBy("child", "dataset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("product_search", """

@@ -16,7 +16,7 @@ from larder.sources.tables import Tables
 from larder.operators import ingest as ig
 from larder.plans import linear_oracle as lo
 from larder.plans.queries_models import loss_table, sweep
-from larder.streaming.ingest import good, rejects
+from larder.streaming.ingest import good, ingested, rejects
 from larder.streaming.ingest import stream_ingest as run_stream
 
 SALES_COLS = UPLOAD_COLUMNS["sales_upload"][1]
@@ -29,11 +29,11 @@ def land_sales_upload(t: Tables) -> str:
     return path
 
 
-@register("scan_csv", "select " + ", ".join(f'"{c}"' for c in SALES_COLS) + " from sales_upload")
+@register("scan_csv", "select " + ", ".join(f'"{c}"' for c in SALES_COLS) + ", cast(null as varchar) as reject_reason from sales_upload")
 def scan_csv(t: Tables):
-    """Landed upload read back: all strings, NA tokens as null, original names."""
+    """Landed upload read back: all strings, NA tokens as null, original names; none of its records is broken."""
     df = cs.scan_csv(t.spark, land_sales_upload(t))
-    return df.select(*[F.col(f"`{c}`") for c in SALES_COLS])
+    return df.select(*[F.col(f"`{c}`") for c in SALES_COLS], "reject_reason")
 
 
 @register("csv_surplus_fields", f"""
@@ -131,7 +131,7 @@ def _streamed(t: Tables):
     def build():
         target = scratch_path(t.spark, f"stream-target/{uuid.uuid4().hex}")
         _stream(t, land_sales_upload(t), target)
-        return t.spark.read.parquet(target)
+        return ingested(t.spark, target)
     return t._stored("streamed_sales", build)
 
 
@@ -163,8 +163,8 @@ def stream_dedupe(t: Tables):
     landing = land_sales_upload(t)
     target = scratch_path(t.spark, f"stream-target/{uuid.uuid4().hex}")
     _stream(t, landing, target)
-    first = t.spark.read.parquet(target).count()
+    first = ingested(t.spark, target).count()
     _stream(t, landing, target)  # replay everything
-    df = t.spark.read.parquet(target)
+    df = ingested(t.spark, target)
     return df.agg(F.lit(first).cast("bigint").alias("rows_first_run"), F.count(F.lit(1)).alias("rows_after_replay"),
                   F.count_distinct("dataset_id", "source_row_number").alias("distinct_keys"))

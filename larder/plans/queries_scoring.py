@@ -200,21 +200,17 @@ select m.dataset_id, 'warning' as severity, 'UNSUPPORTED_' || upper(m."column")
        m.source_row_number as row_number, m.value
 from mapped_cells m
 where m."column" in ('category', 'region') and m.value is not null
-  and not exists (select 1 from supported s where s."group" = m."column" and s.level = m.value)
-qualify row_number() over (partition by m.dataset_id, m."column" order by m.source_row_number) <= 5""")
+  and not exists (select 1 from supported s where s."group" = m."column" and s.level = m.value)""")
 def v12_unsupported_level(t: Tables):
-    """Category / region values outside the model's training vocabulary (first 5)."""
-    from pyspark.sql import Window
+    """Every category / region value outside the model's training vocabulary."""
     train = tr.split_random(tr.training_frame(t)).where(F.col("split") == "train")
     sup = train.where(F.col("category").isNotNull()).select(
         F.lit("category").alias("column"), F.col("category").alias("value")).distinct()
     m = up.mapped_cells(t).where(F.col("column").isin("category", "region") & F.col("value").isNotNull())
     bad = m.join(sup, ["column", "value"], "left_anti")
-    w = Window.partitionBy("dataset_id", "column").orderBy("source_row_number")
-    return (bad.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= 5)
-            .select("dataset_id", F.lit("warning").alias("severity"),
-                    F.concat(F.lit("UNSUPPORTED_"), F.upper("column")).alias("code"), "column",
-                    F.col("source_row_number").alias("row_number"), "value"))
+    return bad.select("dataset_id", F.lit("warning").alias("severity"),
+                      F.concat(F.lit("UNSUPPORTED_"), F.upper("column")).alias("code"), "column",
+                      F.col("source_row_number").alias("row_number"), "value")
 
 
 @register("v13_model_feature_unavailable", f"""

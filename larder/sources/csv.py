@@ -9,7 +9,7 @@ inside its file. Nothing is read by a single task and no global sort runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -18,38 +18,56 @@ from larder.functions.parsing import na_to_null
 _POS_BITS = 33
 
 
-def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Header CSV as all-string columns (no inference); NA tokens -> null."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
-          .option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path))
-    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
-
-
 # ---------------------------------------------------------------------------
 # Reasons for refused files and rows.
 NO_COLUMNS = "The CSV contains no columns."
 NO_ROWS = "The CSV contains no data rows."
 SURPLUS_FIELDS = "The row has more fields than the header."
+BAD_ENCODING = "The row is not valid UTF-8."
 # ---------------------------------------------------------------------------
 
+#: Files are parsed byte by byte (every byte is one character of this charset) and decoded afterwards, so that
+#: broken text can be told from text; separators and quotes are the same bytes in either.
+BYTES = "ISO-8859-1"
+SURPLUS = "_surplus"
+
+
+def _text(c: str) -> Column:
+    """A field parsed byte by byte as the UTF-8 text it holds, unchecked."""
+    return F.encode(F.col(f"`{c}`"), BYTES).cast("string")
+
+
+def raw_schema(names: list[str]) -> StructType:
+    """Columns as the parser sees them (names byte by byte) and one more that catches the first surplus field."""
+    return StructType([StructField(c, StringType()) for c in [*(n.encode("utf-8").decode(BYTES) for n in names), SURPLUS]])
 
-def read_checked_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+
+def checked_fields(df: DataFrame, names: list[str]) -> list[Column]:
+    """Decoded columns (NA tokens null, broken bytes replaced) and ``reject_reason`` of rows parsed under ``raw_schema``."""
+    raw = dict(zip(names, raw_schema(names).names))
+    broken = F.lit(False)
+    for c in raw.values():
+        broken = broken | F.coalesce(~F.is_valid_utf8(_text(c)), F.lit(False))
+    reason = F.when(broken, F.lit(BAD_ENCODING)).when(F.col(SURPLUS).isNotNull(), F.lit(SURPLUS_FIELDS))
+    return [*[na_to_null(F.make_valid_utf8(_text(r))).alias(c) for c, r in raw.items()], reason.alias("reject_reason")]
+
+
+def read_checked_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Header CSV (or, with ``columns``, one without a header) as all-string columns and ``reject_reason``.
 
-    A parser that pads short rows also cuts surplus fields without a sign; here
-    one more column catches the first surplus field, so such rows carry a
-    reason. Empty files are refused with an error.
+    A parser that pads short rows also cuts surplus fields without a sign, and
+    replaces broken UTF-8; here such rows stay and carry a reason. Empty files
+    are refused with an error.
     """
-    reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", columns is None)
-    names = columns or reader.option("inferSchema", False).csv(path).columns
+    reader = (spark.read.option("encoding", BYTES).option("mode", "PERMISSIVE").option("header", columns is None)
+              .option("multiLine", multi_line))
+    names = columns or [c.encode(BYTES).decode("utf-8", "replace") for c in reader.option("inferSchema", False).csv(path).columns]
     if not names:
         raise ValueError(NO_COLUMNS)
-    schema = StructType([StructField(c, StringType()) for c in [*names, "_surplus"]])
-    df = reader.schema(schema).csv(path)
+    df = reader.schema(raw_schema(names)).csv(path)
     if df.limit(1).count() == 0:
         raise ValueError(NO_ROWS)
-    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names],
-                     F.when(F.col("_surplus").isNotNull(), F.lit(SURPLUS_FIELDS)).alias("reject_reason"))
+    return df.select(*checked_fields(df, names))
 
 
 def with_file_position(df: DataFrame, start: int = 2) -> DataFrame:
@@ -68,8 +86,12 @@ def with_file_position(df: DataFrame, start: int = 2) -> DataFrame:
     return j.withColumn("source_row_number", rn.cast("bigint")).drop("_blk", "_rid", "_pos", "_first", "_off")
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    return with_file_position(read_raw_csv(spark, path))
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every record of the files with its position and, where it is broken, ``reject_reason``.
+
+    ``multi_line``: quoted fields may hold line breaks; a file is then one split and records are counted, not lines.
+    """
+    return with_file_position(read_checked_csv(spark, path, multi_line=multi_line))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

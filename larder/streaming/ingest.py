@@ -4,42 +4,48 @@ The batch loop of the web backend becomes a file stream with
 ``trigger(availableNow=True)``: each micro-batch numbers its rows by file
 position, renames columns with the stored mappings (a select on the wide rows),
 runs the sales ingestion (look-ups are joins) and writes every row, good or
-rejected, with its ``reject_reason`` into one table partitioned by
-``dataset_id`` (the landed file's whole path) with dynamic partition overwrite.
-A file that is replayed replaces exactly its own partition, also when none of
-its rows is good any more, so the result is the same however often a batch is
-retried; the checkpoint skips files already done.
+rejected, with its ``reject_reason`` into one keyed table, one part a landed
+file. A row with surplus fields or broken text is such a reject too.
+
+An epoch is published by one manifest beside its rows: rows that a killed epoch
+left are in no manifest and no reader sees them; an epoch that was published but
+not yet in the checkpoint is skipped when it is replayed; a file that is read
+again under another checkpoint replaces exactly its own part, also when none of
+its rows is good any more.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from larder.functions.parsing import na_to_null
 from larder.operators import ingest as ig
+from larder.operators.keyed_store import KeyedTable
 from larder.operators.mapping import map_columns
-from larder.sources.csv import with_file_position
+from larder.sources.csv import BYTES, checked_fields, raw_schema, with_file_position
+
+
+_CARRIED = ("_file", "_parse")  # columns that ride through the mapping inside the extras
 
 
 def _process(batch: DataFrame, header: list[str], mappings: list, products: DataFrame, warehouses: DataFrame,
-             stores: DataFrame, target: str, default_warehouse: str | None) -> None:
+             stores: DataFrame, target: str, default_warehouse: str | None, load: str) -> None:
+    table = KeyedTable(batch.sparkSession, target)
     batch = batch.persist()  # numbered twice (positions, split sizes): read the batch once
     try:
-        raw = batch.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in header], "_metadata")
-        numbered = with_file_position(raw).drop("_metadata")
-        files = numbered.select("source_file", "source_row_number", *header)
-        rows = ig.conform(map_columns(files.withColumnRenamed("source_file", "_file"), mappings), "", "sales")
+        numbered = with_file_position(batch.select(*checked_fields(batch, header), "_metadata")).drop("_metadata")
+        files = numbered.select(F.col("source_file").alias("_file"), F.col("reject_reason").alias("_parse"), "source_row_number", *header)
+        rows = ig.conform(map_columns(files, mappings), "", "sales")
         # The file's path is carried as an extra column and becomes the dataset's key.
         path = F.get_json_object("extras", "$._file")
         keyed = rows.withColumn("dataset_id", F.concat(F.regexp_extract(path, r"([^/]*?)(\.csv)?$", 1), F.lit("-"),
                                                        F.substring(F.sha2(path, 256), 1, 16)))
-        keyed = keyed.withColumn("extras", F.to_json(F.map_filter(
-            F.from_json("extras", "map<string,string>"), lambda k, _: k != "_file")))
         done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse)
-        (done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("dataset_id").parquet(target))
+        own = F.map_filter(F.from_json("extras", "map<string,string>"), lambda k, _: ~k.isin(*_CARRIED))
+        done = done.withColumns({"reject_reason": F.coalesce(F.get_json_object("extras", "$._parse"), F.col("reject_reason")), "extras": F.to_json(own)})
+        table.replace(done, F.col("dataset_id"), load)
     finally:
         batch.unpersist()
 
@@ -50,22 +56,27 @@ def stream_ingest(spark: SparkSession, landing: str, target: str, checkpoint: st
     """Run the landing-folder stream to completion (all files available now).
 
     ``mappings``: the stored mapping rows of this upload layout. The table at
-    ``target`` holds every row; ``good`` and ``rejects`` are its two filters.
+    ``target`` (read it with ``ingested``) holds every row; ``good`` and ``rejects`` are its two filters.
     """
-    schema = StructType([StructField(c, StringType()) for c in header])
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(raw_schema(header)).option("header", True).option("encoding", BYTES)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(landing).select("*", "_metadata")
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, epoch: int) -> None:
-        _process(batch, header, mappings, products, warehouses, stores, target, default_warehouse)
+        _process(batch, header, mappings, products, warehouses, stores, target, default_warehouse, f"{run}-{epoch}")
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """All rows of the published epochs."""
+    return KeyedTable(spark, target).read()
+
+
 def good(table: DataFrame) -> DataFrame:
     return table.where("reject_reason is null").drop("reject_reason")
 
