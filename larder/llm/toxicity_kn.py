@@ -7,19 +7,29 @@ Only the highest order counts by class; all lower orders are continuation
 counts pooled over both classes, so a rare expression falls back on the same
 shared model on either side and the two log-likelihoods stay comparable.
 
-Learning counts n-grams of all learnable labelled rows: tasks count words,
-expand each distinct word once, and Spark sums the distinct n-grams. The tables
-are stored as Parquet, keyed by the full 64-bit hash of an n-gram or context,
+Learning counts n-grams of all learnable labelled rows and of no others: tasks
+count words, expand each distinct word once, and Spark sums the distinct
+n-grams. The tables are keyed by the full 64-bit hash of an n-gram or context
 and grow with the corpus.
 
-Scoring joins the distinct n-grams of the corpus's distinct words to those
-tables, order by order, and stores each word's log-likelihood difference. The
-words met most often (``COMMON_WORDS``, ``COMMON_LETTERS`` at most) are
-broadcast; the others reach their documents by a shuffle join with the stored
-word table, so no word goes without its own difference. A document is
-described by the length-normalised difference, its largest word differences
-and its length, and a logistic regression over a held-back fold of the
-learnable rows (a bounded sample, ``CALIBRATION_ROWS``) turns that into a score.
+Scoring rests on three facts of the model. A letter whose context of four
+letters occurs in no labelled word backs off to the shared orders on either
+side: its difference is 0. Where the context occurs but the 5-gram does not, the
+shared orders cancel, and the difference is one number per context. Only 5-grams
+that labelled words hold need the lower orders, and these end in n-grams of
+labelled words again. So the model is two tables, of seen 5-grams and of their
+contexts, and no n-gram of the other words is ever counted or stored.
+
+If both tables hold ``MODEL_ROWS`` rows at most (counted, not guessed), they are
+broadcast as sorted arrays and documents are described in one pass. Beyond, the
+letters of the corpus's distinct words are joined to them, words without a
+labelled context falling out first, which gives a stored word table: its
+commonest words (``COMMON_WORDS``, ``COMMON_LETTERS`` at most) are broadcast and
+the others reach their documents by a shuffle join. Both ways give the same
+figures. A document is described by the length-normalised difference, its
+largest word differences and its length, and a logistic regression over a
+held-back fold of the learnable rows (a bounded sample, ``CALIBRATION_ROWS``)
+turns that into a score.
 
 Defined cases: a null, empty or blank text has difference 0 everywhere and
 gets the score of that; without learnable rows of both classes every score is
@@ -45,6 +55,7 @@ ORDER = 5
 DISCOUNT = 0.75
 ALPHABET = 4096  # letters of the uniform model below the lowest order
 CALIBRATION_ROWS = 20_000
+MODEL_ROWS = 2_000_000  # rows of the model that are broadcast at most (16 bytes each)
 COMMON_WORDS, COMMON_LETTERS = 200_000, 4_000_000  # what the broadcast part of the word table holds at most
 _FLUSH_WORDS = 300_000
 _CHUNK_LETTERS = 1_000_000
@@ -55,8 +66,8 @@ def split_words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def count_words(df: DataFrame, toxic: bool = False) -> DataFrame:
-    """word, n, n_ord, n_tox summed over tasks' rows; ``df``: text (and its class, if ``toxic``; else n_ord and n_tox are 0)."""
+def count_batches(batches: Iterator[pa.RecordBatch], toxic: bool = True) -> Iterator[pa.RecordBatch]:
+    """word, n, n_ord, n_tox over batches (text and, if ``toxic``, its class; else n_ord and n_tox are 0), in bounded stretches."""
 
     def rows(counts: list[Counter]) -> pa.RecordBatch:
         words = list(counts[0].keys() | counts[1].keys())
@@ -65,19 +76,24 @@ def count_words(df: DataFrame, toxic: bool = False) -> DataFrame:
         n = np.zeros(len(words), dtype=np.int64) if toxic else np.fromiter((counts[0][w] for w in words), dtype=np.int64, count=len(words))
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), *map(pa.array, by_class)], names=["word", "n", "n_ord", "n_tox"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
-        for batch in batches:
-            classes = batch.column(1).to_pylist() if toxic else [0] * batch.num_rows
-            for text, c in zip(batch.column(0).to_pylist(), classes):
-                counts[1 if c else 0].update(split_words(text))
-            if len(counts[0]) + len(counts[1]) > _FLUSH_WORDS:
-                yield rows(counts)
-                counts = [Counter(), Counter()]
-        if counts[0] or counts[1]:
+    counts = [Counter(), Counter()]
+    for batch in batches:
+        classes = batch.column(1).to_pylist() if toxic else [0] * batch.num_rows
+        for text, c in zip(batch.column(0).to_pylist(), classes):
+            counts[1 if c else 0].update(split_words(text))
+        if len(counts[0]) + len(counts[1]) > _FLUSH_WORDS:
             yield rows(counts)
+            counts = [Counter(), Counter()]
+    if counts[0] or counts[1]:
+        yield rows(counts)
+
+
+def count_words(df: DataFrame) -> DataFrame:
+    """word, n, n_ord, n_tox (these two 0) of tasks' rows; ``df``: text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count_batches(batches, toxic=False)
 
-    return df.select("text", *(["toxic"] if toxic else [])).mapInArrow(run, "word string, n bigint, n_ord bigint, n_tox bigint")
+    return df.select("text").mapInArrow(run, "word string, n bigint, n_ord bigint, n_tox bigint")
 
 
 def dealt_words(words: DataFrame) -> DataFrame:
@@ -130,21 +146,30 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+_GRAMS = "o int, h bigint, ctx bigint, suf bigint, mid bigint, n_ord bigint, n_tox bigint"
+
+
 def expand_words(words: DataFrame) -> DataFrame:
     """Distinct n-grams of distinct words (word, n_ord, n_tox) with their counts by class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _gathered(batches):
             yield _expanded(t.column(0).to_pylist(), [t.column(1).to_numpy(), t.column(2).to_numpy()])
 
-    found = words.select("word", "n_ord", "n_tox").mapInArrow(
-        run, "o int, h bigint, ctx bigint, suf bigint, mid bigint, n_ord bigint, n_tox bigint")
+    return _summed(words.select("word", "n_ord", "n_tox").mapInArrow(run, _GRAMS))
+
+
+def _summed(found: DataFrame) -> DataFrame:
     return found.groupBy("o", "h").agg(*(F.first(c).alias(c) for c in ("ctx", "suf", "mid")),
                                        F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox"))
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
-    """Distinct n-grams with their counts by class; ``rows``: text, toxic."""
-    return expand_words(count_words(rows, True).groupBy("word").agg(F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")))
+    """Distinct n-grams with their counts by class; ``rows``: text, toxic. Tasks expand their own distinct words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in count_batches(batches):
+            yield _expanded(b.column("word").to_pylist(), [b.column("n_ord").to_numpy(), b.column("n_tox").to_numpy()])
+
+    return _summed(rows.select("text", "toxic").mapInArrow(run, _GRAMS))
 
 
 def model_tables(grams: DataFrame, scratch: str | None = None) -> dict[str, DataFrame]:
@@ -186,35 +211,101 @@ def gram_differences(grams: DataFrame, tables: dict[str, DataFrame]) -> DataFram
         def p(side: str):
             tot, num = F.col(f"tot_{side}"), F.coalesce(F.col(f"num_{side}"), F.lit(0.0))
             own = F.greatest(num - DISCOUNT, F.lit(0.0)) / tot + DISCOUNT * F.col(f"typ_{side}") / tot * F.col("low")
-            return F.when(tot > 0, F.least(F.greatest(own, F.lit(1e-12)), F.lit(1.0))).otherwise(F.col("low"))
+            # At the top order nothing is cut off: the shared orders must cancel for n-grams that were not seen.
+            return F.when(tot > 0, own if o == ORDER else F.least(F.greatest(own, F.lit(1e-12)), F.lit(1.0))).otherwise(F.col("low"))
 
         below = level.select(F.col("h").alias("suf"), p("a").alias("low"))
     return level.select("h", (F.log(p("b")) - F.log(p("a"))).alias("diff"))
 
 
+def letter_table(grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(seen, key, diff): differences of the last letter of seen 5-grams, and of contexts for 5-grams that were not seen."""
+    tot = tables["tot"].filter(F.col("o") == ORDER)
+
+    def left(side: str):  # what the context leaves to the lower orders
+        return F.when(F.col(f"tot_{side}") > 0, DISCOUNT * F.col(f"typ_{side}") / F.col(f"tot_{side}")).otherwise(F.lit(1.0))
+
+    contexts = tot.select(F.lit(False).alias("seen"), "key", (F.log(left("b")) - F.log(left("a"))).alias("diff"))
+    return gram_differences(grams, tables).select(F.lit(True).alias("seen"), F.col("h").alias("key"), "diff").unionByName(contexts)
+
+
+class LetterModel:
+    """The letter table as sorted arrays; keeps the differences of words it has met."""
+
+    LIMIT = 300_000
+
+    def __init__(self, table: pa.Table):
+        kind, key, diff = (table.column(c).combine_chunks() for c in ("seen", "key", "diff"))
+        kind, key, diff = kind.to_numpy(zero_copy_only=False), key.to_numpy(), diff.to_numpy()
+        self.parts = []
+        for seen in (True, False):
+            keys, diffs = key[kind == seen], diff[kind == seen]
+            order = np.argsort(keys)
+            self.parts.append((keys[order], diffs[order]))
+        self.known: dict[str, float] = {}
+
+    @staticmethod
+    def _found(part: tuple[np.ndarray, np.ndarray], asked: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        keys, diffs = part
+        if not len(keys):
+            return otherwise
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, diffs[at], otherwise)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Difference of each word."""
+        hashes, at, word = ngram_hashes(words, ORDER)
+        diff = self._found(self.parts[1], hashes[ORDER - 1][at - 1].view(np.int64), np.zeros(len(at)))
+        diff = self._found(self.parts[0], hashes[ORDER][at].view(np.int64), diff)
+        return np.bincount(word, weights=diff, minlength=len(words))
+
+    def of(self, texts: list[list[str]]) -> list[list[float]]:
+        new = {w for words in texts for w in words if w not in self.known}
+        if len(self.known) + len(new) > self.LIMIT:
+            self.known, new = {}, {w for words in texts for w in words}
+        group, letters = [], 0
+        for w in new:
+            group.append(w)
+            letters += len(w)
+            if letters > _CHUNK_LETTERS:
+                self.known.update(zip(group, self.score(group).tolist()))
+                group, letters = [], 0
+        if group:
+            self.known.update(zip(group, self.score(group).tolist()))
+        return [list(map(self.known.__getitem__, words)) for words in texts]
+
+
 def word_table(words: DataFrame, grams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """word, n, diff, stored; ``words``: dealt words, stored; ``grams``: their n-grams, stored."""
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n, diff, stored; ``words``: dealt words, stored; ``grams``: the n-grams of the labelled words, stored."""
+    return joined_words(words, letter_table(grams, tables))
+
+
+def joined_words(words: DataFrame, letters: DataFrame) -> DataFrame:
+    """word, n, diff, stored, by joining the words' letters to the letter table."""
+    def asked_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _gathered(batches):
             hashes, at, word = ngram_hashes(t.column(0).to_pylist(), ORDER)
-            chunks, own = t.column(1).to_numpy()[word], hashes[ORDER][at].view(np.int64)
+            chunks, own, before = t.column(1).to_numpy()[word], hashes[ORDER][at].view(np.int64), hashes[ORDER - 1][at - 1].view(np.int64)
             for chunk in np.unique(chunks):
-                h = np.unique(own[chunks == chunk])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], names=["chunk", "h"])
+                h, first = np.unique(own[chunks == chunk], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h), pa.array(before[chunks == chunk][first])],
+                                                 names=["chunk", "h", "ctx"])
 
     def add_up(chunk: pa.Table, known: pa.Table) -> pa.Table:
         hashes, at, word = ngram_hashes(chunk.column("word").to_pylist(), ORDER)
-        keys, diffs = known.column("h").to_numpy(), known.column("diff").to_numpy()
+        keys, diffs = known.column("h").combine_chunks().to_numpy(), known.column("diff").combine_chunks().to_numpy()
         order = np.argsort(keys)
-        found = diffs[order[np.searchsorted(keys, hashes[ORDER][at].view(np.int64), sorter=order)]]
+        found = LetterModel._found((keys[order], diffs[order]), hashes[ORDER][at].view(np.int64), np.zeros(len(at)))
         sums = np.bincount(word, weights=found, minlength=chunk.num_rows)
         return pa.table({"word": chunk.column("word"), "n": chunk.column("n"), "diff": pa.array(sums)})
 
-    asked = words.select("word", "chunk").mapInArrow(letters, "chunk bigint, h bigint").distinct()
-    answers = asked.join(gram_differences(grams, tables), "h").select("chunk", "h", "diff")
+    asked = words.select("word", "chunk").mapInArrow(asked_letters, "chunk bigint, h bigint, ctx bigint").dropDuplicates(["chunk", "h"])
+    contexts = letters.filter("not seen").select(F.col("key").alias("ctx"), F.col("diff").alias("unseen"))
+    seen = letters.filter("seen").select(F.col("key").alias("h"), "diff")
+    answers = asked.join(contexts, "ctx").join(seen, "h", "left").select("chunk", "h", F.coalesce("diff", "unseen").alias("diff"))
     scored = words.select("chunk", "word", "n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         add_up, "word string, n bigint, diff double")
-    return stored(scored, shared_dir(words.sparkSession, "word-table"))
+    return stored(scored.filter("word is not null"), shared_dir(words.sparkSession, "word-table"))
 
 
 def word_differences(words: list[str], tables: dict[str, DataFrame]) -> np.ndarray:
@@ -240,42 +331,58 @@ def common_words(words: DataFrame, most: int, letters: int) -> tuple[dict[str, f
     return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist())), whole
 
 
-def document_features(df: DataFrame, words: DataFrame, most: int | None = None, letters: int | None = None) -> DataFrame:
-    """FEATURES of every row (with its id), from its whole text; ``words``: the stored word table (word, n, diff)."""
-    spark = df.sparkSession
-    common, whole = common_words(words, COMMON_WORDS if most is None else most, COMMON_LETTERS if letters is None else letters)
-    shared = spark.sparkContext.broadcast(common)
+_PARTS = ["n", "total", "tops", "strong", "mild"]
+
+
+def _described(df: DataFrame, differences, rare_words: bool) -> DataFrame:
+    """Sums of every row's word differences; ``differences``: lists of words to lists of differences, None where not known."""
     id_type = df.schema[0].dataType.simpleString()
-    parts = ["n", "total", "tops", "strong", "mild"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, out, rare = shared.value, [], []
-        for text in batch.column(1).to_pylist():
-            own = split_words(text)
-            found = [known.get(w) for w in own]
-            rare.append([w for w, d in zip(own, found) if d is None] if not whole else [])
+        out, rare = [], []
+        texts = [split_words(text) for text in batch.column(1).to_pylist()]
+        for own, found in zip(texts, differences(texts)):
+            rare.append([w for w, d in zip(own, found) if d is None] if rare_words else [])
             diffs = np.array([d for d in found if d is not None], dtype=np.float64)
             tops = np.sort(diffs[np.argpartition(diffs, -3)[-3:]] if len(diffs) > 3 else diffs)[::-1]
             out.append((len(diffs), float(diffs.sum()), tops.tolist(), int((diffs > 3.0).sum()), int((diffs > 1.5).sum())))
         types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types)), pa.array(rare, pa.list_(pa.string()))],
-                                          names=["id", *parts, "rare"])
+                                          names=["id", *_PARTS, "rare"])
 
-    seen = map_batches(df, run, f"id {id_type}, n bigint, total double, tops array<double>, strong bigint, mild bigint, rare array<string>")
+    return map_batches(df, run, f"id {id_type}, n bigint, total double, tops array<double>, strong bigint, mild bigint, rare array<string>")
+
+
+def _features(seen: DataFrame) -> DataFrame:
+    n = F.greatest(F.col("n"), F.lit(1))
+    top3 = F.aggregate("tops", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("tops"), F.lit(1))
+    return seen.select("id", (F.col("total") / n).alias("mean_diff"), F.coalesce(F.try_element_at("tops", F.lit(1)), F.lit(0.0)).alias("top1"),
+                       top3.alias("top3"), (F.col("strong") / n).alias("strong_share"), (F.col("mild") / n).alias("mild_share"),
+                       F.log1p(F.col("n").cast("double")).alias("log_words"))
+
+
+def features_by_letters(df: DataFrame, model: LetterModel) -> DataFrame:
+    """FEATURES of every row (with its id) under a broadcast model."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return _features(_described(df, lambda texts: shared.value.of(texts), False))
+
+
+def document_features(df: DataFrame, words: DataFrame, most: int | None = None, letters: int | None = None) -> DataFrame:
+    """FEATURES of every row (with its id), from its whole text; ``words``: the stored word table (word, n, diff)."""
+    spark = df.sparkSession
+    common, whole = common_words(words, COMMON_WORDS if most is None else most, COMMON_LETTERS if letters is None else letters)
+    shared = spark.sparkContext.broadcast(common)
+    seen = _described(df, lambda texts: [[shared.value.get(w) for w in own] for own in texts], not whole)
     if not whole:
         seen = stored(seen.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "seen"))
         more = (seen.filter(F.size("rare") > 0).select("_row", F.explode("rare").alias("word")).join(words.select("word", "diff"), "word")
                 .groupBy("_row").agg(F.count("*").alias("n"), F.sum("diff").alias("total"), F.slice(F.sort_array(F.collect_list("diff"), False), 1, 3).alias("tops"),
                                      F.sum((F.col("diff") > 3.0).cast("bigint")).alias("strong"), F.sum((F.col("diff") > 1.5).cast("bigint")).alias("mild"))
-                .select("_row", *(F.col(c).alias(f"r_{c}") for c in parts)))
+                .select("_row", *(F.col(c).alias(f"r_{c}") for c in _PARTS)))
         seen = seen.join(more, "_row", "left").select("id", *(
             F.slice(F.sort_array(F.concat("tops", F.coalesce("r_tops", F.slice("tops", 1, 0))), False), 1, 3).alias(c) if c == "tops"
-            else (F.col(c) + F.coalesce(F.col(f"r_{c}"), F.lit(0))).alias(c) for c in parts))
-    n = F.greatest(F.col("n"), F.lit(1))
-    top3 = F.aggregate("tops", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("tops"), F.lit(1))
-    return seen.select("id", (F.col("total") / n).alias("mean_diff"), F.coalesce(F.try_element_at("tops", F.lit(1)), F.lit(0.0)).alias("top1"),
-                       top3.alias("top3"), (F.col("strong") / n).alias("strong_share"), (F.col("mild") / n).alias("mild_share"),
-                       F.log1p(F.col("n").cast("double")).alias("log_words"))
+            else (F.col(c) + F.coalesce(F.col(f"r_{c}"), F.lit(0))).alias(c) for c in _PARTS))
+    return _features(seen)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,13 +426,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # A merge join whatever the sizes: both sides grow with the corpus.
     train = thin.filter((fold("id", folds) != held_out) & (fold("id", folds) != calibration)).join(
         known.filter(fold("id", folds) != calibration).hint("merge"), "id")
-    # The learnable rows are among all rows, so the n-grams of all words hold those of the model.
     scratch = shared_dir(spark, "kneser-ney")
-    dealt = stored(dealt_words(count_words(thin).unionByName(count_words(train, True))), f"{scratch}/words")
-    grams = stored(expand_words(dealt), f"{scratch}/ngrams")
-    words = word_table(dealt, grams, model_tables(grams, scratch))
+    grams = stored(count_ngrams(train), f"{scratch}/ngrams")
+    letters = stored(letter_table(grams, model_tables(grams, scratch)), f"{scratch}/letters")
+    if letters.count() <= MODEL_ROWS:
+        features = features_by_letters(thin, LetterModel(letters.toArrow()))
+    else:
+        features = document_features(thin, joined_words(stored(dealt_words(count_words(thin)), f"{scratch}/words"), letters))
+    out = stored(features, shared_dir(spark, "toxicity"))
     drop_path(spark, scratch)
-    out = stored(document_features(thin, words), shared_dir(spark, "toxicity"))
     sample = (out.join(known.filter(fold("id", folds) == calibration), "id")
               .orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select(*FEATURES, "toxic").toPandas())
     y = sample["toxic"].to_numpy(dtype=float)

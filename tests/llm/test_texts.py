@@ -290,6 +290,35 @@ def test_common_words_and_joined_words_give_the_same_features(spark):
         assert sorted((str(r.id), *(round(x, 9) for x in r[1:])) for r in got) == sorted(want)
 
 
+def test_labelled_ngrams_alone_give_every_word_its_difference(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
+    rows = [(" ".join(word() for _ in range(40)), i % 2) for i in range(30)]
+    grams = toxicity_kn.count_ngrams(spark.createDataFrame(rows, "text string, toxic int").repartition(4)).cache()
+    tables = toxicity_kn.model_tables(grams)
+    asked = sorted({word() for _ in range(300)} | {"zz", "abzz", "dcba" * 40, "é"})
+    dealt = toxicity_kn.dealt_words(toxicity_kn.count_words(spark.createDataFrame([(" ".join(asked),)], "text string"))).cache()
+    every = {r.word: r.diff for r in toxicity_kn.word_table(dealt, toxicity_kn.expand_words(dealt), tables).collect()}  # n-grams of all asked words
+    own = {r.word: r.diff for r in toxicity_kn.word_table(dealt, grams, tables).collect()}
+    model = toxicity_kn.LetterModel(toxicity_kn.letter_table(grams, tables).toArrow())
+    assert set(every) == set(own) == set(asked) and own["zz"] == 0.0
+    for w, got in zip(asked, model.of([asked])[0]):
+        assert abs(every[w] - own[w]) < 1e-9 and abs(got - own[w]) < 1e-9
+
+
+def test_broadcast_and_joined_models_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    rows = [(i, " ".join(word() + ("xq" if i % 3 == 0 else "") for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(900, None), (None, "abc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], "doc_id bigint, quality int, toxic int")
+    found = []
+    for most in (10 ** 6, 0):
+        monkeypatch.setattr(toxicity_kn, "MODEL_ROWS", most)
+        found.append(sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in toxicity_kn.score_toxicity(docs, labels).collect()))
+    assert found[0] == found[1] and len(found[0]) == 202
+
+
 def test_toxic_stems_with_new_endings(spark):
     rng = random.Random(1)
     parts = ["ver", "lich", "ung", "ge", "zu", "ein", "heit", "keit", "be", "er"]
