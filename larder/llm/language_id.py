@@ -12,10 +12,8 @@ Learning counts n-grams of all learnable rows: tasks count words by language,
 expand distinct words once and Spark sums by hashed place, so the model has at
 most 2^``BITS`` places per language and order whatever the input.
 
-A text of which no span gains more over the best single language than half a
-switch costs is labelled without the word-by-word recursion: k switches make at
-most k + 1 spans, and k + 1 such gains never exceed k switches, so the result
-is worth as much as the Viterbi path.
+The recursion runs over a batch of texts at once, sorted by length: one array
+step a word position for all texts that are that long.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 no span; without learnable rows every text is ``und``; ties go to the language
@@ -28,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,26 +157,42 @@ class LanguageModel:
 
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Viterbi labels of a text's words: score sums less ``switch`` per change of label."""
+    return best_paths(scores, np.array([len(scores)]), switch)
+
+
+def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Viterbi labels of the words of several texts; ``scores`` holds their words one text after the other."""
     n, m = scores.shape
-    top = int(scores.sum(axis=0).argmax())
-    if m == 1:
-        return np.zeros(n, dtype=np.int64)
-    gain = np.cumsum(scores - scores[:, top:top + 1], axis=0)
-    before = np.minimum.accumulate(np.vstack([np.zeros(m), gain[:-1]]), axis=0)
-    if (gain - before).max() <= switch / 2:  # two spans that cover a text have two gains and one switch
-        return np.full(n, top, dtype=np.int64)
-    best = scores[0].copy()
+    path = np.zeros(n, dtype=np.int64)
+    if m == 1 or not n:
+        return path
+    order = np.argsort(-lengths, kind="stable")
+    starts, longest = (np.cumsum(lengths) - lengths)[order], int(lengths.max())
+    live = np.searchsorted(-lengths[order], -np.arange(longest), side="left")  # texts longer than a position
     back = np.empty((n, m), dtype=np.int16)
-    stay = np.arange(m)
-    for i in range(1, n):
-        k = int(best.argmax())
-        moved = best[k] - switch > best
-        back[i] = np.where(moved, k, stay)
-        best = np.where(moved, best[k] - switch, best) + scores[i]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(best.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+    stay = np.arange(m, dtype=np.int16)
+    best = scores[starts[:live[0]]]
+    ends = np.empty(len(lengths), dtype=np.int64)
+    for i in range(1, longest + 1):
+        k = live[i] if i < longest else 0
+        if k < len(best):
+            ends[k:len(best)] = best[k:].argmax(axis=1)  # these texts end here
+            best = best[:k]
+        if not k:
+            break
+        top = best.argmax(axis=1)
+        other = best[np.arange(k), top] - switch
+        moved = other[:, None] > best
+        at = starts[:k] + i
+        back[at] = np.where(moved, top[:, None], stay)
+        best = np.maximum(best, other[:, None]) + scores[at]
+    label = ends[:0]
+    for i in range(longest - 1, -1, -1):
+        k = live[i]
+        label = np.concatenate([label, ends[len(label):k]])
+        at = starts[:k] + i
+        path[at] = label
+        label = back[at, label].astype(np.int64) if i else label
     return path
 
 
@@ -185,32 +200,55 @@ class SpanLabeller:
     """Labels texts with a model; keeps the scores of words it has met."""
 
     LIMIT = 300_000
+    WORDS = 1_000_000  # words labelled at once; a longer text is taken alone
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)))
+        self.letters = np.empty(0)
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = {w for words in texts for w in words if w not in self.known}
+        new = set().union(*texts).difference(self.known)
         if len(self.known) + len(new) > self.LIMIT:
-            self.known, self.rows = {}, self.rows[:0]
-            new = {w for words in texts for w in words}
+            self.known, self.rows, self.letters = {}, self.rows[:0], self.letters[:0]
+            new = set().union(*texts)
         if new:
             new = sorted(new)
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.rows = np.concatenate([self.rows, self.model.word_scores(new)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), dtype=np.float64, count=len(new))])
+
+    def _at(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        words = map(self.known.__getitem__, chain.from_iterable(texts))
+        return np.fromiter(words, dtype=np.int64, count=int(lengths.sum())), lengths
 
     def path(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        at, _ = self._at([words])
         return best_path(self.rows[at])
 
-    def verdict(self, words: list[str]) -> tuple[str, float]:
-        if not words:
-            return UNKNOWN, 0.0
-        letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
-        held = np.bincount(self.path(words), weights=letters, minlength=len(self.model.langs))
-        return self.model.langs[int(held.argmax())], float(held.max() / letters.sum())
+    def verdicts(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """(language, share of the letters) of each text; ``texts``: words that were learned."""
+        out: list[tuple[str, float]] = []
+        group: list[list[str]] = []
+        size = 0
+        for words in texts:
+            if group and size + len(words) > self.WORDS:
+                out += self._verdicts(group)
+                group, size = [], 0
+            group.append(words)
+            size += len(words)
+        return out + self._verdicts(group)
+
+    def _verdicts(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        at, lengths = self._at(texts)
+        m = len(self.model.langs)
+        place = np.repeat(np.arange(len(texts)), lengths) * m + best_paths(self.rows[at], lengths)
+        held = np.bincount(place, weights=self.letters[at], minlength=len(texts) * m).reshape(-1, m)
+        total = held.sum(axis=1)
+        first, share = held.argmax(axis=1).tolist(), (held.max(axis=1) / np.maximum(total, 1)).tolist()
+        return [(self.model.langs[k], s) if n else (UNKNOWN, 0.0) for k, s, n in zip(first, share, lengths.tolist())]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) of the spans of a text, in its lower-cased code points."""
@@ -249,7 +287,7 @@ def label_languages(docs: DataFrame, model: LanguageModel | None, id_col: str =
                 kept.append(SpanLabeller(shared.value))
             words = [words_of_letters(t) for t in texts]
             kept[0].learn(words)
-            verdicts = [kept[0].verdict(w) for w in words]
+            verdicts = kept[0].verdicts(words)
             spans = [[dict(zip(("start", "end", "lang"), s)) for s in kept[0].spans(t)] for t in texts] if with_spans else []
         cols = [batch.column(0), pa.array([v[0] for v in verdicts], pa.string()), pa.array([v[1] for v in verdicts], pa.float64())]
         names = ["id", "lang_pred", "score"]

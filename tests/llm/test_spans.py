@@ -1,4 +1,4 @@
-"""The shortcut before Viterbi."""
+"""Viterbi over the words of texts."""
 import itertools
 
 import numpy as np
@@ -24,3 +24,40 @@ def test_best_path_of_related_languages_equals_all_paths():
         scores[:, 0] = 0
         best = max(worth(scores, p) for p in itertools.product(range(3), repeat=n))
         assert abs(worth(scores, language_id.best_path(scores).tolist()) - best) < 1e-9
+
+
+def plain_viterbi(scores, switch):
+    """The recursion word by word; ties stay, then take the first language."""
+    best, back = scores[0].copy(), []
+    for row in scores[1:]:
+        k = int(best.argmax())
+        back.append([k if best[k] - switch > best[j] else j for j in range(len(best))])
+        best = np.array([max(best[k] - switch, best[j]) for j in range(len(best))]) + row
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
+def test_batched_paths_equal_the_recursion():
+    rng = np.random.default_rng(6)
+    for case in range(60):
+        m, lengths = int(rng.integers(1, 5)), rng.integers(0, [3, 12, 60][case % 3], int(rng.integers(1, 14)))
+        scores = rng.normal(0, 8, (int(lengths.sum()), m))
+        if case % 2:  # related languages: nearly the same scores, and ties
+            scores = np.round(scores[:, :1] + rng.normal(0, 4, scores.shape))
+        got, at = language_id.best_paths(scores, lengths).tolist(), 0
+        for n in lengths.tolist():
+            assert got[at:at + n] == (plain_viterbi(scores[at:at + n], language_id.SWITCH) if n else [])
+            at += n
+
+
+def test_batches_of_texts_give_the_verdicts_of_single_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([("der die das und ist nicht", "de"), ("the and that is not", "en"), ("le la les et pas", "fr")], "text string, lang string")
+    labeller = language_id.SpanLabeller(language_id.learn_languages(docs))
+    texts = [language_id.words_of_letters(t) for t in ("der die and that is not the", "", "les et pas", "x", "das ist nicht " * 50)]
+    labeller.learn(texts)
+    alone = [labeller.verdicts([t])[0] for t in texts]
+    assert labeller.verdicts(texts) == alone and alone[1] == ("und", 0.0)
+    monkeypatch.setattr(language_id.SpanLabeller, "WORDS", 5)
+    assert labeller.verdicts(texts) == alone
