@@ -38,7 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = without(docs, judged.filter("not kept"))
     repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeated:  # rows that repeat an id and its text are one document
-        left = left.withColumn("_text", exact_dedup.normalised(F.col("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+        names = {c.lower() for c in docs.columns}
+        own = next(c for c in (f"_text{'_' * i}" for i in range(len(names) + 1)) if c not in names)
+        left = left.withColumn(own, exact_dedup.normalised(F.col("text"))).dropDuplicates(["doc_id", own]).drop(own)
     return left
 
 

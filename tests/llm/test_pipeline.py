@@ -39,3 +39,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         ids = sorted((r.doc_id for r in out.collect()), key=str)
         assert ids == ([1, 3, 5, None] if table is docs else [])
         assert words_of(None) == []
+
+
+def test_exact_dedup_stage_keeps_clashing_columns(spark):
+    rows = [(1, "a b", "x", 1), (1, "a  b", "x", 1), (2, "c", "y", 2), (3, "a b", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _Text string, _text_ int")
+    left = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["_Text"], r["_text_"]) for r in left.collect()) == [(1, "x", 1), (2, "y", 2)]
