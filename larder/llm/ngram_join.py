@@ -13,13 +13,14 @@ shingles. The join is a prefix-filter join with set-relation skipping:
    Lists of one shingle longer than ``SPLIT`` are dealt to several tasks.
 3. A list is cut into blocks by set size and position; entries whose block can
    meet no other block of the list are skipped, and lists of one set vanish.
-4. Answers are derived along similar sets: every entry is first compared with
-   its list's leader only, then across labels with a few other leaders (linear
-   in the list). Sets found similar share a label; pairs inside a label are
-   already connected and never compared.
+4. Answers are derived along similar sets: every set is first compared with a
+   few leaders of its lists only, the most central sets of their size (as many
+   pairs as sets, whatever the size of a group). Sets found similar share a
+   label; pairs inside a label are already connected and never compared.
    Where a list still holds several labels, every remaining pair across labels
-   that passes the size and position bounds is compared, so no link between
-   different components is lost.
+   that passes the size, position and bitmap bounds is compared, so no link between
+   different components is lost. Such a pair is made in the first of the lists that
+   both sets share, not once in each.
 5. Components come from the links by min-label rounds; a document's component
    is the smallest id among the members of its classes.
 
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import drop_path, map_batches, mix64, shared_dir, shingle_sets, small_batches, stored
@@ -52,8 +53,9 @@ HEAVY = 16          # documents from which a shingle goes to the end of the orde
 MAX_HEAVY = 1 << 20  # most frequent such shingles that are told to the tasks (order only, results do not depend on it)
 SPLIT = 8192        # entries of one shingle's list per task
 PLACES = 1 << 20    # places of the bitmap of sets worth gathering
-STAR_ROUNDS = 1
-LEADERS = 2         # further leaders of a list per round
+STAR_ROUNDS = 2
+LEADERS = 2         # a set's leaders per round
+RECALL = 4          # earlier entries by which a pair is known to meet in another list too
 FOLD = 512          # places of the folded parity bitmaps that pairs of a list are compared by
 WORDS = [f"f{i}" for i in range(FOLD // 64)]
 _SALT = np.uint64(0x9FB21C651E98DF25)
@@ -113,26 +115,35 @@ def _by_slice(slices: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, bitmap and its folded words) per document."""
+    """(id, n, s1, s2, bitmap) per document."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, offsets = shingle_sets(batch.column(1).to_pylist())
         s1, s2 = signatures(flat, offsets)
         bitmaps = [parity_bitmap(flat[a:b]) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        words = np.array([folded(b) if b else [0] * len(WORDS) for b in bitmaps], dtype=np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(s1), pa.array(s2),
-                                           pa.array(bitmaps, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in words.T)],
-                                          names=["id", "n", "s1", "s2", "bitmap", *WORDS])
+                                           pa.array(bitmaps, pa.binary())], names=["id", "n", "s1", "s2", "bitmap"])
 
-    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, bitmap binary, " + ", ".join(f"{w} bigint" for w in WORDS))
+    return map_batches(docs, run, f"id {id_type}, n int, s1 bigint, s2 bigint, bitmap binary")
+
+
+def _folded_words(classes: DataFrame) -> DataFrame:
+    """(s1, folded words of the bitmap) per class."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = np.array([folded(b) for b in batch.column(1).to_pylist()], dtype=np.int64).reshape(-1, len(WORDS))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in words.T)], names=["s1", *WORDS])
+
+    return map_batches(classes.select("s1", "bitmap"), run, "s1 bigint, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (upper 32 bits of the hash, ascending) that many documents hold, with counts.
 
-    Tasks send the shingles of a batch packed by slice, that is by their top
-    bits: three bytes each, one byte place after the other.
+    Tasks send the distinct shingles of a batch packed by slice, that is by their
+    top bits: three bytes each, one byte place after the other, and apart from them
+    the place and count of those that several documents of the batch hold. A line
+    that all documents share so costs a few bytes a batch, not a document.
     """
     spark = docs.sparkSession
     bits = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # of a slice's number
@@ -141,22 +152,37 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         flat, _ = shingle_sets(batch.column(1).to_pylist())
         if not len(flat):
             return None
-        tokens = np.sort((flat >> np.uint64(32)).astype(np.uint32))
+        tokens, n = np.unique((flat >> np.uint64(32)).astype(np.uint32), return_counts=True)
         cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
         places = (tokens & np.uint32((1 << (32 - bits)) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)
         slices = np.flatnonzero(np.diff(cuts))
         blobs = [places[cuts[k]:cuts[k + 1], 1:].T.tobytes() for k in slices]
-        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "tokens"])
+        repeats = []
+        for k in slices:
+            own = n[cuts[k]:cuts[k + 1]]
+            at = np.flatnonzero(own > 1)
+            repeats.append(np.concatenate([at, own[at]]).astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(repeats, pa.binary())],
+                                          names=["slice", "tokens", "repeats"])
 
     def count(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, dtype=np.uint8).reshape(3, -1) for b in table.column("tokens").to_pylist()]
         high, mid, low = (np.concatenate([p[i] for p in parts]).astype(np.uint32) for i in range(3))
-        token, n = np.unique(high << np.uint32(16) | mid << np.uint32(8) | low, return_counts=True)
+        held = np.ones(len(high), dtype=np.int64)
+        first = 0
+        for part, blob in zip(parts, table.column("repeats").to_pylist()):
+            at, times = np.frombuffer(blob, dtype="<u4").reshape(2, -1)
+            held[first + at.astype(np.int64)] = times
+            first += part.shape[1]
+        token = high << np.uint32(16) | mid << np.uint32(8) | low
+        order = np.argsort(token, kind="stable")
+        token, starts = np.unique(token[order], return_index=True)
+        n = np.add.reduceat(held[order], starts)
         keep = n >= HEAVY
         base = np.uint32(table.column("slice")[0].as_py() << (32 - bits))
         return pa.table({"token": (token[keep] | base).astype(np.int64), "n": n[keep].astype(np.int64)})
 
-    found = (map_batches(docs, send, "slice int, tokens binary").groupBy("slice").applyInArrow(count, "token bigint, n bigint")
+    found = (map_batches(docs, send, "slice int, tokens binary, repeats binary").groupBy("slice").applyInArrow(count, "token bigint, n bigint")
              .orderBy(F.col("n").desc(), "token").limit(MAX_HEAVY).toPandas().sort_values("token"))
     return found["token"].to_numpy().astype(np.uint32), found["n"].to_numpy()
 
@@ -216,7 +242,7 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def list_entries(rows: dict[str, np.ndarray], always: np.ndarray) -> dict[str, np.ndarray]:
-    """Entries of lists in which another set of fitting size occurs, with the list's leader.
+    """Entries of lists in which another set of fitting size occurs.
 
     Lists are ordered by (token, size, set), so a list's sizes form blocks and
     an entry survives only if the neighbouring size is within the bound.
@@ -234,16 +260,7 @@ def list_entries(rows: dict[str, np.ndarray], always: np.ndarray) -> dict[str, n
     meets[:-1] |= fits
     if len(always):
         meets |= np.isin((token >> np.uint64(32)).astype(np.uint32), always)
-    token, s1, n, pos = token[meets], s1[meets], n[meets], pos[meets]
-    # Each block, a run of one list whose neighbouring sizes fit, is led by its smallest set
-    # signature: the lists that a group of similar sets shares then agree on few leaders.
-    head = np.ones(len(token), dtype=bool)
-    head[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-    block = np.cumsum(head) - 1
-    by_sig = np.lexsort((s1, block))  # block by block, smallest signature first
-    leads = by_sig[np.flatnonzero(head)] if len(token) else by_sig
-    return {"token": token.view(np.int64), "s1": s1, "n": n.astype(np.int32), "pos": pos.astype(np.int32),
-            "leader": s1[leads][block], "leader_n": n[leads][block].astype(np.int32)}
+    return {"token": token[meets].view(np.int64), "s1": s1[meets], "n": n[meets].astype(np.int32), "pos": pos[meets].astype(np.int32)}
 
 
 def _entries(index: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -252,8 +269,7 @@ def _entries(index: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
     def run(table: pa.Table) -> pa.Table:
         return pa.table(list_entries(_unpack(table.column("rows").to_pylist()), always))
 
-    return index.groupBy("slice").applyInArrow(
-        run, "token bigint, s1 bigint, n int, pos int, leader bigint, leader_n int")
+    return index.groupBy("slice").applyInArrow(run, "token bigint, s1 bigint, n int, pos int")
 
 
 def _gather(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -322,50 +338,80 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 FITS = f"a <> b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 
 
-def _one_each(candidates: DataFrame) -> DataFrame:
-    """Of the candidates (a, na, b, nb) of fitting size, one leader b for every a: as many pairs as sets."""
-    return candidates.filter(FITS).groupBy("a").agg(F.min("b").alias("b"))
+def _hub_pairs(named: DataFrame, round_no: int) -> DataFrame:
+    """(a, b): every set with the leaders of its lists that promise most, ``LEADERS`` pairs a set at most.
+
+    A set is the more central the longer the lists that its shingles lead to: a text that others were made
+    from shares all of its shingles, its copies only those that they kept. Of the sets of one list and
+    size class the most central one and one drawn by hash lead.
+    """
+    central = named.groupBy("s1").agg((F.sum("k") / F.max("n")).alias("central"))
+    scored = named.join(central, "s1").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
+    own = F.struct("central", "s1", "n", "label")
+    draw = F.xxhash64("s1", F.lit(round_no))
+    leaders = scored.groupBy("token", "size_class").agg(F.max(own).alias("hub"), F.max_by(own, F.struct(draw, "s1")).alias("drawn"))
+    met = scored.join(leaders, ["token", "size_class"])
+    best = []
+    for leader in ("hub", "drawn")[:LEADERS]:
+        fits = f"label <> {leader}.label and 100 * least(n, {leader}.n) >= {PERCENT} * greatest(n, {leader}.n)"
+        best.append(F.max(F.when(F.expr(fits), F.struct(f"{leader}.central", f"{leader}.s1"))).alias(leader))
+    return met.groupBy("s1").agg(*best).select(F.col("s1").alias("a"), F.explode(F.array_distinct(F.array(
+        *[F.col(f"{x}.s1") for x in ("hub", "drawn")[:LEADERS]]))).alias("b")).filter("b is not null")
+
+
+def _mixed_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs across labels that size, position and folded bitmaps allow.
+
+    A pair meets in every list that both sets share, and would come once from each. It is passed over where one of
+    the ``RECALL`` entries before, on both sides, names the same shingle: that list holds both sets too, at earlier
+    positions, so the pair comes from there or, by the same rule, from a list before it.
+    """
+    along = Window.partitionBy("s1").orderBy("pos")
+    before = F.array_compact(F.array(*[F.lag("token", i).over(along) for i in range(1, RECALL + 1)]))
+    sets = mixed.withColumn("before", before).join(_folded_words(classes.join(mixed.select("s1").distinct(), "s1", "left_semi")), "s1")
+    left, right = (sets.select("token", F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"),
+                               F.col("before").alias(f"{x}before"), *[F.col(w).alias(f"{x}{w}") for w in WORDS]) for x in "ab")
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in WORDS)
+    return left.join(right, "token").filter(
+        f"la < lb and {FITS} and {100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb) and "
+        f"{100 + PERCENT} * ((na + nb - ({apart})) div 2) >= {PERCENT} * (na + nb) and not arrays_overlap(abefore, bbefore)"
+    ).select("a", "b").distinct()
 
 
 def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFrame:
     """(s1, label): connected sets; sets without a partner do not occur."""
     spark = docs.sparkSession
     heavy = _frequent(docs)
-    entries_path = shared_dir(spark, "entries")
-    entries = stored(_entries(_index_rows(docs, heavy, n_slices), heavy), entries_path)
-    star = entries.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb"))
-    links = _verified(docs, classes, stored(_one_each(star), shared_dir(spark, "pairs")))
-    labels = components(links)
-    thin = entries.select("token", "s1", "n", "pos")
+    path = shared_dir(spark, "entries")
+    thin = stored(_entries(_index_rows(docs, heavy, n_slices), heavy), path)
+    links = labels = None
     for round_no in range(STAR_ROUNDS + 1):
-        named = thin.join(labels.withColumnRenamed("v", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+        if labels is None:
+            named = thin.withColumn("label", F.col("s1"))
+        else:
+            named = thin.join(labels.withColumnRenamed("v", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
         # Lists that hold several labels; labels only merge, so the others are done.
-        lists = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        lists = stored(lists, shared_dir(spark, "lists"))
-        named = stored(named.join(lists.select("token"), "token"), shared_dir(spark, "mixed"))
+        lists_path, mixed_path = shared_dir(spark, "lists"), shared_dir(spark, "mixed")
+        lists = stored(named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("labels")).filter("labels > 1"), lists_path)
+        mixed = stored(named.join(lists.select("token", "k"), "token"), mixed_path)
         entries_left, across = lists.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+        drop_path(spark, path)  # all that is still needed of the entries is in the mixed lists
+        drop_path(spark, lists_path)
+        path = mixed_path
         if not entries_left:
             break
-        thin = named.select("token", "s1", "n", "pos")
+        thin = mixed.select("token", "s1", "n", "pos")
         last = round_no == STAR_ROUNDS or across <= 8 * entries_left
-        if last:  # all pairs across labels that size, position and folded bitmaps allow
-            named = stored(named.join(classes.select("s1", *WORDS), "s1"), shared_dir(spark, "mixed"))
-            left, right = (named.select("token", F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"),
-                                        F.col("label").alias(f"l{x}"), *[F.col(w).alias(f"{x}{w}") for w in WORDS]) for x in "ab")
-            apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in WORDS)
-            found = left.join(right, "token").filter(
-                f"la < lb and {FITS} and {100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb) and "
-                f"{100 + PERCENT} * ((na + nb - ({apart})) div 2) >= {PERCENT} * (na + nb)").select("a", "b").distinct()
-        else:  # other leaders for every list, compared across labels only
-            picks = [F.min_by(F.struct("s1", "n", "label"), F.xxhash64("s1", F.lit(LEADERS * round_no + i))) for i in range(LEADERS)]
-            leader = named.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("h")).select("token", F.explode("h").alias("h"))
-            found = _one_each(named.join(leader, "token").filter(F.col("label") != F.col("h.label")).select(
-                F.col("s1").alias("a"), F.col("n").alias("na"), F.col("h.s1").alias("b"), F.col("h.n").alias("nb")))
-        links = links.union(_verified(docs, classes, stored(found, shared_dir(spark, "pairs"))))
+        found = _mixed_pairs(mixed, classes) if last else _hub_pairs(mixed, round_no)
+        more = _verified(docs, classes, stored(found, shared_dir(spark, "pairs")))
+        links = more if links is None else links.union(more)
         labels = components(links)
         if last:
             break
+    drop_path(spark, path)
+    if labels is None:
+        labels = spark.createDataFrame([], "v bigint, label bigint")
     return labels.withColumnRenamed("v", "s1")
 
 
@@ -377,7 +423,7 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(_scan(docs), shared_dir(spark, "scan"))
     classes = stored(sigs.filter("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), *[F.first(w).alias(w) for w in WORDS]), shared_dir(spark, "classes"))
+        F.min("id").alias("rep"), F.first("bitmap").alias("bitmap")), shared_dir(spark, "classes"))
     labels = similar_sets(docs, classes, n_slices)
     labelled = classes.join(labels, "s1", "left")  # no label: a class without a partner
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min("rep").alias("smallest"))
