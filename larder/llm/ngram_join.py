@@ -402,7 +402,7 @@ def similar_sets(docs: DataFrame, classes: DataFrame, n_slices: int) -> DataFram
         if not entries_left:
             break
         thin = mixed.select("token", "s1", "n", "pos")
-        last = round_no == STAR_ROUNDS or across <= 8 * entries_left
+        last = round_no == STAR_ROUNDS or (round_no > 0 and across <= 8 * entries_left)
         found = _mixed_pairs(mixed, classes) if last else _hub_pairs(mixed, round_no)
         more = _verified(docs, classes, stored(found, shared_dir(spark, "pairs")))
         links = more if links is None else links.union(more)
