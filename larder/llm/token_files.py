@@ -5,7 +5,8 @@ Layout of a dataset folder (one set per partition, in ascending order of id):
     part-00007.ids    unsigned integers, little-endian; 16 bits if the tokenizer's
                       ids fit, else 32 (the width is in the part's row)
     part-00007.off    int64, documents + 1 places: where each document starts
-    part-00007.key    int64, the documents' ids
+    part-00007.key    int64, documents + 1 places: how many of the part's first
+                      documents have no id, then the documents' ids (0 for none)
 
 Documents are range-partitioned by id on the JVM; each task encodes its
 sorted rows and appends to its files under a name of its own attempt, renamed
@@ -18,9 +19,10 @@ The folder must be a mounted path that all executors share: memory mapping
 needs real files, so any other scheme is refused with an error.
 
 Defined cases: a null or empty text is the end id alone; rows with a null id
-are not part of a dataset in id order and are refused with an error; rows that
-repeat an id follow each other in order of their text; an empty table gives an
-empty dataset; other columns are not touched.
+come first of all, in order of their text (a null text before any other), and
+are returned with a null id; rows that repeat an id follow each other in order of
+their text; ids are integers, a text that is none ends the cast with Spark's
+error; an empty table gives an empty dataset; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -67,12 +69,11 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         part = task.partitionId()
         os.makedirs(root, exist_ok=True)
         own = os.path.join(root, f".{part:05d}-{uuid.uuid4().hex}")
-        encode, keys, lengths, total = coder(path).encode, [], [], 0
+        encode, keys, lengths, nulls = coder(path).encode, [], [], 0
         with open(own + ".ids", "wb") as out:
             for batch in batches:
-                if batch.column(0).null_count:
-                    raise ValueError("a document without an id has no place in id order")
-                keys.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls += batch.column(0).null_count  # sorted first, so they are the part's first documents
+                keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 for text in batch.column(1).to_pylist():
                     blob = encode(text) + end
                     if width == 2:
@@ -82,7 +83,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         offsets = np.zeros(len(lengths) + 1, dtype="<i8")
         np.cumsum(lengths, out=offsets[1:])
         offsets.tofile(own + ".off")
-        (np.concatenate(keys) if keys else np.empty(0, "<i8")).tofile(own + ".key")
+        np.concatenate([np.array([nulls], dtype="<i8"), *keys]).tofile(own + ".key")
         for end_of in (".ids", ".off", ".key"):
             os.replace(own + end_of, os.path.join(root, f"part-{part:05d}{end_of}"))
         total = int(offsets[-1])
@@ -91,7 +92,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
 
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = (docs.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    parts = (docs.repartitionByRange(n, "id").sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
              .mapInArrow(run, "part bigint, n_docs bigint, n_tokens bigint"))
     rows = sorted(parts.collect(), key=lambda r: r["part"])  # one row per partition
     bases = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])]).astype(np.int64)
@@ -105,13 +106,18 @@ class TokenPart:
     def __init__(self, folder: str, name: str, width: int):
         stem = os.path.join(mounted(folder), name)
         self.offsets = np.fromfile(stem + ".off", dtype="<i8")
-        self.keys = np.fromfile(stem + ".key", dtype="<i8")
+        key = np.fromfile(stem + ".key", dtype="<i8")
+        self.nulls, self.keys = int(key[0]), key[1:]
         self.ids = (np.memmap(stem + ".ids", dtype=f"<u{width}", mode="r") if self.offsets[-1]
                     else np.empty(0, dtype=f"<u{width}"))
 
     def __len__(self) -> int:
         return len(self.keys)
 
+    def ids_of_documents(self) -> pa.Array:
+        """The documents' ids; null for the part's first documents where they have none."""
+        return pa.array(self.keys, mask=np.arange(len(self.keys)) < self.nulls)
+
     def document(self, row: int) -> np.ndarray:
         return self.ids[self.offsets[row]:self.offsets[row + 1]]
 
@@ -129,7 +135,7 @@ def read_token_files(spark: SparkSession, folder: str, parts: list[dict]) -> Dat
                 crc = np.fromiter((zlib.crc32(part.document(i).astype("<u4").tobytes()) for i in range(len(part))),
                                   dtype=np.int64, count=len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.keys), pa.array(part.offsets[:-1] + base), pa.array(np.diff(part.offsets)), pa.array(crc)],
+                    [part.ids_of_documents(), pa.array(part.offsets[:-1] + base), pa.array(np.diff(part.offsets)), pa.array(crc)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.repartition(max(1, len(parts)), "name").mapInArrow(run, schema)

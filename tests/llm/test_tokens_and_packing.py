@@ -120,5 +120,19 @@ def test_token_files_edges(spark):
     assert token_files.token_file_round_trip(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         token_files.mounted("hdfs://store/x")
-    with pytest.raises(Exception, match="without an id"):
-        token_files.token_file_round_trip(df.selectExpr("cast(null as bigint) doc_id", "text")).collect()
+
+
+def test_token_files_of_documents_without_an_id(spark):
+    rows = [(None, "b c"), (7, "z"), (None, None), (0, "y"), (None, "a"), (7, "a b"), (-3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    folder = shared_dir(spark, "test-files")
+    parts = token_files.write_token_files(df, folder, tasks=3)
+    out = sorted(token_files.read_token_files(spark, folder, parts).collect(), key=lambda r: r.start)
+    want, start = [], 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array(reference_ids(text) + [token_files.END_ID], "<u4")
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in out] == want
+    nulls = df.filter("doc_id is null")
+    assert [r.doc_id for r in token_files.token_file_round_trip(nulls).collect()] == [None] * 3
