@@ -9,8 +9,11 @@ mixed text into spans. A document's language is the one whose spans hold most
 letters; its score is their share of all letters.
 
 Learning counts n-grams of all learnable rows: tasks count words by language,
-expand distinct words once and Spark sums by hashed place, so the model has at
-most 2^``BITS`` places per language and order whatever the input.
+expand distinct words once and Spark sums by language and full 64-bit hash, so
+the table grows with the n-grams that the rows hold and none shares a count.
+Up to ``MODEL_ROWS`` rows of it are broadcast. Beyond that the distinct words of
+the texts are joined to the table, and texts meet their words' scores in chunks
+of bounded size; both ways give the same labels.
 
 The recursion runs over a batch of texts at once, sorted by length: one array
 step a word position for all texts that are that long.
@@ -33,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import fold, map_batches, ngram_hashes, small_batches
+from larder.llm.common import fold, map_batches, ngram_hashes, shared_dir, small_batches, stored
 
 ORDER = 4
-BITS = 16
 SMOOTH = 0.1
+MODEL_ROWS = 2_000_000      # n-grams by language that a broadcast model may hold
+CHUNK_LETTERS = 32_000_000  # of texts that meet their words' scores in one group, beyond that
 SWITCH = 12.0   # log-likelihood that a switch of language costs
 FAR = 50.0      # what a word costs a language that is not written in its script
 SCRIPT_SHARE = 0.01  # least share of a language's letters for a script to be its own
@@ -70,38 +74,28 @@ def script_of(words: list[str]) -> np.ndarray:
     return _SCRIPT_OF[np.searchsorted(_STARTS, first, side="right") - 1]
 
 
-def _place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each one's weights."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, weights=weights, minlength=len(found)).astype(np.int64)
 
 
 def _count_rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """(lang, o, sums): one array over all places per language and order; order 0 counts letters by script."""
+    """(lang, o, h, n): n-grams of order o by hash; order 0 counts letters by script."""
     for lang, counter in counts.items():
         words = list(counter)
         weight = np.fromiter(counter.values(), dtype=np.float64, count=len(words))
         hashes, at, word = ngram_hashes(words, ORDER)
-        sums = [np.bincount(script_of(words), weights=weight * np.fromiter(map(len, words), dtype=np.float64, count=len(words)),
-                            minlength=1 << BITS)]
-        sums += [np.bincount(_place(hashes[o][at]), weights=weight[word], minlength=1 << BITS) for o in range(2, ORDER + 1)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * ORDER, pa.string()), pa.array([0, *range(2, ORDER + 1)], pa.int32()),
-            pa.array([n.astype(np.int64).tobytes() for n in sums], pa.binary())], names=["lang", "o", "sums"])
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the arrays of each language and order in a partition; holds one array per key."""
-    total: dict[tuple[str, int], np.ndarray] = {}
-    for batch in batches:
-        for lang, o, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            own = np.frombuffer(blob, dtype=np.int64)
-            total[lang, o] = total[lang, o] + own if (lang, o) in total else own
-    for (lang, o), n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([o], pa.int32()), pa.array([n.tobytes()], pa.binary())],
-                                         names=["lang", "o", "sums"])
+        letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+        sums = [(0, *_summed(script_of(words).astype(np.int64), weight * letters))]
+        sums += [(o, *_summed(hashes[o][at].view(np.int64), weight[word])) for o in range(2, ORDER + 1)]
+        for o, keys, n in sums:
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), o, dtype=np.int32)),
+                                              pa.array(keys), pa.array(n)], names=["lang", "o", "h", "n"])
 
 
 def count_by_language(rows: DataFrame) -> DataFrame:
-    """(lang, o, sums) over all rows, the sums of all places as bytes; ``rows``: text, lang."""
+    """(lang, o, h, n) over all rows; ``rows``: text, lang."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
@@ -114,46 +108,90 @@ def count_by_language(rows: DataFrame) -> DataFrame:
                 counts = {}
         yield from _count_rows(counts)
 
-    schema = "lang string, o int, sums binary"
-    found = rows.select("text", "lang").mapInArrow(run, schema)
-    # A tree of sums: the tasks' arrays meet in as many parts as there are partitions, then per key.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = found.withColumn("slot", F.spark_partition_id() % 16).repartition(parts, "lang", "o", "slot").drop("slot").mapInArrow(_add_up, schema)
-    return first.repartition(parts, "lang", "o").mapInArrow(_add_up, schema)
+    found = rows.select("text", "lang").mapInArrow(run, "lang string, o int, h bigint, n bigint")
+    return found.groupBy("lang", "o", "h").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
-    """Log-likelihood tables by order, place and language, and each language's scripts."""
+    """Log-likelihoods of n-grams by language, and each language's scripts.
 
-    def __init__(self, counts: list):
-        """``counts``: rows (lang, o, sums) with the sums of all places as int64 bytes."""
-        self.langs = sorted({r["lang"] for r in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        tables = {o: np.full((1 << BITS, len(at)), SMOOTH) for o in range(2, ORDER + 1)}
-        letters = np.zeros((len(SCRIPT_NAMES), len(at)))
-        for r in counts:
-            sums = np.frombuffer(bytes(r["sums"]), dtype=np.int64)
-            if r["o"]:
-                tables[r["o"]][:, at[r["lang"]]] += sums
-            else:
-                letters[:, at[r["lang"]]] = sums[:len(SCRIPT_NAMES)]
-        self.tables = [np.log(t / t.sum(axis=0)).astype(np.float32) for t in tables.values()]
-        self.written = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
+    An n-gram met n times in a language is worth ln((n + SMOOTH) / size), which is what any unseen one is worth there,
+    ln(SMOOTH / size), and a gain of ln(n / SMOOTH + 1).
+    """
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Score of every word for every language (rows: words)."""
+    def __init__(self, letters: list, totals: list, kinds: dict[int, int], grams: pa.Table | None = None):
+        """``letters``: rows (lang, h, n) of order 0; ``totals``: rows (lang, o, n); ``kinds``: distinct n-grams by order; ``grams``: lang, o, h, n."""
+        self.langs = sorted({r["lang"] for r in letters})
+        at = {lang: i for i, lang in enumerate(self.langs)}
+        written = np.zeros((len(SCRIPT_NAMES), len(at)))
+        for r in letters:
+            written[r["h"], at[r["lang"]]] = r["n"]
+        self.written = written >= SCRIPT_SHARE * np.maximum(written.sum(axis=0), 1)
+        size = np.ones((ORDER - 1, len(at)))
+        for r in totals:
+            size[r["o"] - 2, at[r["lang"]]] = r["n"] + SMOOTH * (kinds[r["o"]] + 1)
+        self.unseen = np.log(SMOOTH / size).mean(axis=0)
+        self.parts = []
+        if grams is not None:
+            order, h, n = (grams.column(c).combine_chunks().to_numpy() for c in ("o", "h", "n"))
+            lang = np.fromiter(map(at.__getitem__, grams.column("lang").to_pylist()), dtype=np.int64, count=len(h))
+            for o in range(2, ORDER + 1):
+                own = order == o
+                keys, spot = np.unique(h[own], return_inverse=True)
+                gains = np.zeros((len(keys), len(at)))
+                gains[spot, lang[own]] = np.log(n[own] / SMOOTH + 1)
+                self.parts.append((keys, gains))
+
+    def gains(self, words: list[str]) -> np.ndarray:
+        """Sum of the gains of every word's n-grams for every language (rows: words)."""
         hashes, at, word = ngram_hashes(words, ORDER)
         total = np.zeros((len(words), len(self.langs)))
-        for o, table in zip(range(2, ORDER + 1), self.tables):
-            rows = table[_place(hashes[o][at])]
-            for k in range(rows.shape[1]):
-                total[:, k] += np.bincount(word, weights=rows[:, k], minlength=len(words))
-        total /= len(self.tables)
+        for o, (keys, gains) in enumerate(self.parts, 2):
+            if not len(keys):
+                continue
+            asked = hashes[o][at].view(np.int64)
+            spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            seen = np.flatnonzero(keys[spot] == asked)
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(word[seen], weights=gains[spot[seen], k], minlength=len(words))
+        return total
+
+    def scored(self, words: list[str], gains: np.ndarray) -> np.ndarray:
+        """Score of every word for every language, from its gains."""
+        letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+        total = (letters + 1)[:, None] * self.unseen + gains / (ORDER - 1)
         own = self.written[script_of(words)]
         total[~own & own.any(axis=1)[:, None]] -= FAR
         total[~own.any(axis=1)] = 0.0  # a script that no language was learned in tells nothing
         return total
 
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Score of every word for every language (rows: words)."""
+        return self.scored(words, self.gains(words))
+
+
+class StoredModel:
+    """A model whose n-grams stay in a stored table: lang, o, h, n."""
+
+    def __init__(self, frame: LanguageModel, grams: DataFrame):
+        self.frame, self.grams = frame, grams
+
+
+class AnsweredWords:
+    """The scores of words whose gains came from a join; a word without any gain is not listed."""
+
+    def __init__(self, frame: LanguageModel, answers: pa.Table):
+        self.frame, self.langs = frame, frame.langs
+        at = {lang: i for i, lang in enumerate(frame.langs)}
+        names = answers.column("word").to_pylist()
+        self.spot = {w: i for i, w in enumerate(dict.fromkeys(names))}
+        self.found = np.zeros((len(self.spot) + 1, len(at)))  # the last row for all others
+        for w, lang, gain in zip(names, answers.column("lang").to_pylist(), answers.column("gain").to_pylist()):
+            self.found[self.spot[w], at[lang]] = gain
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        return self.frame.scored(words, self.found[[self.spot.get(w, len(self.spot)) for w in words]])
+
 
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Viterbi labels of a text's words: score sums less ``switch`` per change of label."""
@@ -202,7 +240,7 @@ class SpanLabeller:
     LIMIT = 300_000
     WORDS = 1_000_000  # words labelled at once; a longer text is taken alone
 
-    def __init__(self, model: LanguageModel):
+    def __init__(self, model: LanguageModel | AnsweredWords):
         self.model = model
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)))
@@ -261,44 +299,94 @@ class SpanLabeller:
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)])]
 
 
-def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel | StoredModel | None:
     """Model from the given rows with a language; None if there are none."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    counts = count_by_language(rows).collect()  # a fixed number of places per language and order
-    return LanguageModel(counts) if counts else None
-
+    counts = stored(count_by_language(rows), shared_dir(spark, "languages"))
+    letters = counts.filter("o = 0").collect()  # scripts by language
+    if not letters:
+        return None
+    grams = counts.filter("o > 0")
+    totals = grams.groupBy("lang", "o").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    kinds = {r["o"]: r["kinds"] for r in grams.select("o", "h").distinct().groupBy("o").agg(F.count(F.lit(1)).alias("kinds")).collect()}
+    if sum(r["rows"] for r in totals) <= MODEL_ROWS:
+        return LanguageModel(letters, totals, kinds, grams.toArrow())
+    return StoredModel(LanguageModel(letters, totals, kinds), grams)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+_VERDICT = "lang_pred string, score double"
+_SPANS_DDL = "spans array<struct<start:bigint,end:bigint,lang:string>>"
+
+
+def _verdict_columns(labeller: SpanLabeller | None, texts: list[str | None], with_spans: bool) -> dict[str, pa.Array]:
+    if labeller is None:
+        verdicts, spans = [(UNKNOWN, 0.0)] * len(texts), [[] for _ in texts]
+    else:
+        words = [words_of_letters(t) for t in texts]
+        labeller.learn(words)
+        verdicts = labeller.verdicts(words)
+        spans = [[dict(zip(("start", "end", "lang"), s)) for s in labeller.spans(t)] for t in texts] if with_spans else []
+    cols = {"lang_pred": pa.array([v[0] for v in verdicts], pa.string()), "score": pa.array([v[1] for v in verdicts], pa.float64())}
+    return cols | ({"spans": pa.array(spans, _SPANS)} if with_spans else {})
+
+
+def _label_by_broadcast(thin: DataFrame, model: LanguageModel | None, schema: str, with_spans: bool) -> DataFrame:
+    shared = thin.sparkSession.sparkContext.broadcast(model)
+    kept: list[SpanLabeller] = []
 
-def label_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text",
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not kept and shared.value is not None:
+            kept.append(SpanLabeller(shared.value))
+        cols = _verdict_columns(kept[0] if kept else None, batch.column(1).to_pylist(), with_spans)
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], names=["id", *cols])
+
+    return map_batches(thin, run, f"id {thin.schema['id'].dataType.simpleString()}, {schema}")
+
+
+def _label_by_join(thin: DataFrame, model: StoredModel, schema: str, with_spans: bool) -> DataFrame:
+    """Distinct texts are labelled in chunks that ask for each of their words once; rows find their text's verdict by digest."""
+    spark, frame = thin.sparkSession, model.frame
+    text = F.coalesce("text", F.lit(""))
+    keyed = thin.select("id", F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    letters = keyed.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    texts = stored(keyed.groupBy("digest").agg(F.first("text").alias("text")).withColumn(
+        "chunk", F.pmod(F.xxhash64("digest"), F.lit(letters // CHUNK_LETTERS + 1))), shared_dir(spark, "texts"))
+
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = list(dict.fromkeys((c, w) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words_of_letters(t)))
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())],
+                                          names=["chunk", "word"])
+
+    def grams_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, at, word = ngram_hashes(batch.column(0).to_pylist(), ORDER)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.tile(word, ORDER - 1))),
+                                           pa.array(np.repeat(np.arange(2, ORDER + 1, dtype=np.int32), len(at))),
+                                           pa.array(np.concatenate([hashes[o][at] for o in range(2, ORDER + 1)]).view(np.int64))],
+                                          names=["word", "o", "h"])
+
+    def label(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        cols = _verdict_columns(SpanLabeller(AnsweredWords(frame, answers)), rows.column("text").to_pylist(), with_spans)
+        return pa.table({"digest": rows.column("digest"), **cols})
+
+    asked = stored(map_batches(texts.select("chunk", "text"), words, "chunk bigint, word string").distinct(), shared_dir(spark, "words"))
+    pieces = map_batches(asked.select("word").distinct(), grams_of, "word string, o int, h bigint")
+    gains = pieces.join(model.grams, ["o", "h"]).groupBy("word", "lang").agg(F.sum(F.log(F.col("n") / SMOOTH + 1)).alias("gain"))
+    answers = asked.join(gains, "word").select("chunk", "word", "lang", "gain")
+    verdicts = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(label, f"digest binary, {schema}")
+    return keyed.select("id", "digest").join(verdicts, "digest").drop("digest")
+
+
+def label_languages(docs: DataFrame, model: LanguageModel | StoredModel | None, id_col: str = "doc_id", text_col: str = "text",
                     with_spans: bool = False) -> DataFrame:
     """id, lang_pred, score (and the spans of the lower-cased text) of every row."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kept: list[SpanLabeller] = []
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        if shared.value is None:
-            verdicts, spans = [(UNKNOWN, 0.0)] * len(texts), [[] for _ in texts]
-        else:
-            if not kept:
-                kept.append(SpanLabeller(shared.value))
-            words = [words_of_letters(t) for t in texts]
-            kept[0].learn(words)
-            verdicts = kept[0].verdicts(words)
-            spans = [[dict(zip(("start", "end", "lang"), s)) for s in kept[0].spans(t)] for t in texts] if with_spans else []
-        cols = [batch.column(0), pa.array([v[0] for v in verdicts], pa.string()), pa.array([v[1] for v in verdicts], pa.float64())]
-        names = ["id", "lang_pred", "score"]
-        if with_spans:
-            cols, names = [*cols, pa.array(spans, span_type)], [*names, "spans"]
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = f"id {thin.schema['id'].dataType.simpleString()}, lang_pred string, score double"
-    if with_spans:
-        schema += ", spans array<struct<start:bigint,end:bigint,lang:string>>"
-    return map_batches(thin, run, schema).withColumnRenamed("id", id_col)
+    schema = f"{_VERDICT}, {_SPANS_DDL}" if with_spans else _VERDICT
+    label = _label_by_join if isinstance(model, StoredModel) else _label_by_broadcast
+    return label(thin, model, schema, with_spans).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
