@@ -91,7 +91,7 @@ class ItemIndex:
 
 def search_block(docs: DataFrame, index: ItemIndex) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    id_type, item_type = "bigint", "bigint"
+    id_type, item_type = docs.schema["id"].dataType.simpleString(), "bigint"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         index = shared.value
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """Pairs (document, item) found: ids, n_item_shingles, n_common, containment."""
     spark = docs.sparkSession
     small_batches(spark)
-    thin = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Blocks by the items' running size; a word has two bytes at least, so chars / 2 bounds the shingles.
     sized = items.select(F.col(item_id_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text")).withColumn(
         "weight", F.coalesce(F.length("text"), F.lit(0)) / 2 + 1)

@@ -411,8 +411,9 @@ def logistic_column(w: np.ndarray, mean: np.ndarray, scale: np.ndarray):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", folds: int = 5, held_out: int = 0, calibration: int = 1) -> DataFrame:
-    """One row per document: id, held_out, score, predicted.
+                   label_col: str = "toxic", folds: int = 5, held_out: int = 0, calibration: int = 1,
+                   row_col: str | None = None) -> DataFrame:
+    """One row per document: id, held_out, score, predicted; ``row_col``: a column that tells rows apart, returned too.
 
     Labels of fold ``held_out`` are never read; fold ``calibration`` fits the
     logistic regression and the other folds the two language models.
@@ -429,10 +430,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scratch = shared_dir(spark, "kneser-ney")
     grams = stored(count_ngrams(train), f"{scratch}/ngrams")
     letters = stored(letter_table(grams, model_tables(grams, scratch)), f"{scratch}/letters")
+    asked = thin if row_col is None else docs.select(
+        F.struct(F.col(id_col).alias("id"), F.col(row_col).alias("row")).alias("id"), F.col(text_col).cast("string").alias("text"))
     if letters.count() <= MODEL_ROWS:
-        features = features_by_letters(thin, LetterModel(letters.toArrow()))
+        features = features_by_letters(asked, LetterModel(letters.toArrow()))
     else:
-        features = document_features(thin, joined_words(stored(dealt_words(count_words(thin)), f"{scratch}/words"), letters))
+        features = document_features(asked, joined_words(stored(dealt_words(count_words(thin)), f"{scratch}/words"), letters))
+    if row_col is not None:
+        features = features.select("id.id", F.col("id.row").alias(row_col), *FEATURES)
     out = stored(features, shared_dir(spark, "toxicity"))
     drop_path(spark, scratch)
     sample = (out.join(known.filter(fold("id", folds) == calibration), "id")
@@ -442,5 +447,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         score = logistic_column(*fit_logistic(sample[FEATURES].to_numpy(), y))
     else:
         score = F.lit(float(share or 0.0))
-    return out.select(F.col("id").alias(id_col), F.coalesce(fold("id", folds) == held_out, F.lit(False)).alias("held_out"),
+    rows = [] if row_col is None else [row_col]
+    return out.select(F.col("id").alias(id_col), *rows, F.coalesce(fold("id", folds) == held_out, F.lit(False)).alias("held_out"),
                       score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
