@@ -9,8 +9,11 @@ checkpoint folder. Stages 1 to 4 return the columns of documents unchanged:
 4. decontamination: documents that hold a benchmark item go.
 5. best-fit packing: one row per token piece with its place in a sequence.
 
-Decisions are taken per doc_id; a row without one cannot be rejected and stays.
-Rejections leave by an anti join on doc_id, so kept rows are never rebuilt.
+Decisions are taken per row: operators see a key of doc_id and text as their id,
+which sorts by doc_id, rows without one last. So rows without an id are judged
+like all others, and of rows that repeat an id only those with a rejected text
+go; rows equal in both are copies and share a decision. Rejections leave by an
+anti join on the key, so kept rows are never rebuilt.
 """
 
 from __future__ import annotations
@@ -22,34 +25,46 @@ from larder.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
 from larder.llm.common import read_table, shared_dir, stored
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not among the rejected ones."""
+FLIP_SIGN = -1 << 63
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with the key of their rows, and its column's name, which no other column has."""
+    names = {c.lower() for c in docs.columns}
+    own = next(c for c in (f"_key{'_' * i}" for i in range(len(names) + 1)) if c not in names)
+    number = F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(FLIP_SIGN))), 16, "0")
+    return docs.withColumn(own, F.concat(F.coalesce(number, F.lit("none")), F.coalesce(F.md5("text"), F.lit("")))), own
+
+
+def without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """Keyed documents whose key is not among the rejected ones."""
     names = docs.columns
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*names)
+    return docs.join(rejected.select(key).distinct(), key, "left_anti").select(*names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity_kn.score_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return without(docs, scored.filter("predicted = 1"))
+    rows, key = keyed(docs)
+    scored = toxicity_kn.score_toxicity(rows, read_table(spark, sf_dir, "labels"), row_col=key)
+    return without(rows, key, scored.filter("predicted = 1")).drop(key)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = stored(exact_dedup.exact_dedup(docs).select("doc_id", "kept"), shared_dir(spark, "judged"))
-    left = without(docs, judged.filter("not kept"))
-    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:  # rows that repeat an id and its text are one document
-        names = {c.lower() for c in docs.columns}
-        own = next(c for c in (f"_text{'_' * i}" for i in range(len(names) + 1)) if c not in names)
-        left = left.withColumn(own, exact_dedup.normalised(F.col("text"))).dropDuplicates(["doc_id", own]).drop(own)
-    return left
+    rows, key = keyed(docs)
+    judged = stored(exact_dedup.exact_dedup(rows, id_col=key).select(key, "kept"), shared_dir(spark, "judged"))
+    left = without(rows, key, judged.filter("not kept"))
+    if judged.filter("kept").groupBy(key).count().filter("count > 1").limit(1).count():  # equal rows are one document
+        left = left.dropDuplicates([key])
+    return left.drop(key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, ngram_join.ngram_jaccard(docs).filter("doc_id <> component_id"))
+    rows, key = keyed(docs)
+    return without(rows, key, ngram_join.ngram_jaccard(rows, id_col=key).filter(F.col(key) != F.col("component_id"))).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    rows, key = keyed(docs)
+    return without(rows, key, decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col=key)).drop(key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
