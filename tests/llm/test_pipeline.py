@@ -1,6 +1,8 @@
 """The pipeline against a brute-force version of its decisions."""
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from larder.llm import toxicity_kn
 from larder.llm.common import words_of
@@ -47,3 +49,36 @@ def test_exact_dedup_stage_keeps_clashing_columns(spark):
     left = corpus_pipeline.drop_copies(spark, docs, SF)
     assert left.columns == docs.columns
     assert sorted((r["doc_id"], r["_Text"], r["_text_"]) for r in left.collect()) == [(1, "x", 1), (2, "y", 2)]
+
+
+def test_decisions_are_taken_per_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    score = {r.doc_id: r.score for r in toxicity_kn.score_toxicity(docs, labels).collect()}
+    texts = sorted((r for r in docs.collect() if r.text and len(r.text.split()) > 40), key=lambda r: score[r.doc_id])
+    bad, calm = texts[-1].text, []
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    for r in texts:  # clean texts that share nothing
+        if len(calm) < 4 and not any(shingles(r.text) & shingles(t) for t in calm + items):
+            calm.append(r.text)
+    copied, alone, near, third = calm
+    item = max(items, key=len)
+    few = near.rsplit(None, 1)[0]
+    big = 10 ** 9
+    rows = [(big, bad), (big, copied), (None, bad), (None, alone),       # an id's toxic text goes alone
+            (big + 1, copied), (None, copied), (None, copied),           # of copies the smallest id stays, rows without one last
+            (-7, near), (None, few), (-7, third),                        # negative ids come first
+            (big + 2, f"x {item}"), (None, f"{item} y")]                 # the benchmark item
+    out = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_KEY", F.lit(1))
+    learned = docs.withColumn("_KEY", F.lit(0))
+    plain = spark.createDataFrame([(2 * big + i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    toxic = {rows[r.doc_id - 2 * big][1] for r in toxicity_kn.score_toxicity(learned.drop("_KEY").unionByName(plain), labels)
+             .filter(f"doc_id >= {2 * big} and predicted = 1").collect()}
+    assert bad in toxic and not toxic & set(calm)
+    out = corpus_pipeline.drop_toxic(spark, learned.unionByName(out), SF).filter("_KEY = 1")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((r for r in rows if r[1] not in toxic), key=str)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == ["doc_id", "text", "_KEY"], name
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert left == sorted([(big, copied), (None, alone), (-7, near), (-7, third)], key=str)
