@@ -64,11 +64,39 @@ def forecast_summary(series: DataFrame) -> DataFrame:
         ff.half_up((last - first) / F.nullif(first, F.lit(0.0)) * 100).cast("bigint").alias("trend_pct"))
 
 
-def projected_inventory(points: DataFrame) -> DataFrame:
-    """Start stock minus the running sum of predicted demand, rounded."""
-    run = F.sum(U).over(_series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _days(series: DataFrame, **each: Column) -> DataFrame:
+    """A row for every day of each series' row, with day_index, forecast_date and the day's entry of the given arrays."""
+    dates = F.sequence("forecast_start_date", F.date_add("forecast_start_date", F.col("horizon_days") - 1))
+    days = F.arrays_zip(dates.alias("forecast_date"), *[c.alias(n) for n, c in each.items()])
+    rows = series.select([c for c in series.columns if c != "units"] + [F.posexplode(days).alias("day_index", "_day")])
+    return rows.select("*", "_day.*").drop("_day")
+
+
+def _by_copies(series: DataFrame, inside, across) -> DataFrame:
+    """Daily rows: ``inside`` for series of one row, from that row's own days; ``across`` for the daily rows of series that
+    have several rows, whose figures run over all of them. Only series are counted and moved, never days of the first kind."""
+    marked = series.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
+    one, more = (marked.where(c).drop("_copies") for c in (F.col("_copies") == 1, F.col("_copies") > 1))
+    return inside(one).unionByName(across(_days(more)))
+
+
+def projected_inventory(series: DataFrame) -> DataFrame:
+    """Daily rows with the start stock minus the running sum of predicted demand, rounded."""
     start = F.coalesce(F.col("current_inventory"), F.lit(0.0))
-    return points.withColumn("projected_inventory", ff.half_up(start - run).cast("bigint"))
+
+    def step(state, u):
+        run = state["run"] + u
+        return F.struct(run.alias("run"), F.concat(state["path"], F.array(run)).alias("path"))
+
+    def inside(one):
+        begin = F.struct(F.lit(0).cast("bigint").alias("run"), F.array().cast("array<bigint>").alias("path"))
+        return _days(one, _run=F.aggregate("units", begin, step)["path"])
+
+    def across(points):
+        return points.withColumn("_run", F.sum(U).over(_series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    rows = _by_copies(series, inside, across)
+    return rows.withColumn("projected_inventory", ff.half_up(start - F.col("_run")).cast("bigint")).drop("_run")
 
 
 def inventory_impact(series: DataFrame) -> DataFrame:
@@ -106,29 +134,35 @@ def peak_window(points: DataFrame) -> DataFrame:
                     "peak_date")
 
 
-def demand_status(points: DataFrame) -> DataFrame:
+def demand_status(series: DataFrame) -> DataFrame:
     """Per day: Peak / High / Low / Normal against the rounded series mean."""
-    w = Window.partitionBy(*SERIES)
-    mean = ff.half_up(F.sum(U).over(w) / F.count(F.lit(1)).over(w)).cast("bigint")
-    return (points.withColumn("series_mean", mean)
-            .withColumn("series_peak", F.max(U).over(w))
-            .select(*SERIES, "forecast_date", U,
-                    ff.demand_status(U, "series_mean", "series_peak").alias("demand_status")))
+    def inside(one):
+        n = F.size("units")
+        return _days(one.withColumn("series_mean", ff.half_up(_total(F.col("units")) / n).cast("bigint"))
+                        .withColumn("series_peak", F.array_max("units")), _unit=F.col("units"))
+
+    def across(points):
+        w = Window.partitionBy(*SERIES)
+        return (points.withColumn("series_mean", ff.half_up(F.sum(U).over(w) / F.count(F.lit(1)).over(w)).cast("bigint"))
+                .withColumn("series_peak", F.max(U).over(w)).withColumn("_unit", F.col(U)))
+
+    return _by_copies(series, inside, across).select(
+        *SERIES, "forecast_date", F.col("_unit").alias(U), ff.demand_status("_unit", "series_mean", "series_peak").alias("demand_status"))
 
 
 def stockout_date(series: DataFrame) -> DataFrame:
     return inventory_impact(series).select(*SERIES, "stockout_date")
 
 
-def forecast_export(points: DataFrame) -> DataFrame:
+def forecast_export(series: DataFrame) -> DataFrame:
     """The 8-column daily export (plus series keys): price plan and stock path."""
-    proj = projected_inventory(points)
+    proj = projected_inventory(series)
     promoted = F.coalesce(F.col("is_promoted"), F.lit(False)) & ff.promo_window("day_index", "horizon_days")
     pct = F.coalesce(F.col("discount_pct"), F.lit(0.0)) * 100
     return proj.select(
         *SERIES,
         F.date_format("forecast_date", "yyyy-MM-dd").alias("date"),
-        U, "lower_bound", "upper_bound",
+        U, ff.lower_bound(U).alias("lower_bound"), ff.upper_bound(U).alias("upper_bound"),
         ff.planned_price("selling_price", pct, F.coalesce(F.col("is_promoted"), F.lit(False)),
                          "day_index", "horizon_days").alias("planned_selling_price"),
         F.when(promoted, pct).otherwise(F.lit(0.0)).alias("discount_pct"),

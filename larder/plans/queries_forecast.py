@@ -136,7 +136,7 @@ _IMPACT_COLS = """current_inventory + incoming_inventory - demand as remaining,
 with {_PROJ}
 select {S}, forecast_date, projected_inventory from proj""")
 def projected_inventory(t):
-    return an.projected_inventory(fc.forecast_points(t, by_series=True)).select(*fc.SERIES, "forecast_date", "projected_inventory")
+    return an.projected_inventory(fc.scored_series(t)).select(*fc.SERIES, "forecast_date", "projected_inventory")
 
 
 @register("inventory_impact", f"""
@@ -180,7 +180,7 @@ select {S}, forecast_date, {U},
             else 'Normal' end as demand_status
 from forecast_points window w as (partition by {S})""")
 def demand_status(t):
-    return an.demand_status(fc.forecast_points(t, by_series=True))
+    return an.demand_status(fc.scored_series(t))
 
 
 _EXPORT = f"""
@@ -220,9 +220,9 @@ EXPORT_SCHEMA = ("request_id bigint, product_id bigint, warehouse_id int, date s
 
 @register("write_forecast_csv", _EXPORT)
 def write_forecast_csv(t):
-    """Write the daily export as header CSV to the shared scratch folder, read it back."""
+    """Write the daily export as header CSV (gzip) to the shared scratch folder, read it back."""
     out = scratch_path(t.spark, f"forecast_csv/{uuid.uuid4().hex}")
-    an.forecast_export(fc.forecast_points(t, by_series=True)).write.mode("overwrite").option("header", True).csv(out)
+    an.forecast_export(fc.scored_series(t)).write.mode("overwrite").option("header", True).csv(out, compression="gzip")
     return t.spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(out)
 
 
