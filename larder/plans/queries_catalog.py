@@ -195,8 +195,11 @@ from forecast_points p join warehouses w on w.warehouse_id = p.warehouse_id wher
 def results_for_job(t: Tables):
     """Results of the jobs that belong to the organisation, ordered by date."""
     w = t.warehouses().where(F.col("region") == ORG).select("warehouse_id")
-    pts = fc.forecast_points(t).join(w, "warehouse_id", "left_semi")
-    return pts.select(*fc.SERIES, "forecast_date", "predicted_units_sold").orderBy("request_id", "forecast_date")
+    mine = fc.score_context(fc.forecast_context(t)).join(w, "warehouse_id", "left_semi").select(
+        *fc.SERIES, "forecast_start_date", "horizon_days", "predicted_units_sold")
+    # Series are dealt by ranges of request and get their days there: sorting the parts orders the whole.
+    dealt = mine.repartitionByRange(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "request_id")
+    return fc.horizon_rows(dealt).select(*fc.SERIES, "forecast_date", "predicted_units_sold").sortWithinPartitions("request_id", "forecast_date")
 
 
 @register("columns_visible_to_org", f"""
