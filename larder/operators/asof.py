@@ -1,21 +1,15 @@
 """As-of lookup: for each request, the latest fact dated on or before its date.
 
-Plan (per key shape):
-
-1. facts  -> one record per (key, day): ``max_by`` over the day's rows, a
-   partial aggregation, so a hot key is combined map-side before the shuffle;
-2. requests -> distinct (key, day) pairs, again a partial aggregation;
-3. union both and carry the last record forward with a window partitioned by
-   key and ordered by day. A key's partition holds at most two rows per
-   calendar day, however many facts or requests that key has;
-4. equi-join the resolved (key, day) table back to the requests. It is unique
-   on (key, day), so the join never multiplies rows, and a hot (key, day) on
-   the request side is split by AQE's skew-join handling.
-
-No inequality join and no per-request candidate list is ever materialised.
-Optional keys (filter only when the request gives a value) give one key
-shape per null pattern; the requests pass through one left join per shape
-and each row takes the record of its own pattern.
+Requests and facts are one table, dealt by key and ordered by day, facts before
+requests of the same day; the running maximum of (date, tie-break, record) over
+a key's rows is the latest fact so far, and the requests keep it. Facts and
+requests move once: no request list is made distinct, joined back or multiplied.
+
+Optional keys (filter only when the request gives a value) give one running
+maximum per null pattern. All of them hold the required keys, so the rows that
+are dealt by those serve every pattern; a request takes the one of its own.
+A frame keeps one record at a time, and a key's rows go to disk beyond the
+window's buffer, so a hot key costs time and not memory.
 """
 
 from __future__ import annotations
@@ -30,21 +24,7 @@ from larder.functions.aggregates import arg_max
 _DAY = "_asof_day"
 _KIND = "_asof_kind"
 _REC = "_asof_rec"
-
-
-def _resolve_shape(req_days: DataFrame, facts: DataFrame, keys: list[str], fact_date: str,
-                   values: list[str], tiebreak: list[str]) -> DataFrame:
-    rec = F.struct(*[F.col(v) for v in values])
-    daily = (facts.where(F.col(fact_date).isNotNull())
-             .groupBy(*keys, F.col(fact_date).cast("date").alias(_DAY))
-             .agg(arg_max(rec, [F.col(t) for t in tiebreak]).alias(_REC))
-             .withColumn(_KIND, F.lit(0)))
-    asks = req_days.withColumn(_REC, F.lit(None).cast(daily.schema[_REC].dataType)).withColumn(_KIND, F.lit(1))
-    both = daily.unionByName(asks)
-    w = (Window.partitionBy(*keys).orderBy(_DAY, _KIND)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = both.withColumn(_REC, F.last(_REC, ignorenulls=True).over(w))
-    return carried.where(F.col(_KIND) == 1).drop(_KIND)
+_ASKED = "_asof_asked"
 
 
 def latest_asof(requests: DataFrame, facts: DataFrame, *, keys: list[str], request_date: str,
@@ -58,45 +38,39 @@ def latest_asof(requests: DataFrame, facts: DataFrame, *, keys: list[str], reque
     request's value is not null. ``fact_keys`` renames request key -> fact
     column when names differ. ``strict`` asks for facts strictly before the
     request date. Ties on the date are broken by ``tiebreak`` (highest wins).
-    ``request_keys`` (default: ``requests``) is a cheaper frame holding the
-    same key and date columns, used to collect the distinct (key, day) pairs.
-
-    The requests are scanned once: one left join per key shape, each against
-    a table unique on (key, day), so no row is ever multiplied.
+    ``request_keys`` is accepted for callers that have the key columns apart; one
+    pass over ``requests`` needs no second frame.
     """
     fact_keys = fact_keys or {}
     all_keys = list(keys) + list(optional_keys)
-    extra = [v for v in values if v not in all_keys and v != fact_date]
-    extra += [t for t in (tiebreak or []) if t not in extra and t != fact_date and t not in all_keys]
-    renamed = facts.select(*[F.col(fact_keys.get(k, k)).alias(k) for k in all_keys], F.col(fact_date),
-                           *[F.col(c) for c in extra])
-    tiebreak = [fact_date] + [t for t in (tiebreak or []) if t != fact_date]
-
-    def day_of(c):
-        d = F.col(c).cast("date")
-        return F.date_sub(d, 1) if strict else d
-
-    source = request_keys if request_keys is not None else requests
-    out = requests.withColumn(_DAY, day_of(request_date))
-    choice = None
-    for n, pattern in enumerate(cartesian([True, False], repeat=len(optional_keys))):
+    day = F.col(request_date).cast("date")
+    record = F.struct(*[F.col(fact_keys.get(v, v)).alias(v) if v in all_keys else F.col(v) for v in values])
+    order = [F.col(fact_date), *[F.col(fact_keys.get(t, t)) for t in (tiebreak or []) if t != fact_date]]
+    best = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], record.alias("v"))
+    past = facts.where(F.col(fact_date).isNotNull())
+    for k in keys:
+        past = past.where(F.col(fact_keys.get(k, k)).isNotNull())
+    past = past.select(*[F.col(fact_keys.get(k, k)).alias(f"_asof_{k}") for k in all_keys], F.col(fact_date).cast("date").alias(_DAY),
+                       F.lit(0).alias(_KIND), best.alias(_REC))
+    asked = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    asks = requests.select(*[F.col(k).alias(f"_asof_{k}") for k in all_keys], (F.date_sub(day, 1) if strict else day).alias(_DAY),
+                           F.lit(1).alias(_KIND), asked.alias(_ASKED))
+    both = past.unionByName(asks, allowMissingColumns=True)
+    # Few keys first: rows that are together by ``keys`` are together by more keys too, so they move once.
+    found, choice = [], None
+    for n, pattern in enumerate(sorted(cartesian([True, False], repeat=len(optional_keys)), key=sum)):
         used = list(keys) + [k for k, given in zip(optional_keys, pattern) if given]
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).isNotNull()
-        for k, given in zip(optional_keys, pattern):
-            cond = cond & (F.col(k).isNotNull() if given else F.col(k).isNull())
-        days = (source.where(cond).select(*used, day_of(request_date).alias(_DAY))
-                .where(F.col(_DAY).isNotNull()).distinct())
-        shape_facts = renamed
+        w = (Window.partitionBy(*[f"_asof_{k}" for k in used]).orderBy(_DAY, _KIND)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        both = both.withColumn(f"{_REC}_{n}", F.max(_REC).over(w))
+        cond = F.col(_DAY).isNotNull()
         for k in used:
-            shape_facts = shape_facts.where(F.col(k).isNotNull())
-        resolved = _resolve_shape(days, shape_facts, used, fact_date, values, tiebreak)
-        rec = f"{_REC}_{n}"
-        out = out.join(resolved.withColumnRenamed(_REC, rec), used + [_DAY], "left")
-        choice = (F.when(cond, F.col(rec)) if choice is None else choice.when(cond, F.col(rec)))
-    recs = [c for c in out.columns if c.startswith(_REC + "_")]
-    return out.withColumn(alias, choice).drop(_DAY, *recs)
+            cond = cond & F.col(f"_asof_{k}").isNotNull()
+        for k, given in zip(optional_keys, pattern):
+            if not given:
+                cond = cond & F.col(f"_asof_{k}").isNull()
+        choice = F.when(cond, F.col(f"{_REC}_{n}.v")) if choice is None else choice.when(cond, F.col(f"{_REC}_{n}.v"))
+    return both.where(F.col(_KIND) == 1).select(*[F.col(f"{_ASKED}.`{c}`") for c in requests.columns], choice.alias(alias))
 
 
 def flatten(df: DataFrame, struct_col: str, prefix: str) -> DataFrame:

@@ -24,21 +24,27 @@ INVENTORY_VALUES = ["source_row_number", "snapshot_date", "current_inventory",
                     "incoming_inventory", "spoilage_risk"]
 
 
-def with_latest_sale(t: Tables, requests: DataFrame | None = None) -> DataFrame:
+#: What the context takes from a sale and from a snapshot.
+CONTEXT_SALE = ["selling_price", "discount_pct", "is_promoted", "spoilage_risk"]
+CONTEXT_INVENTORY = ["current_inventory", "incoming_inventory", "spoilage_risk"]
+
+
+def with_latest_sale(t: Tables, requests: DataFrame | None = None, values: list[str] = SALE_VALUES) -> DataFrame:
     """latest_sale_asof: newest sale on or before the start date, same product and
     warehouse, and the same store when the request names one."""
     req = requests if requests is not None else t.forecast_requests()
     return latest_asof(req, t.sales_records(), keys=["product_id", "warehouse_id"],
                        optional_keys=["store_id"], request_date="forecast_start_date",
-                       fact_date="transaction_date", values=SALE_VALUES,
+                       fact_date="transaction_date", values=values,
                        tiebreak=["source_row_number"], alias="sale", request_keys=req)
 
 
-def with_latest_inventory(t: Tables, requests: DataFrame, request_keys: DataFrame | None = None) -> DataFrame:
+def with_latest_inventory(t: Tables, requests: DataFrame, request_keys: DataFrame | None = None,
+                          values: list[str] = INVENTORY_VALUES) -> DataFrame:
     """latest_inventory_asof: newest snapshot on or before the start date."""
     return latest_asof(requests, t.inventory_snapshots(), keys=["product_id", "warehouse_id"],
                        request_date="forecast_start_date", fact_date="snapshot_date",
-                       values=INVENTORY_VALUES, tiebreak=["source_row_number"], alias="inv",
+                       values=values, tiebreak=["source_row_number"], alias="inv",
                        request_keys=request_keys)
 
 
@@ -55,7 +61,7 @@ def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
 
 
 def _context(t: Tables, req: DataFrame) -> DataFrame:
-    ctx = with_latest_inventory(t, with_latest_sale(t, req), request_keys=req)
+    ctx = with_latest_inventory(t, with_latest_sale(t, req, CONTEXT_SALE), request_keys=req, values=CONTEXT_INVENTORY)
     prod = t.products().select("product_id", "category", "supplier_id", "shelf_life_days",
                                "cost_price", "spoilage_sensitivity", "storage_temp")
     sup = t.suppliers().select("supplier_id", "supplier_score")
