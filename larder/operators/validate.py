@@ -47,11 +47,15 @@ def _issue(cond, severity: str, code, column=None, value=None):
 
 
 def cell_issues(mapped: DataFrame) -> DataFrame:
-    """All single-cell rules in one pass over the mapped cells."""
+    """All single-cell rules in one pass over the mapped cells.
+
+    Cells of columns without a rule are left out first, and a cell is parsed once, not once a rule."""
     v = F.col("value")
     col = F.col("column")
-    num = to_number(v)
     numeric_col = col.isin(NUMERIC_NON_NEGATIVE)
+    mapped = (mapped.where(col.isin(*NUMERIC_NON_NEGATIVE, "discount_pct", *DATE_FIELDS, *IDENTIFIER_FIELDS))
+              .withColumn("_num", F.when(numeric_col | (col == "discount_pct"), to_number(v))))
+    num = F.col("_num")
     rules = F.array(
         _issue(numeric_col & v.isNotNull() & num.isNull(), "error", "INVALID_NUMERIC"),
         _issue(numeric_col & (num < 0), "error", "NEGATIVE_VALUE"),
@@ -61,16 +65,18 @@ def cell_issues(mapped: DataFrame) -> DataFrame:
         _issue(col.isin(IDENTIFIER_FIELDS) & (F.trim(F.coalesce(v, F.lit(""))) == ""), "error",
                "EMPTY_IDENTIFIER", value=F.lit(None)),
     )
-    return mapped.select("dataset_id", "source_row_number",
-                         F.inline(F.filter(rules, lambda x: x.isNotNull())))
+    return mapped.select("dataset_id", "source_row_number", F.inline(rules)).where("code is not null")
 
 
 def reference_issues(mapped: DataFrame, known: DataFrame) -> DataFrame:
-    """UNKNOWN_<FIELD>: non-empty id not in ``known(column, value)``."""
-    spark = mapped.sparkSession
-    fields = spark.createDataFrame([(t, f) for t, fs in REFERENCE_FIELDS.items() for f in fs],
-                                   "dataset_type string, column string")
-    ids = (mapped.join(fields, ["dataset_type", "column"])
+    """UNKNOWN_<FIELD>: non-empty id not in ``known(column, value)``.
+
+    The fixed reference fields are a condition on the cells: a join would move every cell of
+    every upload by the few (type, column) pairs."""
+    field = F.lit(False)
+    for dataset_type, names in REFERENCE_FIELDS.items():
+        field = field | ((F.col("dataset_type") == dataset_type) & F.col("column").isin(names))
+    ids = (mapped.where(field)
            .withColumn("value", F.trim(F.col("value")))
            .where(F.coalesce(F.col("value"), F.lit("")) != ""))
     unknown = ids.join(known.select("column", "value"), ["column", "value"], "left_anti")
