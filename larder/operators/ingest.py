@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.parsing import boolean_reject, number_reject, parse_boolean, parse_date, required_text, to_number
+from larder.functions.parsing import boolean_reject, parse_boolean, parse_date, required_text, to_number
 from larder.operators.mapping import TARGET_FIELDS, fields_of
 
 CANONICAL_FIELDS = sorted({f for _, f, _ in TARGET_FIELDS})
@@ -49,29 +49,36 @@ BAD_TYPE = "warehouse_type is not known."
 # ---------------------------------------------------------------------------
 
 
-def conform(frame: DataFrame, dataset_id: str, dataset_type: str) -> DataFrame:
-    """A mapped wide upload as (dataset_id, source_row_number, fields of its type, extras).
+def conform(frame: DataFrame, dataset_id: str, dataset_type: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A mapped wide upload as (dataset_id, source_row_number, fields of its type, extras, carried columns).
 
-    Fields that the upload lacks are null; columns outside the canonical ones
-    become the JSON object ``extras``, in file order.
+    Fields that the upload lacks are null; columns outside the canonical and ``carried``
+    ones become the JSON object ``extras``, in file order.
     """
-    others = [c for c in frame.columns if c not in CANONICAL_FIELDS and c != "source_row_number"]
+    others = [c for c in frame.columns if c not in CANONICAL_FIELDS and c != "source_row_number" and c not in carried]
     extras = F.to_json(F.create_map(*[x for c in others for x in (F.lit(c), F.col(f"`{c}`"))])) if others else F.lit("{}")
     fields = [(F.col(f) if f in frame.columns else F.lit(None).cast("string")).alias(f) for f in fields_of(dataset_type)]
-    return frame.select(F.lit(dataset_id).alias("dataset_id"), "source_row_number", *fields, extras.alias("extras"))
+    return frame.select(F.lit(dataset_id).alias("dataset_id"), "source_row_number", *fields, extras.alias("extras"), *carried)
+
+
+def _parsed(rows: DataFrame, dataset_type: str, **more) -> DataFrame:
+    """Rows with every numeric column of the type parsed once, as ``_n_<name>``, and further parsed columns.
+
+    The values, the rejects and the rules of the table read these: a cell is not parsed again for each of them."""
+    return rows.withColumns({**{f"_n_{c}": to_number(c) for c in NUMBERS[dataset_type]}, **more})
 
 
 def _numbers(dataset_type: str) -> list:
     """Numeric columns of a type, parsed."""
-    return [to_number(c).alias(c) for c in NUMBERS[dataset_type]]
+    return [F.col(f"_n_{c}").alias(c) for c in NUMBERS[dataset_type]]
 
 
 def _number_rejects(dataset_type: str) -> list:
-    return [number_reject(c, c) for c in NUMBERS[dataset_type]]
+    return [F.when(F.col(c).isNotNull() & F.col(f"_n_{c}").isNull(), F.lit(f"{c} is not numeric.")) for c in NUMBERS[dataset_type]]
 
 
 def _negative_rejects(dataset_type: str) -> list:
-    return [F.when(to_number(c) < 0, F.lit(IS_NEGATIVE.format(c))) for c in NON_NEGATIVE[dataset_type]]
+    return [F.when(F.col(f"_n_{c}") < 0, F.lit(IS_NEGATIVE.format(c))) for c in NON_NEGATIVE[dataset_type]]
 
 
 def resolve_product(rows: DataFrame, products: DataFrame) -> DataFrame:
@@ -118,15 +125,16 @@ def new_stores(sales: DataFrame) -> DataFrame:
 
 
 def ingest_sales(rows: DataFrame, products: DataFrame, warehouses: DataFrame, stores: DataFrame,
-                 default_warehouse: str | None = None) -> DataFrame:
+                 default_warehouse: str | None = None, earlier: str | None = None) -> DataFrame:
+    """Sales rows; ``earlier`` names a column with the reject of an earlier step, which comes first."""
     r = resolve_store(resolve_warehouse(resolve_product(rows, products), warehouses, default_warehouse), stores)
-    tdate = parse_date("transaction_date")
+    r, tdate = _parsed(r, "sales", _tdate=parse_date("transaction_date")), F.col("_tdate")
     reject = F.coalesce(
-        F.col("_product_reject"), F.col("_warehouse_reject"),
+        *([F.col(earlier)] if earlier else []), F.col("_product_reject"), F.col("_warehouse_reject"),
         F.when(tdate.isNull(), F.lit(BAD_DATE.format("transaction_date"))), *_number_rejects("sales"),
         boolean_reject("is_promoted", "is_promoted"),
         F.when(F.col("units_sold").isNull(), F.lit(IS_REQUIRED.format("units_sold"))), *_negative_rejects("sales"),
-        F.when(~to_number("discount_pct").between(0, 1), F.lit(BAD_DISCOUNT)))
+        F.when(~F.col("_n_discount_pct").between(0, 1), F.lit(BAD_DISCOUNT)))
     return r.select(
         "dataset_id", "source_row_number", F.col("_pkey").alias("product_id"),
         F.coalesce(F.col("_skey").cast("string"), F.col("_sval")).alias("store_id"), "store_created",
@@ -137,7 +145,8 @@ def ingest_sales(rows: DataFrame, products: DataFrame, warehouses: DataFrame, st
 def ingest_inventory(rows: DataFrame, products: DataFrame, warehouses: DataFrame,
                      default_warehouse: str | None = None) -> DataFrame:
     r = resolve_warehouse(resolve_product(rows, products), warehouses, default_warehouse)
-    sdate, edate = parse_date("snapshot_date"), parse_date("expiration_date")
+    r = _parsed(r, "inventory", _sdate=parse_date("snapshot_date"), _edate=parse_date("expiration_date"))
+    sdate, edate = F.col("_sdate"), F.col("_edate")
     reject = F.coalesce(
         F.col("_product_reject"), F.col("_warehouse_reject"),
         F.when(F.col("_wkey").isNull(), F.lit(IS_REQUIRED.format("warehouse_id"))),
@@ -157,6 +166,7 @@ def ingest_products(rows: DataFrame, suppliers: DataFrame) -> DataFrame:
     s = suppliers.select(F.col("supplier_id").cast("string").alias("_sup_ext"), F.col("supplier_id").alias("_sup_key"))
     sv = F.trim(F.col("supplier_id"))
     r = rows.withColumn("_supv", F.when(F.length(sv) > 0, sv)).join(s, F.col("_supv") == F.col("_sup_ext"), "left")
+    r = _parsed(r, "products")
     pid, name = required_text("product_id"), required_text("product_name")
     reject = F.coalesce(
         F.when(pid.isNull(), F.lit(IS_REQUIRED.format("product_id"))),
@@ -169,6 +179,7 @@ def ingest_products(rows: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def ingest_suppliers(rows: DataFrame) -> DataFrame:
+    rows = _parsed(rows, "suppliers")
     sid, name = required_text("supplier_id"), required_text("supplier_name")
     reject = F.coalesce(
         F.when(sid.isNull(), F.lit(IS_REQUIRED.format("supplier_id"))),
@@ -181,6 +192,7 @@ def ingest_suppliers(rows: DataFrame) -> DataFrame:
 
 def ingest_warehouses(rows: DataFrame) -> DataFrame:
     """Warehouse rows; a missing time zone is the default one."""
+    rows = _parsed(rows, "warehouse")
     code, name, kind = required_text("warehouse_code"), required_text("warehouse_name"), required_text("warehouse_type")
     zone = F.coalesce(required_text("timezone"), F.lit(DEFAULT_TIMEZONE))
     reject = F.coalesce(
