@@ -81,7 +81,8 @@ def with_file_position(df: DataFrame, start: int = 2) -> DataFrame:
                                                        F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    j = tagged.join(offsets, ["source_file", "_blk"])  # one row per input split; AQE picks the join
+    # One row per input split: broadcast, as a shuffle would deal the rows by split, a whole split to one task.
+    j = tagged.join(F.broadcast(offsets), ["source_file", "_blk"])
     rn = F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(start)
     return j.withColumn("source_row_number", rn.cast("bigint")).drop("_blk", "_rid", "_pos", "_first", "_off")
 

@@ -27,7 +27,8 @@ from larder.operators.mapping import map_columns
 from larder.sources.csv import BYTES, checked_fields, raw_schema, with_file_position
 
 
-_CARRIED = ("_file", "_parse")  # columns that ride through the mapping inside the extras
+_CARRIED = ("_file", "_parse")  # columns that ride through the mapping beside the extras
+FILE_ROWS = 100_000  # rows of a landed file that one task writes
 
 
 def _process(batch: DataFrame, header: list[str], mappings: list, products: DataFrame, warehouses: DataFrame,
@@ -37,14 +38,14 @@ def _process(batch: DataFrame, header: list[str], mappings: list, products: Data
     try:
         numbered = with_file_position(batch.select(*checked_fields(batch, header), "_metadata")).drop("_metadata")
         files = numbered.select(F.col("source_file").alias("_file"), F.col("reject_reason").alias("_parse"), "source_row_number", *header)
-        rows = ig.conform(map_columns(files, mappings), "", "sales")
-        # The file's path is carried as an extra column and becomes the dataset's key.
-        path = F.get_json_object("extras", "$._file")
+        rows = ig.conform(map_columns(files, mappings), "", "sales", _CARRIED)
+        # The file's path becomes the dataset's key.
+        path = F.col("_file")
         keyed = rows.withColumn("dataset_id", F.concat(F.regexp_extract(path, r"([^/]*?)(\.csv)?$", 1), F.lit("-"),
                                                        F.substring(F.sha2(path, 256), 1, 16)))
-        done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse)
-        own = F.map_filter(F.from_json("extras", "map<string,string>"), lambda k, _: ~k.isin(*_CARRIED))
-        done = done.withColumns({"reject_reason": F.coalesce(F.get_json_object("extras", "$._parse"), F.col("reject_reason")), "extras": F.to_json(own)})
+        done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse, earlier="_parse")
+        # A look-up deals rows by its key, so every task would write a file into every part: ranges of a landed file go to one task each.
+        done = done.repartition("dataset_id", F.floor(F.col("source_row_number") / FILE_ROWS))
         table.replace(done, F.col("dataset_id"), load)
     finally:
         batch.unpersist()
