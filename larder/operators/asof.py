@@ -14,6 +14,7 @@ window's buffer, so a hot key costs time and not memory.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product as cartesian
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,19 @@ _REC = "_asof_rec"
 _ASKED = "_asof_asked"
 
 
+@dataclass
+class Facts:
+    """What one look-up searches; see ``latest_asof``."""
+
+    frame: DataFrame
+    date: str
+    values: list[str]
+    tiebreak: list[str] | None = None
+    optional_keys: list[str] = ()
+    keys: dict[str, str] | None = None  # request key -> fact column when names differ
+    alias: str = "latest"
+
+
 def latest_asof(requests: DataFrame, facts: DataFrame, *, keys: list[str], request_date: str,
                 fact_date: str, values: list[str], tiebreak: list[str] | None = None,
                 optional_keys: list[str] = (), strict: bool = False,
@@ -41,36 +55,48 @@ def latest_asof(requests: DataFrame, facts: DataFrame, *, keys: list[str], reque
     ``request_keys`` is accepted for callers that have the key columns apart; one
     pass over ``requests`` needs no second frame.
     """
-    fact_keys = fact_keys or {}
-    all_keys = list(keys) + list(optional_keys)
+    return latest_asof_each(requests, [Facts(facts, fact_date, values, tiebreak, optional_keys, fact_keys, alias)],
+                            keys=keys, request_date=request_date, strict=strict)
+
+
+def latest_asof_each(requests: DataFrame, lookups: list[Facts], *, keys: list[str], request_date: str, strict: bool = False) -> DataFrame:
+    """Several look-ups by the same ``keys`` and date at once: the requests move once for all of them."""
+    optional = list(dict.fromkeys(k for f in lookups for k in f.optional_keys))
+    all_keys = [*keys, *optional]
     day = F.col(request_date).cast("date")
-    record = F.struct(*[F.col(fact_keys.get(v, v)).alias(v) if v in all_keys else F.col(v) for v in values])
-    order = [F.col(fact_date), *[F.col(fact_keys.get(t, t)) for t in (tiebreak or []) if t != fact_date]]
-    best = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], record.alias("v"))
-    past = facts.where(F.col(fact_date).isNotNull())
-    for k in keys:
-        past = past.where(F.col(fact_keys.get(k, k)).isNotNull())
-    past = past.select(*[F.col(fact_keys.get(k, k)).alias(f"_asof_{k}") for k in all_keys], F.col(fact_date).cast("date").alias(_DAY),
-                       F.lit(0).alias(_KIND), best.alias(_REC))
     asked = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
-    asks = requests.select(*[F.col(k).alias(f"_asof_{k}") for k in all_keys], (F.date_sub(day, 1) if strict else day).alias(_DAY),
+    both = requests.select(*[F.col(k).alias(f"_asof_{k}") for k in all_keys], (F.date_sub(day, 1) if strict else day).alias(_DAY),
                            F.lit(1).alias(_KIND), asked.alias(_ASKED))
-    both = past.unionByName(asks, allowMissingColumns=True)
+    for m, f in enumerate(lookups):
+        names, mine = f.keys or {}, [*keys, *f.optional_keys]
+        record = F.struct(*[F.col(names.get(v, v)).alias(v) if v in mine else F.col(v) for v in f.values])
+        order = [F.col(f.date), *[F.col(names.get(t, t)) for t in (f.tiebreak or []) if t != f.date]]
+        best = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], record.alias("v"))
+        past = f.frame.where(F.col(f.date).isNotNull())
+        for k in keys:
+            past = past.where(F.col(names.get(k, k)).isNotNull())
+        past = past.select(*[F.col(names.get(k, k)).alias(f"_asof_{k}") for k in mine], F.col(f.date).cast("date").alias(_DAY),
+                           F.lit(0).alias(_KIND), best.alias(f"{_REC}{m}"))
+        both = both.unionByName(past, allowMissingColumns=True)
     # Few keys first: rows that are together by ``keys`` are together by more keys too, so they move once.
-    found, choice = [], None
-    for n, pattern in enumerate(sorted(cartesian([True, False], repeat=len(optional_keys)), key=sum)):
-        used = list(keys) + [k for k, given in zip(optional_keys, pattern) if given]
-        w = (Window.partitionBy(*[f"_asof_{k}" for k in used]).orderBy(_DAY, _KIND)
+    choices: dict[int, Column] = {}
+    for n, pattern in enumerate(sorted(cartesian([True, False], repeat=len(optional)), key=sum)):
+        given = [k for k, on in zip(optional, pattern) if on]
+        w = (Window.partitionBy(*[f"_asof_{k}" for k in [*keys, *given]]).orderBy(_DAY, _KIND)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        both = both.withColumn(f"{_REC}_{n}", F.max(_REC).over(w))
-        cond = F.col(_DAY).isNotNull()
-        for k in used:
-            cond = cond & F.col(f"_asof_{k}").isNotNull()
-        for k, given in zip(optional_keys, pattern):
-            if not given:
-                cond = cond & F.col(f"_asof_{k}").isNull()
-        choice = F.when(cond, F.col(f"{_REC}_{n}.v")) if choice is None else choice.when(cond, F.col(f"{_REC}_{n}.v"))
-    return both.where(F.col(_KIND) == 1).select(*[F.col(f"{_ASKED}.`{c}`") for c in requests.columns], choice.alias(alias))
+        here = [m for m, f in enumerate(lookups) if set(given) <= set(f.optional_keys)]
+        both = both.withColumns({f"{_REC}{m}_{n}": F.max(f"{_REC}{m}").over(w) for m in here})
+        for m in here:
+            cond = F.col(_DAY).isNotNull()
+            for k in [*keys, *given]:
+                cond = cond & F.col(f"_asof_{k}").isNotNull()
+            for k in lookups[m].optional_keys:
+                if k not in given:
+                    cond = cond & F.col(f"_asof_{k}").isNull()
+            found = F.col(f"{_REC}{m}_{n}.v")
+            choices[m] = F.when(cond, found) if m not in choices else choices[m].when(cond, found)
+    return both.where(F.col(_KIND) == 1).select(*[F.col(f"{_ASKED}.`{c}`") for c in requests.columns],
+                                                *[choices[m].alias(f.alias) for m, f in enumerate(lookups)])
 
 
 def flatten(df: DataFrame, struct_col: str, prefix: str) -> DataFrame:

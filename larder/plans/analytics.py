@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions import forecast as ff
 from larder.functions.aggregates import arg_max
 from larder.plans.forecast import SERIES
+from larder.session import stored
 
 U = "predicted_units_sold"
 
@@ -64,19 +65,42 @@ def forecast_summary(series: DataFrame) -> DataFrame:
         ff.half_up((last - first) / F.nullif(first, F.lit(0.0)) * 100).cast("bigint").alias("trend_pct"))
 
 
-def _days(series: DataFrame, **each: Column) -> DataFrame:
-    """A row for every day of each series' row, with day_index, forecast_date and the day's entry of the given arrays."""
-    dates = F.sequence("forecast_start_date", F.date_add("forecast_start_date", F.col("horizon_days") - 1))
-    days = F.arrays_zip(dates.alias("forecast_date"), *[c.alias(n) for n, c in each.items()])
-    rows = series.select([c for c in series.columns if c != "units"] + [F.posexplode(days).alias("day_index", "_day")])
-    return rows.select("*", "_day.*").drop("_day")
+def _days(series: DataFrame, entries: Column | None = None, *whole: Column) -> DataFrame:
+    """A row for every day of each series' row, with day_index, forecast_date and the columns ``whole``.
+
+    With ``entries``, an array worked out from the days' units, a day has its entry as ``_entry``, unless the series' days are
+    all the same: then ``_same`` holds and ``_unit`` is the units of each, so nothing is worked out day by day inside the row."""
+    units, dates = F.col("units"), F.sequence("forecast_start_date", F.date_add("forecast_start_date", F.col("horizon_days") - 1))
+    kept = [F.col(c) for c in series.columns if c != "units"]
+    if entries is not None:
+        same = (F.size(units) == F.col("horizon_days")) & units.eqNullSafe(F.array_repeat(F.get(units, F.lit(0)), F.size(units)))
+        kept += [F.coalesce(same, F.lit(False)).alias("_same"), F.get(units, F.lit(0)).alias("_unit"), *whole]
+        dates = F.when(units.isNotNull(), dates)
+    # What holds for the whole series is worked out in steps of their own: beside the generator it would be done again for every
+    # day. The outer form keeps the planner from filtering the series by their days, which would work these out twice.
+    ready = series.select(*kept, dates.alias("_dates"), *([] if entries is None else ["units"]))
+    if entries is not None:
+        ready = ready.withColumn("_path", F.when(~F.col("_same"), entries)).drop("units")
+    rows = ready.select(*[c for c in ready.columns if c != "_dates"], F.posexplode_outer("_dates").alias("day_index", "forecast_date")).where("day_index is not null")
+    return rows if entries is None else rows.withColumn("_entry", F.get("_path", F.col("day_index"))).drop("_path")
+
+
+def _repeated(series: DataFrame) -> DataFrame:
+    """Hashes of the series that have several rows, stored; two series of one hash are named too.
+
+    Only the hashes move, and they are dealt before they are counted, as nearly all of them differ."""
+    marks = series.select(F.xxhash64(*SERIES).alias("_mark")).repartition("_mark")
+    return stored(marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_mark"), "repeated-series")
 
 
 def _by_copies(series: DataFrame, inside, across) -> DataFrame:
     """Daily rows: ``inside`` for series of one row, from that row's own days; ``across`` for the daily rows of series that
-    have several rows, whose figures run over all of them. Only series are counted and moved, never days of the first kind."""
-    marked = series.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
-    one, more = (marked.where(c).drop("_copies") for c in (F.col("_copies") == 1, F.col("_copies") > 1))
+    have several rows (or share their hash with another), whose figures run over all of them. No series or day of the first kind moves."""
+    repeated, mark = _repeated(series), F.xxhash64(*SERIES)
+    if repeated.isEmpty():
+        return inside(series)
+    one = series.join(repeated, mark == F.col("_mark"), "left_anti")
+    more = series.join(repeated, mark == F.col("_mark"), "left_semi")
     return inside(one).unionByName(across(_days(more)))
 
 
@@ -90,7 +114,9 @@ def projected_inventory(series: DataFrame) -> DataFrame:
 
     def inside(one):
         begin = F.struct(F.lit(0).cast("bigint").alias("run"), F.array().cast("array<bigint>").alias("path"))
-        return _days(one, _run=F.aggregate("units", begin, step)["path"])
+        rows = _days(one, F.aggregate("units", begin, step)["path"])
+        run = F.when(F.col("_same"), F.col("_unit") * (F.col("day_index") + 1)).otherwise(F.col("_entry"))
+        return rows.withColumn("_run", run).drop("_same", "_unit", "_entry")
 
     def across(points):
         return points.withColumn("_run", F.sum(U).over(_series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -137,9 +163,9 @@ def peak_window(points: DataFrame) -> DataFrame:
 def demand_status(series: DataFrame) -> DataFrame:
     """Per day: Peak / High / Low / Normal against the rounded series mean."""
     def inside(one):
-        n = F.size("units")
-        return _days(one.withColumn("series_mean", ff.half_up(_total(F.col("units")) / n).cast("bigint"))
-                        .withColumn("series_peak", F.array_max("units")), _unit=F.col("units"))
+        mean = ff.half_up(_total(F.col("units")) / F.size("units")).cast("bigint")
+        rows = _days(one, F.col("units"), mean.alias("series_mean"), F.array_max("units").alias("series_peak"))
+        return rows.withColumn("_unit", F.when(F.col("_same"), F.col("_unit")).otherwise(F.col("_entry"))).drop("_same", "_entry")
 
     def across(points):
         w = Window.partitionBy(*SERIES)
@@ -161,7 +187,7 @@ def forecast_export(series: DataFrame) -> DataFrame:
     pct = F.coalesce(F.col("discount_pct"), F.lit(0.0)) * 100
     return proj.select(
         *SERIES,
-        F.date_format("forecast_date", "yyyy-MM-dd").alias("date"),
+        F.col("forecast_date").cast("string").alias("date"),
         U, ff.lower_bound(U).alias("lower_bound"), ff.upper_bound(U).alias("upper_bound"),
         ff.planned_price("selling_price", pct, F.coalesce(F.col("is_promoted"), F.lit(False)),
                          "day_index", "horizon_days").alias("planned_selling_price"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import forecast as ff
 from larder.functions.parsing import to_number
-from larder.operators.asof import latest_asof
+from larder.operators.asof import Facts, latest_asof_each
 from larder.operators.scorers import ExpressionScorer, Scorer
 from larder.sources.tables import Tables
 
@@ -28,24 +28,28 @@ INVENTORY_VALUES = ["source_row_number", "snapshot_date", "current_inventory",
 CONTEXT_SALE = ["selling_price", "discount_pct", "is_promoted", "spoilage_risk"]
 CONTEXT_INVENTORY = ["current_inventory", "incoming_inventory", "spoilage_risk"]
 
+#: Series in a file of the stored context: each is up to 90 daily rows to whoever reads it.
+SERIES_ROWS = 1 << 18
+
+
+def sale_facts(t: Tables, values: list[str] = SALE_VALUES) -> Facts:
+    return Facts(t.sales_records(), "transaction_date", values, ["source_row_number"], ["store_id"], alias="sale")
+
+
+def inventory_facts(t: Tables, values: list[str] = INVENTORY_VALUES) -> Facts:
+    return Facts(t.inventory_snapshots(), "snapshot_date", values, ["source_row_number"], alias="inv")
+
 
 def with_latest_sale(t: Tables, requests: DataFrame | None = None, values: list[str] = SALE_VALUES) -> DataFrame:
     """latest_sale_asof: newest sale on or before the start date, same product and
     warehouse, and the same store when the request names one."""
     req = requests if requests is not None else t.forecast_requests()
-    return latest_asof(req, t.sales_records(), keys=["product_id", "warehouse_id"],
-                       optional_keys=["store_id"], request_date="forecast_start_date",
-                       fact_date="transaction_date", values=values,
-                       tiebreak=["source_row_number"], alias="sale", request_keys=req)
+    return latest_asof_each(req, [sale_facts(t, values)], keys=["product_id", "warehouse_id"], request_date="forecast_start_date")
 
 
-def with_latest_inventory(t: Tables, requests: DataFrame, request_keys: DataFrame | None = None,
-                          values: list[str] = INVENTORY_VALUES) -> DataFrame:
+def with_latest_inventory(t: Tables, requests: DataFrame, values: list[str] = INVENTORY_VALUES) -> DataFrame:
     """latest_inventory_asof: newest snapshot on or before the start date."""
-    return latest_asof(requests, t.inventory_snapshots(), keys=["product_id", "warehouse_id"],
-                       request_date="forecast_start_date", fact_date="snapshot_date",
-                       values=values, tiebreak=["source_row_number"], alias="inv",
-                       request_keys=request_keys)
+    return latest_asof_each(requests, [inventory_facts(t, values)], keys=["product_id", "warehouse_id"], request_date="forecast_start_date")
 
 
 def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
@@ -56,12 +60,14 @@ def forecast_context(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     with a null discount keeps the null. Spoilage risk: sale, then inventory.
     """
     if requests is None:  # the context of all stored requests is itself stored: every query reads it
-        return t._stored("forecast_context", lambda: _context(t, t.forecast_requests()))
+        return t._stored("forecast_context", lambda: _context(t, t.forecast_requests()), SERIES_ROWS)
     return _context(t, requests)
 
 
 def _context(t: Tables, req: DataFrame) -> DataFrame:
-    ctx = with_latest_inventory(t, with_latest_sale(t, req, CONTEXT_SALE), request_keys=req, values=CONTEXT_INVENTORY)
+    # Both look-ups of with_latest_sale and with_latest_inventory in one pass: the requests move once.
+    ctx = latest_asof_each(req, [sale_facts(t, CONTEXT_SALE), inventory_facts(t, CONTEXT_INVENTORY)],
+                           keys=["product_id", "warehouse_id"], request_date="forecast_start_date")
     prod = t.products().select("product_id", "category", "supplier_id", "shelf_life_days",
                                "cost_price", "spoilage_sensitivity", "storage_temp")
     sup = t.suppliers().select("supplier_id", "supplier_score")
