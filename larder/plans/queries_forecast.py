@@ -11,7 +11,7 @@ from larder.operators.asof import flatten
 from larder.plans import analytics as an
 from larder.plans import forecast as fc
 from larder.plans.catalog import register
-from larder.session import scratch_path
+from larder.session import SHUFFLE_CLEANUP, scratch_path, settings
 
 S = "request_id, product_id, warehouse_id"
 U = "predicted_units_sold"
@@ -218,11 +218,18 @@ EXPORT_SCHEMA = ("request_id bigint, product_id bigint, warehouse_id int, date s
                  "projected_inventory bigint")
 
 
+EXPORT_SPLIT = "8m"  # bytes of the stored series that one task of the export writes out
+
+
 @register("write_forecast_csv", _EXPORT)
 def write_forecast_csv(t):
     """Write the daily export as header CSV (gzip) to the shared scratch folder, read it back."""
     out = scratch_path(t.spark, f"forecast_csv/{uuid.uuid4().hex}")
-    an.forecast_export(fc.scored_series(t)).write.mode("overwrite").option("header", True).csv(out, compression="gzip")
+    # A few files of series a task: their daily rows are many times as much work as their bytes. The rows of a series are so
+    # alike that the fastest gzip level loses little.
+    with settings(t.spark, {"spark.sql.files.maxPartitionBytes": EXPORT_SPLIT, SHUFFLE_CLEANUP: "true"}):
+        (an.forecast_export(fc.scored_series(t)).write.mode("overwrite").option("header", True)
+         .option("zlib.compress.level", "BEST_SPEED").csv(out, compression="gzip"))
     return t.spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(out)
 
 
