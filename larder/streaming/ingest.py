@@ -24,37 +24,37 @@ from pyspark.sql import functions as F
 from larder.operators import ingest as ig
 from larder.operators.keyed_store import KeyedTable
 from larder.operators.mapping import map_columns
+from larder.session import shuffles_dropped
 from larder.sources.csv import BYTES, checked_fields, raw_schema, with_file_position
 
 
 _CARRIED = ("_file", "_parse")  # columns that ride through the mapping beside the extras
 FILE_ROWS = 100_000  # rows of a landed file that one task writes
+BATCH_BYTES = 1 << 30  # landed bytes of a micro-batch (a larger file is a batch of its own); all files are read, batch after batch
 
 
 def _process(batch: DataFrame, header: list[str], mappings: list, products: DataFrame, warehouses: DataFrame,
              stores: DataFrame, target: str, default_warehouse: str | None, load: str) -> None:
+    # The batch is parsed twice (positions, split sizes) and held nowhere: a copy of it would fill the executors' memory.
     table = KeyedTable(batch.sparkSession, target)
-    batch = batch.persist()  # numbered twice (positions, split sizes): read the batch once
-    try:
-        numbered = with_file_position(batch.select(*checked_fields(batch, header), "_metadata")).drop("_metadata")
-        files = numbered.select(F.col("source_file").alias("_file"), F.col("reject_reason").alias("_parse"), "source_row_number", *header)
-        rows = ig.conform(map_columns(files, mappings), "", "sales", _CARRIED)
-        # The file's path becomes the dataset's key.
-        path = F.col("_file")
-        keyed = rows.withColumn("dataset_id", F.concat(F.regexp_extract(path, r"([^/]*?)(\.csv)?$", 1), F.lit("-"),
-                                                       F.substring(F.sha2(path, 256), 1, 16)))
-        done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse, earlier="_parse")
-        # A look-up deals rows by its key, so every task would write a file into every part: ranges of a landed file go to one task each.
-        done = done.repartition("dataset_id", F.floor(F.col("source_row_number") / FILE_ROWS))
+    numbered = with_file_position(batch.select(*checked_fields(batch, header), "_metadata")).drop("_metadata")
+    files = numbered.select(F.col("source_file").alias("_file"), F.col("reject_reason").alias("_parse"), "source_row_number", *header)
+    rows = ig.conform(map_columns(files, mappings), "", "sales", _CARRIED)
+    # The file's path becomes the dataset's key.
+    path = F.col("_file")
+    keyed = rows.withColumn("dataset_id", F.concat(F.regexp_extract(path, r"([^/]*?)(\.csv)?$", 1), F.lit("-"),
+                                                   F.substring(F.sha2(path, 256), 1, 16)))
+    done = ig.ingest_sales(keyed, products, warehouses, stores, default_warehouse, earlier="_parse")
+    # A look-up deals rows by its key, so every task would write a file into every part: ranges of a landed file go to one task each.
+    done = done.repartition("dataset_id", F.floor(F.col("source_row_number") / FILE_ROWS))
+    with shuffles_dropped(batch.sparkSession):
         table.replace(done, F.col("dataset_id"), load)
-    finally:
-        batch.unpersist()
 
 
 def stream_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, header: list[str],
                   mappings: list, products: DataFrame, warehouses: DataFrame, stores: DataFrame,
-                  default_warehouse: str | None = None, max_files_per_trigger: int | None = None) -> None:
-    """Run the landing-folder stream to completion (all files available now).
+                  default_warehouse: str | None = None, max_files_per_trigger: int | None = None, max_bytes_per_trigger: int = BATCH_BYTES) -> None:
+    """Run the landing-folder stream to completion (all files available now), in micro-batches of bounded files or bytes.
 
     ``mappings``: the stored mapping rows of this upload layout. The table at
     ``target`` (read it with ``ingested``) holds every row; ``good`` and ``rejects`` are its two filters.
@@ -62,6 +62,8 @@ def stream_ingest(spark: SparkSession, landing: str, target: str, checkpoint: st
     reader = spark.readStream.schema(raw_schema(header)).option("header", True).option("encoding", BYTES)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     src = reader.csv(landing).select("*", "_metadata")
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
