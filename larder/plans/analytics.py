@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from larder.functions import forecast as ff
 from larder.functions.aggregates import arg_max
+from larder.operators.repeats import MARK, mark_of, repeated_marks
 from larder.plans.forecast import SERIES
-from larder.session import stored
 
 U = "predicted_units_sold"
 
@@ -85,22 +85,14 @@ def _days(series: DataFrame, entries: Column | None = None, *whole: Column) -> D
     return rows if entries is None else rows.withColumn("_entry", F.get("_path", F.col("day_index"))).drop("_path")
 
 
-def _repeated(series: DataFrame) -> DataFrame:
-    """Hashes of the series that have several rows, stored; two series of one hash are named too.
-
-    Only the hashes move, and they are dealt before they are counted, as nearly all of them differ."""
-    marks = series.select(F.xxhash64(*SERIES).alias("_mark")).repartition("_mark")
-    return stored(marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_mark"), "repeated-series")
-
-
 def _by_copies(series: DataFrame, inside, across) -> DataFrame:
     """Daily rows: ``inside`` for series of one row, from that row's own days; ``across`` for the daily rows of series that
     have several rows (or share their hash with another), whose figures run over all of them. No series or day of the first kind moves."""
-    repeated, mark = _repeated(series), F.xxhash64(*SERIES)
+    repeated, mark = repeated_marks(series, SERIES), mark_of(SERIES)
     if repeated.isEmpty():
         return inside(series)
-    one = series.join(repeated, mark == F.col("_mark"), "left_anti")
-    more = series.join(repeated, mark == F.col("_mark"), "left_semi")
+    one = series.join(repeated, mark == F.col(MARK), "left_anti")
+    more = series.join(repeated, mark == F.col(MARK), "left_semi")
     return inside(one).unionByName(across(_days(more)))
 
 
